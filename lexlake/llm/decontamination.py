@@ -10,6 +10,7 @@ one document value. So a question with other numbers or names is still found.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,50 +35,84 @@ LEAST_WINDOWS = 20
 #: Bits of the filter of benchmark windows that tasks get: a fixed size, whatever the benchmark's.
 FILTER_BITS = 1 << 24
 _TOKENS = re.compile(r"[^\W_]+(?:[.,]\d+)*|[.!?\n]")
-_NUMBER, _NAME, _UNIT = "\x01", "\x02", "\x03"
+_WORD, _NUMBER, _TITLE, _UNIT, _STOP = range(5)
+_UNITS = frozenset(UNITS)
+#: Hashes of the placeholders, by kind.
+_PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("word", "number", "name", "unit", "stop")], dtype=np.uint64)
 _CACHE_WORDS = 400_000
 _WINDOWS = "item long, pos int, n_windows int, h long, slots array<string>"
 
 
-def canonical(text: str | None) -> list[tuple[str, str]]:
-    """(template token, value) pairs; the value is empty for plain words."""
-    out: list[tuple[str, str]] = []
-    opening = True
-    for raw in _TOKENS.findall(text or ""):
-        if raw in ".!?\n":
-            opening = True
-            continue
-        low = raw.lower()
-        if raw[0].isdigit():
+class Vocabulary(dict):
+    """Token → its number; arrays of hashes and classes by number."""
+
+    def __init__(self) -> None:
+        self.hashes, self.classes = array("Q"), array("b")
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        if token in ".!?\n":
+            kind = _STOP
+        elif token[0].isdigit():
             kind = _NUMBER
-        elif low in UNITS and out and out[-1][0] == _NUMBER:
+        elif low in _UNITS:
             kind = _UNIT
-        elif not opening and raw[0].isupper() and raw[1:].islower():
-            kind = _NAME
+        elif token[0].isupper() and token[1:].islower():
+            kind = _TITLE
         else:
-            kind = ""
-        opening = False
-        if kind and out and out[-1][0] == kind:
-            out[-1] = (kind, f"{out[-1][1]} {low}")
-        else:
-            out.append((kind or low, low if kind else ""))
-    return out
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def window_hashes(tokens: list[tuple[str, str]], hashes: WordHashes) -> np.ndarray:
-    """One hash for each window of WINDOW tokens; one for a shorter text of at least 4."""
-    size = min(WINDOW, len(tokens))
+            kind = _WORD
+        self.hashes.append(xxhash.xxh64_intdigest(low))
+        self.classes.append(kind)
+        self[token] = len(self.classes) - 1
+        return self[token]
+
+
+class Canonicaliser:
+    """Texts → template hashes. ``start`` and ``stop`` of the last text's
+    template tokens are the raw tokens that each stands for."""
+
+    def __init__(self) -> None:
+        self.vocabulary = Vocabulary()
+
+    def read(self, text: str | None) -> np.ndarray:
+        """A hash for each template token; placeholders have their kind's."""
+        if len(self.vocabulary) > _CACHE_WORDS:
+            self.vocabulary = Vocabulary()
+        tokens = _TOKENS.findall(text or "")
+        if not tokens:
+            return np.zeros(0, dtype=np.uint64)
+        ids = np.fromiter(map(self.vocabulary.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        kinds = np.frombuffer(self.vocabulary.classes, dtype=np.int8)[ids]
+        words = np.flatnonzero(kinds != _STOP)
+        opening = np.ones(len(words), dtype=bool)
+        if len(words) > 1:
+            opening[1:] = np.diff(words) > 1
+        kind = kinds[words]
+        after_number = np.zeros(len(words), dtype=bool)
+        after_number[1:] = kind[:-1] == _NUMBER
+        kind = np.where(kind == _UNIT, np.where(after_number, _UNIT, _WORD), np.where((kind == _TITLE) & opening, _WORD, kind))
+        runs = np.ones(len(words), dtype=bool)
+        runs[1:] = (kind[1:] == _WORD) | (kind[1:] != kind[:-1])
+        first = np.flatnonzero(runs)
+        self.tokens, self.words, self.start, self.stop = tokens, words, first, np.append(first[1:], len(words))
+        self.kind = kind[first]
+        hashes = np.frombuffer(self.vocabulary.hashes, dtype=np.uint64)[ids[words[first]]]
+        return np.where(self.kind == _WORD, hashes, _PLACEHOLDERS[self.kind])
+
+    def slots(self, at: int, size: int) -> list[str]:
+        """Values of the placeholders in a window of template tokens."""
+        out = []
+        for i in range(at, at + size):
+            if self.kind[i] != _WORD:
+                out.append(" ".join(self.tokens[w] for w in self.words[self.start[i] : self.stop[i]]).lower())
+        return out
+
+
+def window_hashes(each: np.ndarray) -> np.ndarray:
+    """One hash for each window of WINDOW template tokens; one for a shorter text of at least 4."""
+    size = min(WINDOW, len(each))
     if size < 4:
         return np.zeros(0, dtype=np.uint64)
-    each = np.fromiter((hashes[t] for t, _ in tokens), dtype=np.uint64, count=len(tokens))
     total = np.zeros(len(each) - size + 1, dtype=np.uint64)
     for k in range(size):
         total = total * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(total)]
@@ -90,20 +125,19 @@ def _windows(keep: bytes | None):
     schema = pa.schema([("item", pa.int64()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        reader = Canonicaliser()
         bits = None if keep is None else np.frombuffer(keep, dtype=np.uint8)
         for batch in batches:
             rows = []
             for item, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = canonical(text)
-                found = window_hashes(tokens, hashes)
+                each = reader.read(text)
+                found = window_hashes(each)
                 at = np.arange(len(found))
                 if bits is not None:
                     slot = found % np.uint64(FILTER_BITS)
                     at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
                 for i in at.tolist():
-                    slots = [v for t, v in tokens[i : i + WINDOW] if v]
-                    rows.append((item, i, len(found), int(found[i].view(np.int64)), slots))
+                    rows.append((item, i, len(found), int(found[i].view(np.int64)), reader.slots(i, min(WINDOW, len(each)))))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
     return run

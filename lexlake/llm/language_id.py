@@ -33,7 +33,7 @@ EVIDENCE_WORDS = 50
 #: Weight of an unseen word beside a known one.
 UNSEEN_WEIGHT = 0.5
 UNDETERMINED = "und"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -98,43 +98,45 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.model = model
-        self.row = {e: i for i, e in enumerate(model.entries)}
-        self.known: dict[str, np.ndarray] = {}
+        self.languages, self.logs = model.languages, model.logs.astype(np.float64)
+        self.words = {g: i for i, (k, g) in enumerate(model.entries) if k == 0}
+        self.grams = {g: i for i, (k, g) in enumerate(model.entries) if k > 0}  # the length tells the order
+        self.known: dict[str, list[int]] = {}
 
-    def word(self, word: str) -> np.ndarray:
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the longest known n-gram at each position of an unseen word."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= _CACHE_WORDS:
-                self.known.clear()
-            found = self.known[word] = self._score(word)
+            marked, found = f"_{word}_", []
+            for i in range(len(marked)):
+                for k in range(min(ORDERS[0], len(marked) - i), 0, -1):
+                    at = self.grams.get(marked[i : i + k])
+                    if at is not None:
+                        found.append(at)
+                        break
+            if len(self.known) < _CACHE_WORDS:
+                self.known[word] = found
         return found
 
-    def _score(self, word: str) -> np.ndarray:
-        at = self.row.get((0, word))
-        if at is not None:
-            return self.model.logs[at]
-        marked, rows = f"_{word}_", []
-        for i in range(len(marked)):
-            for k in ORDERS:
-                if i + k <= len(marked) and (at := self.row.get((k, marked[i : i + k]))) is not None:
-                    rows.append(at)
-                    break
-        if not rows:
-            return np.zeros(len(self.model.languages), dtype=np.float32)
-        return self.model.logs[rows].mean(axis=0) * np.float32(UNSEEN_WEIGHT)
-
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS((text or "").lower())
-        if not words or not self.model.languages:
+        words = Counter(_WORDS((text or "").lower()))
+        if not words or not self.languages:
             return UNDETERMINED, 0.0
-        total = np.zeros(len(self.model.languages))
-        for lo in range(0, len(words), 10_000):
-            total += np.sum([self.word(w) for w in words[lo : lo + 10_000]], axis=0, dtype=np.float64)
-        total *= min(1.0, EVIDENCE_WORDS / len(words))
+        rows: list[int] = []
+        weights: list[float] = []
+        for word, n in words.items():
+            at = self.words.get(word)
+            if at is not None:
+                rows.append(at)
+                weights.append(n)
+            elif grams := self.backoff(word):
+                rows += grams
+                weights += [n * UNSEEN_WEIGHT / len(grams)] * len(grams)
+        total = np.array(weights) @ self.logs[rows] if rows else np.zeros(len(self.languages))
+        total *= min(1.0, EVIDENCE_WORDS / words.total())
         chances = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.model.languages[best], float(chances[best] / chances.sum())
+        return self.languages[best], float(chances[best] / chances.sum())
 
 
 def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

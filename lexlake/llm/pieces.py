@@ -11,6 +11,7 @@ each word of each document, several times the input.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from lexlake.llm.common import short_batches, with_fields
 
 MARK = "▁"
-#: Chunks held in a worker; a full table starts again, which changes no result.
+#: Chunks held in a worker. A full table keeps what it has, which holds the
+#: frequent chunks; further ones are segmented where they stand.
 TABLE_CHUNKS = 400_000
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -38,9 +40,9 @@ class ChunkTable(dict):
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
         ids = self.sp.encode(chunk, num_threads=1) if chunk else [self.lone_mark]
-        if len(self) >= TABLE_CHUNKS:
-            self.clear()
-        found = self[chunk] = (np.array(ids, dtype=np.int32).tobytes(), " " + self.sp.decode(ids))
+        found = (array("i", ids).tobytes(), " " + self.sp.decode(ids))
+        if len(self) < TABLE_CHUNKS:
+            self[chunk] = found
         return found
 
     def chunks(self, text: str) -> list[str]:
