@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from array import array
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -19,7 +20,8 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402  reads the setting on import
 
-#: Entries held in a worker; a full table starts again, which changes no result.
+#: Entries held in a worker. A full table keeps what it has, which holds the
+#: frequent chunks; further ones are encoded where they stand.
 TABLE_CHUNKS = 400_000
 #: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,86 +35,138 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class TokenTable(dict):
-    """Chunk (as it follows a space) → token ids and character starts, ends.
+_PUNCTUATION = frozenset(",.;:!?")
 
-    Values: int32 bytes of ids, of starts and of ends relative to the chunk
-    (its leading space counts). A character of several tokens is the span of
-    each of them, as in the library.
-    """
+
+class Library:
+    """The tokenizer, and its model on single pre-tokens."""
 
     def __init__(self, path: str) -> None:
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.model, self.split = self.library.model, regex.compile(PATTERN).findall
-        self.letters, self.words = _byte_letters(), {}
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.size = self.whole.get_vocab_size()
+        self._model, self._split, self._letters = self.whole.model, regex.compile(PATTERN).findall, _byte_letters()
+
+    def tokens(self, pre: str) -> list:
+        return self._model.tokenize(pre.encode().decode("latin1").translate(self._letters))
+
+    def pre_tokens(self, chunk: str) -> list[str]:
+        """Of a chunk that begins with a space (or begins the text)."""
+        bare = chunk[1:]
+        if bare.isalpha():
+            return [chunk]
+        if bare[-1:] in _PUNCTUATION and bare[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self._split(chunk)
+
+
+def needs_library(text: str) -> bool:
+    """White space before a space: no cut is safe there."""
+    return text.startswith(" ") or _SPACE_AFTER_SPACE.search(text) is not None
+
 
-    def word(self, pre: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class IdTable(dict):
+    """Chunk (without the space that it follows) → int32 bytes of its ids."""
+
+    def __init__(self, library: Library) -> None:
+        self.library, self.words = library, {}
+
+    def word(self, pre: str) -> bytes:
         found = self.words.get(pre)
         if found is None:
+            found = array("i", [t.id for t in self.library.tokens(pre)]).tobytes()
             if len(self.words) >= TABLE_CHUNKS:
                 self.words.clear()
-            raw = pre.encode()
-            tokens = self.model.tokenize(raw.decode("latin1").translate(self.letters))
-            # A token's value has one letter for each byte: count the characters that begin there.
-            at = np.cumsum([(b & 0xC0) != 0x80 for b in raw]) - 1
-            lengths = np.cumsum([0, *(len(t.value) for t in tokens)])
-            spans = [(at[a], at[b - 1] + 1) for a, b in zip(lengths[:-1], lengths[1:])]
-            starts, ends = zip(*spans) if spans else ((), ())
-            found = self.words[pre] = tuple(np.array(x, dtype=np.int32) for x in ([t.id for t in tokens], starts, ends))
+            self.words[pre] = found
         return found
 
-    def chunk(self, text: str) -> tuple[bytes, bytes, bytes]:
-        at, parts = 0, []
-        for pre in self.split(text):
-            ids, starts, ends = self.word(pre)
-            parts.append((ids, starts + at, ends + at) if at else (ids, starts, ends))
-            at += len(pre)
-        if len(parts) == 1:
-            return tuple(x.tobytes() for x in parts[0])
-        return tuple(b"".join(x.astype(np.int32).tobytes() for x in column) for column in zip(*parts)) if parts else (b"", b"", b"")
+    def chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.word, self.library.pre_tokens(chunk)))
 
-    def __missing__(self, after_space: str) -> tuple[bytes, bytes, bytes]:
+    def __missing__(self, after_space: str) -> bytes:
+        found = self.chunk(" " + after_space)
         if len(self) >= TABLE_CHUNKS:
             self.clear()
-        found = self[after_space] = self.chunk(" " + after_space)
+        self[after_space] = found
         return found
 
-    def _whole(self, text: str) -> bool:
-        return text.startswith(" ") or _SPACE_AFTER_SPACE.search(text) is not None
-
-    def ids(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         """int32 bytes of the ids of a whole text."""
         if not text:
             return b""
-        if self._whole(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int32).tobytes()
+        if needs_library(text):
+            return array("i", self.library.whole.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
-        return b"".join([self.chunk(first)[0], *[self[w][0] for w in rest]])
+        return self.chunk(first) + b"".join(map(self.__getitem__, rest))
+
+
+class SpanTable(dict):
+    """Chunk (without the space that it follows) → int32 bytes of its tokens'
+    character starts and of their ends, counted from that space.
+
+    Tokens that are part of one character have that character's span each, as
+    in the library.
+    """
+
+    def __init__(self, library: Library) -> None:
+        self.library, self.words = library, {}
+
+    def word(self, pre: str) -> tuple[list[int], list[int]]:
+        found = self.words.get(pre)
+        if found is None:
+            # A token's value has one letter for each byte.
+            ends = list(accumulate(len(t.value) for t in self.library.tokens(pre)))
+            starts = [0, *ends[:-1]]
+            if not pre.isascii():
+                at = list(accumulate((b & 0xC0) != 0x80 for b in pre.encode()))
+                starts, ends = [at[a] - 1 for a in starts], [at[b - 1] for b in ends]
+            found = (starts, ends)
+            if len(self.words) >= TABLE_CHUNKS:
+                self.words.clear()
+            self.words[pre] = found
+        return found
+
+    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        at, a, b = 0, array("i"), array("i")
+        for pre in self.library.pre_tokens(chunk):
+            starts, ends = self.word(pre)
+            a.extend([at + x for x in starts] if at else starts)
+            b.extend([at + x for x in ends] if at else ends)
+            at += len(pre)
+        return a.tobytes(), b.tobytes()
+
+    def __missing__(self, after_space: str) -> tuple[bytes, bytes]:
+        found = self.chunk(" " + after_space)
+        if len(self) >= TABLE_CHUNKS:
+            self.clear()
+        self[after_space] = found
+        return found
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Character starts and ends of the tokens of a whole text."""
         if not text:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        if self._whole(text):
-            found = np.array(self.library.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+        if needs_library(text):
+            found = np.array(self.library.whole.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
             return found[:, 0], found[:, 1]
         first, *rest = text.split(" ")
         parts = [self.chunk(first), *map(self.__getitem__, rest)]
         lengths = np.fromiter((len(w) + 1 for w in rest), dtype=np.int64, count=len(rest))
         at = np.concatenate([[0], len(first) + np.cumsum(lengths) - lengths]).astype(np.int64)
-        shift = np.repeat(at, [len(p[0]) // 4 for p in parts])
-        return tuple(np.frombuffer(b"".join(p[k] for p in parts), dtype=np.int32) + shift for k in (1, 2))
+        shift = np.repeat(at, [len(a) // 4 for a, _ in parts])
+        return tuple(np.frombuffer(b"".join(p[k] for p in parts), dtype=np.int32) + shift for k in (0, 1))
 
 
-_TABLES: dict[str, TokenTable] = {}
+_TABLES: dict[tuple[type, str], IdTable | SpanTable] = {}
 
 
-def table(path: str) -> TokenTable:
-    if path not in _TABLES:
-        _TABLES[path] = TokenTable(path)
-    return _TABLES[path]
+def table(kind: type, path: str) -> IdTable | SpanTable:
+    """The worker's table of that kind, kept between its tasks."""
+    if (kind, path) not in _TABLES:
+        _TABLES[kind, path] = kind(Library(path))
+    return _TABLES[kind, path]
 
 
-def bits_needed(ids: Iterable[int] | int) -> int:
-    return max(1, (int(ids) - 1).bit_length())
+def bits_needed(ids: int) -> int:
+    """Of the ids 0 .. ids-1."""
+    return max(1, (ids - 1).bit_length())

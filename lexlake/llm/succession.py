@@ -71,7 +71,7 @@ def with_next(docs: DataFrame, pair: Callable, schema: str, id_col: str, text_co
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(target), target)], schema=target)
 
     sent = docs.select(key.alias("k"), text_col).mapInArrow(mark, "bucket int, k long, ghost boolean, mark string, packed binary")
-    sorted_ = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "k", "ghost", "packed")
+    sorted_ = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket", "k", "ghost", "packed")
     return sorted_.mapInArrow(succeed, schema)
 
 

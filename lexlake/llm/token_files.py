@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.byte_tokens import bits_needed, table
+from lexlake.llm.byte_tokens import IdTable, bits_needed, table
 from lexlake.llm.common import NULL_KEY, order_key, partitions, range_bounds, range_of, short_batches
 
 #: A block is closed by the document that brings it to so many ids.
@@ -71,8 +71,8 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             yield pa.record_batch([pa.array(bucket), batch.column(0), pa.array(packed, pa.binary())], names=["segment", "k", "packed"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, open_ = table(tokenizer_path), zstandard.ZstdDecompressor().decompress
-        width = bits_needed(max(end_id + 1, tokens.library.get_vocab_size()))
+        tokens, open_ = table(IdTable, tokenizer_path), zstandard.ZstdDecompressor().decompress
+        width = bits_needed(max(end_id + 1, tokens.library.size))
         schema = pa.schema(
             [("segment", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]
             + [("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())]
@@ -90,7 +90,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
                     if keys:
                         yield close()
                     segment, block, first, keys, ends, held = seg, 0, 0, [], [], []
-                held.append(tokens.ids(open_(packed).decode() if packed else "") + end)
+                held.append(tokens.encode(open_(packed).decode() if packed else "") + end)
                 keys.append(k)
                 ends.append((ends[-1] if ends else 0) + len(held[-1]) // 4)
                 if ends[-1] >= BLOCK_IDS:
@@ -100,7 +100,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             yield close()
 
     sent = docs.select(key.alias("k"), text_col).mapInArrow(send, "segment int, k long, packed binary")
-    sorted_ = sent.repartition(n, "segment").sortWithinPartitions("segment", "k", "packed")
+    sorted_ = sent.repartitionById(n, "segment").sortWithinPartitions("segment", "k", "packed")
     sorted_.mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
