@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import accumulate
 
 import numpy as np
 import regex
@@ -65,19 +64,22 @@ def needs_library(text: str) -> bool:
     return text.startswith(" ") or _SPACE_AFTER_SPACE.search(text) is not None
 
 
-class IdTable(dict):
-    """Chunk (without the space that it follows) → int32 bytes of its ids."""
+class ChunkTable(dict):
+    """Chunk (without the space that it follows) → what is kept of its tokens,
+    as bytes that can be joined."""
 
     def __init__(self, library: Library) -> None:
         self.library, self.words = library, {}
 
+    def kept(self, tokens: list) -> bytes:
+        raise NotImplementedError
+
     def word(self, pre: str) -> bytes:
         found = self.words.get(pre)
         if found is None:
-            found = array("i", [t.id for t in self.library.tokens(pre)]).tobytes()
-            if len(self.words) >= TABLE_CHUNKS:
-                self.words.clear()
-            self.words[pre] = found
+            found = self.kept(self.library.tokens(pre))
+            if len(self.words) < TABLE_CHUNKS:
+                self.words[pre] = found
         return found
 
     def chunk(self, chunk: str) -> bytes:
@@ -85,82 +87,58 @@ class IdTable(dict):
 
     def __missing__(self, after_space: str) -> bytes:
         found = self.chunk(" " + after_space)
-        if len(self) >= TABLE_CHUNKS:
-            self.clear()
-        self[after_space] = found
+        if len(self) < TABLE_CHUNKS:
+            self[after_space] = found
         return found
 
-    def encode(self, text: str) -> bytes:
-        """int32 bytes of the ids of a whole text."""
-        if not text:
-            return b""
-        if needs_library(text):
-            return array("i", self.library.whole.encode(text, add_special_tokens=False).ids).tobytes()
+    def joined(self, text: str) -> bytes:
+        """Of a whole text that doesn't need the library."""
         first, *rest = text.split(" ")
         return self.chunk(first) + b"".join(map(self.__getitem__, rest))
 
 
-class SpanTable(dict):
-    """Chunk (without the space that it follows) → int32 bytes of its tokens'
-    character starts and of their ends, counted from that space.
+class IdTable(ChunkTable):
+    """int32 ids."""
 
-    Tokens that are part of one character have that character's span each, as
-    in the library.
-    """
+    def kept(self, tokens: list) -> bytes:
+        return array("i", [t.id for t in tokens]).tobytes()
 
-    def __init__(self, library: Library) -> None:
-        self.library, self.words = library, {}
+    def encode(self, text: str) -> bytes:
+        """int32 bytes of the ids of a whole text."""
+        if not text:
+            return b""
+        if needs_library(text):
+            return array("i", self.library.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.joined(text)
 
-    def word(self, pre: str) -> tuple[list[int], list[int]]:
-        found = self.words.get(pre)
-        if found is None:
-            # A token's value has one letter for each byte.
-            ends = list(accumulate(len(t.value) for t in self.library.tokens(pre)))
-            starts = [0, *ends[:-1]]
-            if not pre.isascii():
-                at = list(accumulate((b & 0xC0) != 0x80 for b in pre.encode()))
-                starts, ends = [at[a] - 1 for a in starts], [at[b - 1] for b in ends]
-            found = (starts, ends)
-            if len(self.words) >= TABLE_CHUNKS:
-                self.words.clear()
-            self.words[pre] = found
-        return found
 
-    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        at, a, b = 0, array("i"), array("i")
-        for pre in self.library.pre_tokens(chunk):
-            starts, ends = self.word(pre)
-            a.extend([at + x for x in starts] if at else starts)
-            b.extend([at + x for x in ends] if at else ends)
-            at += len(pre)
-        return a.tobytes(), b.tobytes()
+class LengthTable(ChunkTable):
+    """uint16 lengths in UTF-8 bytes: a token's value has one letter for each byte."""
 
-    def __missing__(self, after_space: str) -> tuple[bytes, bytes]:
-        found = self.chunk(" " + after_space)
-        if len(self) >= TABLE_CHUNKS:
-            self.clear()
-        self[after_space] = found
-        return found
+    def kept(self, tokens: list) -> bytes:
+        return array("H", [len(t.value) for t in tokens]).tobytes()
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Character starts and ends of the tokens of a whole text."""
+        """Character starts and ends of the tokens of a whole text. Tokens that
+        are part of one character have that character's span each, as in the
+        library."""
         if not text:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         if needs_library(text):
             found = np.array(self.library.whole.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
             return found[:, 0], found[:, 1]
-        first, *rest = text.split(" ")
-        parts = [self.chunk(first), *map(self.__getitem__, rest)]
-        lengths = np.fromiter((len(w) + 1 for w in rest), dtype=np.int64, count=len(rest))
-        at = np.concatenate([[0], len(first) + np.cumsum(lengths) - lengths]).astype(np.int64)
-        shift = np.repeat(at, [len(a) // 4 for a, _ in parts])
-        return tuple(np.frombuffer(b"".join(p[k] for p in parts), dtype=np.int32) + shift for k in (0, 1))
+        ends = np.cumsum(np.frombuffer(self.joined(text), dtype=np.uint16), dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        if text.isascii():
+            return starts, ends
+        character = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
+        return character[starts], character[ends - 1] + 1
 
 
-_TABLES: dict[tuple[type, str], IdTable | SpanTable] = {}
+_TABLES: dict[tuple[type, str], ChunkTable] = {}
 
 
-def table(kind: type, path: str) -> IdTable | SpanTable:
+def table(kind: type, path: str) -> ChunkTable:
     """The worker's table of that kind, kept between its tasks."""
     if (kind, path) not in _TABLES:
         _TABLES[kind, path] = kind(Library(path))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexlake.llm.byte_tokens import SpanTable, table
+from lexlake.llm.byte_tokens import LengthTable, table
 from lexlake.llm.common import short_batches, with_fields
 
 SECTIONS = "section long, first_char long, n_chars long, n_tokens long, n_crossing long"
@@ -58,7 +58,7 @@ def section_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "do
     schema = with_fields(docs.select(id_col).schema, SECTIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = table(SpanTable, tokenizer_path)
+        tokens = table(LengthTable, tokenizer_path)
         for batch in batches:
             out, rows = [], []
             for text in batch.column(1).to_pylist():
