@@ -11,6 +11,7 @@ from lexlake.operators import normalize as N
 from lexlake.operators import versions as V
 from lexlake.plans.bindings import DAY0, DUCK, bound, with_ctes
 from lexlake.plans.text_queries import C12_SQL
+from lexlake.plans.text_queries import _parent as _PARENT_SQL
 
 _DIFF = """d AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.node_key, b.node_key) AS node_key, a.text AS o, b.text AS n, a.ordinal AS oo, b.ordinal AS bo, a.pair_id IS NOT NULL AS has_a, b.pair_id IS NOT NULL AS has_b
   FROM v1 a FULL JOIN v2 b ON a.pair_id = b.pair_id AND a.node_key = b.node_key) """
@@ -177,9 +178,19 @@ def v14_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolve_documents(_asked(spark, sf_dir), bound(spark, sf_dir, "docs"))
 
 
+_NORM = r"regexp_replace(regexp_replace(regexp_replace({}, '\s', '', 'g'), '[《》]', '', 'g'), '^中华人民共和国', '')"
 _ASK = "q AS (SELECT document_id AS query_id, CASE document_id % 5 WHEN 0 THEN external_id WHEN 1 THEN title WHEN 2 THEN concat('《', title, '》') WHEN 3 THEN substr(title, 3, 6) ELSE 'no such law' END AS query FROM docs)"
 
 
+V14_SQL = with_ctes("docs") + f""", {_ASK}, k AS (SELECT document_id, external_id, title, {_NORM.format("title")} AS k FROM docs), w AS (SELECT query_id, query, {_NORM.format("query")} AS w FROM q),
+  p1 AS (SELECT k, {_PARENT_SQL} AS u FROM (SELECT DISTINCT k FROM k) a), p2 AS (SELECT top, u AS p, {_PARENT_SQL} AS pp FROM (SELECT k AS top, u, u AS k FROM p1) b),
+  a1 AS (SELECT w.query_id, min(k.document_id) AS d FROM w JOIN k ON k.external_id = w.query GROUP BY 1), a2 AS (SELECT w.query_id, min(k.document_id) AS d FROM w JOIN k ON k.title = w.query GROUP BY 1), a3 AS (SELECT w.query_id, min(k.document_id) AS d FROM w JOIN k ON k.k = w.w GROUP BY 1 HAVING count(*) = 1),
+  h AS (SELECT w.query_id, w.w, k.k, k.document_id, p2.p, p2.pp FROM w JOIN k ON contains(k.k, w.w) JOIN p2 ON p2.top = k.k WHERE w.w <> '' AND w.query_id NOT IN (SELECT query_id FROM a1 UNION SELECT query_id FROM a2 UNION SELECT query_id FROM a3)),
+  t AS (SELECT query_id, min(document_id) AS d FROM h WHERE coalesce(p <> w, true) AND coalesce(pp <> w, true) GROUP BY 1 HAVING count(DISTINCT k) = 1), c AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1)
+  SELECT w.query_id, CASE WHEN a1.d IS NOT NULL THEN 'external_id' WHEN a2.d IS NOT NULL THEN 'title' WHEN a3.d IS NOT NULL THEN 'name' WHEN t.d IS NOT NULL THEN 'substring' WHEN c.n > 0 THEN 'ambiguous' ELSE 'not_found' END AS status, coalesce(a1.d, a2.d, a3.d, t.d) AS document_id, coalesce(c.n, 0) AS candidates
+  FROM w LEFT JOIN a1 USING (query_id) LEFT JOIN a2 USING (query_id) LEFT JOIN a3 USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN c USING (query_id)"""
+
+
 def v15_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.suggest_documents(_asked(spark, sf_dir), bound(spark, sf_dir, "docs"), 5)
 
@@ -223,5 +234,5 @@ QUERIES = {
 }
 ORACLES = {
     "v4_diff_severity": V4_SQL, "v4_diff_rows": V4_ROWS_SQL, "v5_renumbered_equal": V5_SQL, "v3_detect_snapshots": V3_SQL, "v1_upsert": V1_SQL, "v8_change_log": V8_SQL, "v9_timeline": V9_SQL, "v10_version_at": V10_SQL,
-    "v11_diff_between": V11_SQL, "v12_list_documents": V12_SQL, "v13_statutes": V13_SQL, "v15_suggest": V15_SQL, "v16_change_texts": V16_SQL, "n9_hash_documents": N9_SQL, "v2_filter_refs": V2_SQL,
+    "v11_diff_between": V11_SQL, "v12_list_documents": V12_SQL, "v13_statutes": V13_SQL, "v14_resolve": V14_SQL, "v15_suggest": V15_SQL, "v16_change_texts": V16_SQL, "n9_hash_documents": N9_SQL, "v2_filter_refs": V2_SQL,
 }
