@@ -25,13 +25,16 @@ from pyspark.sql import functions as F
 from lexlake.llm.common import NULL_KEY, checkpointed, order_key, partitions, range_bounds, range_of, short_batches, stored
 
 #: Shingles hashed at a time, for very long texts.
-_SLICE = 1 << 15
+_SLICE = 1 << 12
 #: Rows and columns compared at a time.
 _ROWS, _COLUMNS = 256, 8192
 #: Range tiles at most; each fingerprint is sent to so many partners at most.
 _MOST_TILES = 48
 _LEAST_TILE = 2048
-_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+#: Odd constants of the further lanes.
+_SPREAD = np.random.default_rng(64).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Lanes that are compared first.
+_COARSE = 2
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -68,7 +71,8 @@ def simhash(text: str | None, size: int, lanes: int = 1, count: bool = False) ->
             x = (x ^ (x >> np.uint64(29))) * _SPREAD[k]
             mixed[:, k] = x ^ (x >> np.uint64(32))
         bits = np.unpackbits(mixed.view(np.uint8).reshape(len(h), 8 * lanes), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
+        # Bytes hold the sums of 255 rows, which is the fast way to add them up.
+        total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         n += len(h)
         if count:
             seen.append(np.unique(h))
@@ -114,27 +118,28 @@ class Forest:
         self.parent[rows] = roots[0]
 
 
-def _distances(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers within the radius; a, b: (rows, lanes) of uint64."""
+def _distances(a: np.ndarray, b: np.ndarray, radius: int, coarse: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers within the radius whose first lanes are within
+    ``coarse``; a, b: (rows, lanes) of uint64."""
     first = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
-    if a.shape[1] == 1:
-        return np.nonzero(first <= radius)
-    if a.shape[1] > 1:
-        first = first + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
-    row, column = np.nonzero(first <= radius)
-    rest = np.bitwise_count(a[row, 2:] ^ b[column, 2:]).sum(axis=1, dtype=np.int64)
-    near = first[row, column] + rest <= radius
-    return row[near], column[near]
+    for k in range(1, min(_COARSE, a.shape[1])):
+        first = first + np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    row, column = np.nonzero(first <= min(coarse, radius))
+    if a.shape[1] > _COARSE:
+        rest = np.bitwise_count(a[row, _COARSE:] ^ b[column, _COARSE:]).sum(axis=1, dtype=np.int64)
+        near = first[row, column] + rest <= radius
+        row, column = row[near], column[near]
+    return row, column
 
 
-def compare(nodes: np.ndarray, fps: np.ndarray, home: int, radius: int, sizes: np.ndarray | None = None, likeness: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def compare(nodes: np.ndarray, fps: np.ndarray, home: int, radius: int, sizes: np.ndarray | None = None, likeness: float = 0.0, coarse: int = 64 * _COARSE) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, other node) of a spanning forest over the rows: the first
     ``home`` rows are compared with each other and with all the later ones."""
     forest = Forest(len(nodes))
     for lo in range(0, home, _ROWS):
         hi = min(lo + _ROWS, home)
         for left in range(lo, len(nodes), _COLUMNS):
-            row, column = _distances(fps[lo:hi], fps[left : left + _COLUMNS], radius)
+            row, column = _distances(fps[lo:hi], fps[left : left + _COLUMNS], radius, coarse)
             row, column = row + lo, column + left
             ok = column > row
             if sizes is not None:
@@ -158,7 +163,7 @@ _LINKS = "u long, v long"
 _SENT = "tile long, home int, node long, size long, fp binary"
 
 
-def _compared(sent: DataFrame, radius: int, likeness: float, n: int) -> DataFrame:
+def _compared(sent: DataFrame, radius: int, likeness: float, coarse: int, n: int) -> DataFrame:
     """Streams the sorted rows of each tile into one comparison after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +171,7 @@ def _compared(sent: DataFrame, radius: int, likeness: float, n: int) -> DataFram
 
         def links(parts: list[tuple]) -> pa.RecordBatch:
             home, node, size, fp = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            u, v = compare(node, fp, int((home == 0).sum()), radius, size if likeness else None, likeness)
+            u, v = compare(node, fp, int((home == 0).sum()), radius, size if likeness else None, likeness, coarse)
             return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
         current = None
@@ -243,7 +248,7 @@ def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -
                 pop = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
                 size = np.minimum(batch.column(1).to_numpy(), 1 << 30)
                 # size, population count, then bits of the fingerprint: below 2**53
-                key = (size << 22) | (np.minimum(pop, 1023) << 12) | (fp[:, 0] >> np.uint64(52)).astype(np.int64)
+                key = (size << 22) | (np.minimum(pop >> 1, 1023) << 12) | (fp[:, 0] >> np.uint64(52)).astype(np.int64)
                 yield pa.record_batch([*batch.columns, pa.array(pop), pa.array(key)], names=["node", "size", "fp", "pop", "k"])
 
     rows = stored(nodes.mapInArrow(keyed, "node long, size long, fp binary, pop long, k long"))
@@ -275,8 +280,9 @@ def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -
     return sent.select("to.tile", "to.home", "node", "size", "fp")
 
 
-def links(nodes: DataFrame, radius: int, likeness: float = 0.0) -> DataFrame:
-    """(u, v) of spanning forests of all links within the radius.
+def links(nodes: DataFrame, radius: int, likeness: float = 0.0, coarse: int = 64 * _COARSE) -> DataFrame:
+    """(u, v) of spanning forests of all links within the radius, and within
+    ``coarse`` in the first two lanes (the default rules nothing out).
 
     nodes: node, size, fp, each (size, fp) once. ``likeness``: least ratio of
     two sizes, 0 for none (all sizes are 0 then).
@@ -288,7 +294,7 @@ def links(nodes: DataFrame, radius: int, likeness: float = 0.0) -> DataFrame:
         sent = _signature_tiles(nodes, n_nodes, radius)
     else:
         sent = _range_tiles(nodes, n_nodes, radius, likeness)
-    return _compared(sent, radius, likeness, partitions(spark))
+    return _compared(sent, radius, likeness, coarse, partitions(spark))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -314,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = after
 
 
-def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1, likeness: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1, likeness: float = 0.0, coarse: int = 64 * _COARSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: key, text_hash, fp, component (key of the smallest
     id reachable over links of at most ``radius`` bits, itself included).
 
@@ -327,7 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1,
     rows = stored(fingerprints(docs, shingle, lanes, likeness > 0, id_col, text_col))
     same = ["fp", "n_shingles"]
     nodes = stored(rows.groupBy(*same).agg(F.min("key").alias("node")).select("node", F.col("n_shingles").alias("size"), "fp"))
-    found = components(links(nodes, radius, likeness))
+    found = components(links(nodes, radius, likeness, coarse))
     named = nodes.join(found, "node", "left").select(F.col("size").alias("n_shingles"), "fp", F.coalesce("component", "node").alias("component"))
     return rows.join(named, same).select("key", "text_hash", "fp", "component")
 
