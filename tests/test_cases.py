@@ -173,3 +173,12 @@ def test_stream_keeps_versions_and_reruns(spark, tmp_path):
     batch = spark.createDataFrame([(1, at(4), at(1), 0, "a#1", "h", "one")], ingest.FETCHES)
     ingest.apply_batch(batch, 3, out, None)
     assert spark.read.parquet(f"{out}/snapshots").count() == 3
+
+
+def test_landed_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text("<p>x</p>")
+    (tmp_path / "in" / "CFR-2025-title26-vol3.xml").write_text("<R/>")
+    (tmp_path / "in" / "gone.html").write_text("")
+    rows = landed.read_raw(spark, str(tmp_path / "in"), "s", "us_govinfo_cfr").collect()
+    assert {(r["external_id"], r["content_type"]) for r in rows} == {("a", "text/html"), ("CFR-2025-title26-vol3", "application/xml")}
