@@ -190,11 +190,16 @@ def end_of_day(day: Column) -> Column:
 
 def snapshot_at(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """V10. For (request_id, document_id, day): the snapshot in force at the end
-    of that day, null where the document had none yet."""
-    versions = snapshots.select("document_id", F.struct(dated_at().alias("dated_at"), "snapshot_id").alias("v"))
-    hit = requests.join(versions, "document_id").where(F.col("v.dated_at") <= end_of_day(F.col("day")))
-    best = hit.groupBy("request_id").agg(F.max("v").alias("v"))
-    return requests.join(best, "request_id", "left").select("request_id", "document_id", "day", F.col("v.snapshot_id").alias("snapshot_id"), F.col("v.dated_at").alias("dated_at"))
+    of that day, null where the document had none yet.
+
+    Versions and requests of a document are sorted together by time and each
+    request takes the last version before it: linear, where a range join would
+    pair every request with every earlier version."""
+    versions = snapshots.select("document_id", dated_at().alias("at"), F.lit(0).alias("kind"), F.struct("snapshot_id", dated_at().alias("dated_at")).alias("v"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("timestamp").alias("day"))
+    asked = requests.select("document_id", end_of_day(F.col("day")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(versions.schema["v"].dataType).alias("v"), "request_id", "day")
+    w = Window.partitionBy("document_id").orderBy("at", "kind", "v.snapshot_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = versions.union(asked).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("kind = 1")
+    return rows.select("request_id", "document_id", "day", "v.snapshot_id", "v.dated_at")
 
 
 def version_at(requests: DataFrame, snapshots: DataFrame, provisions: DataFrame) -> DataFrame:
