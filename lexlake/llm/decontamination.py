@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     one = theirs.groupBy("h", "item", "slots").agg(F.min("pos").alias("pos"), F.max("n_windows").alias("n_windows"))
     # A document's equal windows count once before the join, so no group multiplies.
-    pairs = ours.dropDuplicates(["doc", "h", "found"]).join(one, "h").where(F.size("slots") == F.size("found"))
+    pairs = stored(ours.dropDuplicates(["doc", "h", "found"]).join(one, "h").where(F.size("slots") == F.size("found")))
     # Each benchmark value of an item must stand for one value in the document: the commonest is kept.
     mapped = pairs.select("doc", "item", "pos", "n_windows", F.explode_outer(F.arrays_zip("slots", "found")).alias("m"))
     mapped = mapped.select("doc", "item", "pos", "n_windows", F.col("m.slots").alias("was"), F.col("m.found").alias("now"))
