@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import NULL_KEY, checkpointed, order_key, partitions, range_bounds, range_of, short_batches, stored
+from lexlake.llm.common import NULL_KEY, checkpointed, if_small, order_key, partitions, range_bounds, range_of, short_batches, stored
 
 #: Shingles hashed at a time, for very long texts.
 _SLICE = 1 << 12
@@ -35,6 +35,8 @@ _LEAST_TILE = 2048
 _SPREAD = np.random.default_rng(64).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Lanes that are compared first.
 _COARSE = 2
+#: Texts of a candidate group that are verified together; blocks of a group at most.
+_BLOCK, _MOST_BLOCKS = 256, 48
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -57,13 +59,23 @@ def shingle_hashes(text: str | None, size: int, seed: int = 42) -> Iterator[np.n
         yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[lo:hi], ends[lo:hi])), dtype=np.uint64, count=hi - lo)
 
 
-def simhash(text: str | None, size: int, lanes: int = 1, count: bool = False) -> tuple[np.ndarray, int]:
-    """``lanes`` words of 64 bits, and the number of distinct shingles if asked
-    to ``count`` them (else 0). A bit is 1 if set
-    in over half the hashes; lane 0 is made of the hashes themselves, further
-    lanes of mixed ones. No word: zeros."""
-    total, n, seen = np.zeros(64 * lanes, dtype=np.int64), 0, []
-    for h in shingle_hashes(text, size):
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of ``shingle_hashes``, in order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, size)]))
+
+
+def simhash(text: str | None, size: int, lanes: int = 1, count: bool = False) -> tuple[np.ndarray, int, int]:
+    """``lanes`` words of 64 bits; if asked to ``count``, of the distinct
+    shingles only, with their number and a digest of their set (else 0, 0). A
+    bit is 1 if set in over half the hashes; lane 0 is made of the hashes
+    themselves, further lanes of mixed ones. No word: zeros."""
+    total, n, distinct, digest = np.zeros(64 * lanes, dtype=np.int64), 0, 0, 0
+    parts = shingle_hashes(text, size)
+    if count:
+        whole = shingle_set(text, size)
+        distinct, digest = len(whole), int(np.uint64(xxhash.xxh64_intdigest(whole.tobytes())).view(np.int64))
+        parts = (whole[lo : lo + _SLICE] for lo in range(0, distinct, _SLICE))
+    for h in parts:
         mixed = np.empty((len(h), lanes), dtype="<u8")
         mixed[:, 0] = h
         for k in range(1, lanes):
@@ -74,27 +86,24 @@ def simhash(text: str | None, size: int, lanes: int = 1, count: bool = False) ->
         # Bytes hold the sums of 255 rows, which is the fast way to add them up.
         total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         n += len(h)
-        if count:
-            seen.append(np.unique(h))
-    distinct = len(np.unique(np.concatenate(seen))) if len(seen) > 1 else len(seen[0]) if seen else 0
-    return np.packbits(total * 2 > n, bitorder="little").view("<u8"), distinct
+    return np.packbits(total * 2 > n, bitorder="little").view("<u8"), distinct, digest
 
 
 def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, count: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (id; null as the least long), text_hash, fp (bytes) and
-    n_shingles (distinct ones if asked to ``count``, else 0) of each row."""
+    """key (id; null as the least long), text_hash, fp (bytes), and n_shingles
+    (distinct ones) and set_hash if asked to ``count`` (else 0) of each row."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [simhash(t, shingle, lanes, count) for t in batch.column(2).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-                names=["key", "text_hash", "fp", "n_shingles"],
+                [batch.column(0), batch.column(1), pa.array([f.tobytes() for f, _, _ in found], pa.binary()), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))],
+                names=["key", "text_hash", "fp", "n_shingles", "set_hash"],
             )
 
     rows = docs.select(order_key(id_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), text_col)
-    return rows.mapInArrow(run, "key long, text_hash long, fp binary, n_shingles long")
+    return rows.mapInArrow(run, "key long, text_hash long, fp binary, n_shingles long, set_hash long")
 
 
 class Forest:
@@ -320,21 +329,107 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = after
 
 
+def similar(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
+    """Two sets (ordered, distinct) have at least that Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return not len(b)
+    at = np.searchsorted(b, a)
+    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return same / (len(a) + len(b) - same) >= likeness
+
+
+def verify(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], first: np.ndarray, radius: int, likeness: float, coarse: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, other node) of a spanning forest over the rows: all pairs
+    within the radius whose sets have the likeness. If only some rows are
+    ``first``, pairs of one side are left to another comparison."""
+    label, links, one = np.arange(len(nodes)), [], bool(first.all())
+    for lo in range(0, len(nodes), _ROWS):
+        row, column = _distances(fps[lo : lo + _ROWS], fps, radius, coarse)
+        row = row + lo
+        ok = (column > row) & (one | (first[row] != first[column]))
+        for i, others in zip(*_runs(row[ok], column[ok])):
+            for j in others.tolist():
+                # Rows that are linked already need no comparison.
+                if label[i] != label[j] and similar(sets[i], sets[j], likeness):
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
+    u, v = np.array(links, dtype=np.int64).reshape(-1, 2).T
+    return nodes[u], nodes[v]
+
+
+def verified(texts: DataFrame, found: DataFrame, shingle: int, radius: int, likeness: float, coarse: int) -> DataFrame:
+    """(u, v) of spanning forests of the links whose shingle sets have the likeness.
+
+    texts: node, fp and text of the candidates; found: node and component, the
+    groups of candidates. A large group is cut into blocks, and each pair of
+    blocks is compared, so that no task holds the group. Every pair within the
+    radius is verified before any is linked, or is linked by others already.
+    """
+    spark = texts.sparkSession
+    short_batches(spark)
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK)
+    blocks = stored(sizes.select("component", F.least(F.ceil(F.col("n") / _BLOCK), F.lit(_MOST_BLOCKS)).cast("int").alias("blocks")))
+    placed = texts.join(if_small(stored(found.join(if_small(blocks), "component", "left"))), "node")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle).tobytes() for t in batch.column(4).to_pylist()]
+            yield pa.record_batch([*batch.columns[:4], pa.array(sets, pa.binary())], names=["component", "blocks", "node", "fp", "hashes"])
+
+    rows = placed.select("component", F.coalesce("blocks", F.lit(1)).alias("blocks"), "node", "fp", "text")
+    rows = rows.mapInArrow(hashed, "component long, blocks int, node long, fp binary, hashes binary")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = rows.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), "node", "fp", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+
+        def links() -> pa.RecordBatch:
+            first, node, fp, raw = zip(*held)
+            fps = np.frombuffer(b"".join(fp), dtype="<u8").reshape(len(held), -1)
+            u, v = verify(np.array(node), fps, [np.frombuffer(r, dtype=np.uint64) for r in raw], np.array(first), radius, likeness, coarse)
+            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for c, a, b, *row in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and (c, a, b) != current:
+                    yield links()
+                    held.clear()
+                current = c, a, b
+                held.append(row)
+        if held:
+            yield links()
+
+    task = ["component", "a", "b"]
+    return sent.repartition(partitions(spark), *task).sortWithinPartitions(*task, "node").mapInArrow(run, _LINKS)
+
+
 def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1, likeness: float = 0.0, coarse: int = 64 * _COARSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: key, text_hash, fp, component (key of the smallest
     id reachable over links of at most ``radius`` bits, itself included).
 
-    ``likeness``: least similarity of two texts' shingle sets; their sizes rule
-    out pairs that can't reach it. Null text is empty text; texts without a word
+    ``likeness``: least Jaccard similarity of two texts' shingle sets. Links
+    within the radius are then only candidates, and each is verified by the sets
+    themselves. Null text is empty text; texts without a word
     have fingerprint zero and link like any other. Rows of one id are one node. A null id counts as the smallest. Equal fingerprints
     are one node, so repeated rows and groups of copies cost one comparison. An
     empty table gives no rows. Other columns are ignored.
     """
     rows = stored(fingerprints(docs, shingle, lanes, likeness > 0, id_col, text_col))
-    same = ["fp", "n_shingles"]
-    nodes = stored(rows.groupBy(*same).agg(F.min("key").alias("node")).select("node", F.col("n_shingles").alias("size"), "fp"))
-    found = components(links(nodes, radius, likeness, coarse))
-    named = nodes.join(found, "node", "left").select(F.col("size").alias("n_shingles"), "fp", F.coalesce("component", "node").alias("component"))
+    same = ["fp", "n_shingles", "set_hash"]
+    least = F.min(F.struct("key", "text_hash"))
+    nodes = stored(rows.groupBy(*same).agg(least.alias("l")).select(F.col("l.key").alias("node"), "l.text_hash", F.col("n_shingles").alias("size"), "fp", "set_hash"))
+    found = components(links(nodes.select("node", "size", "fp"), radius, likeness, coarse))
+    if likeness:
+        found = stored(found)
+        wanted = stored(nodes.join(if_small(found.select("node")), "node", "left_semi").select("node", F.col("node").alias("key"), "text_hash", "fp"))
+        texts = docs.select(order_key(id_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+        texts = texts.join(if_small(wanted), ["key", "text_hash"]).dropDuplicates(["node", "text_hash"])
+        found = components(verified(texts, found, shingle, radius, likeness, coarse))
+    named = nodes.join(found, "node", "left").select(F.col("size").alias("n_shingles"), "fp", "set_hash", F.coalesce("component", "node").alias("component"))
     return rows.join(named, same).select("key", "text_hash", "fp", "component")
 
 

@@ -370,3 +370,36 @@ def test_pipeline_stages(spark, table, docs):
 def _shingles(text):
     words = (text or "").encode().lower().split()
     return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_near_duplicates_are_those_of_exact_similarity(spark, tmp_path):
+    """Against brute force at 0.8: pairs around it, short texts, repeats, a large group."""
+    rng, n = random.Random(8), 0
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    texts = []
+    for size in (9, 12, 40, 200, 900):
+        for share in (0.60, 0.72, 0.76, 0.78, 0.80, 0.82, 0.86, 0.95):
+            for _ in range(3):
+                w = words(size)
+                texts += [" ".join(w), " ".join(w[: max(6, round(size * share))]), " ".join(w + words(round(size * (1 / share - 1))))]
+    for _ in range(5):
+        w = words(60)
+        texts += [" ".join(w + w[:30] * 20 + w[30:34]), " ".join(w)]  # repeats: the sets are nearly equal
+    base = words(300)  # one group of more than a block: all alike by pairs, or by a chain
+    texts += [" ".join(base[: 300 - i % 90] + words(i % 7)) for i in range(600)]
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if min(len(a), len(sets[j])) >= 0.8 * max(len(a), len(sets[j])) and len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i in range(len(texts)) if find(i) == i}
