@@ -52,10 +52,11 @@ class Library:
     def pre_tokens(self, chunk: str) -> list[str]:
         """Of a chunk that begins with a space (or begins the text)."""
         bare = chunk[1:]
-        if bare.isalpha():
-            return [chunk]
-        if bare[-1:] in _PUNCTUATION and bare[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
+        if chunk[:1] == " ":
+            if bare.isalpha():
+                return [chunk]
+            if bare[-1:] in _PUNCTUATION and bare[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
         return self._split(chunk)
 
 

@@ -403,3 +403,13 @@ def test_pipeline_near_duplicates_are_those_of_exact_similarity(spark, tmp_path)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
     assert kept == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_op7_and_op8_of_a_first_chunk_without_a_space():
+    """A text's first chunk has no space before it: the library splits 's, 't and the like there."""
+    lib = Tokenizer.from_file(queries.BYTE_BPE)
+    ids, lengths = (kind(byte_tokens.Library(queries.BYTE_BPE)) for kind in (byte_tokens.IdTable, byte_tokens.LengthTable))
+    for text in ("'student here", "'twas, so", "'llama", "'real", "'déjà vu", "student", "1st", "-dash", "'", "'s", " 'student"):
+        want = lib.encode(text, add_special_tokens=False)
+        assert list(memoryview(ids.encode(text)).cast("i")) == want.ids, text
+        assert list(zip(*(x.tolist() for x in lengths.spans(text)))) == want.offsets, text
