@@ -40,10 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; those with a null id stay."""
+    """Documents without a benchmark item, told apart by id and text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = stored(decontamination.contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(if_small(found), "doc_id", "left_anti").select(*docs.columns)
+    found = stored(decontamination.of_texts(docs, benchmark).select(order_key("doc_id").alias("key"), "text_hash").distinct())
+    named = docs.withColumns({"key": order_key("doc_id"), "text_hash": F.xxhash64("text")})
+    return named.join(if_small(found), ["key", "text_hash"], "left_anti").select(*docs.columns)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

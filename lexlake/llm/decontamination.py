@@ -3,8 +3,10 @@
 Numbers, names and units become typed placeholders; runs of one placeholder
 count once. Windows of the resulting templates are hashed, and a document's
 windows are joined by hash with the benchmark's. The slots of matching windows
-must be consistent: within a document and item, each benchmark value stands for
-one document value. So a question with other numbers or names is still found.
+must be consistent: within an occurrence (the windows of a document and an item
+at one offset), each benchmark value stands for one document value. So a question
+with other numbers or names is still found, and so are several of its variants in
+one document.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ _UNITS = frozenset(UNITS)
 #: Hashes of the placeholders, by kind.
 _PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("word", "number", "name", "unit", "stop")], dtype=np.uint64)
 _CACHE_WORDS = 400_000
-_WINDOWS = "item long, pos int, n_windows int, h long, slots array<string>"
+#: Plain words that a window has at least. Items of as many tokens are looked for.
+LEAST_WORDS = 4
+_WINDOWS = "item long, text_hash long, pos int, size int, n_windows int, h long, slots array<string>"
 
 
 class Vocabulary(dict):
@@ -108,10 +112,9 @@ class Canonicaliser:
         return out
 
 
-def window_hashes(each: np.ndarray) -> np.ndarray:
-    """One hash for each window of WINDOW template tokens; one for a shorter text of at least 4."""
-    size = min(WINDOW, len(each))
-    if size < 4:
+def window_hashes(each: np.ndarray, size: int) -> np.ndarray:
+    """One hash for each window of ``size`` template tokens."""
+    if not LEAST_WORDS <= size <= len(each):
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(len(each) - size + 1, dtype=np.uint64)
     for k in range(size):
@@ -120,25 +123,33 @@ def window_hashes(each: np.ndarray) -> np.ndarray:
     return total * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _windows(keep: bytes | None):
-    """Windows of each row (item, text), kept only if their hash is in the filter."""
-    schema = pa.schema([("item", pa.int64()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
+def _windows(keep: bytes | None, sizes: list[int]):
+    """Windows of each row (item, text_hash, text) that have enough plain words;
+    ``n_windows`` counts them. Benchmark texts (``keep`` is None) have windows of
+    WINDOW tokens, shorter ones a window of their own length. Documents have
+    windows of all ``sizes``, if their hash is in the filter."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    schema = pa.schema(list(zip(("item", "text_hash", "pos", "size", "n_windows", "h", "slots"), kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Canonicaliser()
         bits = None if keep is None else np.frombuffer(keep, dtype=np.uint8)
         for batch in batches:
             rows = []
-            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for item, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
                 each = reader.read(text)
-                found = window_hashes(each)
-                at = np.arange(len(found))
-                if bits is not None:
-                    slot = found % np.uint64(FILTER_BITS)
-                    at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                for i in at.tolist():
-                    rows.append((item, i, len(found), int(found[i].view(np.int64)), reader.slots(i, min(WINDOW, len(each)))))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+                for size in sizes if bits is not None else [min(WINDOW, len(each))]:
+                    found = window_hashes(each, size)
+                    at = np.arange(len(found))
+                    if bits is not None:
+                        slot = found % np.uint64(FILTER_BITS)
+                        at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        plain = np.concatenate([[0], np.cumsum(reader.kind == _WORD)])
+                        at = at[plain[at + size] - plain[at] >= LEAST_WORDS]
+                    for i in at.tolist():
+                        rows.append((item, text_hash, i, size, len(at), int(found[i].view(np.int64)), reader.slots(i, size)))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
 
     return run
 
@@ -148,38 +159,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (of the item found with consistent slots), n_windows (the item's), share,
     exact (all slot values equal the item's).
 
+    ``n_windows`` counts the item's windows that can be found: those of at least
+    four plain words, by their place in the item. A place is found if a window of
+    any occurrence has consistent slots.
+
     Whole texts are read. Null texts and texts under four tokens match nothing.
-    Repeated rows and rows with equal ids count as one document. Rows with a
-    null id or item are left out, as no row could name them. A number, name or
-    unit placeholder never makes a window alone: windows need four plain words.
-    Either table may be empty: no rows. Other columns are ignored.
+    Items of four to seven tokens have one window, of their own length. Repeated
+    rows count as one document; different texts of one id are documents of their
+    own, as are those of a null id. Of several texts of one item the one with the
+    largest share counts; rows with a null item are left out. A number, name or
+    unit placeholder never makes a window alone. Either table may be empty: no
+    rows. Other columns are ignored.
     """
+    return of_texts(docs, benchmark, id_col, text_col, item_col, item_text_col).drop("text_hash")
+
+
+def of_texts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``contaminated`` with ``text_hash`` (XXH64), which tells texts of one id apart."""
     spark = docs.sparkSession
     short_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    theirs = stored(items.mapInArrow(_windows(None), _WINDOWS).where(F.size("slots") <= WINDOW - 4))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.xxhash64(item_text_col).alias("text_hash"), F.col(item_text_col).alias("text"))
+    theirs = stored(items.where("item is not null and text is not null").mapInArrow(_windows(None, []), _WINDOWS))
+    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most WINDOW
     slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
     # A bit set of fixed size: the words of 32 bits that hold a window, at most FILTER_BITS / 32 rows.
     words = theirs.select(F.floor(slot / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(h, {FILTER_BITS}), 32) as int))").alias("b"))
     held = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(FILTER_BITS // 32, dtype="<u4")
     bits[held["w"].to_numpy(dtype=np.int64)] = held["b"].to_numpy(dtype=np.int64).astype("<u4")
-    rows = docs.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    ours = rows.mapInArrow(_windows(bits.tobytes()), _WINDOWS).select(F.col("item").alias("doc"), "h", F.col("slots").alias("found"))
-
-    one = theirs.groupBy("h", "item", "slots").agg(F.min("pos").alias("pos"), F.max("n_windows").alias("n_windows"))
-    # A document's equal windows count once before the join, so no group multiplies.
-    pairs = stored(ours.dropDuplicates(["doc", "h", "found"]).join(one, "h").where(F.size("slots") == F.size("found")))
-    # Each benchmark value of an item must stand for one value in the document: the commonest is kept.
-    mapped = pairs.select("doc", "item", "pos", "n_windows", F.explode_outer(F.arrays_zip("slots", "found")).alias("m"))
-    mapped = mapped.select("doc", "item", "pos", "n_windows", F.col("m.slots").alias("was"), F.col("m.found").alias("now"))
-    votes = mapped.groupBy("doc", "item", "was", "now").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("doc", "item", "was").orderBy(F.desc("n"), "now")
-    chosen = votes.withColumn("r", F.row_number().over(best)).where("r = 1 and was is not null").select("doc", "item", "was", F.col("now").alias("stands"))
-    checked = mapped.join(chosen, ["doc", "item", "was"], "left")
-    ok = F.coalesce(F.col("stands") == F.col("now"), F.col("was").isNull())
-    windows = checked.groupBy("doc", "item", "pos").agg(F.max("n_windows").alias("n_windows"), F.min(ok).alias("ok"), F.min(F.coalesce(F.col("was") == F.col("now"), F.lit(True))).alias("same"))
-    found = windows.where("ok").groupBy("doc", "item").agg(F.count("*").alias("windows"), F.max("n_windows").cast("long").alias("n_windows"), F.min("same").alias("exact"))
+    rows = docs.select(F.col(id_col).cast("long").alias("item"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text is not null")
+    ours = rows.mapInArrow(_windows(bits.tobytes(), sizes), _WINDOWS)
+    ours = ours.select(F.col("item").alias("doc"), "text_hash", F.col("pos").alias("at"), "size", "h", F.col("slots").alias("found")).distinct()
+
+    one = theirs.select("item", F.col("text_hash").alias("variant"), "pos", "size", "n_windows", "h", "slots").distinct()
+    pairs = ours.join(one, ["h", "size"]).where(F.size("slots") == F.size("found")).withColumn("offset", F.col("at") - F.col("pos"))
+    # Within an occurrence each benchmark value must stand for one document value: the commonest is kept.
+    text = ["doc", "text_hash", "item", "variant"]
+    once = [*text, "offset"]
+    mapped = pairs.select(*once, "pos", "n_windows", F.explode_outer(F.arrays_zip("slots", "found")).alias("m"))
+    mapped = mapped.select(*once, "pos", "n_windows", F.col("m.slots").alias("was"), F.col("m.found").alias("now"))
+    mapped = mapped.withColumn("n", F.count("*").over(Window.partitionBy(*once, "was", "now")))
+    best = Window.partitionBy(*once, "was").orderBy(F.desc("n"), "now")
+    checked = mapped.withColumn("stands", F.first("now").over(best))
+    ok = F.col("was").isNull() | (F.col("stands") == F.col("now"))
+    same = F.coalesce(F.col("was") == F.col("now"), F.lit(True))
+    windows = checked.groupBy(*once, "pos").agg(F.max("n_windows").alias("n_windows"), F.min(ok).alias("ok"), F.min(same).alias("same"))
+    places = windows.where("ok").groupBy(*text, "pos").agg(F.max("n_windows").alias("n_windows"), F.max("same").alias("same"))
+    found = places.groupBy(*text).agg(F.count("*").alias("windows"), F.max("n_windows").cast("long").alias("n_windows"), F.min("same").alias("exact"))
     found = found.withColumn("share", F.col("windows") / F.col("n_windows"))
     found = found.where((F.col("share") >= LEAST_SHARE) | (F.col("windows") >= LEAST_WINDOWS))
-    return found.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "windows", "n_windows", "share", "exact")
+    most = F.max(F.struct("share", "exact", "windows", "n_windows")).alias("m")
+    found = found.groupBy("doc", "text_hash", "item").agg(most)
+    return found.select(F.col("doc").alias(id_col), "text_hash", F.col("item").alias("item_id"), "m.windows", "m.n_windows", "m.share", "m.exact")

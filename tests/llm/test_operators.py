@@ -413,3 +413,36 @@ def test_op7_and_op8_of_a_first_chunk_without_a_space():
         want = lib.encode(text, add_special_tokens=False)
         assert list(memoryview(ids.encode(text)).cast("i")) == want.ids, text
         assert list(zip(*(x.tolist() for x in lengths.spans(text)))) == want.offsets, text
+
+
+def test_op4_finds_several_variants_repeats_and_short_items(spark):
+    farmer = "A farmer sold 48 kg of apples to Maria on Monday and then sold half as many pears to Maria for 12 euros each."
+    other = farmer.replace("48", "96").replace("Maria", "Jonas").replace("12", "7")
+    third = farmer.replace("48", "31").replace("Maria", "Petra").replace("12", "5")
+    sentence = "A box holds {} red apples and the shop sells {} of them every day."
+    twice = " ".join(sentence.format(a, b) for a, b in ((3, 9), (4, 8)))
+    thrice = " ".join(sentence.format(a, b) for a, b in ((3, 9), (4, 8), (5, 7)))
+    dense = "Anna 1 has 2 old 3 cats 4 and 5 dogs 6 but 7 no 8 birds 9 while the other children keep rabbits"
+    short = "why do swans sing"
+    items = [(1, farmer), (2, twice), (3, thrice), (4, dense), (5, short), (6, "Nobody asked this")]
+    rows = [
+        (1, farmer + " " + other), (2, other + " And. " + third), (3, "Before it. " + twice), (4, thrice), (5, dense),
+        (6, "I asked my brother yesterday why do swans sing and he did not know it"),
+        (7, "clean words of no benchmark at all, and more of them"), (7, farmer), (None, farmer), (8, other.replace("Jonas for", "Peter for")),
+    ]
+    found = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+    for d, i in ((1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 1), (None, 1)):
+        assert (d, i) in found and found[d, i]["share"] == 1, (d, i)
+    assert found[1, 1]["exact"] and not found[2, 1]["exact"] and found[4, 3]["exact"]
+    assert (8, 1) not in found or found[8, 1]["share"] < 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i for _, i in found} <= {1, 2, 3, 4, 5} and docs.count() == 10
+
+
+def test_pipeline_drops_contaminated_rows_not_ids(spark, tmp_path):
+    item = "A farmer sold 48 kg of apples to Maria on Monday and then sold half as many pears to Maria for 12 euros each."
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "clean words of no benchmark"), (1, item), (None, item), (None, "clean as well"), (2, None)]
+    left = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert bag(left) == bag([rows[0], rows[3], rows[4]])
