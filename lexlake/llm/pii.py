@@ -5,7 +5,8 @@ distinct (kind, canonical form) of the corpus gets a surrogate from a keyed
 digest. Two entities that would share a surrogate, or a surrogate that is
 itself an entity of the corpus, are drawn again until all differ; so equal
 entities keep one name everywhere and different ones stay different. Mentions
-are laid out in their own format. Built-in expressions only.
+are laid out in their own format. Card numbers and IBANs count only with valid
+check digits, which their surrogates have as well. Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -20,13 +21,27 @@ from lexlake.llm.common import stored
 #: Honorifics, with the gender that they tell.
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Señora", "Mr|Herr|Monsieur|Sr|Señor"
 
+#: Length → countries of the IBAN registry.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(size: int, countries: str) -> str:
+    fours, rest = divmod(size - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind → Java pattern of a mention. The first that matches at a place wins.
 PATTERNS = {
     "secret": r"""(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}["']?[A-Za-z0-9+/_-]{8,}+)""",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{'|'.join(_iban(*x) for x in IBAN_COUNTRIES.items())})(?![A-Za-z0-9])",
     "card": r"(?<![\d.+-])(?:[2-6]\d{12,18}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -36,8 +51,10 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
+#: What is looked for in a mention that turns out to be no IBAN.
+_BUT_IBAN = "|".join(v for k, v in PATTERNS.items() if k != "iban")
 #: Texts without this hold no entity; it is cheaper than ANY.
-_GUARD = rf"[0-9@]|[=:] {{0,2}}[\"']?[A-Za-z+/_-]{{8}}|(?:{FEMALE}|{MALE})\.? \p{{Lu}}"
+_GUARD = rf"[0-9@]|AKIA|ASIA|[=:] {{0,2}}[\"']?[A-Za-z+/_-]{{8}}|(?:{FEMALE}|{MALE})\.? \p{{Lu}}"
 
 #: Draws before a surrogate gets a suffix of the digest, when a format is used up.
 DRAWS = 8
@@ -120,6 +137,22 @@ def _luhn(body: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
+def _mod97(iban: Column) -> Column:
+    """The ISO 7064 remainder of an IBAN without spaces; 1 if it is valid."""
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+
+
+def _checks(kind: Column, canon: Column) -> Column:
+    """The check digits of a card number or an IBAN are right; true for other kinds."""
+    luhn = _luhn(F.substring(canon, F.lit(1), F.length(canon) - 1)) == F.right(canon, F.lit(1))
+    return F.when(kind == "card", luhn).when(kind == "iban", _mod97(canon) == 1).otherwise(True)
+
+
 def _name(gender: str) -> Column:
     """Names of syllables, the given one ending as its gender tells; other
     scripts keep their letters' alphabets."""
@@ -149,6 +182,9 @@ def surrogate() -> Column:
     octets = [(F.pmod(_number(F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)]
     nanp = F.concat(_pick(20, "23456789"), F.substring(digit(1), 2, 2), _pick(21, "23456789"), F.substring(digit(1), 5, 6))
     card = F.substring(digit(1), F.lit(1), size - 1)
+    account = F.concat(F.substring("canon", 1, 2), F.lit("00"), F.substring(_redrawn("canon", lambda i, c: i < 4), F.lit(5), size))
+    check = F.lpad((98 - _mod97(account)).cast("string"), 2, "0")
+    iban = F.concat(F.substring("canon", 1, 2), check, F.substring(account, F.lit(5), size))
     hexes = F.array_join(F.transform(F.split(F.col("canon"), ""), lambda c, i: F.lower(F.hex(F.pmod(_number(i), F.lit(16))))), "")
     return (
         F.when(F.col("kind") == "email", F.concat(_redrawn("canon", lambda i, c: i >= size - dotted)))
@@ -157,7 +193,8 @@ def surrogate() -> Column:
         .when(F.col("kind") == "ssn", F.concat(_pick(20, "12345678"), F.substring(digit(1), 2, 8)))
         .when((F.col("kind") == "phone") & (size == 10), nanp)
         .when(F.col("kind") == "phone", digit(2))
-        .when(F.col("kind").isin("key", "iban"), _redrawn("canon", lambda i, c: i < F.when(F.col("kind") == "key", 4).otherwise(2)))
+        .when(F.col("kind") == "key", _redrawn("canon", lambda i, c: i < 4))
+        .when(F.col("kind") == "iban", iban)
         .when((F.col("kind") == "secret") & F.col("canon").rlike("^[0-9a-f]+$"), hexes)
         .when(F.col("kind") == "name_f", _name("f"))
         .when(F.col("kind") == "name_m", _name("m"))
@@ -211,8 +248,28 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     return reduce(DataFrame.union, done)
 
 
-def _mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+def _segments(text: Column) -> Column:
+    """lead, m and plain (m is text, not a mention) of each mention in turn; the
+    last has what follows the last mention, and no m. A mention that only looks
+    like an IBAN is searched for the other kinds."""
+    looks_like = rf"^(?:{PATTERNS['iban']})$"
+
+    def cut(t: Column, pattern: str) -> Column:
+        pair = lambda lead, m: F.struct(lead.alias("lead"), m.alias("m"), F.lit(False).alias("plain"))
+        return F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), pair)
+
+    def again(x: Column) -> Column:
+        def put(s: Column, i: Column) -> Column:
+            lead = F.concat(F.when(i == 0, x["lead"]).otherwise(""), F.when(s["m"].isNull(), "").otherwise(s["lead"]))
+            return F.struct(lead.alias("lead"), F.coalesce(s["m"], s["lead"]).alias("m"), s["m"].isNull().alias("plain"))
+
+        return F.transform(cut(x["m"], _BUT_IBAN), put)
+
+    def checked(x: Column) -> Column:
+        no_iban = F.coalesce(x["m"].rlike(looks_like), F.lit(False)) & (_mod97(F.regexp_replace(x["m"], " ", "")) != 1)
+        return F.when(no_iban, again(x)).otherwise(F.array(x))
+
+    return F.flatten(F.transform(cut(text, ANY), checked))
 
 
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -231,12 +288,13 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     # Two seeds: 128 bits stand for a text.
     digests = [F.xxhash64(text_col).alias("__a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__b")]
     held = docs.where(candidate)
-    mentions = held.select(*digests, F.posexplode(_mentions(text)).alias("pos", "m"))
-    mentions = mentions.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical_of(F.col("kind"), F.col("m")))
-    mentions = stored(mentions.distinct())
+    found = held.select(*digests, F.posexplode(_segments(text)).alias("pos", "s")).where("s.m is not null").select("__a", "__b", "pos", "s.m", "s.plain")
+    found = found.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical_of(F.col("kind"), F.col("m")))
+    found = stored(found.withColumn("real", ~F.col("plain") & _checks(F.col("kind"), F.col("canon"))).distinct())
+    mentions, others = found.where("real"), found.where("not real").select("__a", "__b", "pos", F.col("m").alias("put"), "real")
     table = surrogates(mentions.select("kind", "canon"), key)
-    made = mentions.join(table, ["kind", "canon"]).select("__a", "__b", "pos", laid_out(F.col("kind"), F.col("m"), F.col("made")).alias("put"))
-    lists = made.groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("__put"))
-    parts = F.zip_with(F.split(text, ANY, -1), F.col("__put.put"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    made = mentions.join(table, ["kind", "canon"]).select("__a", "__b", "pos", laid_out(F.col("kind"), F.col("m"), F.col("made")).alias("put"), "real")
+    lists = made.union(others).groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("__put"), F.count_if("real").cast("int").alias("n_entities"))
+    parts = F.zip_with(_segments(text)["lead"], F.col("__put.put"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     replaced = held.select("*", *digests).join(lists, ["__a", "__b"]).withColumn(text_col, F.array_join(parts, ""))
-    return replaced.select(*names, F.size("__put").alias("n_entities")).unionByName(clean)
+    return replaced.select(*names, "n_entities").unionByName(clean)
