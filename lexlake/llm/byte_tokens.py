@@ -1,30 +1,36 @@
 """Byte-level BPE of whole texts with the tokenizers library, by a table of
 distinct pre-tokens.
 
-The pre-tokeniser never joins a space to what stands before it, so a text is
-cut at spaces, each distinct chunk is split by the tokenizer's own pattern, and
-each distinct pre-token goes through the library's model once for each table.
-Texts where white space meets a space go to the library whole.
+The pre-tokeniser never joins a space to what stands before it, so the texts of
+a batch are cut at spaces, the batch's distinct chunks are looked up in a table,
+and ids are gathered back by position. A chunk that the table lacks is split by
+the tokenizer's own pattern and each pre-token goes through the library's model.
+Texts where white space meets a space, or that hold an added token's own string,
+go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402  reads the setting on import
 
 #: Entries held in a worker. A full table keeps what it has, which holds the
-#: frequent chunks; further ones are encoded where they stand.
-TABLE_CHUNKS = 400_000
+#: frequent chunks; further ones are encoded batch by batch.
+TABLE_CHUNKS = 800_000
+#: Bytes of text that are encoded together, beyond a single text.
+SLICE_BYTES = 4_000_000
 #: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+_PUNCTUATION = frozenset(",.;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,116 +40,147 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_PUNCTUATION = frozenset(",.;:!?")
+_LETTERS = _byte_letters()
+_SPACE = _LETTERS[32]
 
 
-class Library:
-    """The tokenizer, and its model on single pre-tokens."""
+class IdTable:
+    """The tokenizer with a table of chunks: chunk (without the space that it
+    follows) → int32 bytes of its ids."""
 
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.size = self.whole.get_vocab_size()
-        self._model, self._split, self._letters = self.whole.model, regex.compile(PATTERN).findall, _byte_letters()
-
-    def tokens(self, pre: str) -> list:
-        return self._model.tokenize(pre.encode().decode("latin1").translate(self._letters))
-
-    def pre_tokens(self, chunk: str) -> list[str]:
-        """Of a chunk that begins with a space (or begins the text)."""
-        bare = chunk[1:]
-        if chunk[:1] == " ":
-            if bare.isalpha():
-                return [chunk]
-            if bare[-1:] in _PUNCTUATION and bare[:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
-        return self._split(chunk)
-
-
-def needs_library(text: str) -> bool:
-    """White space before a space: no cut is safe there."""
-    return text.startswith(" ") or _SPACE_AFTER_SPACE.search(text) is not None
-
-
-class ChunkTable(dict):
-    """Chunk (without the space that it follows) → what is kept of its tokens,
-    as bytes that can be joined."""
-
-    def __init__(self, library: Library) -> None:
-        self.library, self.words = library, {}
-
-    def kept(self, tokens: list) -> bytes:
-        raise NotImplementedError
-
-    def word(self, pre: str) -> bytes:
-        found = self.words.get(pre)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self._tokens, self._split = self.whole.model.tokenize, regex.compile(PATTERN).findall
+        self.chunks: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+
+    def lengths(self) -> np.ndarray:
+        """Id → UTF-8 bytes that it stands for: its string has one letter for each."""
+        out = np.zeros(self.size, dtype=np.int64)
+        for token, i in self.whole.get_vocab().items():
+            out[i] = len(token)
+        return out
+
+    def _model(self, letters: str) -> bytes:
+        return array("i", [t.id for t in self._tokens(letters)]).tobytes()
+
+    def _pre(self, pre: str) -> bytes:
+        """Ids of a pre-token that doesn't begin with a space."""
+        found = self.inner.get(pre)
         if found is None:
-            found = self.kept(self.library.tokens(pre))
-            if len(self.words) < TABLE_CHUNKS:
-                self.words[pre] = found
+            found = self._model(pre.encode().decode("latin1").translate(_LETTERS))
+            if len(self.inner) < TABLE_CHUNKS // 4:
+                self.inner[pre] = found
         return found
 
-    def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.word, self.library.pre_tokens(chunk)))
-
-    def __missing__(self, after_space: str) -> bytes:
-        found = self.chunk(" " + after_space)
-        if len(self) < TABLE_CHUNKS:
-            self[after_space] = found
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and one run of letters, digits or other characters."""
+        found = self.chunks.get(word)
+        if found is None:
+            bare = word if word.isascii() and word.isprintable() else word.encode().decode("latin1").translate(_LETTERS)
+            found = self._model(_SPACE + bare)
+            if len(self.chunks) < TABLE_CHUNKS:
+                self.chunks[word] = found
         return found
 
-    def joined(self, text: str) -> bytes:
-        """Of a whole text that doesn't need the library."""
-        first, *rest = text.split(" ")
-        return self.chunk(first) + b"".join(map(self.__getitem__, rest))
-
-
-class IdTable(ChunkTable):
-    """int32 ids."""
-
-    def kept(self, tokens: list) -> bytes:
-        return array("i", [t.id for t in tokens]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """int32 bytes of the ids of a whole text."""
-        if not text:
-            return b""
-        if needs_library(text):
-            return array("i", self.library.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.joined(text)
-
-
-class LengthTable(ChunkTable):
-    """uint16 lengths in UTF-8 bytes: a token's value has one letter for each byte."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a space and the chunk behind it."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk[-1:] in _PUNCTUATION and chunk[:-1].isalpha():
+            found = self._word(chunk[:-1]) + self._pre(chunk[-1])
+        else:
+            first, *rest = self._split(" " + chunk)
+            head = self._word(first[1:]) if len(first) > 1 and first[0] == " " else self._pre(first)
+            found = head + b"".join(map(self._pre, rest))
+        if len(self.chunks) < TABLE_CHUNKS:
+            self.chunks[chunk] = found
+        return found
 
-    def kept(self, tokens: list) -> bytes:
-        return array("H", [len(t.value) for t in tokens]).tobytes()
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, stop row, ids of these texts, where each text's ids end),
+        in slices of about SLICE_BYTES. Null is empty."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+            yield lo, hi, *self._slice(texts.slice(lo, hi - lo))
+            lo = hi
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+        bounds = bounds - bounds[0]
+        coded = flat.dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = np.zeros(len(codes), dtype=bool)
+        first[bounds[:-1]] = True
+        # No cut is safe where white space stands before a space.
+        spaced = np.fromiter((not c or c[-1].isspace() for c in names), dtype=bool, count=len(names))
+        unsafe = spaced[codes]
+        unsafe[bounds[1:] - 1] = False
+        whole = np.add.reduceat(unsafe, bounds[:-1]) > 0
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+
+        behind = np.zeros(len(names), dtype=bool)
+        behind[codes[~first]] = True
+        known, chunk = self.chunks.get, self._chunk
+        held = [(known(c) or chunk(c)) if b else b"" for c, b in zip(names, behind.tolist())]
+        heads, which = np.unique(codes[first], return_inverse=True)
+        codes[first] = len(names) + which
+        held += self._library([names[c] for c in heads.tolist()])
+
+        counts = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+        starts = np.cumsum(counts) - counts
+        each = counts[codes]
+        stop = np.cumsum(each)
+        at = np.repeat(starts[codes] - (stop - each), each)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(held), dtype=np.int32)[at]
+        ends = stop[bounds[1:] - 1]
+        if whole.any():
+            parts = np.split(ids, ends[:-1])
+            rows = np.flatnonzero(whole)
+            for row, found in zip(rows.tolist(), self._library(texts.take(pa.array(rows)).to_pylist())):
+                parts[row] = np.frombuffer(found, dtype=np.int32)
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
+
+
+class Spans:
+    """Character spans of the tokens of texts."""
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Character starts and ends of the tokens of a whole text. Tokens that
-        are part of one character have that character's span each, as in the
-        library."""
-        if not text:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        if needs_library(text):
-            found = np.array(self.library.whole.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
-            return found[:, 0], found[:, 1]
-        ends = np.cumsum(np.frombuffer(self.joined(text), dtype=np.uint16), dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]])
+    def __init__(self, path: str) -> None:
+        self.table = table(path)
+        self.size = self.table.lengths()
+
+    def of(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, as in the library: tokens that are part of one
+        character have that character's span each."""
+        ends = np.cumsum(self.size[ids])
+        starts = ends - self.size[ids]
         if text.isascii():
             return starts, ends
         character = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
         return character[starts], character[ends - 1] + 1
 
 
-_TABLES: dict[tuple[type, str], ChunkTable] = {}
+_TABLES: dict[str, IdTable] = {}
 
 
-def table(kind: type, path: str) -> ChunkTable:
-    """The worker's table of that kind, kept between its tasks."""
-    if (kind, path) not in _TABLES:
-        _TABLES[kind, path] = kind(Library(path))
-    return _TABLES[kind, path]
+def table(path: str) -> IdTable:
+    """The worker's table, kept between its tasks."""
+    if path not in _TABLES:
+        _TABLES[path] = IdTable(path)
+    return _TABLES[path]
 
 
 def bits_needed(ids: int) -> int:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexlake.llm.byte_tokens import LengthTable, table
+from lexlake.llm.byte_tokens import Spans
 from lexlake.llm.common import short_batches, with_fields
 
 SECTIONS = "section long, first_char long, n_chars long, n_tokens long, n_crossing long"
@@ -58,16 +58,17 @@ def section_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "do
     schema = with_fields(docs.select(id_col).schema, SECTIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = table(LengthTable, tokenizer_path)
+        spans = Spans(tokenizer_path)
         for batch in batches:
             out, rows = [], []
-            for text in batch.column(1).to_pylist():
-                sections = line_starts(text or "")
-                starts, ends = tokens.spans(text or "")
-                n, crossing = attribute(starts, ends, sections, rule)
-                sizes = np.diff(np.append(sections, len(text or "")))
-                out.append(np.stack([np.arange(len(sections)), sections, sizes, n, crossing]))
-                rows.append(len(sections))
+            texts = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, ids, ends in spans.table.encode(batch.column(1)):
+                for text, own in zip(texts[lo:hi], np.split(ids, ends[:-1])):
+                    sections = line_starts(text or "")
+                    n, crossing = attribute(*spans.of(text or "", own), sections, rule)
+                    sizes = np.diff(np.append(sections, len(text or "")))
+                    out.append(np.stack([np.arange(len(sections)), sections, sizes, n, crossing]))
+                    rows.append(len(sections))
             if out:
                 columns = np.concatenate(out, axis=1).astype(np.int64)
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), rows)))

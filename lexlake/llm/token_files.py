@@ -13,11 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.byte_tokens import IdTable, bits_needed, table
+from lexlake.llm.byte_tokens import bits_needed, table
 from lexlake.llm.common import NULL_KEY, order_key, partitions, range_bounds, range_of, short_batches
 
 #: A block is closed by the document that brings it to so many ids.
@@ -28,6 +27,8 @@ BLOCKS = "segment int, block int, first long, n_ids long, width int, keys array<
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids below 2**width in width bits each."""
+    if width == 16:
+        return ids.astype("<u2").tobytes()
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
     if width % 8 == 0:
         return raw[:, : width // 8].tobytes()
@@ -51,6 +52,11 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return np.ascontiguousarray(out).view("<u4").ravel()
 
 
+def sent_as(vocabulary: int, end_id: int) -> np.dtype:
+    """The whole numbers in which ids are shuffled."""
+    return np.dtype("<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4")
+
+
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, ends it with ``end_id`` and writes the blocks
     of all documents in ascending id order (nulls first; equal ids in a fixed
@@ -61,18 +67,22 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     short_batches(spark)
     key, n = order_key(id_col), partitions(spark)
     bounds = range_bounds(docs, key, n)
-    end = np.array([end_id], dtype=np.int32).tobytes()
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids before the shuffle, in two bytes each where the vocabulary allows it."""
+        tokens = table(tokenizer_path)
+        kind = sent_as(tokens.size, end_id)
         for batch in batches:
-            bucket = range_of(bounds, batch.column(0).to_numpy()).astype(np.int32)
-            packed = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([pa.array(bucket), batch.column(0), pa.array(packed, pa.binary())], names=["segment", "k", "packed"])
+            bucket = pa.array(range_of(bounds, batch.column(0).to_numpy()).astype(np.int32))
+            for lo, hi, ids, ends in tokens.encode(batch.column(1)):
+                ended = np.insert(ids, ends, end_id).astype(kind)
+                offsets = np.append(0, ends + np.arange(1, len(ends) + 1)) * kind.itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ended)])
+                yield pa.record_batch([bucket.slice(lo, hi - lo), batch.column(0).slice(lo, hi - lo), packed.cast(pa.binary())], names=["segment", "k", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, open_ = table(IdTable, tokenizer_path), zstandard.ZstdDecompressor().decompress
-        width = bits_needed(max(end_id + 1, tokens.library.size))
+        size = table(tokenizer_path).size
+        kind, width = sent_as(size, end_id), bits_needed(max(end_id + 1, size))
         schema = pa.schema(
             [("segment", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]
             + [("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())]
@@ -80,27 +90,27 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
         segment, block, first, keys, ends, held = None, 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype=np.int32)
+            ids = np.frombuffer(b"".join(held), dtype=kind)
             row = (segment, block, first, ends[-1], width, keys, ends, pack(ids, width))
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for seg, k, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for seg, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)):
                 if seg != segment:
                     if keys:
                         yield close()
                     segment, block, first, keys, ends, held = seg, 0, 0, [], [], []
-                held.append(tokens.encode(open_(packed).decode() if packed else "") + end)
+                held.append(ids)
                 keys.append(k)
-                ends.append((ends[-1] if ends else 0) + len(held[-1]) // 4)
+                ends.append((ends[-1] if ends else 0) + len(ids) // kind.itemsize)
                 if ends[-1] >= BLOCK_IDS:
                     yield close()
                     block, first, keys, ends, held = block + 1, first + ends[-1], [], [], []
         if keys:
             yield close()
 
-    sent = docs.select(key.alias("k"), text_col).mapInArrow(send, "segment int, k long, packed binary")
-    sorted_ = sent.repartitionById(n, "segment").sortWithinPartitions("segment", "k", "packed")
+    sent = docs.select(key.alias("k"), text_col).mapInArrow(encode, "segment int, k long, ids binary")
+    sorted_ = sent.repartitionById(n, "segment").sortWithinPartitions("segment", "k", "ids")
     sorted_.mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
