@@ -10,7 +10,9 @@ fine rates measure how much two documents share.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,18 @@ from lexlake.llm.common import short_batches, with_fields
 #: Share of all documents that hold a lexicon term: idf = ln(1/share).
 #: A document has D distinct terms on average, so at most D / LEAST_SHARE terms
 #: reach the lower share, however many documents there are. That bounds the
-#: lexicon which is broadcast (8 bytes a term).
+#: lexicon which is broadcast.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.1
 
 #: Each rate r keeps a term with probability 2**-r; SUBSETS_PER_RATE subsets each.
 RATES, SUBSETS_PER_RATE = (1, 3, 5, 7, 9, 11), 16
 N_SUBSETS = len(RATES) * SUBSETS_PER_RATE
 
+#: Terms that a task counts before it passes the counts on.
+COUNTED_TERMS = 500_000
 _WORDS = re.compile(r"\w+").findall
-_FLUSH = 1_000_000
+#: ASCII without what is part of no term.
+_SPACED = {i: " " for i in range(128) if not _WORDS(chr(i))}
 
 
 def _multipliers() -> np.ndarray:
@@ -43,68 +48,99 @@ _MULTIPLY = _multipliers()
 _SHIFT = (64 - np.repeat(np.array(RATES), SUBSETS_PER_RATE)).astype(np.uint64)
 
 
-def term_hashes(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct lower-case terms."""
-    terms = set(_WORDS((text or "").lower()))
-    found = np.fromiter(map(xxhash.xxh64_intdigest, terms), dtype=np.uint64, count=len(terms))
-    return np.unique(found)
+def terms_of(text: str | None) -> set[str]:
+    """The distinct lower-case terms: runs of letters, digits and underscores."""
+    text = (text or "").lower()
+    return set(text.translate(_SPACED).split() if text.isascii() else _WORDS(text))
+
+
+def _hashes(terms: Iterable[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), dtype=np.uint64)
+
+
+def subsets_of(hashes: np.ndarray) -> np.ndarray:
+    """The subsets that pick each term, a bit each."""
+    picked = (hashes[:, None] * _MULTIPLY[None, :]) >> _SHIFT[None, :] == 0
+    return np.packbits(picked, axis=1)
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each term and flush: bounded memory, combined before the shuffle."""
-    held, n = [], 0
+    """A row for each term of a task, or of so many terms: combined before the shuffle."""
+    df: Counter[str] = Counter()
 
-    def flush() -> pa.RecordBatch:
-        term, df = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(term.view(np.int64)), pa.array(df)], names=["term", "df"])
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64())], names=["term", "df"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.append(term_hashes(text))
-            n += len(held[-1])
-            if n >= _FLUSH:
-                yield flush()
-                held, n = [], 0
-    if n:
-        yield flush()
-
-
-def lexicon(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Sorted hashes of the terms in the band, counted over all documents."""
+        for text in batch.column(0).to_numpy(zero_copy_only=False):
+            df.update(terms_of(text))
+            if len(df) >= COUNTED_TERMS:
+                yield rows()
+                df.clear()
+    yield rows()
+
+
+def lexicon(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The terms in the band, counted over all documents, in order of their hashes."""
     short_batches(docs.sparkSession)
     n_docs = docs.count()
-    counts = docs.select(text_col).mapInArrow(_document_frequencies, "term long, df long")
+    counts = docs.select(text_col).mapInArrow(_document_frequencies, "term string, df long")
     counts = counts.groupBy("term").agg(F.sum("df").alias("df"))
     band = counts.where(F.col("df").between(LEAST_SHARE * n_docs, MOST_SHARE * n_docs))
-    found = band.select("term").toArrow().column(0).to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    found = band.select("term").toArrow().column(0).to_pylist()
+    return sorted(found, key=lambda t: (xxhash.xxh64_intdigest(t), t))
 
 
-def fingerprint(hashes: np.ndarray, lex: np.ndarray) -> str:
+def fingerprint(hashes: np.ndarray, subsets: np.ndarray) -> str:
     """Four hex digits a subset; 0000 where the subset picks no term.
 
-    A text without in-band terms falls back to all its terms; a text without
-    terms (null, empty, no word) has all zeros.
+    hashes: sorted distinct terms; subsets: ``subsets_of`` them.
     """
-    if len(lex) and len(hashes):
-        at = np.minimum(np.searchsorted(lex, hashes), len(lex) - 1)
-        banded = hashes[lex[at] == hashes]
-        hashes = banded if len(banded) else hashes
     out = np.zeros(N_SUBSETS, dtype=">u2")
-    for lo in range(0, N_SUBSETS, SUBSETS_PER_RATE):
-        part = slice(lo, lo + SUBSETS_PER_RATE)
-        picked = (hashes[None, :] * _MULTIPLY[part, None]) >> _SHIFT[part, None] == 0
-        subset, term = np.nonzero(picked)
-        chosen = hashes[term].tobytes()
-        ends = np.cumsum(np.bincount(subset, minlength=SUBSETS_PER_RATE)).tolist()
-        start = 0
+    if len(hashes):
+        at = np.flatnonzero(np.unpackbits(subsets, axis=1).T.ravel().view(bool))
+        subset, term = np.divmod(at, len(hashes))
+        chosen, ends = hashes[term].tobytes(), np.cumsum(np.bincount(subset, minlength=N_SUBSETS)).tolist()
+        start, digest = 0, xxhash.xxh64_intdigest
         for k, end in enumerate(ends):
             if end > start:
-                out[lo + k] = xxhash.xxh64_intdigest(chosen[8 * start : 8 * end]) % 65535 + 1
-            start = end
+                out[k] = digest(chosen[8 * start : 8 * end]) % 65535 + 1
+                start = end
     return out.tobytes().hex()
 
 
+class Fingerprinter:
+    """Text → fingerprint over a lexicon.
+
+    A text without in-band terms falls back to all its terms; a text without
+    terms (null, empty, no word) has all zeros.
+    """
+
+    def __init__(self, lex: list[str]) -> None:
+        self.lex, self.place = lex, {t: i for i, t in enumerate(lex)}
+        self.hashes = _hashes(lex)
+        self.subsets = np.concatenate([np.zeros((0, N_SUBSETS // 8), dtype=np.uint8), *(subsets_of(self.hashes[i : i + 4096]) for i in range(0, len(lex), 4096))])
+
+    def __call__(self, text: str | None) -> str:
+        terms = terms_of(text)
+        places = np.fromiter(map(self.place.get, terms, repeat(-1)), dtype=np.int32, count=len(terms))
+        banded = np.sort(places[places >= 0])
+        if len(banded):
+            return fingerprint(self.hashes[banded], self.subsets[banded])
+        hashes = np.unique(_hashes(terms))
+        return fingerprint(hashes, subsets_of(hashes))
+
+
+_HELD: list[Fingerprinter] = []
+
+
+def fingerprinter(lex: list[str]) -> Fingerprinter:
+    """The worker's own for a broadcast lexicon, kept between its tasks."""
+    if not _HELD or _HELD[0].lex is not lex:
+        _HELD[:] = [Fingerprinter(lex)]
+    return _HELD[0]
+
+
 def likeness(a: str, b: str) -> float:
     """0 to 1: the share of equal hashes among the subsets that pick a term in
     either text, over the rates fine enough to leave a quarter of the subsets
@@ -119,7 +155,7 @@ def likeness(a: str, b: str) -> float:
     return float(same[fine].sum() / max(1, used[fine].sum()))
 
 
-def fingerprint_texts(docs: DataFrame, lex: np.ndarray, text_col: str = "text") -> DataFrame:
+def fingerprint_texts(docs: DataFrame, lex: list[str], text_col: str = "text") -> DataFrame:
     """Adds ``fingerprint`` to the other columns. Null counts as empty text;
     equal texts, also repeated rows, get equal fingerprints."""
     short_batches(docs.sparkSession)
@@ -128,7 +164,7 @@ def fingerprint_texts(docs: DataFrame, lex: np.ndarray, text_col: str = "text")
     schema = with_fields(docs.schema, "fingerprint string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = memoised(shared.value)
+        of = fingerprinter(shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -136,7 +172,3 @@ def fingerprint_texts(docs: DataFrame, lex: np.ndarray, text_col: str = "text")
             )
 
     return docs.mapInArrow(run, schema)
-
-
-def memoised(lex: np.ndarray) -> Callable[[str | None], str]:
-    return lambda text: fingerprint(term_hashes(text), lex)

@@ -36,12 +36,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = spark.sparkContext.broadcast(fingerprints.lexicon(docs))
 
     def make():
-        return fingerprints.memoised(lex.value)
+        return fingerprints.fingerprinter(lex.value)
 
-    def pair(doc_id, text, own, after, after_own):
+    def pair(of, doc_id, text, own, after, after_own):
         cut = len(text) // 2
         edited = text[: len(text) - cut] + after[:cut]
-        of_edited = fingerprints.memoised(lex.value)(edited)
+        of_edited = of(edited)
         digest = hashlib.sha256(edited.encode()).hexdigest()
         return doc_id, len(text), digest, own, of_edited, fingerprints.likeness(own, of_edited), fingerprints.likeness(own, after_own)
 

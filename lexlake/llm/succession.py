@@ -20,10 +20,9 @@ _LAST = 2**63 - 1
 
 
 def with_next(docs: DataFrame, pair: Callable, schema: str, id_col: str, text_col: str, make: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """``pair(id, text, mark, next text, next mark)`` → one tuple of ``schema`` for each row.
+    """``pair(of, id, text, mark, next text, next mark)`` → one tuple of ``schema`` for each row.
 
-    ``make()`` gives, once a task, the function that marks a text on the map
-    side. Texts are shuffled compressed. Null ids come first and come back as
+    ``make()`` gives, once a task, the function ``of`` that marks a text. Texts are shuffled compressed. Null ids come first and come back as
     null; rows with equal ids follow each other in a fixed order; null text is empty text. A
     table of one row is followed by itself; an empty table gives no rows.
     """
@@ -38,10 +37,10 @@ def with_next(docs: DataFrame, pair: Callable, schema: str, id_col: str, text_co
     head = starts[filled[0]] if filled else None
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, press = make(), zstandard.ZstdCompressor(level=3)
+        of, press = make(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_numpy(zero_copy_only=False)]
             marks = [of(t) for t in texts]
             packed = [press.compress(t.encode()) for t in texts]
             bucket = range_of(bounds, keys).tolist()
@@ -59,14 +58,14 @@ def with_next(docs: DataFrame, pair: Callable, schema: str, id_col: str, text_co
             )
 
     def succeed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        of, unpack = make(), zstandard.ZstdDecompressor().decompress
         held = None
         for batch in batches:
             out = []
-            for bucket, k, ghost, mark_, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, k, ghost, mark_, packed in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns)):
                 text = unpack(packed).decode() if packed else ""
                 if held is not None and held[0] == bucket:
-                    out.append(pair(None if held[1] == NULL_KEY else held[1], held[2], held[3], text, mark_))
+                    out.append(pair(of, None if held[1] == NULL_KEY else held[1], held[2], held[3], text, mark_))
                 held = None if ghost else (bucket, k, text, mark_)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(target), target)], schema=target)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -85,7 +86,7 @@ def test_op2_fingerprints(spark, table, docs):
     terms = [set(re.findall(r"\w+", t.lower())) for _, t in order]
     df = Counter(w for s in terms for w in s)
     band = {w for w, c in df.items() if fingerprints.LEAST_SHARE * n <= c <= fingerprints.MOST_SHARE * n}
-    lex = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in band], dtype=np.uint64))
+    lex = {xxhash.xxh64_intdigest(w) for w in band}
     by_id = {r["doc_id"]: r for r in rows}
     for i, (d, text) in enumerate(order):
         after, r, cut = order[(i + 1) % n][1], by_id[d], len(text) // 2
@@ -93,9 +94,9 @@ def test_op2_fingerprints(spark, table, docs):
             continue  # repeated rows follow one another
         edited = text[: len(text) - cut] + after[:cut]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        own = fingerprints.fingerprint(fingerprints.term_hashes(text), lex)
+        own = _i_match(text, lex)
         assert r["fingerprint"] == own and 0 <= r["near_next"] <= 1
-        assert r["edited_fingerprint"] == fingerprints.fingerprint(fingerprints.term_hashes(edited), lex)
+        assert r["edited_fingerprint"] == _i_match(edited, lex)
     same = defaultdict(set)
     for d, t in docs:
         same[t or ""].add(by_id[d]["fingerprint"])
@@ -104,6 +105,27 @@ def test_op2_fingerprints(spark, table, docs):
     assert np.mean([r["near_edited"] for r in real]) > np.mean([r["near_next"] for r in real]) + 0.15
 
 
+def _i_match(text, lex):
+    """From the terms of the whole text, one subset after another."""
+    hashes = sorted(xxhash.xxh64_intdigest(w) for w in set(re.findall(r"\w+", text.lower())))
+    hashes = [h for h in hashes if h in lex] or hashes
+    out = ""
+    for k in range(fingerprints.N_SUBSETS):
+        multiply, rate = int(fingerprints._MULTIPLY[k]), fingerprints.RATES[k // fingerprints.SUBSETS_PER_RATE]
+        picked = [h for h in hashes if (h * multiply % 2**64) >> (64 - rate) == 0]
+        out += f"{xxhash.xxh64_intdigest(np.array(picked, dtype=np.uint64).tobytes()) % 65535 + 1:04x}" if picked else "0000"
+    return out
+
+
+def test_op2_counts_that_are_passed_on(docs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "COUNTED_TERMS", 50)
+    texts = [t for _, t in docs]
+    df = Counter()
+    for rows in fingerprints._document_frequencies(iter([pa.record_batch([pa.array(texts, pa.string())], names=["text"])])):
+        df.update(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
+    assert df == Counter(w for t in texts for w in set(re.findall(r"\w+", (t or "").lower())))
+
+
 def test_op3_equals_the_library(spark, table, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_BPE)
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -162,7 +184,6 @@ def test_op6_base_places(spark, table, docs):
 
 def test_op7_equals_the_library(spark, table, docs):
     lib = Tokenizer.from_file(queries.BYTE_BPE)
-    lib.encode_special_tokens = True
     start, want = 0, Counter()
     for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
@@ -175,7 +196,6 @@ def test_op7_files_read_back(spark, table, docs, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_token_blocks(queries.documents(spark, table), path, queries.BYTE_BPE, 2)
     lib = Tokenizer.from_file(queries.BYTE_BPE)
-    lib.encode_special_tokens = True
     texts = dict(docs)
     for r in token_files.read_documents(spark, path).collect():
         assert r["ids"] == [*lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
@@ -193,7 +213,6 @@ def test_op7_packing_round_trip(width):
 
 def test_op8_counts(spark, table, docs):
     lib = Tokenizer.from_file(queries.BYTE_BPE)
-    lib.encode_special_tokens = True
     want = Counter()
     for d, t in docs:
         lines = (t or "").splitlines(keepends=True) if "\n" in (t or "") else [t or ""]
@@ -408,11 +427,34 @@ def test_pipeline_near_duplicates_are_those_of_exact_similarity(spark, tmp_path)
 def test_op7_and_op8_of_a_first_chunk_without_a_space():
     """A text's first chunk has no space before it: the library splits 's, 't and the like there."""
     lib = Tokenizer.from_file(queries.BYTE_BPE)
-    ids, lengths = (kind(byte_tokens.Library(queries.BYTE_BPE)) for kind in (byte_tokens.IdTable, byte_tokens.LengthTable))
-    for text in ("'student here", "'twas, so", "'llama", "'real", "'déjà vu", "student", "1st", "-dash", "'", "'s", " 'student"):
-        want = lib.encode(text, add_special_tokens=False)
-        assert list(memoryview(ids.encode(text)).cast("i")) == want.ids, text
-        assert list(zip(*(x.tolist() for x in lengths.spans(text)))) == want.offsets, text
+    texts = ["'student here", "'twas, so", "'llama", "'real", "'déjà vu", "student", "1st", "-dash", "'", "'s", " 'student"]
+    _compare_with_library(lib, texts)
+
+
+def _compare_with_library(lib, texts):
+    """Ids and character spans of the table against the untouched library."""
+    spans, at = byte_tokens.Spans(queries.BYTE_BPE), 0
+    for lo, hi, ids, ends in spans.table.encode(pa.array(texts, pa.string())):
+        assert lo == at
+        at = hi
+        for text, own in zip(texts[lo:hi], np.split(ids, ends[:-1])):
+            want = lib.encode(text or "", add_special_tokens=False)
+            assert own.tolist() == want.ids, text
+            assert list(zip(*(x.tolist() for x in spans.of(text or "", own)))) == want.offsets, text
+    assert at == len(texts)
+
+
+def test_op7_and_op8_of_random_strings(monkeypatch):
+    """Also with slices of one text and a table that is full from the start."""
+    lib, rng = Tokenizer.from_file(queries.BYTE_BPE), random.Random(5)
+    parts = ["a", "B", "é", "ß", " ", " ", " ", "  ", "\n", "\t", "'s", "'t", "'", "1", "22", "٣", "漢", "😀", ",", ".", "!!", "***", "<|endoftext|>", "<|endo", "\x00", "\x0b", "\x85", "ing", "the", "▁", "\u3000", "\u200b"]
+    texts = [None, "", " ", "  ", *EDGES, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000))]
+    _compare_with_library(lib, texts)
+    monkeypatch.setattr(byte_tokens, "SLICE_BYTES", 1)
+    monkeypatch.setattr(byte_tokens, "TABLE_CHUNKS", 0)
+    byte_tokens._TABLES.clear()
+    _compare_with_library(lib, texts[:600])
+    byte_tokens._TABLES.clear()
 
 
 def test_op4_finds_several_variants_repeats_and_short_items(spark):
