@@ -9,21 +9,19 @@ A key with '#' names an article, one without a document.
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake import refdata as R
 from lexlake.functions.citations import extract_citations
+from lexlake.shared import shared_dir
 from lexlake.functions.text import document_stem, entity_type, norm_key, parent_from_title, parent_key
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a loop in the folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexlake-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

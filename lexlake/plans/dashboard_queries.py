@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,8 +126,7 @@ S9_SQL = with_ctes("docs", "changes") + f"SELECT coalesce(country, '??') AS coun
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexlake-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def s10_purge_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
