@@ -23,11 +23,11 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402  reads the setting on import
 
+from lexlake.llm import chunks  # noqa: E402
+
 #: Entries held in a worker. A full table keeps what it has, which holds the
 #: frequent chunks; further ones are encoded batch by batch.
 TABLE_CHUNKS = 800_000
-#: Bytes of text that are encoded together, beyond a single text.
-SLICE_BYTES = 4_000_000
 #: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PUNCTUATION = frozenset(",.;:!?")
@@ -104,22 +104,12 @@ class IdTable:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, stop row, ids of these texts, where each text's ids end),
-        in slices of about SLICE_BYTES. Null is empty."""
-        texts = pc.fill_null(texts, "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
-            yield lo, hi, *self._slice(texts.slice(lo, hi - lo))
-            lo = hi
+        in slices of a batch. Null is empty."""
+        for lo, hi, part in chunks.slices(texts):
+            yield lo, hi, *self._slice(part)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
-        bounds = bounds - bounds[0]
-        coded = flat.dictionary_encode()
-        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        names, codes, bounds = chunks.cut(texts)
         first = np.zeros(len(codes), dtype=bool)
         first[bounds[:-1]] = True
         # No cut is safe where white space stands before a space.
@@ -138,13 +128,7 @@ class IdTable:
         codes[first] = len(names) + which
         held += self._library([names[c] for c in heads.tolist()])
 
-        counts = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
-        starts = np.cumsum(counts) - counts
-        each = counts[codes]
-        stop = np.cumsum(each)
-        at = np.repeat(starts[codes] - (stop - each), each)
-        at += np.arange(len(at))
-        ids = np.frombuffer(b"".join(held), dtype=np.int32)[at]
+        ids, stop = chunks.gathered(held, codes)
         ends = stop[bounds[1:] - 1]
         if whole.any():
             parts = np.split(ids, ends[:-1])

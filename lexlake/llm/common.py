@@ -3,7 +3,6 @@ tables, size-checked broadcasts and ranges of an ordering column."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Stands for a null id wherever ids are ordered; nulls come first.
+from lexlake.shared import shared_dir
+
+#: Stands for a null id wherever ids are ordered; nulls come first. No id may be this.
 NULL_KEY = -(2**63)
+#: Keys of rows lie below it if their id is null; ids lie at or above it.
+LEAST_ID = -(2**62)
 
 #: Rows per Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
@@ -22,18 +25,6 @@ BATCH_ROWS = 1000
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session, or a new local folder where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="lexlake-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it is
     computed once, its lineage is cut, and lost executors don't matter."""
@@ -71,6 +62,12 @@ def order_key(column: str) -> F.Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """The id, or where it is null a number below LEAST_ID made of the text, so
+    that different rows without an id aren't taken for one."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY) + F.pmod(F.xxhash64(text_col), F.lit(2**62)))
+
+
 def range_bounds(df: DataFrame, key: F.Column, n: int) -> np.ndarray:
     """At most ``n`` ascending lower bounds that cut ``key`` into ranges of
     about equal counts; the first range also takes what lies below it."""

@@ -4,9 +4,9 @@ Numbers, names and units become typed placeholders; runs of one placeholder
 count once. Windows of the resulting templates are hashed, and a document's
 windows are joined by hash with the benchmark's. The slots of matching windows
 must be consistent: within an occurrence (the windows of a document and an item
-at one offset), each benchmark value stands for one document value. So a question
-with other numbers or names is still found, and so are several of its variants in
-one document.
+at one offset), each benchmark value stands for one document value, and the other
+way round. So a question with other numbers or names is still found, and so are
+several of its variants in one document.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import short_batches, stored
+from lexlake.llm import chunks
+from lexlake.llm.common import short_batches, stored, with_fields
 
 WINDOW = 8
 #: Units that become a placeholder after a number.
@@ -41,17 +42,20 @@ _WORD, _NUMBER, _TITLE, _UNIT, _STOP = range(5)
 _UNITS = frozenset(UNITS)
 #: Hashes of the placeholders, by kind.
 _PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("word", "number", "name", "unit", "stop")], dtype=np.uint64)
-_CACHE_WORDS = 400_000
+#: Tokens and chunks that a task keeps at most.
+_CACHE_WORDS = 600_000
 #: Plain words that a window has at least. Items of as many tokens are looked for.
 LEAST_WORDS = 4
-_WINDOWS = "item long, text_hash long, pos int, size int, n_windows int, h long, slots array<string>"
+_WINDOWS = "text_hash long, pos int, size int, n_windows int, h long, slots array<string>"
 
 
 class Vocabulary(dict):
-    """Token → its number; arrays of hashes and classes by number."""
+    """Token → its number; names, hashes and classes by number."""
 
     def __init__(self) -> None:
-        self.hashes, self.classes = array("Q"), array("b")
+        self.names, self.hashes, self.classes = [], array("Q"), array("b")
+        #: Chunk between spaces → the int32 bytes of its tokens' numbers.
+        self.chunks: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -65,62 +69,76 @@ class Vocabulary(dict):
             kind = _TITLE
         else:
             kind = _WORD
+        self.names.append(token)
         self.hashes.append(xxhash.xxh64_intdigest(low))
         self.classes.append(kind)
         self[token] = len(self.classes) - 1
         return self[token]
 
+    def chunk(self, chunk: str) -> bytes:
+        """No token holds a space, so chunks are read on their own."""
+        tokens = (chunk,) if chunk.isalpha() else _TOKENS.findall(chunk)
+        found = self.chunks[chunk] = array("i", [self[t] for t in tokens]).tobytes()
+        return found
 
-class Canonicaliser:
-    """Texts → template hashes. ``start`` and ``stop`` of the last text's
-    template tokens are the raw tokens that each stands for."""
 
-    def __init__(self) -> None:
-        self.vocabulary = Vocabulary()
-
-    def read(self, text: str | None) -> np.ndarray:
-        """A hash for each template token; placeholders have their kind's."""
-        if len(self.vocabulary) > _CACHE_WORDS:
-            self.vocabulary = Vocabulary()
-        tokens = _TOKENS.findall(text or "")
-        if not tokens:
-            return np.zeros(0, dtype=np.uint64)
-        ids = np.fromiter(map(self.vocabulary.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        kinds = np.frombuffer(self.vocabulary.classes, dtype=np.int8)[ids]
+class Templates:
+    """The template tokens of the texts of a slice, one text after another.
+
+    each: hashes, placeholders have their kind's. row: the text of a token. first
+    and length: where a text's tokens begin, and how many there are.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, texts: pa.Array) -> None:
+        names, codes, bounds = chunks.cut(texts)
+        known = vocabulary.chunks.get
+        ids, stop = chunks.gathered([vocabulary.chunk(c) if (k := known(c)) is None else k for c in names], codes)
+        ends = stop[bounds[1:] - 1]
+        kinds = np.frombuffer(vocabulary.classes, dtype=np.int8)[ids] if len(ids) else np.zeros(0, dtype=np.int8)
         words = np.flatnonzero(kinds != _STOP)
-        opening = np.ones(len(words), dtype=bool)
-        if len(words) > 1:
-            opening[1:] = np.diff(words) > 1
+        row = np.searchsorted(ends, words, side="right")
+        begins, opening = _changes(row), _changes(row)
+        opening[1:] |= np.diff(words) > 1
         kind = kinds[words]
         after_number = np.zeros(len(words), dtype=bool)
-        after_number[1:] = kind[:-1] == _NUMBER
+        after_number[1:] = (kind[:-1] == _NUMBER) & ~begins[1:]
         kind = np.where(kind == _UNIT, np.where(after_number, _UNIT, _WORD), np.where((kind == _TITLE) & opening, _WORD, kind))
-        runs = np.ones(len(words), dtype=bool)
-        runs[1:] = (kind[1:] == _WORD) | (kind[1:] != kind[:-1])
-        first = np.flatnonzero(runs)
-        self.tokens, self.words, self.start, self.stop = tokens, words, first, np.append(first[1:], len(words))
-        self.kind = kind[first]
-        hashes = np.frombuffer(self.vocabulary.hashes, dtype=np.uint64)[ids[words[first]]]
-        return np.where(self.kind == _WORD, hashes, _PLACEHOLDERS[self.kind])
+        begins |= kind == _WORD
+        begins[1:] |= kind[1:] != kind[:-1]
+        start = np.flatnonzero(begins)
+        self.kind, self.row = kind[start], row[start]
+        self._names, self._ids = vocabulary.names, ids[words]
+        self._start, self._stop = start, np.append(start[1:], len(words))
+        hashes = np.frombuffer(vocabulary.hashes, dtype=np.uint64)[self._ids[start]] if len(ids) else np.zeros(0, dtype=np.uint64)
+        self.each = np.where(self.kind == _WORD, hashes, _PLACEHOLDERS[self.kind])
+        self.length = np.bincount(self.row, minlength=len(texts))
+        self.first = np.cumsum(self.length) - self.length
+        self._plain = np.concatenate([[0], np.cumsum(self.kind == _WORD)])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of that size with enough plain words begin, and their hashes."""
+        if not LEAST_WORDS <= size <= len(self.each):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        total = np.zeros(len(self.each) - size + 1, dtype=np.uint64)
+        for k in range(size):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + self.each[k : k + len(total)]
+        total ^= total >> np.uint64(31)
+        total *= np.uint64(0xD6E8FEB86659FD93)
+        within = self.row[: len(total)] == self.row[size - 1 :]
+        at = np.flatnonzero(within & (self._plain[size:] - self._plain[: len(total)] >= LEAST_WORDS))
+        return at, total[at]
 
     def slots(self, at: int, size: int) -> list[str]:
-        """Values of the placeholders in a window of template tokens."""
-        out = []
-        for i in range(at, at + size):
-            if self.kind[i] != _WORD:
-                out.append(" ".join(self.tokens[w] for w in self.words[self.start[i] : self.stop[i]]).lower())
-        return out
+        """Values of the placeholders in a window."""
+        found = (i for i in range(at, at + size) if self.kind[i] != _WORD)
+        return [" ".join(self._names[w] for w in self._ids[self._start[i] : self._stop[i]].tolist()).lower() for i in found]
 
 
-def window_hashes(each: np.ndarray, size: int) -> np.ndarray:
-    """One hash for each window of ``size`` template tokens."""
-    if not LEAST_WORDS <= size <= len(each):
-        return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(len(each) - size + 1, dtype=np.uint64)
-    for k in range(size):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(total)]
-    total ^= total >> np.uint64(31)
-    return total * np.uint64(0xD6E8FEB86659FD93)
+def _changes(row: np.ndarray) -> np.ndarray:
+    """The first of each run of equal values."""
+    out = np.ones(len(row), dtype=bool)
+    out[1:] = row[1:] != row[:-1]
+    return out
 
 
 def _windows(keep: bytes | None, sizes: list[int]):
@@ -128,28 +146,35 @@ def _windows(keep: bytes | None, sizes: list[int]):
     ``n_windows`` counts them. Benchmark texts (``keep`` is None) have windows of
     WINDOW tokens, shorter ones a window of their own length. Documents have
     windows of all ``sizes``, if their hash is in the filter."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-    schema = pa.schema(list(zip(("item", "text_hash", "pos", "size", "n_windows", "h", "slots"), kinds)))
+    names = ("item", "text_hash", "pos", "size", "n_windows", "h", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Canonicaliser()
+        vocabulary = Vocabulary()
         bits = None if keep is None else np.frombuffer(keep, dtype=np.uint8)
         for batch in batches:
-            rows = []
-            for item, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
-                each = reader.read(text)
-                for size in sizes if bits is not None else [min(WINDOW, len(each))]:
-                    found = window_hashes(each, size)
-                    at = np.arange(len(found))
-                    if bits is not None:
-                        slot = found % np.uint64(FILTER_BITS)
-                        at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                    if len(at):
-                        plain = np.concatenate([[0], np.cumsum(reader.kind == _WORD)])
-                        at = at[plain[at + size] - plain[at] >= LEAST_WORDS]
-                    for i in at.tolist():
-                        rows.append((item, text_hash, i, size, len(at), int(found[i].view(np.int64)), reader.slots(i, size)))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+            for lo, hi, texts in chunks.slices(batch.column(2)):
+                if len(vocabulary) + len(vocabulary.chunks) > _CACHE_WORDS:
+                    vocabulary = Vocabulary()
+                read = Templates(vocabulary, texts)
+                rows, places, lengths, hashes, slots = [], [], [], [], []
+                for size in sizes or range(LEAST_WORDS, WINDOW + 1):
+                    at, h = read.windows(size)
+                    if bits is None:
+                        own = np.minimum(read.length[read.row[at]], WINDOW) == size
+                    else:
+                        slot = h % np.uint64(FILTER_BITS)
+                        own = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) == 1
+                    at, h = at[own], h[own]
+                    rows.append(read.row[at])
+                    places.append(at - read.first[read.row[at]])
+                    lengths.append(np.full(len(at), size))
+                    hashes.append(h)
+                    slots += [read.slots(i, size) for i in at.tolist()]
+                row, place, length, h = map(np.concatenate, (rows, places, lengths, hashes))
+                n_windows = np.bincount(row, minlength=hi - lo)[row]
+                ids, text_hash = (batch.column(k).take(pa.array(row + lo)) for k in (0, 1))
+                whole = [pa.array(x.astype(np.int32)) for x in (place, length, n_windows)]
+                yield pa.record_batch([ids, text_hash, *whole, pa.array(h.astype(np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))], names=names)
 
     return run
 
@@ -169,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own, as are those of a null id. Of several texts of one item the one with the
     largest share counts; rows with a null item are left out. A number, name or
     unit placeholder never makes a window alone. Either table may be empty: no
-    rows. Other columns are ignored.
+    rows. Ids may be of any type that can be compared. Other columns are ignored.
     """
     return of_texts(docs, benchmark, id_col, text_col, item_col, item_text_col).drop("text_hash")
 
@@ -178,8 +203,8 @@ def of_texts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """``contaminated`` with ``text_hash`` (XXH64), which tells texts of one id apart."""
     spark = docs.sparkSession
     short_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.xxhash64(item_text_col).alias("text_hash"), F.col(item_text_col).alias("text"))
-    theirs = stored(items.where("item is not null and text is not null").mapInArrow(_windows(None, []), _WINDOWS))
+    items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_text_col).alias("text_hash"), F.col(item_text_col).alias("text"))
+    theirs = stored(items.where("item is not null and text is not null").mapInArrow(_windows(None, []), with_fields(items.select("item").schema, _WINDOWS)))
     sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # at most WINDOW
     slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
     # A bit set of fixed size: the words of 32 bits that hold a window, at most FILTER_BITS / 32 rows.
@@ -187,21 +212,22 @@ def of_texts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     held = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(FILTER_BITS // 32, dtype="<u4")
     bits[held["w"].to_numpy(dtype=np.int64)] = held["b"].to_numpy(dtype=np.int64).astype("<u4")
-    rows = docs.select(F.col(id_col).cast("long").alias("item"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text is not null")
-    ours = rows.mapInArrow(_windows(bits.tobytes(), sizes), _WINDOWS)
+    rows = docs.select(F.col(id_col).alias("item"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text is not null")
+    ours = rows.mapInArrow(_windows(bits.tobytes(), sizes or [WINDOW]), with_fields(rows.select("item").schema, _WINDOWS))
     ours = ours.select(F.col("item").alias("doc"), "text_hash", F.col("pos").alias("at"), "size", "h", F.col("slots").alias("found")).distinct()
 
     one = theirs.select("item", F.col("text_hash").alias("variant"), "pos", "size", "n_windows", "h", "slots").distinct()
     pairs = ours.join(one, ["h", "size"]).where(F.size("slots") == F.size("found")).withColumn("offset", F.col("at") - F.col("pos"))
-    # Within an occurrence each benchmark value must stand for one document value: the commonest is kept.
+    # Within an occurrence values must stand for each other one to one: the commonest are kept.
     text = ["doc", "text_hash", "item", "variant"]
     once = [*text, "offset"]
     mapped = pairs.select(*once, "pos", "n_windows", F.explode_outer(F.arrays_zip("slots", "found")).alias("m"))
     mapped = mapped.select(*once, "pos", "n_windows", F.col("m.slots").alias("was"), F.col("m.found").alias("now"))
     mapped = mapped.withColumn("n", F.count("*").over(Window.partitionBy(*once, "was", "now")))
     best = Window.partitionBy(*once, "was").orderBy(F.desc("n"), "now")
-    checked = mapped.withColumn("stands", F.first("now").over(best))
-    ok = F.col("was").isNull() | (F.col("stands") == F.col("now"))
+    back = Window.partitionBy(*once, "now").orderBy(F.desc("n"), "was")
+    checked = mapped.withColumns({"stands": F.first("now").over(best), "stood": F.first("was").over(back)})
+    ok = F.col("was").isNull() | ((F.col("stands") == F.col("now")) & (F.col("stood") == F.col("was")))
     same = F.coalesce(F.col("was") == F.col("now"), F.lit(True))
     windows = checked.groupBy(*once, "pos").agg(F.max("n_windows").alias("n_windows"), F.min(ok).alias("ok"), F.min(same).alias("same"))
     places = windows.where("ok").groupBy(*text, "pos").agg(F.max("n_windows").alias("n_windows"), F.max("same").alias("same"))

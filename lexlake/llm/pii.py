@@ -272,19 +272,19 @@ def _segments(text: Column) -> Column:
     return F.flatten(F.transform(cut(text, ANY), checked))
 
 
-def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the entities of the text replaced, and ``n_entities``.
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """``docs`` with the entities of the text replaced, and their number in ``count_col``.
 
     Texts without an entity, null and empty ones come back as they are, with 0
     entities. Equal texts, so repeated rows too, give equal results; ids play
-    no part. An empty table stays empty. A column n_entities is replaced; all
+    no part. An empty table stays empty. A column of that name is replaced; all
     other columns are kept.
     """
-    names = [c for c in docs.columns if c != "n_entities"]
+    names = [c for c in docs.columns if c != count_col]
     text = F.col(text_col)
     candidate = F.coalesce(text.rlike(_GUARD) & text.rlike(ANY), F.lit(False))
     docs = docs.select(*names)
-    clean = docs.where(~candidate).withColumn("n_entities", F.lit(0))
+    clean = docs.where(~candidate).withColumn(count_col, F.lit(0))
     # Two seeds: 128 bits stand for a text.
     digests = [F.xxhash64(text_col).alias("__a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__b")]
     held = docs.where(candidate)
@@ -294,7 +294,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mentions, others = found.where("real"), found.where("not real").select("__a", "__b", "pos", F.col("m").alias("put"), "real")
     table = surrogates(mentions.select("kind", "canon"), key)
     made = mentions.join(table, ["kind", "canon"]).select("__a", "__b", "pos", laid_out(F.col("kind"), F.col("m"), F.col("made")).alias("put"), "real")
-    lists = made.union(others).groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("__put"), F.count_if("real").cast("int").alias("n_entities"))
+    lists = made.union(others).groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("__put"), F.count_if("real").cast("int").alias(count_col))
     parts = F.zip_with(_segments(text)["lead"], F.col("__put.put"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     replaced = held.select("*", *digests).join(lists, ["__a", "__b"]).withColumn(text_col, F.array_join(parts, ""))
-    return replaced.select(*names, "n_entities").unionByName(clean)
+    return replaced.select(*names, count_col).unionByName(clean)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import NULL_KEY, checkpointed, if_small, order_key, partitions, range_bounds, range_of, short_batches, stored
+from lexlake.llm.common import LEAST_ID, checkpointed, if_small, partitions, range_bounds, range_of, row_key, short_batches, stored
 
 #: Shingles hashed at a time, for very long texts.
 _SLICE = 1 << 12
@@ -90,7 +90,7 @@ def simhash(text: str | None, size: int, lanes: int = 1, count: bool = False) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, count: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (id; null as the least long), text_hash, fp (bytes), and n_shingles
+    """key (``row_key``), text_hash, fp (bytes), and n_shingles
     (distinct ones) and set_hash if asked to ``count`` (else 0) of each row."""
     short_batches(docs.sparkSession)
 
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int = 1, count: bool = Fa
                 names=["key", "text_hash", "fp", "n_shingles", "set_hash"],
             )
 
-    rows = docs.select(order_key(id_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), text_col)
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), text_col)
     return rows.mapInArrow(run, "key long, text_hash long, fp binary, n_shingles long, set_hash long")
 
 
@@ -414,7 +414,8 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1,
     ``likeness``: least Jaccard similarity of two texts' shingle sets. Links
     within the radius are then only candidates, and each is verified by the sets
     themselves. Null text is empty text; texts without a word
-    have fingerprint zero and link like any other. Rows of one id are one node. A null id counts as the smallest. Equal fingerprints
+    have fingerprint zero and link like any other. Rows of one id are one node. Rows without an id are nodes of
+    their own for each text, and count as smaller than any id (ids lie above -2**62). Equal fingerprints
     are one node, so repeated rows and groups of copies cost one comparison. An
     empty table gives no rows. Other columns are ignored.
     """
@@ -426,7 +427,7 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1,
     if likeness:
         found = stored(found)
         wanted = stored(nodes.join(if_small(found.select("node")), "node", "left_semi").select("node", F.col("node").alias("key"), "text_hash", "fp"))
-        texts = docs.select(order_key(id_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+        texts = docs.select(row_key(id_col, text_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
         texts = texts.join(if_small(wanted), ["key", "text_hash"]).dropDuplicates(["node", "text_hash"])
         found = components(verified(texts, found, shingle, radius, likeness, coarse))
     named = nodes.join(found, "node", "left").select(F.col("size").alias("n_shingles"), "fp", "set_hash", F.coalesce("component", "node").alias("component"))
@@ -440,4 +441,4 @@ def hex_digits(fp: str = "fp") -> F.Column:
 
 def from_key(key: str) -> F.Column:
     """The id of a key: null again where it stands for null."""
-    return F.when(F.col(key) != NULL_KEY, F.col(key))
+    return F.when(F.col(key) >= LEAST_ID, F.col(key))

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on 200 documents and edge rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,20 +11,21 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
+import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexlake.llm import byte_tokens, common, decontamination, fingerprints, language_id, license_scan, pii, queries, simhash, token_counts, token_files
+from lexlake.llm import byte_tokens, chunks, common, decontamination, fingerprints, language_id, license_scan, pii, queries, simhash, token_counts, token_files
 
 EDGES = [
     None, "", " ", "  two  spaces ", "a", "\n\n x\t y \n", "Ünïcode ▁ marker ▁▁x", "emoji 😀 漢字 and é", "tab\tand\x00nul", "</s> <|endoftext|>",
     "Licensed under the Apache License, Version 2.0. Released under the MIT License, CC BY-NC", "under the mit license under the mit license",
-    "same text", "same text", "don't we're 12 345,6 -- ok", "12345 67890", "x" * 3000, "long " * 5000,
+    "same text", "same text", "don't we're 12 345,6 -- ok", "12345 67890", "x" * 3000, "long " * 5000, "½ ²", "x½y 3² Ⅷ",
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, key long, item_id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, key string, item_id long, text_hash string, lang_pred string, n_entities long"
 
 
 @pytest.fixture(scope="session")
@@ -31,8 +33,8 @@ def table(spark, sf_dir, tmp_path_factory):
     """A folder with the 200 documents, edge rows, a null id and repeated rows."""
     path = str(tmp_path_factory.mktemp("llm") / "sf")
     real = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = [(10_000 + 3 * i, t, "en" if i % 3 else None, "s", i, 0.5, "clash", 1, 2) for i, t in enumerate(EDGES)]
-    rows += [(None, "a null id here", None, None, None, None, None, None, None), (20_000, "repeated row", "en", "s", 1, None, None, None, None), (20_000, "repeated row", "en", "s", 1, None, None, None, None)]
+    rows = [(10_000 + 3 * i, t, "en" if i % 3 else None, "s", i, 0.5, "clash", "k", 2, "h", "xx", 99) for i, t in enumerate(EDGES)]
+    rows += [(None, "a null id here", *[None] * 10), *[(20_000, "repeated row", "en", "s", 1, *[None] * 7)] * 2]
     edges = spark.createDataFrame(rows, SCHEMA)
     real.unionByName(edges, allowMissingColumns=True).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
@@ -162,7 +164,58 @@ def test_op5_held_out_accuracy(spark, table, docs):
     for r in rows:
         d = r["doc_id"]
         assert r["held_out"] == (d is not None and zlib.crc32(str(d).encode()) % 3 == 1) and 0 <= r["score"] <= 1
-        assert (r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", texts[d] or ""))
+        assert (r["lang_pred"] == "und") == (not regex.search(r"\p{L}", texts[d] or "")), d
+
+
+def test_op5_equals_brute_force(spark, table):
+    rows = queries.documents(spark, table).select("doc_id", "text", "lang").collect()
+    words = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    grams = lambda w, k: [f"_{w}_"[i : i + k] for i in range(len(w) + 3 - k)]
+    count = {k: defaultdict(Counter) for k in range(6)}
+    for d, t, lang in rows:
+        if t is not None and lang is not None and (d is None or zlib.crc32(str(d).encode()) % 3 != 1):
+            for w in words(t):
+                count[0][lang][w] += 1
+                for k in range(1, 6):
+                    count[k][lang].update(grams(w, k))
+    total = {k: {lang: sum(c.values()) or 1 for lang, c in by.items()} for k, by in count.items()}
+    languages = sorted(count[0])
+    known = {k: {g for c in by.values() for g in c} for k, by in count.items()}
+
+    def value(k, g, lang):
+        n = count[k][lang][g]
+        return math.log(n / total[k][lang]) - math.log(language_id.NO_OCCURRENCE / max(total[k].values())) if n else 0.0
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op5_language_id(spark, table).collect()}
+    for d, t, _ in rows:
+        score, found = Counter(), words(t)
+        for w in found:
+            if w in known[0]:
+                pieces = [(0, w)]
+            else:
+                marked = f"_{w}_"
+                longest = ([(k, marked[i : i + k]) for k in range(5, 0, -1) if i + k <= len(marked) and marked[i : i + k] in known[k]][:1] for i in range(len(marked)))
+                pieces = [p for one in longest for p in one]
+            for k, g in pieces:
+                for lang in languages:
+                    score[lang] += (1.0 if k == 0 else 0.5 / len(pieces)) * value(k, g, lang)
+        if not found:
+            assert got[d] == ("und", 0.0)
+            continue
+        scale = min(1.0, 50 / len(found))
+        top = max(score[lang] for lang in languages) * scale
+        share = 1 / sum(math.exp(score[lang] * scale - top) for lang in languages)
+        assert got[d][1] == pytest.approx(share, rel=1e-6), d
+        assert score[got[d][0]] * scale == pytest.approx(top, abs=1e-9)
+
+
+def test_op5_fit_without_labels_and_with_many(spark):
+    none = language_id.fit(spark.createDataFrame([(1, "a", None), (2, None, "en")], "doc_id long, text string, lang string"))
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    docs = spark.createDataFrame([(i, f"wort{word(i)} der die das", f"l{i:03d}") for i in range(600)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.predict_language(docs, none).collect()} == {"und"}
+    found = language_id.predict_language(docs, language_id.fit(docs)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found) and len(found) == 600
 
 
 def test_op6_base_places(spark, table, docs):
@@ -379,6 +432,10 @@ def test_pipeline_stages(spark, table, docs):
     assert {r["doc_id"] for r in clean.collect()} == left - gone and gone
     private = common.stored(corpus_pipeline.replace_pii(spark, clean, table))
     assert private.columns == before.columns and private.count() == clean.count()
+    others = [c for c in before.columns if c not in ("text", "n_chars")]
+    was, row = {r["doc_id"]: r for r in before.select(others).collect()}, lambda df: df.select(others).collect()
+    for stage in (kept, unique, clean, private):
+        assert all(r == was[r["doc_id"]] for r in row(stage))
     last = corpus_pipeline.encode_pieces(spark, private, table).collect()
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_BPE)
     text = {r["doc_id"]: r["text"] for r in private.collect()}
@@ -450,7 +507,8 @@ def test_op7_and_op8_of_random_strings(monkeypatch):
     parts = ["a", "B", "é", "ß", " ", " ", " ", "  ", "\n", "\t", "'s", "'t", "'", "1", "22", "٣", "漢", "😀", ",", ".", "!!", "***", "<|endoftext|>", "<|endo", "\x00", "\x0b", "\x85", "ing", "the", "▁", "\u3000", "\u200b"]
     texts = [None, "", " ", "  ", *EDGES, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000))]
     _compare_with_library(lib, texts)
-    monkeypatch.setattr(byte_tokens, "SLICE_BYTES", 1)
+    whole = chunks.slices
+    monkeypatch.setattr(chunks, "slices", lambda texts: whole(texts, 1))
     monkeypatch.setattr(byte_tokens, "TABLE_CHUNKS", 0)
     byte_tokens._TABLES.clear()
     _compare_with_library(lib, texts[:600])
@@ -482,6 +540,75 @@ def test_op4_finds_several_variants_repeats_and_short_items(spark):
     assert {i for _, i in found} <= {1, 2, 3, 4, 5} and docs.count() == 10
 
 
+def _template(text):
+    """Template tokens by the definition, one token after another: (key, value)."""
+    out, before, opening = [], None, True
+    for token in re.findall(r"[^\W_]+(?:[.,]\d+)*|[.!?\n]", text or ""):
+        if token in ".!?\n":
+            opening = True
+            continue
+        if token[0].isdigit():
+            kind = "number"
+        elif token.lower() in decontamination.UNITS and before == "number":
+            kind = "unit"
+        elif token[0].isupper() and token[1:].islower() and not opening and token.lower() not in decontamination.UNITS:
+            kind = "name"
+        else:
+            kind = None
+        before, opening = "number" if token[0].isdigit() else None, False
+        if kind and out and out[-1][0] == ("slot", kind):
+            out[-1][1].append(token.lower())
+        else:
+            out.append((("slot", kind), [token.lower()]) if kind else (("word", token.lower()), [token.lower()]))
+    return [(key, " ".join(value)) for key, value in out]
+
+
+def _contamination(text, item):
+    """(windows, n_windows, exact) of an item's text in a document's text."""
+    doc, want = _template(text), _template(item)
+    size = min(8, len(want))
+    starts = [p for p in range(len(want) - size + 1) if sum(k[0] == "word" for k, _ in want[p : p + size]) >= 4]
+    found = defaultdict(list)
+    for p in starts:
+        for a in range(len(doc) - size + 1):
+            if [k for k, _ in doc[a : a + size]] == [k for k, _ in want[p : p + size]]:
+                found[a - p].append((p, [(w, d) for (k, w), (_, d) in zip(want[p : p + size], doc[a : a + size]) if k[0] == "slot"]))
+    ok = {}
+    for windows in found.values():
+        n = Counter(pair for _, slots in windows for pair in slots)
+        now = {w: min((-c, d) for (x, d), c in n.items() if x == w)[1] for w, _ in n}
+        was = {d: min((-c, w) for (w, x), c in n.items() if x == d)[1] for _, d in n}
+        for p, slots in windows:
+            if all(now[w] == d and was[d] == w for w, d in slots):
+                ok[p] = ok.get(p, False) or all(w == d for w, d in slots)
+    return len(ok), len(starts), all(ok.values())
+
+
+def test_op4_equals_brute_force(spark, table):
+    rng = random.Random(4)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{table}/benchmark.parquet").collect()][:20]
+    items += [
+        (900, "What colour is the deep sea?"), (901, "Add 3 apples to 4 pears and 5 plums, then take 6 away from all 7 of them."), (902, "Who was Anna Kern of Bonn and why did she meet Paul"),
+        (903, "A train runs 60 km in 2 hours and another runs 90 km in 3 hours before both stop"), (904, "too short"), (905, None), (906, "Give 5 to Ida and 5 to Eva for the work of this week please"),
+    ]
+    change = lambda t: re.sub(r"\d+", lambda m: str(rng.randint(1, 9)), t).replace("Anna", rng.choice(["Anna", "Maria"])).replace("Eva", rng.choice(["Eva", "Ida"]))
+    texts = [r["text"] for r in queries.documents(spark, table).where("doc_id < 100").collect()]
+    for _, t in [x for x in items if x[1]] * 3:
+        words = t.split()
+        part = " ".join(words[rng.randrange(3) : len(words) - rng.randrange(3)])
+        texts += [f"{rng.choice(texts) or ''} {change(rng.choice([t, part]))} {rng.choice(texts) or ''}", change(t), change(t) + " " + change(t)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    named = spark.createDataFrame([(f"mmlu-{i}", t) for i, t in items], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["windows"], r["n_windows"], r["exact"]) for r in decontamination.contaminated(docs, named).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        for item, t in items:
+            windows, n, exact = _contamination(text, t)
+            if windows and (windows / n >= 0.5 or windows >= 20):
+                want[f"d{i}", f"mmlu-{item}"] = (windows, n, exact)
+    assert got == want and len(want) > 100
+
+
 def test_pipeline_drops_contaminated_rows_not_ids(spark, tmp_path):
     item = "A farmer sold 48 kg of apples to Maria on Monday and then sold half as many pears to Maria for 12 euros each."
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
