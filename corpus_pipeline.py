@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.llm import decontamination, language_id, pieces, pii, simhash
-from lexlake.llm.common import if_small, order_key, stored
+from lexlake.llm.common import if_small, row_key, stored
 from lexlake.llm.queries import PIECE_BPE, PIECE_END, PII_KEY
 
 #: A document is rejected as undetermined, or if its language's share is below this.
@@ -25,31 +25,36 @@ SHINGLE, LANES, RADIUS, COARSE, LIKENESS = 5, 16, 240, 42, 0.8
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a determined language; null and letterless texts go."""
-    found = language_id.predict_language(docs, language_id.fit(docs))
-    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    found = language_id.predict_language(docs, language_id.fit(docs), pred_col="__lang", score_col="__score")
+    known = (F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)
     return found.where(known).select(*docs.columns)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """With names of the operators' own for a row's key and text."""
+    return docs.withColumns({"__key": row_key("doc_id", "text"), "__text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest id. Equal rows count once."""
     found = simhash.near_duplicates(docs, SHINGLE, RADIUS, LANES, LIKENESS, COARSE)
-    gone = stored(found.where("key <> component").select("key", "text_hash").distinct())
-    named = docs.withColumns({"key": order_key("doc_id"), "text_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    kept = named.join(if_small(gone), ["key", "text_hash"], "left_anti")
-    return kept.dropDuplicates(["key", "text_hash"]).select(*docs.columns)
+    gone = stored(found.where("key <> component").select(F.col("key").alias("__key"), F.col("text_hash").alias("__text")).distinct())
+    kept = _named(docs).join(if_small(gone), ["__key", "__text"], "left_anti")
+    return kept.dropDuplicates(["__key", "__text"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item, told apart by id and text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = stored(decontamination.of_texts(docs, benchmark).select(order_key("doc_id").alias("key"), "text_hash").distinct())
-    named = docs.withColumns({"key": order_key("doc_id"), "text_hash": F.xxhash64("text")})
-    return named.join(if_small(found), ["key", "text_hash"], "left_anti").select(*docs.columns)
+    found = stored(decontamination.of_texts(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct())
+    named = _named(docs)
+    gone = F.col("doc_id").eqNullSafe(F.col("__id")) & (named["__text"] == found["__text"])
+    return named.join(if_small(found), gone, "left_anti").select(*docs.columns)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, their entities replaced; n_chars is counted again."""
-    found = pii.replace_pii(docs, PII_KEY)
+    found = pii.replace_pii(docs, PII_KEY, count_col="__n_entities")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
