@@ -123,7 +123,7 @@ def classify_tax(title: Column, country: Column) -> Column:
     land = F.upper(F.coalesce(country, F.lit("")))
     out = F.when(land == "", "other").otherwise(F.concat(F.lower(land), F.lit("_other")))
     for key, of, words in reversed(R.TAX_TYPES):
-        hit = reduce(Column.__or__, [title.contains(w) for w in R.keywords_of(words)])
+        hit = reduce(Column.__or__, [title.contains(w) for w in words])
         out = F.when((land == of) & hit, key).otherwise(out)
     return out
 
@@ -177,11 +177,16 @@ def pcode(url: Column) -> Column:
     return F.when(found != "", F.upper(found))
 
 
+# Fixed value: what ends a notice's title.
+NOTICE_END = "(?:有关(?:事项|问题)?)?的?(?:公告|通知|决定|批复|规定|意见|办法|函)$"
+
+
 def core_title(title: Column) -> Column:
-    """Between 关于 and the notice suffix; the whole title if under 4 characters are left."""
-    cut = F.regexp_replace(title, "^.*?关于", "")
-    cut = F.trim(F.regexp_replace(cut, "的?(公告|通知|批复|决定|意见|函|通告)$", ""))
-    return F.when(F.length(cut) >= 4, cut).otherwise(title)
+    """What a notice is about: between 关于 and its ending, without 《》; the whole
+    title if under 4 characters are left."""
+    cut = F.regexp_replace(F.regexp_replace(F.trim(title), "^.*?关于", ""), NOTICE_END, "")
+    cut = F.regexp_replace(cut, "^[《》 　]+|[《》 　]+$", "")
+    return F.when(F.length(cut) >= 4, cut).otherwise(F.trim(title))
 
 
 def change_ratio(old: Column, new: Column) -> Column:

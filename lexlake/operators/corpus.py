@@ -109,7 +109,8 @@ def filter_refs(refs: DataFrame, tax_keys: list[str], corpus: DataFrame) -> tupl
 
 
 def change_evidence(changes: DataFrame, corpus: DataFrame, document_evidence: DataFrame | None = None) -> DataFrame:
-    """E5. (change_id, rank, origin, title, snippet, url, document_number, repealed):
+    """E5. (change_id, rank, origin, title, snippet, url, document_number, repealed,
+    written_date, aging, corpus_version):
     the numbers that the new text cites, then those in the node key, each once
     and in order, where the corpus has them. A change without any falls back to
     its document's evidence (document_id, rank, origin, title, snippet, url)."""
@@ -119,13 +120,13 @@ def change_evidence(changes: DataFrame, corpus: DataFrame, document_evidence: Da
     w = Window.partitionBy("change_id").orderBy("pos")
     out = rows.select(
         "change_id", F.row_number().over(w).alias("rank"), F.lit("corpus").alias("origin"), "title", F.substring("content", 1, SNIPPET).alias("snippet"), "url",
-        "document_number", is_repealed().alias("repealed"),
+        "document_number", is_repealed().alias("repealed"), F.date_format("written_date", "yyyy-MM-dd").alias("written_date"), "aging", "corpus_version",
     )
     if document_evidence is None:
         return out
     bare = changes.select("change_id", "document_id").join(out.select("change_id").distinct(), "change_id", "left_anti")
     more = bare.join(document_evidence, "document_id")
-    return out.union(more.select("change_id", "rank", "origin", "title", "snippet", "url", F.lit(None).cast("string"), F.lit(False)))
+    return out.unionByName(more.select("change_id", "rank", "origin", "title", "snippet", "url", F.lit(False).alias("repealed")), allowMissingColumns=True)
 
 
 def official_evidence(documents: DataFrame, library: DataFrame, n: int = 3, days: int = 90) -> DataFrame:
@@ -185,12 +186,47 @@ def citation_coverage(corpus: DataFrame) -> DataFrame:
     return found.agg(total.alias("citations"), known.alias("resolved"), F.round(F.try_divide(known, total), 6).alias("share"))
 
 
+# The wording of rendered evidence, by origin: heading, closing note.
+NO_EVIDENCE = "## 外部佐證\n\n（查無外部資料，請僅依條文原文分析，並據此下修 confidence）"
+EVIDENCE_PARTS = {
+    "corpus": ("## 法規原文（本地法規庫，可視為權威原文）", ""),
+    "official": (
+        "## 官方法規庫檢索結果（国家税务总局，官方來源）",
+        "ℹ️ 以上為官方法規庫的檢索結果：標題、文號與時效性為官方資料，可據以引用；但此處僅有摘要而非全文，若需引用具體條文內容，請於 citations 標註連結並說明未取得全文。\n\n",
+    ),
+    "search": ("## 網路搜尋結果（第三方摘要，非官方原文）", "⚠️ 以上為搜尋引擎結果，非官方原文。僅在與條文原文一致時採用；若與原文衝突，以原文為準並在分析中指出矛盾。"),
+}
+REPEALED_NOTE = "⚠️ 上列標記為廢止／失效的法規不得作為現行有效依據引用；若本次異動仍援引該法規，請在 risk_assessment 中指出。\n\n"
+
+
 def render_evidence(evidence: DataFrame) -> DataFrame:
-    """E10. change_id, text: the entries in order, numbered, repealed ones marked."""
-    mark = F.when(F.col("repealed"), F.lit("【已废止】")).otherwise("")
-    line = F.concat(F.col("rank").cast("string"), F.lit(". ["), "origin", F.lit("] "), mark, "title", F.lit("\n"), F.coalesce("snippet", F.lit("")))
-    entries = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
-    return evidence.groupBy("change_id").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n\n").alias("text"))
+    """E10. change_id, text: the entries by origin (corpus, official, search), each
+    numbered in rank order with number, date, status, snippet and address where
+    it has them; a part with repealed entries warns of them. An entry without
+    title or any other column counts as blank there."""
+    has = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in evidence.columns else F.lit("") for c in ("title", "document_number", "written_date", "aging", "corpus_version", "snippet", "url")}
+    repealed = F.coalesce(F.col("repealed"), F.lit(False)) if "repealed" in evidence.columns else F.lit(False)
+    searched, local = F.col("origin") == "search", F.col("origin") == "corpus"
+
+    def line(label: Column | str, value: Column, shown: Column | None = None) -> Column:
+        label = F.lit(label) if isinstance(label, str) else label
+        return F.when((value != "") if shown is None else shown, F.concat(F.lit("   "), label, F.lit("："), value, F.lit("\n"))).otherwise("")
+
+    date, stamp = line("成文日期", has["written_date"]), F.when(local & (has["corpus_version"] != ""), F.concat(F.lit("（截至 "), has["corpus_version"], F.lit("）"))).otherwise("")
+    aging = F.when(has["aging"] != "", F.concat(F.when(repealed, "⛔ ").otherwise(""), has["aging"], stamp)).otherwise("")
+    snippet = line(F.when(local, "原文節錄").otherwise("摘要"), has["snippet"])
+    details = F.when(searched, F.concat(snippet, line("時間", has["written_date"]), line("來源", has["url"], F.lit(True))))
+    details = details.otherwise(F.concat(line("文號", has["document_number"]), date, line("時效性", aging), snippet, line("來源", has["url"])))
+    body = F.concat(F.lit(". **"), has["title"], F.lit("**\n"), details, F.lit("\n"))
+    entries = F.sort_array(F.collect_list(F.struct("rank", body.alias("body"))))
+    numbered = F.array_join(F.transform(entries, lambda e, i: F.concat((i + 1).cast("string"), e["body"])), "")
+    parts = evidence.groupBy("change_id", "origin").agg(numbered.alias("entries"), F.bool_or(repealed).alias("warn"))
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for origin, v in EVIDENCE_PARTS.items() for x in (origin, v[i])]), F.col("origin"))
+    warning = F.when(F.col("warn") & (F.col("origin") != "search"), REPEALED_NOTE).otherwise("")
+    text = F.concat(of(0), F.lit("\n\n"), F.col("entries"), of(1), warning)
+    place = F.array_position(F.lit(list(EVIDENCE_PARTS)), F.col("origin"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), text.alias("text")))), lambda p: p["text"]), "")
+    return parts.groupBy("change_id").agg(F.regexp_replace(whole, r"(?U)\s+$", "").alias("text"))
 
 
 def search_evidence(results: DataFrame) -> DataFrame:

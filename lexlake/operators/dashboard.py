@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.operators.corpus import render_evidence
+from lexlake.operators.corpus import NO_EVIDENCE, render_evidence
 from lexlake.operators.graph import document_forest, entity_context
 from lexlake.operators.matrix import affected_cells
 from lexlake.operators.versions import change_texts, dated_at
@@ -17,19 +17,21 @@ def since(as_of: Column, days: int) -> Column:
     return as_of - F.make_dt_interval(F.lit(days))
 
 
-def tax_type_rollup(documents: DataFrame, snapshots: DataFrame, changes: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """D1. Per (country, tax_key): documents, versions, recent and critical
-    changes, latest version, days since, status (changed, fresh, stale, empty).
-    Versions and changes are counted per document first, then joined."""
-    seen = snapshots.groupBy("document_id").agg(F.count("*").alias("versions"), F.max("fetched_at").alias("latest"))
-    recent = changes.where(F.col("detected_at") >= since(as_of, days)).groupBy("document_id").agg(F.count("*").alias("recent"), F.count_if(F.col("severity") == "critical").alias("critical"))
+def tax_type_rollup(documents: DataFrame, snapshots: DataFrame, changes: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """D1. Per (country, tax_key): documents, versions, recent changes, critical
+    ones (critical or major), the latest dated version, full days since, status
+    (critical, changed, stable); most changes first, then by key. Versions and
+    changes are counted per document first, then joined."""
+    seen = snapshots.groupBy("document_id").agg(F.count("*").alias("versions"), F.max(dated_at()).alias("latest"))
+    severe = F.count_if(F.col("severity").isin("critical", "major"))
+    recent = changes.where(F.col("detected_at") >= since(as_of, days)).groupBy("document_id").agg(F.count("*").alias("recent"), severe.alias("critical"))
     rows = documents.select("document_id", "country", "tax_key").join(seen, "document_id", "left").join(recent, "document_id", "left")
     out = rows.groupBy("country", "tax_key").agg(
         F.count("*").alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("versions", "recent", "critical")], F.max("latest").alias("latest")
     )
-    age = F.datediff(as_of, "latest")
-    status = F.when(F.col("recent") > 0, "changed").when(F.col("latest").isNull(), "empty").when(age <= days, "fresh").otherwise("stale")
-    return out.withColumns({"days_since": age, "status": status}).orderBy(F.desc("critical"), F.desc("recent"), "country", "tax_key")
+    age = F.floor((as_of.cast("double") - F.col("latest").cast("double")) / 86_400).cast("int")
+    status = F.when(F.col("critical") > 0, "critical").when(F.col("recent") > 0, "changed").otherwise("stable")
+    return out.withColumns({"days_since": age, "status": status}).orderBy(F.desc("recent"), "tax_key", "country")
 
 
 def tax_type_summary(tax_key: str, documents: DataFrame, snapshots: DataFrame, provisions: DataFrame, changes: DataFrame, analyses: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
@@ -48,15 +50,16 @@ def tax_type_tree(tax_key: str, documents: DataFrame) -> DataFrame:
     return document_forest(documents.where(F.col("tax_key") == tax_key))
 
 
-def dashboard_stats(documents: DataFrame, changes: DataFrame, analyses: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """D3. One row of headline figures."""
+def dashboard_stats(documents: DataFrame, snapshots: DataFrame, sources: DataFrame, changes: DataFrame, analyses: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """D3. One row of headline figures: tax types, documents, snapshots, enabled
+    sources, and of the changes in the window their number, those without an
+    analysis and the mean confidence."""
     docs = documents.agg(F.count("*").alias("documents"), F.countDistinct("tax_key").alias("tax_types"))
-    marked = changes.select("change_id", "detected_at").join(analyses.select("change_id", "confidence"), "change_id", "left")
-    rows = marked.agg(
-        F.count("*").alias("changes"), F.count_if(F.col("detected_at") >= since(as_of, days)).alias("recent"),
-        F.count_if(F.col("confidence").isNull()).alias("unanalysed"), F.round(F.avg("confidence"), 6).alias("confidence"),
-    )
-    return docs.crossJoin(rows)  # one row each
+    enabled = sources.where("enabled") if "enabled" in sources.columns else sources
+    marked = changes.where(F.col("detected_at") >= since(as_of, days)).select("change_id").join(analyses.select("change_id", "confidence", F.lit(True).alias("analysed")), "change_id", "left")
+    rows = marked.agg(F.countDistinct("change_id").alias("recent"), F.count_if(F.col("analysed").isNull()).alias("unanalysed"), F.round(F.avg("confidence"), 3).alias("confidence"))
+    counted = snapshots.agg(F.count("*").alias("snapshots")).crossJoin(enabled.agg(F.count("*").alias("sources")))
+    return docs.crossJoin(counted).crossJoin(rows)  # one row each
 
 
 def list_changes(changes: DataFrame, documents: DataFrame, snapshots: DataFrame, as_of: Column, days: int, country: str | None = None, tax_key: str | None = None, severity: str | None = None, limit: int | None = None) -> DataFrame:
@@ -91,12 +94,12 @@ def list_runs(runs: DataFrame, n: int) -> DataFrame:
     return runs.withColumn("seconds", F.round(took, 3)).orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
 
 
-def run_health(runs: DataFrame, n: int) -> DataFrame:
-    """D6. One row over the latest n runs: runs, succeeded, failed, success_rate."""
-    ok = F.count_if(F.col("status") == "success")
-    return list_runs(runs, n).agg(
-        F.count("*").alias("runs"), ok.alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.try_divide(ok, F.count("*")), 6).alias("success_rate")
-    )
+def run_health(runs: DataFrame, n: int = 100) -> DataFrame:
+    """D6. One row over the latest n runs: total, success_rate (completed ones, to
+    three places; null without runs), failed, running."""
+    of = lambda status: F.count_if(F.col("status") == status)
+    rate = F.round(F.try_divide(of("completed"), F.count("*")), 3)
+    return list_runs(runs, n).agg(F.count("*").alias("total"), rate.alias("success_rate"), of("failed").alias("failed"), of("running").alias("running"))
 
 
 def analysis_inputs(changes: DataFrame, documents: DataFrame, provisions: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -105,7 +108,8 @@ def analysis_inputs(changes: DataFrame, documents: DataFrame, provisions: DataFr
     context = entity_context(changes.select(F.col("node_key").alias("entity_key")), relations)
     lists = context.groupBy("entity_key").pivot("role", ["parent_law", "child", "sibling"]).agg(F.sort_array(F.collect_set("other")))
     rows = rows.withColumn("entity_key", norm_key(F.col("node_key"))).join(lists, "entity_key", "left")
-    return rows.join(render_evidence(evidence).withColumnRenamed("text", "evidence"), "change_id", "left")
+    rows = rows.join(render_evidence(evidence).withColumnRenamed("text", "evidence"), "change_id", "left")
+    return rows.withColumn("evidence", F.coalesce("evidence", F.lit(NO_EVIDENCE)))
 
 
 def run_stats(documents: DataFrame, snapshots: DataFrame, changes: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexlake import refdata as R
 from lexlake.functions.citations import extract_citations
@@ -170,7 +173,7 @@ def resolve_policy_basis(rows: DataFrame, provisions: DataFrame) -> DataFrame:
 def _worst_changes(changes: DataFrame) -> DataFrame:
     """The most severe change of each provision; of equals the first by id."""
     rank = F.element_at(R.mapped(R.SEVERITIES), F.col("severity"))
-    best = F.max_by(F.struct("change_id", "change_type", "severity", "detected_at"), F.struct(rank, -F.col("change_id"))).alias("c")
+    best = F.max_by(F.struct("change_id", "document_id", "node_key", "change_type", "severity", "detected_at"), F.struct(rank, -F.col("change_id"))).alias("c")
     return changes.groupBy(norm_key(F.col("node_key")).alias("key")).agg(best)
 
 
@@ -178,20 +181,24 @@ def _cited(fields: DataFrame) -> DataFrame:
     return fields.select("requirement_id", "field_key", F.posexplode(F.transform("citations", lambda c: c["node_key"])).alias("pos", "node_key")).withColumn("key", norm_key(F.col("node_key")))
 
 
-def stale_cells(fields: DataFrame, changes: DataFrame) -> DataFrame:
+def stale_cells(fields: DataFrame, changes: DataFrame, documents: DataFrame) -> DataFrame:
     """R3. requirement_id, field_key, change_id, reason of the cells to flag:
     derivable, not flagged yet, and citing a changed provision; the first
-    citation that changed gives the reason."""
+    citation that changed gives the reason, with its document's title."""
     open_ = fields.where(derivable() & ~F.col("needs_review"))
     hits = _cited(open_).join(_worst_changes(changes), "key")
-    first = hits.groupBy("requirement_id", "field_key").agg(F.min_by(F.struct("node_key", "c"), "pos").alias("h"))
-    reason = F.concat_ws(" ", "h.node_key", "h.c.change_type", "h.c.severity")
-    return first.select("requirement_id", "field_key", F.col("h.c.change_id").alias("change_id"), reason.alias("reason"))
+    first = hits.groupBy("requirement_id", "field_key").agg(F.min_by("c", "pos").alias("c")).select("requirement_id", "field_key", "c.*")
+    first = first.join(documents.select("document_id", "title"), "document_id", "left")
+    label = F.coalesce(F.try_element_at(R.mapped(R.FIELD_LABELS), F.col("field_key")), F.col("field_key"))
+    day = F.coalesce(F.date_format("detected_at", "yyyy-MM-dd"), F.lit(""))
+    # Fixed value: the wording of the reason.
+    reason = F.format_string("%s 所依據的 %s（%s）於 %s 偵測到%s 異動（%s），請重新確認。", label, "node_key", F.coalesce("title", F.lit("來源法規")), day, "change_type", "severity")
+    return first.select("requirement_id", "field_key", "change_id", reason.alias("reason"))
 
 
-def flag_stale(fields: DataFrame, requirements: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def flag_stale(fields: DataFrame, requirements: DataFrame, changes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R3 applied: (fields, requirements) with the flags, the rows' status stale."""
-    stale = stale_cells(fields, changes)
+    stale = stale_cells(fields, changes, documents)
     out = fields.join(stale, ["requirement_id", "field_key"], "left")
     hit = F.col("change_id").isNotNull()
     out = out.withColumns({"needs_review": hit | F.col("needs_review"), "review_reason": F.coalesce("reason", "review_reason"), "stale_change_id": F.coalesce("change_id", "stale_change_id")})
@@ -223,12 +230,15 @@ def list_requirements(requirements: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.na.fill(0, ["n_fields", "n_cited", "n_review"]).orderBy(F.desc("n_review"), "scenario", "requirement_id")
 
 
-def requirement_detail(requirements: DataFrame, fields: DataFrame) -> DataFrame:
-    """R6. Every row × the eleven columns, missing cells marked. The specs are
-    eleven rows; each row is exploded in place."""
+def requirement_detail(requirements: DataFrame, fields: DataFrame, changes: DataFrame) -> DataFrame:
+    """R6. Every row × the eleven columns, missing cells marked, with the node key
+    and severity of the change that made a cell stale. The specs are eleven
+    rows; each row is exploded in place."""
     specs = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("field_key")) for i, (k, _) in enumerate(R.FIELD_SPECS)]))
     rows = requirements.select("requirement_id", specs.alias("s")).select("requirement_id", "s.*")
-    return rows.join(fields, ["requirement_id", "field_key"], "left").withColumn("is_missing", F.col("value").isNull())
+    linked = changes.select(F.col("change_id").alias("stale_change_id"), F.col("node_key").alias("change_node_key"), F.col("severity").alias("change_severity"))
+    rows = rows.join(fields, ["requirement_id", "field_key"], "left").withColumn("is_missing", F.col("value").isNull())
+    return rows.join(linked, "stale_change_id", "left")
 
 
 def review_queue(fields: DataFrame, requirements: DataFrame, country: str | None = None, tax_key: str | None = None) -> DataFrame:
@@ -260,53 +270,103 @@ def apply_reviews(fields: DataFrame, requirements: DataFrame, decisions: DataFra
     return out.select(*fields.columns), rows.select(*requirements.columns)
 
 
+#: Why a merged cell is to be reviewed.
+CONFLICT, UNCITED = "多個批次給出不同內容，已合併待人工確認", "無條文依據，需人工確認"
+UNKNOWN_DIMENSION, MISSING_DIMENSION = "含未知的身分維度值", "身分維度值缺漏"
+_MERGED = f"struct<written:boolean,value:string,citations:{CITATIONS},confidence:double,needs_review:boolean,review_reason:string>"
+
+
 def merge_extracted(extracted: DataFrame, fields: DataFrame, allowed_nodes: DataFrame) -> DataFrame:
     """R9. extracted (requirement_id, batch_no, row_no, field_key, value,
-    confidence, citations) merged into fields.
+    confidence, citations, and where known unknown_dimensions and
+    missing_dimensions) merged into fields.
 
     Citations count only if their node was supplied; quotes are cut. In a batch
-    the first duplicate of a cell wins; several batches' different values are
-    joined by a line and flagged as a conflict; citations unite (first sighting
-    first); the highest confidence counts. Human cells (manual, import) are
-    never overwritten, cited ones never by uncited ones.
+    the first duplicate of a cell wins, and blank values don't count. The first
+    batch that writes a cell replaces it: uncited values have confidence 0 and
+    are flagged. Later batches add a line unless the text holds their value
+    already, which is a conflict; citations unite and the highest confidence
+    counts. Uncited values never touch a cited cell, nor any a human one
+    (manual, import). Rows with dimension issues flag the cell. A written cell
+    is no longer stale. A cell has at most one value a batch, so what is folded
+    in one row is as long as the run has batches.
     """
-    known = allowed_nodes.select(F.col("node_key").alias("node")).distinct()
     cell = ["requirement_id", "field_key"]
     w = Window.partitionBy(*cell, "batch_no").orderBy("row_no")
-    rows = extracted.where(F.trim("value") != "").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    cites = rows.select(*cell, "batch_no", F.posexplode("citations").alias("pos", "c")).join(known, F.col("c.node_key") == F.col("node"))
-    cites = cites.groupBy(*cell, F.col("c.node_key").alias("node_key")).agg(F.min(F.struct("batch_no", "pos", F.substring("c.quote", 1, QUOTE_LENGTH).alias("quote"))).alias("v"))
-    united = cites.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("v.batch_no", "v.pos", "node_key", "v.quote"))).alias("l"))
-    united = united.select(*cell, F.transform("l", lambda x: F.struct(x["node_key"].alias("node_key"), x["quote"].alias("quote"))).alias("new_citations"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("batch_no", F.trim("value").alias("value")))), lambda x: x["value"])
-    values = rows.groupBy(*cell).agg(F.array_distinct(ordered).alias("values"), F.max("confidence").alias("new_confidence")).join(united, cell, "left")
-    values = values.withColumn("new_citations", F.coalesce("new_citations", F.array().cast(CITATIONS)))
-    both = fields.join(values, cell, "full_outer")
+    issues = [(c, text) for c, text in (("unknown_dimensions", UNKNOWN_DIMENSION), ("missing_dimensions", MISSING_DIMENSION)) if c in extracted.columns]
+    issue = F.concat_ws("、", *[F.when(F.col(c), text) for c, text in issues]) if issues else F.lit("")
+    rows = extracted.where(F.trim("value") != "").withColumn("r", F.row_number().over(w)).where("r = 1")
+    rows = rows.select(*cell, "batch_no", F.trim("value").alias("value"), "confidence", "citations", issue.alias("issue"))
+    known = allowed_nodes.select(F.col("node_key").alias("node")).distinct()
+    cites = rows.select(*cell, "batch_no", F.posexplode("citations").alias("pos", "c")).join(known, F.trim("c.node_key") == F.col("node"))
+    quote = F.substring(F.trim(F.coalesce("c.quote", F.lit(""))), 1, QUOTE_LENGTH)
+    kept = F.sort_array(F.collect_list(F.struct("pos", F.struct(F.col("node").alias("node_key"), quote.alias("quote")).alias("c"))))
+    cites = cites.groupBy(*cell, "batch_no").agg(F.transform(kept, lambda x: x["c"]).alias("cites"))
+    rows = rows.join(cites, [*cell, "batch_no"], "left").withColumn("cites", F.coalesce("cites", F.array().cast(CITATIONS)))
+    batches = rows.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("batch_no", "value", "confidence", "cites", "issue"))).alias("batches"))
+
+    def united(old: Column, new: Column) -> Column:
+        def add(held: Column, c: Column) -> Column:
+            return F.when(F.exists(held, lambda h: h["node_key"] == c["node_key"]), held).otherwise(F.array_append(held, c))
+
+        return F.aggregate(new, old, add)
+
+    def put(a: Column, x: Column) -> Column:
+        cited = F.size(x["cites"]) > 0
+        more = a["written"] & (a["value"] != "")
+        conflict = more & ~F.contains(a["value"], x["value"])
+        confidence = F.when(cited, x["confidence"]).otherwise(0.0)
+        reason = F.when(conflict, CONFLICT).when(more, a["review_reason"]).when(~cited, UNCITED).otherwise("")
+        flagged = F.when(reason == "", x["issue"]).otherwise(F.concat(reason, F.lit("（"), x["issue"], F.lit("）")))
+        has_issue = x["issue"] != ""
+        out = F.struct(
+            F.lit(True).alias("written"),
+            F.when(~more, x["value"]).when(conflict, F.concat(a["value"], F.lit("\n"), x["value"])).otherwise(a["value"]).alias("value"),
+            F.when(more, united(a["citations"], x["cites"])).otherwise(x["cites"]).alias("citations"),
+            F.when(more, F.greatest(a["confidence"], confidence)).otherwise(confidence).alias("confidence"),
+            (has_issue | F.when(more, a["needs_review"] | conflict).otherwise(~cited)).alias("needs_review"),
+            F.when(has_issue, flagged).otherwise(reason).alias("review_reason"),
+        )
+        return F.when((F.size(a["citations"]) > 0) & ~cited, a).otherwise(out.cast(_MERGED))
+
+    both = fields.join(batches, cell, "full_outer")
     human = F.coalesce(F.col("source").isin("manual", "import"), F.lit(False))
-    worse = F.coalesce((F.size("citations") > 0) & (F.size("new_citations") == 0), F.lit(False))
-    take = F.col("values").isNotNull() & ~human & ~worse
-    conflict = F.size("values") > 1
-    set_ = lambda c, v: F.when(take, v).otherwise(F.col(c)).alias(c)
+    start = F.struct(
+        F.lit(False).alias("written"), F.coalesce("value", F.lit("")).alias("value"), F.coalesce("citations", F.array().cast(CITATIONS)).alias("citations"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"), F.coalesce("review_reason", F.lit("")).alias("review_reason"),
+    ).cast(_MERGED)
+    nothing = F.array().cast(batches.schema["batches"].dataType)
+    both = both.withColumn("m", F.aggregate(F.when(human | F.col("batches").isNull(), nothing).otherwise(F.col("batches")), start, put))
+    written = F.col("m.written")
     return both.select(
-        *cell, set_("value", F.array_join("values", "\n")), set_("citations", F.col("new_citations")), set_("confidence", F.col("new_confidence")), set_("source", F.lit("extracted")),
-        set_("needs_review", conflict), set_("review_reason", F.when(conflict, "conflict").otherwise("")), "stale_change_id",
+        *cell, *[F.when(written, F.col(f"m.{c}")).otherwise(F.col(c)).alias(c) for c in ("value", "citations", "confidence")], F.when(written, "extracted").otherwise(F.col("source")).alias("source"),
+        *[F.when(written, F.col(f"m.{c}")).otherwise(F.col(c)).alias(c) for c in ("needs_review", "review_reason")], F.when(~written, F.col("stale_change_id")).alias("stale_change_id"),
     ).select(*fields.columns)
 
 
 def pack_batches(blocks: DataFrame, budget: int = 20_000) -> DataFrame:
     """R10. blocks (document_id, pos, size) with batch_no: next-fit in order under
-    a budget of characters; an over-long block stands alone. One document's
-    sizes are folded in one array of numbers; texts don't take part."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<pos:int,batch_no:int>>").alias("out"))
-
-    def put(a: Column, x: Column) -> Column:
-        opens = (a["used"] > 0) & (a["used"] + x["size"] > budget)
-        n = a["n"] + opens.cast("int")
-        return F.struct(F.when(opens, x["size"]).otherwise(a["used"] + x["size"]).alias("used"), n.alias("n"), F.array_append(a["out"], F.struct(x["pos"].alias("pos"), n.alias("batch_no"))).alias("out"))
-
-    ordered = F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("size").cast("long").alias("size"))))
-    packed = blocks.groupBy("document_id").agg(F.aggregate(ordered, start, put, lambda a: a["out"]).alias("o"))
-    return packed.select("document_id", F.explode("o").alias("o")).select("document_id", "o.pos", "o.batch_no")
+    a budget of characters; an over-long block stands alone. One pass over the
+    sorted sizes of a partition's documents, which holds one running sum; texts
+    don't take part."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, used, n = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for d, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if d != document:
+                    document, used, n = d, 0, 0
+                elif used > 0 and used + size > budget:
+                    used, n = 0, n + 1
+                used += size
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(numbers, pa.int32())], names=["document_id", "pos", "batch_no"])
+
+    rows = blocks.select("document_id", F.col("pos").cast("int").alias("pos"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    ordered = rows.repartition("document_id").sortWithinPartitions("document_id", "pos")
+    schema = StructType([*rows.select("document_id", "pos").schema.fields, StructField("batch_no", IntegerType())])
+    return ordered.mapInArrow(pack, schema)
 
 
 def extraction_coverage(extracted: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.functions.citations import numeral
 from lexlake.functions.markup import parse
 from lexlake.functions.text import normalize_text
+from lexlake.refdata import CN_DIGITS, CN_UNITS
 
 SCHEMA = "source_key string, external_id string, title string, ordinal int, node_key string, heading string, text string"
 Provision = tuple[str, str, str]  # node_key, heading, text
@@ -30,7 +30,7 @@ _CHROME = (
     ".tools, .toolbar, .share, .download, .subscribe, .btn-group, .action-bar, .article-tools, .sidebar, .aside, .nav, .breadcrumb, .menu, .font-size, "
     ".fontsize, .related, .relation, .associated, .footer, .copyright, .qrcode, .scan, .annotation-panel"
 )
-_CHROME_LINKS = set("下载文字版 下载图片版 打印 下载 收藏 订阅 分享 纠错或建议 历史沿革 关联解读 关联文件 关联问答".split())
+_CHROME_LINKS = {"下载文字版", "下载图片版", "打印", "下载", "收藏", "订阅", "分享", "纠错或建议", "历史沿革", "关联解读", "关联文件", "关联问答"}
 _CHROME_TEXT = re.compile(
     "下载文字版|下载图片版|字体:\\s*【[大中小]】|【大】\\s*【中】\\s*【小】|分享到:|收藏\\s*订阅|已推送.*?我的订阅|此稿件无标签.*?订阅更多|语音播报:|扫一扫在手机打开当前页"
     "|【打印】\\s*【下载】|纠错或建议|历史沿革|关联解读|关联文件|关联问答|关于《.*?》的解读|个人中心-我的订阅|进入\\s*\"?订阅设置\"?"
@@ -40,6 +40,17 @@ _ARTICLES = re.compile(r"(第[一二三四五六七八九十百千零〇两]+条
 _NUMBERED = re.compile(r"([一二三四五六七八九十]+)、")
 
 
+_PLACES = re.compile(f"([{''.join(CN_DIGITS)}]*)([{''.join(CN_UNITS)}]?)")
+
+
+def numeral(text: str) -> str:
+    """A Chinese numeral in Arabic digits; other texts pass through."""
+    if not text or not set(text) <= CN_DIGITS.keys() | CN_UNITS.keys():
+        return text
+    places = ((CN_DIGITS[d[-1]] if d else 0, u) for d, u in _PLACES.findall(text))
+    return str(sum((value or 1) * CN_UNITS[u] if u else value for value, u in places))
+
+
 def clean(text: str) -> str:
     """The text normaliser on one string (C: same folding as normalize_text)."""
     text = unicodedata.normalize("NFKC", text).replace("\r\n", "\n")

@@ -70,7 +70,7 @@ def _docs(d: Dialect) -> str:
 
 def _sources(d: Dialect) -> str:
     return """SELECT concat('n', CAST(n_nationkey AS STRING)) AS source_key,
-      CASE n_nationkey % 3 WHEN 0 THEN 'TW' WHEN 1 THEN 'CN' ELSE 'US' END AS country FROM {nation}"""
+      CASE n_nationkey % 3 WHEN 0 THEN 'TW' WHEN 1 THEN 'CN' ELSE 'US' END AS country, n_nationkey % 4 <> 3 AS enabled FROM {nation}"""
 
 
 def _snaps(d: Dialect) -> str:
@@ -181,7 +181,7 @@ def _cited(d: Dialect) -> str:
 
 
 def _runs(d: Dialect) -> str:
-    return f"""SELECT event_id AS run_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS status, CAST(ts AS TIMESTAMP) AS started_at,
+    return f"""SELECT event_id AS run_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'completed' END AS status, CAST(ts AS TIMESTAMP) AS started_at,
       {d.ts(d.epoch("ts") + " + CAST(floor(value) AS BIGINT)")} AS finished_at FROM {{events}}"""
 
 

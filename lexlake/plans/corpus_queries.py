@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lexlake.operators import corpus as C
 from lexlake.plans.bindings import AS_OF, DAY0, bound, with_ctes
-from lexlake.plans.text_queries import _classified
+from lexlake.plans.text_queries import _classified, _core_cut
 
 _NUMBER = "CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('财税〔', CAST(2000 + doc_id % 25 AS VARCHAR), '〕', CAST(doc_id AS VARCHAR), '号') END"
 _INFERRED = _classified("title", "'CN'")
 _KEYS = f"CASE doc_id % 6 WHEN 0 THEN 'cn_vat|cn_collection' WHEN 1 THEN 'cn_enterprise_income' WHEN 2 THEN 'cn_property' WHEN 4 THEN 'cn_stamp' ELSE CASE WHEN {_INFERRED} = 'cn_other' THEN '' ELSE {_INFERRED} END END"
 _WRITTEN = "CASE doc_id % 4 WHEN 0 THEN concat('2024-0', CAST(1 + doc_id % 9 AS VARCHAR), '-15') WHEN 1 THEN concat('2023-0', CAST(1 + doc_id % 9 AS VARCHAR), '-03') WHEN 2 THEN concat('2022-0', CAST(1 + doc_id % 9 AS VARCHAR), '-07') END"
-_CORPUS = with_ctes("corpus_rows") + f", k AS (SELECT doc_id, title, content, aging, {_NUMBER} AS document_number, {_KEYS} AS keys, {_WRITTEN} AS written FROM corpus_rows WHERE doc_id % 50 <> 49)"
+_URL = "CASE WHEN doc_id % 2 = 0 THEN concat('http://fgk.example.org/zcfgk/c', CAST(100000 + doc_id AS VARCHAR), '/content.html') ELSE concat('http://x.example.org/', CAST(10000000 + doc_id AS VARCHAR), '/') END"
+_CORPUS = with_ctes("corpus_rows") + f", k AS (SELECT doc_id, title, content, aging, {_NUMBER} AS document_number, {_KEYS} AS keys, {_WRITTEN} AS written, {_URL} AS url FROM corpus_rows WHERE doc_id % 50 <> 49)"
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +94,9 @@ def e5_change_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir).select("change_id", "rank", "origin", "title", "document_number", "repealed")
 
 
-_EVIDENCE = _CORPUS + """, c AS (SELECT d.document_id, d.title, d.external_id FROM docs d), n AS (SELECT document_id, 1 AS pos, external_id AS document_number FROM c WHERE document_id % 3 > 0 UNION ALL SELECT document_id, 2, '财税〔2001〕1号' FROM c WHERE document_id % 3 > 0 AND document_id <> 1),
-  h AS (SELECT n.document_id AS change_id, CAST(row_number() OVER (PARTITION BY n.document_id ORDER BY pos) AS INT) AS rank, k.title, k.document_number, k.aging, k.content FROM n JOIN k ON k.document_number = n.document_number),
-  e AS (SELECT change_id, rank, 'corpus' AS origin, title, document_number, aging IN ('全文废止', '全文失效') AS repealed, substr(content, 1, 600) AS snippet FROM h UNION ALL SELECT document_id, 1, 'search', title, NULL, false, 's' FROM c WHERE document_id NOT IN (SELECT change_id FROM h))"""
+_EVIDENCE = _CORPUS + """, c AS (SELECT d.document_id, d.title, d.external_id, d.url FROM docs d), n AS (SELECT document_id, 1 AS pos, external_id AS document_number FROM c WHERE document_id % 3 > 0 UNION ALL SELECT document_id, 2, '财税〔2001〕1号' FROM c WHERE document_id % 3 > 0 AND document_id <> 1),
+  h AS (SELECT n.document_id AS change_id, CAST(row_number() OVER (PARTITION BY n.document_id ORDER BY pos) AS INT) AS rank, k.title, k.document_number, k.aging, k.content, k.written, k.url FROM n JOIN k ON k.document_number = n.document_number),
+  e AS (SELECT change_id, rank, 'corpus' AS origin, title, document_number, aging IN ('全文废止', '全文失效') AS repealed, substr(content, 1, 600) AS snippet, written, aging, url FROM h UNION ALL SELECT document_id, 1, 'search', title, NULL, false, 's', NULL, NULL, url FROM c WHERE document_id NOT IN (SELECT change_id FROM h))"""
 _EVIDENCE = _EVIDENCE.replace("WITH ", with_ctes("docs").rstrip() + ", ", 1)
 E5_SQL = _EVIDENCE + " SELECT change_id, rank, origin, title, document_number, repealed FROM e"
 
@@ -104,7 +105,12 @@ def e10_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.render_evidence(_evidence(spark, sf_dir)).select("change_id", F.sha2("text", 256).alias("sha"))
 
 
-E10_SQL = _EVIDENCE + """ SELECT change_id, sha256(string_agg(concat(CAST(rank AS VARCHAR), '. [', origin, '] ', CASE WHEN repealed THEN '【已废止】' ELSE '' END, title, chr(10), snippet), concat(chr(10), chr(10)) ORDER BY rank)) AS sha FROM e GROUP BY 1"""
+_LINE = "CASE WHEN coalesce({0}, '') <> '' THEN concat('   {1}：', {0}, chr(10)) ELSE '' END"
+_CORPUS_ENTRY = f"""concat({_LINE.format("document_number", "文號")}, {_LINE.format("written", "成文日期")}, concat('   時效性：', CASE WHEN repealed THEN '⛔ ' ELSE '' END, aging, '（截至 v1）', chr(10)), {_LINE.format("snippet", "原文節錄")}, {_LINE.format("url", "來源")})"""
+_SEARCH_ENTRY = f"""concat({_LINE.format("snippet", "摘要")}, {_LINE.format("url", "來源")})"""
+E10_SQL = _EVIDENCE + f""", g AS (SELECT change_id, origin, bool_or(repealed) AS warn, string_agg(concat(CAST(rank AS VARCHAR), '. **', title, '**', chr(10), CASE origin WHEN 'corpus' THEN {_CORPUS_ENTRY} ELSE {_SEARCH_ENTRY} END, chr(10)), '' ORDER BY rank) AS body FROM e GROUP BY 1, 2)
+  SELECT change_id, sha256(regexp_replace(CASE origin WHEN 'corpus' THEN concat('{C.EVIDENCE_PARTS["corpus"][0]}', chr(10), chr(10), body, CASE WHEN warn THEN '{C.REPEALED_NOTE.strip()}' ELSE '' END)
+    ELSE concat('{C.EVIDENCE_PARTS["search"][0]}', chr(10), chr(10), body, '{C.EVIDENCE_PARTS["search"][1]}') END, '\\s+$', '')) AS sha FROM g"""
 
 
 def e6_official(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +122,7 @@ def e6_official(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.official_evidence(asked, lib, 3, 90)
 
 
-E6_SQL = with_ctes("docs") + f""", d AS (SELECT *, CASE WHEN length(c) >= 4 THEN c ELSE title END AS core, CAST(document_id % 1000 AS INT) AS day FROM (SELECT *, regexp_replace(regexp_replace(title, '^.*?关于', ''), '的?(公告|通知|批复|决定|意见|函|通告)$', '') AS c FROM docs) x), l AS (SELECT title, external_id AS num, CAST(document_id * 7 % 1000 AS INT) AS pub FROM docs),
+E6_SQL = with_ctes("docs") + f""", d AS (SELECT *, CASE WHEN length(c) >= 4 THEN c ELSE trim(title) END AS core, CAST(document_id % 1000 AS INT) AS day FROM (SELECT *, {_core_cut("title")} AS c FROM docs) x), l AS (SELECT title, external_id AS num, CAST(document_id * 7 % 1000 AS INT) AS pub FROM docs),
   h AS (SELECT d.document_id, l.title, l.num, l.pub FROM d JOIN l ON l.num = d.external_id WHERE d.document_id % 3 > 0 UNION ALL SELECT d.document_id, l.title, l.num, l.pub FROM d JOIN l ON contains(l.title, d.core) AND abs(d.day - l.pub) <= 90 WHERE d.document_id % 3 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pub DESC, encode(title), encode(num)) AS rank FROM h) SELECT document_id, rank, title, num AS document_number FROM r WHERE rank <= 3"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.operators import dashboard as D
+from lexlake.operators.corpus import EVIDENCE_PARTS, NO_EVIDENCE
 from lexlake.operators import normalize as N
 from lexlake.plans.bindings import AS_OF, DAY0, DUCK, bound, with_ctes
 from lexlake.plans.matrix_queries import _CELLS
@@ -33,9 +34,10 @@ def d1_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("latest", F.unix_timestamp("latest"))
 
 
-D1_SQL = with_ctes("docs", "snaps", "changes") + f""", {_DOCS}, s AS (SELECT document_id, count(*) AS n, max(fetched_at) AS l FROM snaps GROUP BY 1), c AS (SELECT document_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS k FROM changes WHERE detected_at >= {_CUT} GROUP BY 1),
+D1_SQL = with_ctes("docs", "snaps", "changes") + f""", {_DOCS}, s AS (SELECT document_id, count(*) AS n, max(coalesce(issued_at, fetched_at)) AS l FROM snaps GROUP BY 1),
+  c AS (SELECT document_id, count(*) AS n, count(*) FILTER (severity IN ('critical', 'major')) AS k FROM changes WHERE detected_at >= {_CUT} GROUP BY 1),
   g AS (SELECT country, tax_key, count(*) AS documents, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS versions, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS recent, CAST(coalesce(sum(c.k), 0) AS BIGINT) AS critical, max(s.l) AS l FROM dt LEFT JOIN s USING (document_id) LEFT JOIN c USING (document_id) GROUP BY 1, 2)
-  SELECT country, tax_key, documents, versions, recent, critical, {DUCK.epoch("l")} AS latest, CAST(date_diff('day', l, {_AS_OF}) AS INT) AS days_since, CASE WHEN recent > 0 THEN 'changed' WHEN l IS NULL THEN 'empty' WHEN date_diff('day', l, {_AS_OF}) <= 10 THEN 'fresh' ELSE 'stale' END AS status FROM g"""
+  SELECT country, tax_key, documents, versions, recent, critical, {DUCK.epoch("l")} AS latest, CAST(floor((epoch({_AS_OF}) - epoch(l)) / 86400) AS INT) AS days_since, CASE WHEN critical > 0 THEN 'critical' WHEN recent > 0 THEN 'changed' ELSE 'stable' END AS status FROM g"""
 
 
 def d2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +50,12 @@ D2_SQL = with_ctes("docs", "snaps", "prov", "changes", "analyses") + f""", {_DOC
 
 
 def d3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.dashboard_stats(_docs(spark, sf_dir), bound(spark, sf_dir, "changes"), bound(spark, sf_dir, "analyses"), as_of(), 10)
+    of = lambda name: bound(spark, sf_dir, name)
+    return D.dashboard_stats(_docs(spark, sf_dir), of("snaps"), of("sources"), of("changes"), of("analyses"), as_of(), 10)
 
 
-D3_SQL = with_ctes("docs", "changes", "analyses") + f""", {_DOCS} SELECT (SELECT count(*) FROM dt) AS documents, (SELECT count(DISTINCT tax_key) FROM dt) AS tax_types, count(*) AS changes, count(*) FILTER (detected_at >= {_CUT}) AS recent, count(*) FILTER (confidence IS NULL) AS unanalysed,
-  round(avg(confidence), 6) AS confidence FROM changes LEFT JOIN analyses USING (change_id)"""
+D3_SQL = with_ctes("docs", "snaps", "sources", "changes", "analyses") + f""", {_DOCS} SELECT (SELECT count(*) FROM dt) AS documents, (SELECT count(DISTINCT tax_key) FROM dt) AS tax_types, (SELECT count(*) FROM snaps) AS snapshots,
+  (SELECT count(*) FROM sources WHERE enabled) AS sources, count(*) AS recent, count(*) FILTER (summary IS NULL) AS unanalysed, round(avg(confidence), 3) AS confidence FROM changes LEFT JOIN analyses USING (change_id) WHERE detected_at >= {_CUT}"""
 
 
 def d4_list_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +72,13 @@ D4_SQL = with_ctes("docs", "snaps", "changes", "flat_fields") + f""", {_DOCS}, {
 
 
 def d5_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = bound(spark, sf_dir, "changes").where("change_id % 10 = 0")
+    changes = bound(spark, sf_dir, "changes")
     out = D.change_detail(changes, _docs(spark, sf_dir), bound(spark, sf_dir, "prov"), bound(spark, sf_dir, "analyses"), bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements"))
     return out.select("change_id", "title", "summary", "confidence", "affected", F.sha2("new_text", 256).alias("new_sha"))
 
 
 D5_SQL = with_ctes("docs", "changes", "analyses", "flat_fields", "prov") + f""", {_CELLS}, n AS (SELECT k, count(DISTINCT (requirement_id, field_key)) AS affected FROM ci GROUP BY 1)
-  SELECT c.change_id, d.title, a.summary, a.confidence, coalesce(n.affected, 0) AS affected, sha256(p.text) AS new_sha FROM changes c LEFT JOIN docs d USING (document_id) LEFT JOIN analyses a ON a.change_id = c.change_id LEFT JOIN n ON n.k = c.node_key LEFT JOIN prov p ON p.snapshot_id = c.to_snapshot_id AND p.node_key = c.node_key WHERE c.change_id % 10 = 0"""
+  SELECT c.change_id, d.title, a.summary, a.confidence, coalesce(n.affected, 0) AS affected, sha256(p.text) AS new_sha FROM changes c LEFT JOIN docs d USING (document_id) LEFT JOIN analyses a ON a.change_id = c.change_id LEFT JOIN n ON n.k = c.node_key LEFT JOIN prov p ON p.snapshot_id = c.to_snapshot_id AND p.node_key = c.node_key"""
 
 
 def d6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,21 +93,22 @@ def d6_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.run_health(bound(spark, sf_dir, "runs"), 200)
 
 
-D6B_SQL = with_ctes("runs") + "SELECT count(*) AS runs, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'success') / count(*), 6) AS success_rate FROM (SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 200) x"
+D6B_SQL = with_ctes("runs") + """SELECT count(*) AS total, round(count(*) FILTER (status = 'completed') / count(*), 3) AS success_rate, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running
+  FROM (SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 200) x"""
 
 
 def d7_analysis_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of keys in the sparse graph, with their context lists."""
     changes = bound(spark, sf_dir, "changes").withColumn("node_key", F.concat(F.lit("K"), F.col("change_id") % 300))
-    evidence = bound(spark, sf_dir, "docs").select(F.col("document_id").alias("change_id"), F.lit(1).alias("rank"), F.lit("corpus").alias("origin"), "title", F.lit("s").alias("snippet"), F.lit(False).alias("repealed"))
+    evidence = bound(spark, sf_dir, "docs").select(F.col("document_id").alias("change_id"), F.lit(1).alias("rank"), F.lit("search").alias("origin"), "title", F.lit("s").alias("snippet"), "url")
     out = D.analysis_inputs(changes, _docs(spark, sf_dir), bound(spark, sf_dir, "prov"), bound(spark, sf_dir, "thin"), evidence)
     join = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     return out.select("change_id", "title", join("parent_law"), join("child"), join("sibling"), "evidence")
 
 
-D7_SQL = with_ctes("docs", "changes", "thin") + """, k AS (SELECT change_id, document_id, concat('K', CAST(change_id % 300 AS VARCHAR)) AS e FROM changes), p AS (SELECT from_key AS e, string_agg(DISTINCT to_key, ',' ORDER BY to_key) AS l FROM thin GROUP BY 1), c AS (SELECT to_key AS e, string_agg(DISTINCT from_key, ',' ORDER BY from_key) AS l FROM thin GROUP BY 1),
+D7_SQL = with_ctes("docs", "changes", "thin") + f""", k AS (SELECT change_id, document_id, concat('K', CAST(change_id % 300 AS VARCHAR)) AS e FROM changes), p AS (SELECT from_key AS e, string_agg(DISTINCT to_key, ',' ORDER BY to_key) AS l FROM thin GROUP BY 1), c AS (SELECT to_key AS e, string_agg(DISTINCT from_key, ',' ORDER BY from_key) AS l FROM thin GROUP BY 1),
   s AS (SELECT t.from_key AS e, string_agg(DISTINCT u.from_key, ',' ORDER BY u.from_key) AS l FROM thin t JOIN thin u ON u.to_key = t.to_key AND u.from_key <> t.from_key GROUP BY 1)
-  SELECT k.change_id, d.title, coalesce(p.l, '') AS parent_law, coalesce(c.l, '') AS child, coalesce(s.l, '') AS sibling, '1. [corpus] ' || x.title || chr(10) || 's' AS evidence FROM k LEFT JOIN docs d USING (document_id) LEFT JOIN docs x ON x.document_id = k.change_id LEFT JOIN p ON p.e = k.e LEFT JOIN c ON c.e = k.e LEFT JOIN s ON s.e = k.e"""
+  SELECT k.change_id, d.title, coalesce(p.l, '') AS parent_law, coalesce(c.l, '') AS child, coalesce(s.l, '') AS sibling, CASE WHEN x.title IS NULL THEN '{NO_EVIDENCE}' ELSE '{EVIDENCE_PARTS["search"][0]}' || chr(10) || chr(10) || '1. **' || x.title || '**' || chr(10) || '   摘要：s' || chr(10) || '   來源：' || x.url || chr(10) || chr(10) || '{EVIDENCE_PARTS["search"][1]}' END AS evidence FROM k LEFT JOIN docs d USING (document_id) LEFT JOIN docs x ON x.document_id = k.change_id LEFT JOIN p ON p.e = k.e LEFT JOIN c ON c.e = k.e LEFT JOIN s ON s.e = k.e"""
 
 
 def d8_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +163,7 @@ S2_SQL = with_ctes("docs") + f"SELECT concat('G', lpad(CAST(document_id AS VARCH
 
 def s3_policy_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with blank, repeated and undated rows."""
-    docs = bound(spark, sf_dir, "docs").where("document_id % 4 <> 3")
+    docs = bound(spark, sf_dir, "docs")
     rows = docs.select(
         F.col("document_id").alias("seq"), F.when(F.col("document_id") % 10 == 0, " ").otherwise(F.concat("title", F.when(F.col("document_id") % 2 == 0, F.col("external_id")).otherwise(""))).alias("title"),
         F.concat(F.lit("http://x.example.org/c"), (F.col("document_id") / 2).cast("int") + 100_000, F.lit("/content.html")).alias("url"), F.date_format("issued_at", "yyyy-MM-dd HH:mm:ss").alias("pubDate"),
@@ -169,7 +173,7 @@ def s3_policy_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 S3_SQL = with_ctes("docs") + f""", e AS (SELECT document_id AS seq, CASE WHEN document_id % 10 = 0 THEN NULL ELSE concat(title, CASE WHEN document_id % 2 = 0 THEN external_id ELSE '' END) END AS title, concat('https://x.example.org/c', CAST(document_id // 2 + 100000 AS VARCHAR), '/content.html') AS url, issued_at,
-  CASE WHEN document_id % 2 = 0 THEN external_id WHEN document_id % 3 = 0 THEN concat('I', CAST(document_id AS VARCHAR)) ELSE concat('c', CAST(document_id // 2 + 100000 AS VARCHAR)) END AS external_id FROM docs WHERE document_id % 4 <> 3),
+  CASE WHEN document_id % 2 = 0 THEN external_id WHEN document_id % 3 = 0 THEN concat('I', CAST(document_id AS VARCHAR)) ELSE concat('c', CAST(document_id // 2 + 100000 AS VARCHAR)) END AS external_id FROM docs),
   u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS r FROM e WHERE title IS NOT NULL AND issued_at >= {DUCK.ts(str(DAY0 + 20 * 86_400))}) x WHERE r = 1)
   SELECT external_id, title, url FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY seq) AS k FROM u) y WHERE k = 1"""
 

@@ -33,7 +33,7 @@ def _cited_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g1_citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = G.citation_edges(_cited_provisions(spark, sf_dir), _keyed(spark, sf_dir))
-    return edges.where("relation_type <> 'interprets'").select("from_key", "to_key", "relation_type")
+    return edges.select("from_key", "to_key", "relation_type")
 
 
 def _cites(where: str = "") -> str:
@@ -44,7 +44,7 @@ UNION SELECT concat('D', CAST(doc_id AS VARCHAR), '#2'), concat('财税〔', CAS
 UNION SELECT concat('D', CAST(doc_id AS VARCHAR), '#2'), concat(tw_law, '#', CAST(a AS VARCHAR), '-2'), 'amends', doc_id FROM cited WHERE kind = 3"""
 
 
-G1_SQL = with_ctes("cited") + f"SELECT from_key, to_key, relation_type FROM ({_cites()}) x"
+G1_SQL = with_ctes("cited") + f", k AS ({_cites()}) SELECT from_key, to_key, relation_type FROM k UNION SELECT from_key, to_key, 'interprets' FROM k"
 
 
 def g2_hierarchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,29 +113,29 @@ R1_SQL = with_ctes("requirements") + """SELECT CASE WHEN requirement_id % 2 = 0
 
 def r2_policy_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The citation texts against provisions that hold half of the articles."""
-    cited = bound(spark, sf_dir, "cited").where("kind = 3")
-    have = cited.where("a % 2 = 0").select(F.concat("tw_law", F.lit("#"), "a", F.lit("-2")).alias("node_key"))
+    cited = bound(spark, sf_dir, "cited")
+    have = cited.where("kind = 3 AND a % 2 = 0").select(F.concat("tw_law", F.lit("#"), "a", F.lit("-2")).alias("node_key"))
     return M.resolve_policy_basis(cited.select(F.col("doc_id").alias("row_id"), F.col("text").alias("basis")), have)
 
 
-R2_SQL = with_ctes("cited") + "SELECT doc_id AS row_id, concat(tw_law, '#', CAST(a AS VARCHAR), '-2') AS node_key, a % 2 = 0 AS resolved FROM cited WHERE kind = 3"
-
-
-def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bound(spark, sf_dir, "changes").where("change_id % 3 = 0")
+R2_SQL = with_ctes("cited") + """, k AS (SELECT doc_id, concat(tw_law, '#', CAST(a AS VARCHAR)) AS n FROM cited WHERE kind = 0 UNION SELECT doc_id, concat(tw_law, '#', CAST(b AS VARCHAR)) FROM cited WHERE kind = 0
+  UNION SELECT doc_id, cn_law FROM cited WHERE kind = 1 UNION SELECT doc_id, concat('财税〔', CAST(y AS VARCHAR), '〕', CAST(a AS VARCHAR), '号') FROM cited WHERE kind = 2 UNION SELECT doc_id, concat(tw_law, '#', CAST(a AS VARCHAR), '-2') FROM cited WHERE kind = 3)
+  SELECT doc_id AS row_id, n AS node_key, n IN (SELECT concat(tw_law, '#', CAST(a AS VARCHAR), '-2') FROM cited WHERE kind = 3 AND a % 2 = 0) AS resolved FROM k"""
 
 
 def r3_stale_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.stale_cells(bound(spark, sf_dir, "fields"), _recent(spark, sf_dir)).select("requirement_id", "field_key", "change_id")
+    return M.stale_cells(bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "changes"), bound(spark, sf_dir, "docs"))
 
 
-_WORST = f"wc AS (SELECT node_key, change_id FROM (SELECT *, row_number() OVER (PARTITION BY node_key ORDER BY {_RANK} DESC, change_id) AS r FROM changes WHERE change_id % 3 = 0) x WHERE r = 1)"
-_STALE = f"{_CELLS}, {_WORST}, st AS (SELECT requirement_id, field_key, change_id FROM (SELECT ci.*, wc.change_id, row_number() OVER (PARTITION BY requirement_id, field_key ORDER BY pos) AS r FROM ci JOIN wc ON wc.node_key = ci.k WHERE NOT needs_review AND {_HARD}) y WHERE r = 1)"
-R3_SQL = with_ctes("flat_fields", "changes") + f", {_STALE} SELECT requirement_id, field_key, change_id FROM st"
+_WORST = f"wc AS (SELECT node_key, change_id, document_id, change_type, severity, detected_at FROM (SELECT *, row_number() OVER (PARTITION BY node_key ORDER BY {_RANK} DESC, change_id) AS r FROM changes) x WHERE r = 1)"
+_STALE = f"{_CELLS}, {_WORST}, st AS (SELECT * FROM (SELECT ci.*, wc.change_id, wc.node_key, wc.document_id, wc.change_type, wc.severity, wc.detected_at, row_number() OVER (PARTITION BY requirement_id, field_key ORDER BY pos) AS r FROM ci JOIN wc ON wc.node_key = ci.k WHERE NOT needs_review AND {_HARD}) y WHERE r = 1)"
+_LABEL = "CASE field_key " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.FIELD_LABELS.items()) + " END"
+R3_SQL = with_ctes("flat_fields", "changes", "docs") + f""", {_STALE} SELECT requirement_id, field_key, change_id,
+  concat({_LABEL}, ' 所依據的 ', node_key, '（', coalesce(title, '來源法規'), '）於 ', strftime(detected_at, '%Y-%m-%d'), ' 偵測到', change_type, ' 異動（', severity, '），請重新確認。') AS reason FROM st LEFT JOIN docs USING (document_id)"""
 
 
 def r3_flag_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields, req = M.flag_stale(bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements"), _recent(spark, sf_dir))
+    fields, req = M.flag_stale(bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements"), bound(spark, sf_dir, "changes"), bound(spark, sf_dir, "docs"))
     flagged = fields.groupBy("requirement_id").agg(F.count_if("needs_review").alias("flagged"))
     return req.join(flagged, "requirement_id").select("requirement_id", "status", "flagged")
 
@@ -145,11 +145,11 @@ R3B_SQL = with_ctes("flat_fields", "changes", "requirements") + f""", {_STALE} S
 
 
 def r4_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.affected_cells(_recent(spark, sf_dir).select("node_key"), bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements"))
+    out = M.affected_cells(bound(spark, sf_dir, "changes").select("node_key"), bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements"))
     return out.select(F.col("key").alias("node_key"), "requirement_id", "field_key", "needs_review", "country", "tax_key")
 
 
-R4_SQL = with_ctes("flat_fields", "changes", "requirements") + f", {_CELLS} SELECT DISTINCT ci.k AS node_key, ci.requirement_id, ci.field_key, ci.needs_review, r.country, r.tax_key FROM ci JOIN (SELECT DISTINCT node_key FROM changes WHERE change_id % 3 = 0) c ON c.node_key = ci.k JOIN requirements r ON r.requirement_id = ci.requirement_id"
+R4_SQL = with_ctes("flat_fields", "changes", "requirements") + f", {_CELLS} SELECT DISTINCT ci.k AS node_key, ci.requirement_id, ci.field_key, ci.needs_review, r.country, r.tax_key FROM ci JOIN (SELECT DISTINCT node_key FROM changes) c ON c.node_key = ci.k JOIN requirements r ON r.requirement_id = ci.requirement_id"
 
 
 def r5_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +163,13 @@ R5_SQL = with_ctes("requirements", "flat_fields") + """SELECT r.requirement_id,
 
 def r6_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = bound(spark, sf_dir, "fields").where("(requirement_id + length(field_key)) % 3 <> 0")
-    return M.requirement_detail(bound(spark, sf_dir, "requirements"), fields).select("requirement_id", "ordinal", "field_key", "value", "is_missing")
+    fields = fields.withColumn("stale_change_id", F.when(F.col("needs_review"), F.col("requirement_id")))
+    out = M.requirement_detail(bound(spark, sf_dir, "requirements"), fields, bound(spark, sf_dir, "changes"))
+    return out.select("requirement_id", "ordinal", "field_key", "value", "is_missing", "change_node_key", "change_severity")
 
 
-R6_SQL = with_ctes("flat_fields") + f"""SELECT requirement_id, CAST(list_position({[k for k, _ in R.FIELD_SPECS]}, field_key) - 1 AS INT) AS ordinal, field_key, CASE WHEN (requirement_id + length(field_key)) % 3 <> 0 THEN value END AS value, (requirement_id + length(field_key)) % 3 = 0 AS is_missing FROM flat_fields"""
+R6_SQL = with_ctes("flat_fields", "changes") + f"""SELECT requirement_id, CAST(list_position({[k for k, _ in R.FIELD_SPECS]}, field_key) - 1 AS INT) AS ordinal, field_key, CASE WHEN kept THEN value END AS value, NOT kept AS is_missing, c.node_key AS change_node_key, c.severity AS change_severity
+  FROM (SELECT *, (requirement_id + length(field_key)) % 3 <> 0 AS kept FROM flat_fields) f LEFT JOIN changes c ON f.kept AND f.needs_review AND c.change_id = f.requirement_id"""
 
 
 def r7_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,22 +193,31 @@ R8_SQL = with_ctes("flat_fields") + """SELECT requirement_id, CASE WHEN requirem
 
 
 def r9_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches for every cell of even rows: equal values, or a conflict; the
-    second batch repeats a row, one citation in two is not allowed."""
-    fields = bound(spark, sf_dir, "fields")
+    """Two batches for every cell of even rows: the second's value is part of the
+    first's, or a conflict; the second batch repeats a row, one citation in two
+    is not allowed, and every fifth row has an unknown dimension."""
+    fields = bound(spark, sf_dir, "fields").withColumn("stale_change_id", F.col("requirement_id"))
     base = fields.where("requirement_id % 2 = 0").select("requirement_id", "field_key", F.explode(F.array(*[F.struct(F.lit(b).alias("batch_no"), F.lit(r).alias("row_no")) for b, r in ((1, 1), (2, 1), (2, 2))])).alias("s"))
-    value = F.when((F.col("requirement_id") % 4 == 0) & (F.col("s.batch_no") == 2), F.concat(F.lit("b"), "s.row_no")).otherwise("a")
+    second = F.when(F.col("requirement_id") % 4 == 0, F.concat(F.lit("z"), "s.row_no")).otherwise(" b ")
+    value = F.when(F.col("s.batch_no") == 2, second).otherwise("abc")
     cite = F.when(F.length("field_key") % 2 == 0, F.array(F.struct(F.lit("N1").alias("node_key"), F.lit("q" * 40).alias("quote")), F.struct(F.lit("N2").alias("node_key"), F.lit("z").alias("quote")))).otherwise(F.array().cast(M.CITATIONS))
-    rows = base.select("requirement_id", "field_key", "s.batch_no", "s.row_no", value.alias("value"), (F.col("s.batch_no") / 10).alias("confidence"), cite.alias("citations"))
+    unknown = (F.col("requirement_id") % 5 == 0) & (F.col("s.batch_no") == 2)
+    rows = base.select("requirement_id", "field_key", "s.batch_no", "s.row_no", value.alias("value"), (F.col("s.batch_no") / 10).alias("confidence"), cite.alias("citations"), unknown.alias("unknown_dimensions"))
     allowed = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("N"), "r_regionkey").alias("node_key")).where("node_key <> 'N2'")
     out = M.merge_extracted(rows, fields, allowed)
     quote = F.coalesce(F.length(F.try_element_at("citations", F.lit(1))["quote"]), F.lit(0))
-    return out.select("requirement_id", "field_key", "value", "source", "confidence", "needs_review", F.size("citations").cast("long").alias("n_citations"), quote.cast("long").alias("quote_length"))
+    return out.select(
+        "requirement_id", "field_key", "value", "source", "confidence", "needs_review", "review_reason", F.size("citations").cast("long").alias("n_citations"), quote.cast("long").alias("quote_length"),
+        F.col("stale_change_id").isNotNull().alias("stale"),
+    )
 
 
-R9_SQL = with_ctes("flat_fields") + r"""SELECT requirement_id, field_key, CASE WHEN t AND requirement_id % 4 = 0 THEN concat('a', chr(10), 'b1') WHEN t THEN 'a' ELSE value END AS value, CASE WHEN t THEN 'extracted' ELSE source END AS source, CASE WHEN t THEN 0.2 ELSE confidence END AS confidence,
-  CASE WHEN t THEN requirement_id % 4 = 0 ELSE needs_review END AS needs_review, CASE WHEN t THEN CASE WHEN e THEN 1 ELSE 0 END ELSE n END AS n_citations, CASE WHEN t THEN CASE WHEN e THEN 30 ELSE 0 END WHEN n > 0 THEN 2 ELSE 0 END AS quote_length
-  FROM (SELECT *, requirement_id % 2 = 0 AND source NOT IN ('manual', 'import') AND NOT (n > 0 AND NOT e) AS t FROM (SELECT *, length(field_key) % 2 = 0 AS e, CAST(c1 IS NOT NULL AS BIGINT) + CAST(c2 IS NOT NULL AS BIGINT) AS n FROM flat_fields) x) y"""
+R9_SQL = with_ctes("flat_fields") + f"""SELECT requirement_id, field_key, CASE WHEN t AND z THEN concat('abc', chr(10), 'z1') WHEN t THEN 'abc' ELSE value END AS value, CASE WHEN t THEN 'extracted' ELSE source END AS source,
+  CASE WHEN t AND e THEN 0.2 WHEN t THEN 0.0 ELSE confidence END AS confidence, CASE WHEN t THEN z OR NOT e OR u ELSE needs_review END AS needs_review,
+  CASE WHEN NOT t THEN '' WHEN u AND w = '' THEN '{M.UNKNOWN_DIMENSION}' WHEN u THEN concat(w, '（{M.UNKNOWN_DIMENSION}）') ELSE w END AS review_reason,
+  CASE WHEN t THEN CASE WHEN e THEN 1 ELSE 0 END ELSE n END AS n_citations, CASE WHEN t THEN CASE WHEN e THEN 30 ELSE 0 END WHEN n > 0 THEN 2 ELSE 0 END AS quote_length, NOT t AS stale
+  FROM (SELECT *, requirement_id % 2 = 0 AND source NOT IN ('manual', 'import') AND NOT (n > 0 AND NOT e) AS t, CASE WHEN z THEN '{M.CONFLICT}' WHEN NOT e THEN '{M.UNCITED}' ELSE '' END AS w
+    FROM (SELECT *, length(field_key) % 2 = 0 AS e, requirement_id % 4 = 0 AS z, requirement_id % 5 = 0 AS u, CAST(c1 IS NOT NULL AS BIGINT) + CAST(c2 IS NOT NULL AS BIGINT) AS n FROM flat_fields) x) y"""
 
 
 def r10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

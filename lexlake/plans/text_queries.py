@@ -73,6 +73,11 @@ def _first_hit(text: str, table: list[tuple[str, str]], otherwise: str = "NULL")
     return "CASE " + " ".join(f"WHEN contains({text}, '{k}') THEN '{v}'" for k, v in table) + f" ELSE {otherwise} END"
 
 
+def _core_cut(title: str) -> str:
+    ending = "(有关|有关事项|有关问题)?的?(公告|通知|决定|批复|规定|意见|办法|函)$"
+    return f"regexp_replace(regexp_replace(regexp_replace(trim({title}), '^.*?关于', ''), '{ending}', ''), '^[《》 　]+|[《》 　]+$', '', 'g')"
+
+
 _parent = "CASE " + " ".join(
     f"WHEN ends_with(k, '{s}') AND length(k) > {len(s)} AND regexp_matches(left(k, length(k) - {len(s)}), '(法|條例|条例|通則|通则)$') THEN left(k, length(k) - {len(s)})" for s in R.CHILD_SUFFIXES
 ) + " END"
@@ -83,10 +88,10 @@ C5_SQL = with_ctes("docs") + f"""SELECT document_id, k AS entity_key, {_parent}
   {_first_hit("title", R.TITLE_DOC_TYPES, "'announcement'")} AS guessed_type,
   CASE WHEN ends_with(title, '法') AND NOT contains(title, '办法') THEN 'law' WHEN ends_with(title, '条例') THEN 'regulation' WHEN regexp_matches(title, '(细则|办法|规则)$') THEN 'rule'
     WHEN regexp_matches(title, '公告|通知|批复') THEN 'notice' ELSE 'unknown' END AS level,
-  CASE WHEN {_SUFFIXED} THEN b END AS law_name, CASE WHEN length(c) >= 4 THEN c ELSE title END AS core
+  CASE WHEN {_SUFFIXED} THEN b END AS law_name, CASE WHEN length(c) >= 4 THEN c ELSE trim(title) END AS core
 FROM (SELECT *, regexp_extract(title, '《([一-鿿]{{4,30}}(?:法|條例|条例))》', 1) AS q, regexp_replace(title, '^中华人民共和国', '') AS b,
   regexp_replace(regexp_replace(regexp_replace(title, '\\s', '', 'g'), '[《》]', '', 'g'), '^中华人民共和国', '') AS k,
-  regexp_replace(regexp_replace(title, '^.*?关于', ''), '的?(公告|通知|批复|决定|意见|函|通告)$', '') AS c FROM docs) x"""
+  {_core_cut("title")} AS c FROM docs) x"""
 
 
 def c4_document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,7 @@ C4_SQL = with_ctes("docs") + r"""SELECT document_id, CASE WHEN document_id % 2 =
 
 
 def _classified(title: str, country: str) -> str:
-    whens = " ".join(f"WHEN {country} = '{of}' AND (" + " OR ".join(f"contains({title}, '{w}')" for w in R.keywords_of(words)) + f") THEN '{key}'" for key, of, words in R.TAX_TYPES)
+    whens = " ".join(f"WHEN {country} = '{of}' AND (" + " OR ".join(f"contains({title}, '{w}')" for w in words) + f") THEN '{key}'" for key, of, words in R.TAX_TYPES)
     return f"CASE {whens} ELSE concat(lower({country}), '_other') END"
 
 
@@ -153,15 +158,17 @@ C15_SQL = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('https://fgk.ex
 
 def c22_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    found = bound(spark, sf_dir, "cited").select("doc_id", F.explode(extract_citations("text", none, none)).alias("c"))
-    return found.where("c.relation_type <> 'interprets'").select("doc_id", "c.entity_key", "c.relation_type")
+    found = bound(spark, sf_dir, "cited").select("doc_id", F.explode(extract_citations(F.col("text"), none, none)).alias("c"))
+    return found.select("doc_id", "c.entity_key", "c.relation_type")
 
 
-C22_SQL = with_ctes("cited") + """SELECT doc_id, concat(tw_law, '#', CAST(a AS VARCHAR)) AS entity_key, 'authority_of' AS relation_type FROM cited WHERE kind = 0
+#: What the texts cite, by kind, with the relation that the words around it tell. Each is interpreted as well.
+CITED_SQL = """SELECT doc_id, concat(tw_law, '#', CAST(a AS VARCHAR)) AS entity_key, 'authority_of' AS relation_type FROM cited WHERE kind = 0
 UNION SELECT doc_id, concat(tw_law, '#', CAST(b AS VARCHAR)), 'authority_of' FROM cited WHERE kind = 0
 UNION SELECT doc_id, cn_law, 'authority_of' FROM cited WHERE kind = 1
 UNION SELECT doc_id, concat('财税〔', CAST(y AS VARCHAR), '〕', CAST(a AS VARCHAR), '号'), 'supersedes' FROM cited WHERE kind = 2
 UNION SELECT doc_id, concat(tw_law, '#', CAST(a AS VARCHAR), '-2'), 'amends' FROM cited WHERE kind = 3"""
+C22_SQL = with_ctes("cited") + f", k AS ({CITED_SQL}) SELECT doc_id, entity_key, relation_type FROM k UNION SELECT doc_id, entity_key, 'interprets' FROM k"
 
 
 def c12_classify_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ V8_SQL = with_ctes("snaps", "prov") + """, p AS (SELECT document_id, snapshot_id
 
 
 def _twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bound(spark, sf_dir, "docs").where("document_id < 20")
+    return bound(spark, sf_dir, "docs")
 
 
 def v9_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def v9_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 V9_SQL = with_ctes("docs", "snaps", "prov", "changes") + f""", p AS (SELECT snapshot_id, count(*) AS n FROM prov GROUP BY 1), c AS (SELECT to_snapshot_id AS snapshot_id, count(*) AS n FROM changes GROUP BY 1), s AS (SELECT *, coalesce(issued_at, fetched_at) AS dated FROM snaps)
   SELECT s.document_id, d.title, concat('v', CAST(row_number() OVER (PARTITION BY s.document_id ORDER BY dated, s.snapshot_id) AS VARCHAR)) AS version, s.snapshot_id, {DUCK.epoch("dated")} AS dated_at, s.issued_at IS NOT NULL AS official,
   coalesce(p.n, 0) AS n_provisions, coalesce(c.n, 0) AS n_changes, {DUCK.epoch("min(s.fetched_at) OVER (PARTITION BY s.document_id)")} AS first_crawled, {DUCK.epoch("max(s.fetched_at) OVER (PARTITION BY s.document_id)")} AS last_crawled
-  FROM s JOIN docs d ON d.document_id = s.document_id AND d.document_id < 20 LEFT JOIN p ON p.snapshot_id = s.snapshot_id LEFT JOIN c ON c.snapshot_id = s.snapshot_id"""
+  FROM s JOIN docs d ON d.document_id = s.document_id LEFT JOIN p ON p.snapshot_id = s.snapshot_id LEFT JOIN c ON c.snapshot_id = s.snapshot_id"""
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:

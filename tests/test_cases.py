@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexlake.functions import text as T
-from lexlake.functions.citations import citations_in
+from lexlake.functions.citations import extract_citations
 from lexlake.functions.docnum import numbers_in
 from lexlake.operators import corpus, graph, matrix, normalize, versions
 from lexlake.sources import landed
@@ -38,10 +38,30 @@ def test_keys_and_text(spark):
     assert one(spark, T.normalize_text(F.col("t")), t="　Ａ b\t\tc\r\n\n\n\n“x”—1 ") == 'A b c\n\n"x"-1'
     assert one(spark, T.core_title(F.col("t")), t="国家税务总局关于增值税征收管理的公告") == "增值税征收管理"
     assert one(spark, T.core_title(F.col("t")), t="关于发票的函") == "关于发票的函"
+    assert one(spark, T.core_title(F.col("t")), t="国家税务总局关于电池消费税征收管理有关事项的公告") == "电池消费税征收管理"
+    assert one(spark, T.core_title(F.col("t")), t="关于《增值税发票开具指南》的通知") == "增值税发票开具指南"
 
 
-def test_citations():
-    keys = lambda text, **k: {(c["entity_key"], c["relation_type"]) for c in citations_in(text, **k)}
+def citations_of(spark, *rows):
+    """Per (text, parent, own): the list of (key, relation, raw)."""
+    held = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, t string, p string, o string")
+    found = held.select("i", extract_citations(F.col("t"), F.col("p"), F.col("o")).alias("c")).orderBy("i").collect()
+    return [[(c["entity_key"], c["relation_type"], c["raw_text"]) for c in r["c"]] for r in found]
+
+
+def test_citations_keep_order_runs_and_first_readings(spark):
+    texts = ["依據所得稅法第十四條之一、第88條及第92條規定", "依本條例第3條、第4條", "根据《企业所得税法》、《环境保护税法》和", "依据财税〔2026〕15号废止国税发〔2003〕67号", "企业所得税法和企业所得税法实施条例", "修正 所得稅法第 4 條"]
+    found = citations_of(spark, *[(t, None, "貨物稅條例") for t in texts])
+    assert found[0][:3] == [("所得稅法#14-1", "authority_of", "依據所得稅法第十四之一條"), ("所得稅法#88", "authority_of", "、第88條"), ("所得稅法#92", "authority_of", "及第92條")]
+    assert ("所得稅法#14-1", "interprets", "依據所得稅法第十四之一條") in found[0]
+    assert found[1] == [("貨物稅條例#3", "cites", "本條例第3條"), ("貨物稅條例#4", "cites", "、第4條")]
+    assert [x[:2] for x in found[2]] == [("企业所得税法", "authority_of"), ("环境保护税法", "authority_of"), ("企业所得税法", "interprets"), ("环境保护税法", "interprets")]
+    assert ("国税发〔2003〕67号", "supersedes", "废止国税发〔2003〕67号") in found[3]
+    assert found[4][0][:2] == ("企业所得税法", "authority_of") and found[5][0][:2] == ("所得稅法#4", "amends")
+
+
+def test_citations(spark):
+    keys = lambda text, parent=None: {c[:2] for c in citations_of(spark, (text, parent, None))[0]}
     assert ("企业所得税法#133", "interprets") in keys("企业所得税法第一百三十三条")
     assert keys("税法第一条", parent="增值税法") == {("增值税法#1", "authority_of")} and keys("税法第一条") == set()
     assert keys("依本法第88條", parent="所得稅法") == {("所得稅法#88", "authority_of")}
@@ -132,8 +152,29 @@ FIELDS = "requirement_id long, field_key string, value string, citations array<s
 def test_stale_cells_take_the_first_changed_citation(spark):
     cell = lambda k, *nodes, flagged=False: (1, k, "v", [(n, "q") for n in nodes], 0.5, "extracted", flagged, "", None)
     fields = spark.createDataFrame([cell("rate", "z#1", "a#1", "b#2"), cell("incentives", "a#1"), cell("tax_base", "c#3"), cell("formula", "a#1", flagged=True)], FIELDS)
-    changes = spark.createDataFrame([(1, "a#1", "modified", "minor", None), (2, "《a》#1", "modified", "critical", None), (3, "b#2", "added", "critical", None)], "change_id long, node_key string, change_type string, severity string, detected_at timestamp")
-    assert [(r["field_key"], r["change_id"]) for r in matrix.stale_cells(fields, changes).collect()] == [("rate", 2)]
+    day = dt.datetime(2026, 8, 1, 12)
+    changes = spark.createDataFrame([(1, 7, "a#1", "modified", "minor", day), (2, 7, "《a》#1", "modified", "critical", day), (3, 8, "b#2", "added", "critical", None)], "change_id long, document_id long, node_key string, change_type string, severity string, detected_at timestamp")
+    documents = spark.createDataFrame([(7, "增值税法")], "document_id long, title string")
+    reason = "法定稅率／徵收率／費率 所依據的 《a》#1（增值税法）於 2026-08-01 偵測到modified 異動（critical），請重新確認。"
+    assert [tuple(r) for r in matrix.stale_cells(fields, changes, documents).collect()] == [(1, "rate", 2, reason)]
+
+
+def test_merged_cells(spark):
+    allowed = spark.createDataFrame([("n1",), ("n2",)], "node_key string")
+    old = [(1, "rate", "old", [("n0", "q")], 0.3, "extracted", True, "was", 9), (1, "formula", "typed", [], 0.0, "manual", False, "", None), (1, "tax_base", "cited", [("n0", "q")], 0.9, "extracted", False, "", 5)]
+    row = lambda batch, n, field, value, conf, *nodes: (1, batch, n, field, value, conf, [(x, " quote ") for x in nodes])
+    new = [
+        row(1, 1, "rate", " 13% ", 0.6, "n1"), row(1, 2, "rate", "junk", 0.9, "n1"), row(2, 1, "rate", "13%", 0.8, "n1", "n2", "bad"),
+        row(1, 1, "formula", "x", 0.9, "n1"), row(1, 1, "tax_base", "y", 0.9), row(1, 1, "deductions", "a", 0.9), row(2, 1, "deductions", "b", 0.5, "n2"), row(1, 1, "administration", "  ", 0.9, "n1"),
+    ]
+    extracted = spark.createDataFrame(new, "requirement_id long, batch_no int, row_no int, field_key string, value string, confidence double, citations array<struct<node_key:string,quote:string>>")
+    got = {r["field_key"]: r for r in matrix.merge_extracted(extracted, spark.createDataFrame(old, FIELDS), allowed).collect()}
+    rate = got["rate"]
+    assert (rate["value"], rate["confidence"], rate["needs_review"], rate["review_reason"], rate["stale_change_id"]) == ("13%", 0.8, False, "", None)
+    assert [tuple(c) for c in rate["citations"]] == [("n1", "quote"), ("n2", "quote")]
+    assert got["formula"]["value"] == "typed" and got["tax_base"]["value"] == "cited" and got["tax_base"]["stale_change_id"] == 5
+    assert (got["deductions"]["value"], got["deductions"]["confidence"], got["deductions"]["needs_review"], got["deductions"]["review_reason"]) == ("a\nb", 0.5, True, matrix.CONFLICT)
+    assert set(got) == {"rate", "formula", "tax_base", "deductions"}
 
 
 def test_identity_and_headers(spark):
