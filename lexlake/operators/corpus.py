@@ -100,12 +100,30 @@ def classify_docs(docs: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.withColumn("tax_key", F.coalesce("official", classify_tax(F.col("title"), F.col("country")))).drop("official")
 
 
-def filter_refs(refs: DataFrame, tax_keys: list[str], corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """V2. (kept refs with tax_key, counts per source: found, kept, filtered)."""
+_KNOWN_KEYS = [key for key, _, _ in R.TAX_TYPES]
+
+
+def key_words(tax_keys: list[str]) -> list[str]:
+    """V2. The keywords of tax keys, for a source's own search; unknown keys have none."""
+    return [w for key, _, words in R.TAX_TYPES if key in tax_keys for w in words]
+
+
+def filter_refs(refs: DataFrame, tax_keys: list[str] | None, corpus: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """V2. (kept refs with tax_key, counts per source: found, kept, filtered).
+
+    ``tax_keys`` override the sources' own (sources: source_key, tax_keys array).
+    Unknown keys don't count; a source without any known key keeps all its refs."""
     typed = classify_docs(refs, corpus)
-    wanted = F.col("tax_key").isin(*tax_keys)
-    counts = typed.groupBy("source_key").agg(F.count("*").alias("found"), F.count_if(wanted).alias("kept"), F.count_if(~wanted).alias("filtered"))
-    return typed.where(wanted), counts
+    given = [k for k in tax_keys or [] if k in _KNOWN_KEYS]
+    if tax_keys or sources is None:
+        wanted = F.col("tax_key").isin(*given) if given else F.lit(True)
+    else:
+        known = F.filter("tax_keys", lambda k: k.isin(*_KNOWN_KEYS))
+        typed = typed.join(sources.select("source_key", known.alias("__wanted")), "source_key", "left")
+        wanted = (F.coalesce(F.size("__wanted"), F.lit(0)) <= 0) | F.array_contains("__wanted", F.col("tax_key"))
+    marked = typed.withColumn("__kept", F.coalesce(wanted, F.lit(True)))
+    counts = marked.groupBy("source_key").agg(F.count("*").alias("found"), F.count_if("__kept").alias("kept"), F.count_if(~F.col("__kept")).alias("filtered"))
+    return marked.where("__kept").select(*refs.columns, "tax_key"), counts
 
 
 def change_evidence(changes: DataFrame, corpus: DataFrame, document_evidence: DataFrame | None = None) -> DataFrame:

@@ -45,6 +45,27 @@ def tax_type_summary(tax_key: str, documents: DataFrame, snapshots: DataFrame, p
     return docs.join(counted, "document_id", "left").join(recent, "document_id", "left").na.fill(0, ["n_provisions", "n_changes", "n_analysed"])
 
 
+def tax_type_versions(tax_key: str, documents: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """D2. Per document of the tax type: versions, the first and the last date,
+    and whether the authority dated the last."""
+    docs = documents.where(F.col("tax_key") == tax_key).select("document_id", "title", "source_key")
+    dated = F.struct(dated_at().alias("d"), F.col("issued_at").isNotNull().alias("official"))
+    seen = snapshots.groupBy("document_id").agg(F.count("*").alias("versions"), F.min(dated_at()).alias("first_seen"), F.max_by(dated, F.struct(dated_at(), F.col("snapshot_id"))).alias("v"))
+    seen = seen.select("document_id", "versions", "first_seen", F.col("v.d").alias("last_updated"), F.col("v.official").alias("official_date"))
+    return docs.join(seen, "document_id", "left").na.fill(0, ["versions"]).na.fill(False, ["official_date"])
+
+
+def tax_type_changes(tax_key: str, documents: DataFrame, snapshots: DataFrame, changes: DataFrame, analyses: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
+    """D2. The changes in the window of the tax type's documents with their
+    analysis and the date of the version they produced; the newest first, by
+    that date, else by detection."""
+    docs = documents.where(F.col("tax_key") == tax_key).select("document_id", "title")
+    dated = snapshots.select(F.col("snapshot_id").alias("to_snapshot_id"), dated_at().alias("dated_at"), F.col("issued_at").isNotNull().alias("official_date"))
+    rows = changes.where(F.col("detected_at") >= since(as_of, days)).join(docs, "document_id").join(dated, "to_snapshot_id", "left")
+    rows = rows.join(analyses.select("change_id", F.coalesce("summary", F.lit("")).alias("summary"), "confidence"), "change_id", "left").na.fill("", ["summary"]).na.fill(False, ["official_date"])
+    return rows.orderBy(F.desc(F.coalesce("dated_at", "detected_at")), "change_id")
+
+
 def tax_type_tree(tax_key: str, documents: DataFrame) -> DataFrame:
     """D2. The tax type's documents nested (G12)."""
     return document_forest(documents.where(F.col("tax_key") == tax_key))
@@ -112,16 +133,19 @@ def analysis_inputs(changes: DataFrame, documents: DataFrame, provisions: DataFr
     return rows.withColumn("evidence", F.coalesce("evidence", F.lit(NO_EVIDENCE)))
 
 
-def run_stats(documents: DataFrame, snapshots: DataFrame, changes: DataFrame, flagged: DataFrame) -> DataFrame:
-    """D8. Per source: documents, snapshots, unchanged documents (a single
-    snapshot), changes and flagged cells (flagged: change_id)."""
-    per = snapshots.groupBy("document_id").agg(F.count("*").alias("snapshots"))
+def run_stats(discovered: DataFrame, documents: DataFrame, snapshots: DataFrame, changes: DataFrame, flagged: DataFrame, started: Column) -> DataFrame:
+    """D8. Per source of a run that began at ``started``: found (refs kept),
+    filtered (refs left out), new snapshots, unchanged documents (fetched, but
+    without a new one), changes and flagged cells. discovered: source_key, kept,
+    filtered (V2's counts); flagged: change_id of each flagged cell."""
+    new = snapshots.where(F.col("fetched_at") >= started).groupBy("document_id").agg(F.count("*").alias("new"))
     cells = flagged.groupBy("change_id").agg(F.count("*").alias("flagged"))
-    moved = changes.select("document_id", "change_id").join(cells, "change_id", "left").groupBy("document_id").agg(F.count("*").alias("changes"), F.coalesce(F.sum("flagged"), F.lit(0)).alias("flagged"))
-    rows = documents.select("document_id", "source_key").join(per, "document_id", "left").join(moved, "document_id", "left").na.fill(0, ["snapshots", "changes", "flagged"])
-    return rows.groupBy("source_key").agg(
-        F.count("*").alias("documents"), F.sum("snapshots").alias("snapshots"), F.count_if(F.col("snapshots") <= 1).alias("unchanged"), F.sum("changes").alias("changes"), F.sum("flagged").alias("flagged")
-    )
+    moved = changes.where(F.col("detected_at") >= started).select("document_id", "change_id").join(cells, "change_id", "left")
+    moved = moved.groupBy("document_id").agg(F.count("*").alias("changes"), F.coalesce(F.sum("flagged"), F.lit(0)).alias("flagged"))
+    rows = documents.select("document_id", "source_key").join(new, "document_id", "left").join(moved, "document_id", "left").na.fill(0, ["new", "changes", "flagged"])
+    per = rows.groupBy("source_key").agg(F.sum("new").alias("new"), F.count_if(F.col("new") == 0).alias("unchanged"), F.sum("changes").alias("changes"), F.sum("flagged").alias("flagged"))
+    out = discovered.select("source_key", F.col("kept").alias("found"), "filtered").join(per, "source_key", "left")
+    return out.na.fill(0, ["new", "unchanged", "changes", "flagged"])
 
 
 def latest_per_document(changes: DataFrame) -> DataFrame:

@@ -9,14 +9,13 @@ A key with '#' names an article, one without a document.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake import refdata as R
 from lexlake.functions.citations import extract_citations
-from lexlake.shared import shared_dir
 from lexlake.functions.text import document_stem, entity_type, norm_key, parent_from_title, parent_key
+from lexlake.shared import shared_dir
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -277,3 +276,16 @@ def document_edges(documents: DataFrame, relations: DataFrame) -> DataFrame:
     into = rel.groupBy(F.col("b").alias("entity_key")).agg(F.count("*").alias("inbound"))
     docs = documents.select("document_id", "entity_key")
     return docs.join(out, "entity_key", "left").join(into, "entity_key", "left").na.fill(0, ["outbound", "inbound"])
+
+
+def documents_with_term(documents: DataFrame, provisions: DataFrame, relations: DataFrame, term: str) -> DataFrame:
+    """G13. Documents of which a provision holds the term (as it stands): the
+    provisions that do, whether the graph knows the document, and its outbound
+    edges, its articles' included."""
+    held = provisions.where(F.contains("text", F.lit(term))).groupBy("document_id").agg(F.count("*").alias("provisions"))
+    rows = held.join(documents.select("document_id", "doc_type", "entity_key"), "document_id")
+    out = relations.groupBy(document_stem(F.col("from_key")).alias("entity_key")).agg(F.count("*").alias("outbound"))
+    into = relations.select(document_stem(F.col("to_key")).alias("entity_key")).distinct().withColumn("named", F.lit(True))
+    rows = rows.join(out, "entity_key", "left").join(into, "entity_key", "left")
+    known = F.coalesce("named", F.lit(False)) | F.col("outbound").isNotNull()
+    return rows.select("document_id", "doc_type", "provisions", known.alias("known"), F.coalesce("outbound", F.lit(0)).alias("outbound"))

@@ -376,6 +376,29 @@ def extraction_coverage(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("document_id").agg(F.count("*").alias("emitted"), F.countDistinct(key).alias("distinct_identities"), F.count_if(key.isNull()).alias("without_identity"))
 
 
+def dimension_gaps(extracted: DataFrame, vocab: DataFrame) -> DataFrame:
+    """R11. Per document: values of the four dimensions that the regime's
+    vocabulary lacks (unknown), and rows with some dimensions but not all of
+    them (incomplete). Regimes without a vocabulary know no value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.trim(F.coalesce(F.col(d), F.lit(""))).alias("value_key")) for d in R.DIMENSIONS])).alias("p")
+    filled = reduce(Column.__add__, [(F.trim(F.coalesce(F.col(d), F.lit(""))) != "").cast("int") for d in R.DIMENSIONS])
+    rows = extracted.select("document_id", "country", "tax_key", pairs).select("document_id", "country", "tax_key", "p.*").where("value_key <> ''")
+    known = vocab.select("country", "tax_key", "dimension", "value_key").distinct()
+    unknown = rows.join(known, ["country", "tax_key", "dimension", "value_key"], "left_anti").groupBy("document_id").agg(F.count("*").alias("unknown"))
+    partial = extracted.groupBy("document_id").agg(F.count_if((filled > 0) & (filled < len(R.DIMENSIONS))).alias("incomplete"))
+    return partial.join(unknown, "document_id", "left").na.fill(0, ["unknown"]).select("document_id", "unknown", "incomplete")
+
+
+def extraction_preview(extracted: DataFrame) -> DataFrame:
+    """R11. What a run would write, a row for each identity of a document (rows
+    without one stand for themselves): tax key, role, scenario of its first row
+    and how many rows fold into it."""
+    own = F.when(F.col("identity_key") != "", F.col("identity_key")).otherwise(F.concat(F.lit("row "), F.col("row_no").cast("string")))
+    first = F.min_by(F.struct("tax_key", "taxpayer_role", "scenario"), "row_no").alias("f")
+    folded = extracted.groupBy("document_id", own.alias("identity")).agg(F.count("*").alias("rows"), first)
+    return folded.select("document_id", "identity", "rows", "f.*")
+
+
 def unused_values(extracted: DataFrame, vocab: DataFrame) -> DataFrame:
     """R11. Vocabulary values that no document of the regime used."""
     used = extracted.select("country", "tax_key", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value_key")) for d in R.DIMENSIONS])).alias("u"))
@@ -390,6 +413,16 @@ def matrix_profile(requirements: DataFrame, fields: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def scenario_wordings(requirements: DataFrame, n: int = 12) -> DataFrame:
+    """R12. Per tax type its rows, distinct scenario wordings and the first n of
+    them in order (a top-k report): country, tax_key, rows, wordings, rank, scenario."""
+    regime = ["country", "tax_key"]
+    each = requirements.groupBy(*regime, F.trim("scenario").alias("scenario")).agg(F.count("*").alias("c"))
+    counts = each.groupBy(*regime).agg(F.sum("c").alias("rows"), F.count("*").alias("wordings"))
+    top = each.withColumn("rank", F.row_number().over(Window.partitionBy(*regime).orderBy("scenario"))).where(F.col("rank") <= n)
+    return top.join(counts, regime).select(*regime, "rows", "wordings", "rank", "scenario")
+
+
 def jurisdiction_mismatches(requirements: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
     """R13. Rows whose country differs from that of their source document's source."""
     rows = requirements.select("requirement_id", "country", "source_document_id").join(documents.select(F.col("document_id").alias("source_document_id"), "source_key"), "source_document_id")
@@ -403,6 +436,28 @@ def term_audit(provisions: DataFrame, terms: list[str]) -> DataFrame:
     return provisions.select(found).groupBy("f.term").agg(F.sum("f.n").alias("occurrences"), F.count_if(F.col("f.n") > 0).alias("provisions"))
 
 
+def rate_lines(requirements: DataFrame, fields: DataFrame) -> DataFrame:
+    """R14. Per row of the matrix: tax key, role and rate, shortened, '-' for none."""
+    short = lambda c, n: F.coalesce(F.when(c != "", F.substring(c, 1, n)), F.lit("-"))
+    rates = fields.where("field_key = 'rate'").select("requirement_id", F.replace("value", F.lit("\n"), F.lit(" ")).alias("rate"))
+    rows = requirements.select("requirement_id", "country", "tax_key", "taxpayer_role").join(rates, "requirement_id", "left")
+    return rows.select("requirement_id", "country", "tax_key", short(F.col("taxpayer_role"), 16).alias("role"), short(F.col("rate"), 24).alias("rate"))
+
+
+def view_against_all(view: DataFrame, provisions: DataFrame, terms: list[str]) -> DataFrame:
+    """R14. Per term: its occurrences in the text of a view, and the provisions of
+    the whole store that hold it; a term that is stored but not in the view is
+    what a reader of the view misses."""
+    shown = term_audit(view, terms).select("term", F.col("occurrences").alias("in_view"))
+    stored = term_audit(provisions, terms).select("term", F.col("provisions").alias("in_store"))
+    return shown.join(stored, "term").withColumn("missed", (F.col("in_view") == 0) & (F.col("in_store") > 0))
+
+
+def document_types(documents: DataFrame) -> DataFrame:
+    """R14. Documents a type."""
+    return documents.groupBy("doc_type").agg(F.count("*").alias("documents"))
+
+
 def _quoted(term: str) -> str:
     return "\\Q" + term + "\\E"
 

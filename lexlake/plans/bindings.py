@@ -106,7 +106,7 @@ def _changes(d: Dialect) -> str:
 
 
 def _analyses(d: Dialect) -> str:
-    return "SELECT event_id AS change_id, concat('s', CAST(event_id AS STRING)) AS summary, value - floor(value) AS confidence FROM {events} WHERE event_type = 'purchase'"
+    return "SELECT event_id AS change_id, concat('s', CAST(event_id AS STRING)) AS summary, value - floor(value) AS confidence, CASE WHEN event_id % 2 = 0 THEN '2026-01-01' END AS effective_date, CASE WHEN event_id % 3 = 0 THEN 'impact' ELSE '' END AS parent_law_impact FROM {events} WHERE event_type = 'purchase'"
 
 
 _TYPES = "CASE l_linenumber % 5 WHEN 0 THEN 'authority_of' WHEN 1 THEN 'interprets' WHEN 2 THEN 'cites' WHEN 3 THEN 'amends' ELSE 'supersedes' END"
@@ -126,6 +126,13 @@ def _thin(d: Dialect) -> str:
       CASE WHEN l_orderkey % 2 = 0 THEN 'authority_of' ELSE 'interprets' END AS relation_type FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 20 IN (0, 1)"""
 
 
+def _edges(d: Dialect) -> str:
+    """Edges of documents and articles, one for each line item."""
+    return """SELECT concat('K', CAST((l_partkey * 7 + l_linenumber) % 997 AS STRING), CASE WHEN l_orderkey % 3 = 0 THEN concat('#', CAST(l_orderkey % 4 AS STRING)) ELSE '' END) AS from_key,
+      concat('K', CAST(l_suppkey % 997 AS STRING), CASE WHEN l_partkey % 3 = 0 THEN concat('#', CAST(l_partkey % 4 AS STRING)) ELSE '' END) AS to_key,
+      CASE WHEN l_orderkey % 2 = 0 THEN 'authority_of' ELSE 'interprets' END AS relation_type FROM {lineitem}"""
+
+
 _FIELDS = "('applicability', 0), ('taxable_event', 1), ('rate', 2), ('taxable_items', 3), ('formula', 4), ('tax_base', 5), ('deductions', 6), ('incentives', 7), ('filing_deadline', 8), ('payment_deadline', 9), ('administration', 10)"
 
 
@@ -187,7 +194,7 @@ def _runs(d: Dialect) -> str:
 
 MAKERS: dict[str, Callable[[Dialect], str]] = {
     "titles": _titles, "docs": _docs, "sources": _sources, "snaps": _snaps, "prov": _prov, "v1": _v1, "v2": _v2, "changes": _changes, "analyses": _analyses, "relations": _relations,
-    "thin": _thin, "requirements": _requirements, "flat_fields": _flat_fields, "fields": _fields, "corpus_rows": _corpus_rows, "cited": _cited, "runs": _runs,
+    "thin": _thin, "edges": _edges, "requirements": _requirements, "flat_fields": _flat_fields, "fields": _fields, "corpus_rows": _corpus_rows, "cited": _cited, "runs": _runs,
 }
 
 SPARK, DUCK = Dialect(True), Dialect(False)

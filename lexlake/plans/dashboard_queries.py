@@ -13,7 +13,7 @@ from lexlake.operators import normalize as N
 from lexlake.plans.bindings import AS_OF, DAY0, DUCK, bound, with_ctes
 from lexlake.plans.matrix_queries import _CELLS
 from lexlake.plans.text_queries import _classified
-from lexlake.functions.text import classify_tax
+from lexlake.functions.text import classify_tax, norm_key
 from lexlake.sources import landed, reports
 from lexlake.streaming import ingest
 
@@ -112,21 +112,63 @@ D7_SQL = with_ctes("docs", "changes", "thin") + f""", k AS (SELECT change_id, do
 
 
 def d8_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that began with the tables' hundredth hour."""
+    docs = _docs(spark, sf_dir)
+    kept = F.col("tax_key") == "cn_vat"
+    discovered = docs.groupBy("source_key").agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("filtered"))
     flagged = bound(spark, sf_dir, "changes").where("change_id % 4 = 0").select("change_id")
-    return D.run_stats(_docs(spark, sf_dir), bound(spark, sf_dir, "snaps"), bound(spark, sf_dir, "changes"), flagged)
+    return D.run_stats(discovered, docs.where(kept), bound(spark, sf_dir, "snaps"), bound(spark, sf_dir, "changes"), flagged, F.timestamp_seconds(F.lit(DAY0 + 360_000)))
 
 
-D8_SQL = with_ctes("docs", "snaps", "changes") + """, s AS (SELECT document_id, count(*) AS n FROM snaps GROUP BY 1), c AS (SELECT document_id, count(*) AS n, count(*) FILTER (change_id % 4 = 0) AS f FROM changes GROUP BY 1)
-  SELECT source_key, count(*) AS documents, CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS snapshots, count(*) FILTER (coalesce(s.n, 0) <= 1) AS unchanged, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS changes, CAST(sum(coalesce(c.f, 0)) AS BIGINT) AS flagged FROM docs LEFT JOIN s USING (document_id) LEFT JOIN c USING (document_id) GROUP BY 1"""
+_BEGAN = DUCK.ts(str(DAY0 + 360_000))
+D8_SQL = with_ctes("docs", "snaps", "changes") + f""", {_DOCS}, s AS (SELECT document_id, count(*) AS n FROM snaps WHERE fetched_at >= {_BEGAN} GROUP BY 1), c AS (SELECT document_id, count(*) AS n, count(*) FILTER (change_id % 4 = 0) AS f FROM changes WHERE detected_at >= {_BEGAN} GROUP BY 1)
+  SELECT source_key, count(*) FILTER (v) AS found, count(*) FILTER (NOT v) AS filtered, CAST(coalesce(sum(s.n) FILTER (v), 0) AS BIGINT) AS new, count(*) FILTER (v AND s.n IS NULL) AS unchanged, CAST(coalesce(sum(c.n) FILTER (v), 0) AS BIGINT) AS changes, CAST(coalesce(sum(c.f) FILTER (v), 0) AS BIGINT) AS flagged
+  FROM (SELECT *, tax_key = 'cn_vat' AS v FROM dt) d LEFT JOIN s USING (document_id) LEFT JOIN c USING (document_id) GROUP BY 1"""
+
+
+def d2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = D.tax_type_versions("cn_vat", _docs(spark, sf_dir), bound(spark, sf_dir, "snaps"))
+    return out.withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_updated")})
+
+
+D2B_SQL = with_ctes("docs", "snaps") + f""", {_DOCS}, s AS (SELECT *, coalesce(issued_at, fetched_at) AS d FROM snaps), v AS (SELECT document_id, count(*) AS n, min(d) AS a, max(d) AS z, arg_max(issued_at IS NOT NULL, (d, snapshot_id)) AS o FROM s GROUP BY 1)
+  SELECT document_id, title, source_key, coalesce(n, 0) AS versions, {DUCK.epoch("a")} AS first_seen, {DUCK.epoch("z")} AS last_updated, coalesce(o, false) AS official_date FROM dt LEFT JOIN v USING (document_id) WHERE tax_key = 'cn_vat'"""
+
+
+def d2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda name: bound(spark, sf_dir, name)
+    out = D.tax_type_changes("cn_vat", _docs(spark, sf_dir), of("snaps"), of("changes"), of("analyses"), as_of(), 10)
+    return out.select("change_id", "document_id", "title", "severity", "summary", "confidence", "official_date", F.unix_timestamp("dated_at").alias("dated_at"))
+
+
+D2C_SQL = with_ctes("docs", "snaps", "changes", "analyses") + f""", {_DOCS} SELECT c.change_id, c.document_id, dt.title, c.severity, coalesce(a.summary, '') AS summary, a.confidence, s.issued_at IS NOT NULL AS official_date, {DUCK.epoch("coalesce(s.issued_at, s.fetched_at)")} AS dated_at
+  FROM changes c JOIN dt ON dt.document_id = c.document_id AND dt.tax_key = 'cn_vat' LEFT JOIN snaps s ON s.snapshot_id = c.to_snapshot_id LEFT JOIN analyses a ON a.change_id = c.change_id WHERE c.detected_at >= {_CUT}"""
+
+
+def d2_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nesting of one tax type's documents, one a title."""
+    docs = _docs(spark, sf_dir).withColumn("entity_key", norm_key(F.col("title")))
+    return D.tax_type_tree("cn_vat", docs).select("document_id", "entity_key", "depth", F.array_join("path", " > ").alias("path"))
 
 
 def s9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.change_report(bound(spark, sf_dir, "changes"), _docs(spark, sf_dir), bound(spark, sf_dir, "analyses"), as_of(), 10)
-    heads = F.size(F.split("text", "### ")) - 1
-    return rows.select("country", "n_changes", heads.cast("long").alias("sections"), F.contains("text", F.lit("🔴")).alias("has_critical"))
+    """All blocks of the report, with their text."""
+    analyses = bound(spark, sf_dir, "analyses").withColumn("affected_parties", F.when(F.col("change_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))))
+    rows = reports.change_report(bound(spark, sf_dir, "changes").withColumn("diff_text", F.when(F.col("change_id") % 4 == 0, "-x")), _docs(spark, sf_dir), analyses, as_of(), 10)
+    return rows.select("part", "country", "change_id", "text")
 
 
-S9_SQL = with_ctes("docs", "changes") + f"SELECT coalesce(country, '??') AS country, count(*) AS n_changes, count(*) AS sections, bool_or(severity = 'critical') AS has_critical FROM changes LEFT JOIN docs USING (document_id) WHERE detected_at >= {_CUT} GROUP BY 1"
+_N = "chr(10)"
+_NAME = "CASE country WHEN 'TW' THEN '" + reports.COUNTRIES["TW"] + "' WHEN 'US' THEN '" + reports.COUNTRIES["US"] + "' WHEN 'CN' THEN '" + reports.COUNTRIES["CN"] + "' ELSE country END"
+_BADGE = "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.BADGES.items()) + " END"
+S9_SQL = with_ctes("docs", "changes", "analyses") + f""", r AS (SELECT c.*, coalesce(d.country, '??') AS country, d.title, a.summary, a.confidence, a.effective_date, a.parent_law_impact FROM changes c LEFT JOIN docs d USING (document_id) LEFT JOIN analyses a ON a.change_id = c.change_id WHERE detected_at >= {_CUT})
+  SELECT 0 AS part, NULL AS country, NULL AS change_id, CASE WHEN count(*) > 0 THEN concat('# {reports.REPORT_TITLE}', {_N}, {_N}, '期間：過去 10 天 | 產出時間：', strftime({_AS_OF}, '%Y-%m-%d %H:%M'), ' UTC', {_N}, {_N}, '共偵測到 **', CAST(count(*) AS VARCHAR), '** 筆異動', {_N}, {_N}, '{reports.DISCLAIMER}', {_N})
+    ELSE concat('# {reports.REPORT_TITLE}', {_N}, {_N}, '過去 10 天內無偵測到異動。', {_N}) END AS text FROM r
+  UNION ALL SELECT DISTINCT 1, country, NULL, concat({_N}, '## ', {_NAME}, {_N}) FROM r
+  UNION ALL SELECT 1, country, change_id, concat('### ', {_BADGE}, ' ', coalesce(title, node_key), ' — ', node_key, {_N}, {_N}, '- 異動類型：', change_type, {_N}, '- 偵測時間：', strftime(detected_at, '%Y-%m-%d'), {_N},
+    CASE WHEN summary IS NOT NULL THEN concat({_N}, '**摘要**：', summary, {_N}, {_N}, CASE WHEN effective_date <> '' THEN concat('- 生效日：', effective_date, {_N}) ELSE '' END, CASE WHEN change_id % 2 = 0 THEN concat('- 受影響對象：a, b', {_N}) ELSE '' END,
+      CASE WHEN parent_law_impact <> '' THEN concat({_N}, '**母法影響**：', parent_law_impact, {_N}, {_N}) ELSE '' END, '- 信心度：', CAST(CAST(round(confidence * 100) AS INT) AS VARCHAR), '%', {_N}) ELSE '' END,
+    CASE WHEN change_id % 4 = 0 THEN concat({_N}, '<details><summary>Diff</summary>', {_N}, {_N}, '```diff', {_N}, '-x', {_N}, '```', {_N}, '</details>', {_N}, {_N}) ELSE '' END, '---', {_N}) FROM r"""
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -288,11 +330,13 @@ T1_SQL = with_ctes("v1", "v2") + """, d AS (SELECT a.pair_id IS NULL AS fresh, b
   UNION ALL SELECT 'snapshots', (SELECT count(*) FROM h) + (SELECT count(*) FROM h JOIN g USING (pair_id) WHERE h.t <> g.t)"""
 
 QUERIES = {
+    "d2_versions": d2_versions, "d2_changes": d2_changes, "d2_tree": d2_tree,
     "d1_rollup": d1_rollup, "d2_summary": d2_summary, "d3_stats": d3_stats, "d4_list_changes": d4_list_changes, "d5_detail": d5_detail, "d6_runs": d6_runs, "d6_health": d6_health, "d7_analysis_inputs": d7_analysis_inputs, "d8_run_stats": d8_run_stats,
     "s9_report": s9_report, "s10_purge_restore": s10_purge_restore, "s2_law_refs": s2_law_refs, "s3_policy_refs": s3_policy_refs, "s4_ecfr_refs": s4_ecfr_refs, "s5_register_refs": s5_register_refs, "s6_listing": s6_listing, "s6_page_links": s6_page_links,
     "s8_markdown": s8_markdown, "n2_tw_law": n2_tw_law, "n3_to_n8_normalize": n3_to_n8_normalize, "n6_pages": n6_pages, "t1_ingest": t1_ingest,
 }
 ORACLES = {
+    "d2_versions": D2B_SQL, "d2_changes": D2C_SQL,
     "d1_rollup": D1_SQL, "d2_summary": D2_SQL, "d3_stats": D3_SQL, "d4_list_changes": D4_SQL, "d5_detail": D5_SQL, "d6_runs": D6_SQL, "d6_health": D6B_SQL, "d7_analysis_inputs": D7_SQL, "d8_run_stats": D8_SQL, "s9_report": S9_SQL, "s10_purge_restore": S10_SQL,
     "s2_law_refs": S2_SQL, "s3_policy_refs": S3_SQL, "s4_ecfr_refs": S4_SQL, "s5_register_refs": S5_SQL, "s6_listing": S6_SQL, "s8_markdown": S8_SQL, "n2_tw_law": N2_SQL, "n3_to_n8_normalize": N8_SQL, "t1_ingest": T1_SQL,
 }

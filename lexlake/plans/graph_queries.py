@@ -193,18 +193,18 @@ def _forest_sql() -> str:
 
 
 def g13_graph_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_audit(bound(spark, sf_dir, "thin"))
+    return G.graph_audit(bound(spark, sf_dir, "edges"))
 
 
-G13_SQL = with_ctes("thin") + """SELECT relation_type, count(*) AS edges, count(*) FILTER (contains(to_key, '#')) AS to_articles, count(*) FILTER (NOT contains(to_key, '#')) AS to_documents,
-  count(DISTINCT from_key) AS sources, count(DISTINCT to_key) AS targets FROM thin GROUP BY 1"""
+G13_SQL = with_ctes("edges") + """SELECT relation_type, count(*) AS edges, count(*) FILTER (contains(to_key, '#')) AS to_articles, count(*) FILTER (NOT contains(to_key, '#')) AS to_documents,
+  count(DISTINCT from_key) AS sources, count(DISTINCT to_key) AS targets FROM edges GROUP BY 1"""
 
 
 def g13_document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.document_edges(_keyed(spark, sf_dir), bound(spark, sf_dir, "thin"))
+    return G.document_edges(_keyed(spark, sf_dir), bound(spark, sf_dir, "edges"))
 
 
-G13B_SQL = with_ctes("docs", "thin") + f""", {_DOCS}, o AS (SELECT {_STEM.format("from_key")} AS k, count(*) AS n FROM thin GROUP BY 1), i AS (SELECT {_STEM.format("to_key")} AS k, count(*) AS n FROM thin GROUP BY 1)
+G13B_SQL = with_ctes("docs", "edges") + f""", {_DOCS}, o AS (SELECT {_STEM.format("from_key")} AS k, count(*) AS n FROM edges GROUP BY 1), i AS (SELECT {_STEM.format("to_key")} AS k, count(*) AS n FROM edges GROUP BY 1)
   SELECT document_id, entity_key, coalesce(o.n, 0) AS outbound, coalesce(i.n, 0) AS inbound FROM kd LEFT JOIN o ON o.k = entity_key LEFT JOIN i ON i.k = entity_key"""
 
 
@@ -214,12 +214,24 @@ def g13_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 G13C_SQL = with_ctes("docs") + f", {_DOCS} SELECT entity_key, count(*) AS documents FROM kd GROUP BY 1 HAVING count(*) > 1"
 
+def g13_term_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a line that holds a word; every other one is keyed like the edges."""
+    docs = bound(spark, sf_dir, "docs").withColumn("entity_key", F.concat(F.when(F.col("document_id") % 2 == 0, "K").otherwise("X"), (F.col("document_id") % 2000).cast("string")))
+    return G.documents_with_term(docs, bound(spark, sf_dir, "prov").withColumnRenamed("snapshot_id", "document_id"), bound(spark, sf_dir, "edges"), "the")
+
+
+G13D_SQL = with_ctes("docs", "prov", "edges") + f""", k AS (SELECT document_id, doc_type, concat(CASE WHEN document_id % 2 = 0 THEN 'K' ELSE 'X' END, CAST(document_id % 2000 AS VARCHAR)) AS entity_key FROM docs),
+  o AS (SELECT {_STEM.format("from_key")} AS k, count(*) AS n FROM edges GROUP BY 1), i AS (SELECT DISTINCT {_STEM.format("to_key")} AS k FROM edges), p AS (SELECT snapshot_id, count(*) AS n FROM prov WHERE contains(text, 'the') GROUP BY 1)
+  SELECT k.document_id, k.doc_type, p.n AS provisions, o.n IS NOT NULL OR i.k IS NOT NULL AS known, coalesce(o.n, 0) AS outbound FROM p JOIN k ON k.document_id = p.snapshot_id LEFT JOIN o ON o.k = entity_key LEFT JOIN i ON i.k = entity_key"""
+
 QUERIES = {
+    "g13_term_documents": g13_term_documents,
     "g1_citation_edges": g1_citation_edges, "g2_hierarchy_edges": g2_hierarchy_edges, "g3_declared_authority": g3_declared_authority, "g4_merge_relations": g4_merge_relations, "g5_build_entities": g5_build_entities, "g6_family": g6_family,
     "g7_entity_context": g7_entity_context, "g8_impact_spread": g8_impact_spread, "g9_find_root": g9_find_root, "g10_supplements": g10_supplements, "g11_consolidated": g11_consolidated, "g12_forest": g12_forest,
     "g13_graph_audit": g13_graph_audit, "g13_document_edges": g13_document_edges, "g13_shared_keys": g13_shared_keys,
 }
 ORACLES = {
+    "g13_term_documents": G13D_SQL,
     "g1_citation_edges": G1_SQL, "g2_hierarchy_edges": G2_SQL, "g3_declared_authority": G3_SQL, "g4_merge_relations": G4_SQL, "g5_build_entities": G5_SQL, "g6_family": G6_SQL, "g7_entity_context": G7_SQL, "g8_impact_spread": G8_SQL,
     "g9_find_root": G9_SQL, "g10_supplements": G10_SQL, "g11_consolidated": G11_SQL, "g12_forest": _forest_sql(), "g13_graph_audit": G13_SQL, "g13_document_edges": G13B_SQL, "g13_shared_keys": G13C_SQL,
 }

@@ -290,12 +290,64 @@ def r15_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 R15_SQL = with_ctes("requirements") + """, f AS (SELECT country, tax_key, scenario, taxpayer_role AS role, min((source_document_id, requirement_id)) AS seq FROM requirements GROUP BY 1, 2, 3, 4),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY country, tax_key ORDER BY seq, scenario, role) AS INT) AS pos, count(*) OVER (PARTITION BY country, tax_key) AS total FROM f) SELECT country, tax_key, pos, scenario, role, greatest(total - 60, 0) AS others FROM r WHERE pos <= 60"""
 
+def r11_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sixth row has a value that no vocabulary knows, every fifth lacks one."""
+    rows = _dimensioned(spark, sf_dir)
+    rows = rows.withColumns({"tax_scheme": F.when(F.col("requirement_id") % 6 == 0, "no such scheme").otherwise(F.col("tax_scheme")), "scenario_key": F.when(F.col("requirement_id") % 5 == 0, "").otherwise(F.col("scenario_key"))})
+    return M.dimension_gaps(rows.where("tax_key = 'tw_income'"), _vocab(spark, sf_dir))
+
+
+def r11_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = bound(spark, sf_dir, "requirements")
+    key = F.when(F.col("requirement_id") % 3 == 0, "").otherwise(F.concat(F.lit("i"), F.col("requirement_id") % 7))
+    rows = req.select(F.col("source_document_id").alias("document_id"), key.alias("identity_key"), F.col("requirement_id").alias("row_no"), "tax_key", "taxpayer_role", "scenario")
+    return M.extraction_preview(rows)
+
+
+R11D_SQL = with_ctes("requirements") + """SELECT document_id, identity, count(*) AS rows, arg_min(tax_key, requirement_id) AS tax_key, arg_min(taxpayer_role, requirement_id) AS taxpayer_role, arg_min(scenario, requirement_id) AS scenario
+  FROM (SELECT *, source_document_id AS document_id, CASE WHEN requirement_id % 3 = 0 THEN concat('row ', CAST(requirement_id AS VARCHAR)) ELSE concat('i', CAST(requirement_id % 7 AS VARCHAR)) END AS identity FROM requirements) x GROUP BY 1, 2"""
+
+
+def r12_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.scenario_wordings(bound(spark, sf_dir, "requirements"))
+
+
+R12B_SQL = with_ctes("requirements") + """, e AS (SELECT country, tax_key, scenario, count(*) AS c FROM requirements GROUP BY 1, 2, 3)
+  SELECT country, tax_key, rows, wordings, CAST(rank AS INT) AS rank, scenario FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY country, tax_key) AS BIGINT) AS rows, count(*) OVER (PARTITION BY country, tax_key) AS wordings, row_number() OVER (PARTITION BY country, tax_key ORDER BY encode(scenario)) AS rank FROM e) x WHERE rank <= 12"""
+
+
+def r14_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = bound(spark, sf_dir, "fields").where("requirement_id % 4 > 0")
+    return M.rate_lines(bound(spark, sf_dir, "requirements"), fields)
+
+
+R14C_SQL = with_ctes("requirements", "flat_fields") + """SELECT r.requirement_id, r.country, r.tax_key, substr(taxpayer_role, 1, 16) AS role, coalesce(substr(value, 1, 24), '-') AS rate FROM requirements r LEFT JOIN flat_fields f ON f.requirement_id = r.requirement_id AND field_key = 'rate' AND r.requirement_id % 4 > 0"""
+
+
+def r14_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view of the opening lines against all lines."""
+    prov = bound(spark, sf_dir, "prov")
+    return M.view_against_all(prov.where("ordinal = 0"), prov, ["the", "License", "no such term"])
+
+
+R14D_SQL = with_ctes("prov") + """SELECT t AS term, CAST(coalesce(sum((length(text) - length(replace(text, t, ''))) // length(t)) FILTER (ordinal = 0), 0) AS BIGINT) AS in_view, count(*) FILTER (contains(text, t)) AS in_store,
+  coalesce(sum((length(text) - length(replace(text, t, ''))) // length(t)) FILTER (ordinal = 0), 0) = 0 AND count(*) FILTER (contains(text, t)) > 0 AS missed FROM prov CROSS JOIN (VALUES ('the'), ('License'), ('no such term')) AS v(t) GROUP BY 1"""
+
+
+def r14_doc_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.document_types(bound(spark, sf_dir, "docs"))
+
+
+R14E_SQL = with_ctes("docs") + "SELECT doc_type, count(*) AS documents FROM docs GROUP BY 1"
+
 QUERIES = {
+    "r11_gaps": r11_gaps, "r11_preview": r11_preview, "r12_scenarios": r12_scenarios, "r14_rates": r14_rates, "r14_view": r14_view, "r14_doc_types": r14_doc_types,
     "c18_validate": c18_validate, "c19_backfill": c19_backfill, "c20_migrate": c20_migrate, "c21_map_headers": c21_map_headers, "c21_problems": c21_problems, "r1_import": r1_import, "r2_policy_basis": r2_policy_basis, "r3_stale_cells": r3_stale_cells,
     "r3_flag_stale": r3_flag_stale, "r4_affected": r4_affected, "r5_list": r5_list, "r6_detail": r6_detail, "r7_review_queue": r7_review_queue, "r8_apply_reviews": r8_apply_reviews, "r9_merge": r9_merge, "r10_pack": r10_pack, "r11_coverage": r11_coverage,
     "r11_unused": r11_unused, "r12_profile": r12_profile, "r13_mismatches": r13_mismatches, "r14_terms": r14_terms, "r14_sizes": r14_sizes, "r15_scenarios": r15_scenarios,
 }
 ORACLES = {
+    "r11_preview": R11D_SQL, "r12_scenarios": R12B_SQL, "r14_rates": R14C_SQL, "r14_view": R14D_SQL, "r14_doc_types": R14E_SQL,
     "c18_validate": C18_SQL, "c19_backfill": C19_SQL, "c20_migrate": C20_SQL, "c21_map_headers": C21_SQL, "c21_problems": C21B_SQL, "r1_import": R1_SQL, "r2_policy_basis": R2_SQL, "r3_stale_cells": R3_SQL, "r3_flag_stale": R3B_SQL, "r4_affected": R4_SQL,
     "r5_list": R5_SQL, "r6_detail": R6_SQL, "r7_review_queue": R7_SQL, "r8_apply_reviews": R8_SQL, "r9_merge": R9_SQL, "r10_pack": R10_SQL, "r11_coverage": R11_SQL, "r11_unused": R11B_SQL, "r12_profile": R12_SQL, "r13_mismatches": R13_SQL,
     "r14_terms": R14_SQL, "r14_sizes": R14B_SQL, "r15_scenarios": R15_SQL,

@@ -227,12 +227,27 @@ def v2_filter_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 V2_SQL = C12_SQL.replace("SELECT document_id, coalesce(", "SELECT source_key, count(*) AS found, count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS filtered FROM (SELECT source_key, coalesce(").replace(
     " AS tax_key FROM", " IN ('cn_vat', 'cn_property', 'tw_property') AS k FROM") + ") y GROUP BY 1"
 
+
+def v2_source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with keys of their own: some known, an unknown one, or none."""
+    corpus = C.load_corpus(bound(spark, sf_dir, "corpus_rows"), "policy", "v1", "http://fgk.example.org")
+    refs = bound(spark, sf_dir, "docs").withColumn("external_id", norm_docnum(F.col("external_id")))
+    n = F.substring("source_key", 2, 9).cast("int") % 3
+    keys = F.when(n == 0, F.array(F.lit("cn_vat"), F.lit("no_such_key"))).when(n == 1, F.array(F.lit("no_such_key")))
+    return C.filter_refs(refs, None, corpus, bound(spark, sf_dir, "sources").withColumn("tax_keys", keys))[1]
+
+
+V2B_SQL = C12_SQL.replace("SELECT document_id, coalesce(", "SELECT source_key, count(*) AS found, count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS filtered FROM (SELECT source_key, CAST(substr(source_key, 2) AS INT) % 3 <> 0 OR coalesce(").replace(
+    " AS tax_key FROM", " = 'cn_vat' AS k FROM") + ") y GROUP BY 1"
+
 QUERIES = {
+    "v2_source_keys": v2_source_keys,
     "v4_diff_severity": v4_diff_severity, "v4_diff_rows": v4_diff_rows, "v5_renumbered_equal": v5_renumbered_equal, "v6_v7_full_diff": v6_v7_full_diff, "v3_detect_snapshots": v3_detect_snapshots, "v1_upsert": v1_upsert,
     "v8_change_log": v8_change_log, "v9_timeline": v9_timeline, "v10_version_at": v10_version_at, "v11_diff_between": v11_diff_between, "v12_list_documents": v12_list_documents, "v13_statutes": v13_statutes,
     "v14_resolve": v14_resolve, "v15_suggest": v15_suggest, "v16_change_texts": v16_change_texts, "n9_hash_documents": n9_hash_documents, "v2_filter_refs": v2_filter_refs,
 }
 ORACLES = {
+    "v2_source_keys": V2B_SQL,
     "v4_diff_severity": V4_SQL, "v4_diff_rows": V4_ROWS_SQL, "v5_renumbered_equal": V5_SQL, "v3_detect_snapshots": V3_SQL, "v1_upsert": V1_SQL, "v8_change_log": V8_SQL, "v9_timeline": V9_SQL, "v10_version_at": V10_SQL,
     "v11_diff_between": V11_SQL, "v12_list_documents": V12_SQL, "v13_statutes": V13_SQL, "v14_resolve": V14_SQL, "v15_suggest": V15_SQL, "v16_change_texts": V16_SQL, "n9_hash_documents": N9_SQL, "v2_filter_refs": V2_SQL,
 }
