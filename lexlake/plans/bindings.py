@@ -120,10 +120,11 @@ def _relations(d: Dialect) -> str:
 
 
 def _thin(d: Dialect) -> str:
-    """A sparse graph of documents and articles."""
-    return """SELECT DISTINCT concat('K', CAST((l_partkey * 7 + l_linenumber) % 300 AS STRING), CASE WHEN l_orderkey % 3 = 0 THEN concat('#', CAST(l_orderkey % 4 AS STRING)) ELSE '' END) AS from_key,
-      concat('K', CAST(l_suppkey % 300 AS STRING), CASE WHEN l_partkey % 3 = 0 THEN concat('#', CAST(l_partkey % 4 AS STRING)) ELSE '' END) AS to_key,
-      CASE WHEN l_orderkey % 2 = 0 THEN 'authority_of' ELSE 'interprets' END AS relation_type FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 20 IN (0, 1)"""
+    """A sparse graph over all line items: orders are documents or articles, and
+    each points at a few earlier ones, so keys grow with the table."""
+    return """SELECT DISTINCT concat('K', CAST(l_orderkey AS STRING), CASE WHEN l_orderkey % 3 = 0 THEN concat('#', CAST(l_linenumber % 4 AS STRING)) ELSE '' END) AS from_key,
+      concat('K', CAST(CAST(floor((l_orderkey + l_linenumber) / 3) AS BIGINT) AS STRING), CASE WHEN l_partkey % 3 = 0 THEN concat('#', CAST(l_partkey % 4 AS STRING)) ELSE '' END) AS to_key,
+      CASE WHEN l_orderkey % 2 = 0 THEN 'authority_of' ELSE 'interprets' END AS relation_type FROM {lineitem}"""
 
 
 def _edges(d: Dialect) -> str:

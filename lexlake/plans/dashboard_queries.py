@@ -99,14 +99,14 @@ D6B_SQL = with_ctes("runs") + """SELECT count(*) AS total, round(count(*) FILTER
 
 def d7_analysis_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of keys in the sparse graph, with their context lists."""
-    changes = bound(spark, sf_dir, "changes").withColumn("node_key", F.concat(F.lit("K"), F.col("change_id") % 300))
+    changes = bound(spark, sf_dir, "changes").withColumn("node_key", F.concat(F.lit("K"), F.col("change_id")))
     evidence = bound(spark, sf_dir, "docs").select(F.col("document_id").alias("change_id"), F.lit(1).alias("rank"), F.lit("search").alias("origin"), "title", F.lit("s").alias("snippet"), "url")
     out = D.analysis_inputs(changes, _docs(spark, sf_dir), bound(spark, sf_dir, "prov"), bound(spark, sf_dir, "thin"), evidence)
     join = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     return out.select("change_id", "title", join("parent_law"), join("child"), join("sibling"), "evidence")
 
 
-D7_SQL = with_ctes("docs", "changes", "thin") + f""", k AS (SELECT change_id, document_id, concat('K', CAST(change_id % 300 AS VARCHAR)) AS e FROM changes), p AS (SELECT from_key AS e, string_agg(DISTINCT to_key, ',' ORDER BY to_key) AS l FROM thin GROUP BY 1), c AS (SELECT to_key AS e, string_agg(DISTINCT from_key, ',' ORDER BY from_key) AS l FROM thin GROUP BY 1),
+D7_SQL = with_ctes("docs", "changes", "thin") + f""", k AS (SELECT change_id, document_id, concat('K', CAST(change_id AS VARCHAR)) AS e FROM changes), p AS (SELECT from_key AS e, string_agg(DISTINCT to_key, ',' ORDER BY to_key) AS l FROM thin GROUP BY 1), c AS (SELECT to_key AS e, string_agg(DISTINCT from_key, ',' ORDER BY from_key) AS l FROM thin GROUP BY 1),
   s AS (SELECT t.from_key AS e, string_agg(DISTINCT u.from_key, ',' ORDER BY u.from_key) AS l FROM thin t JOIN thin u ON u.to_key = t.to_key AND u.from_key <> t.from_key GROUP BY 1)
   SELECT k.change_id, d.title, coalesce(p.l, '') AS parent_law, coalesce(c.l, '') AS child, coalesce(s.l, '') AS sibling, CASE WHEN x.title IS NULL THEN '{NO_EVIDENCE}' ELSE '{EVIDENCE_PARTS["search"][0]}' || chr(10) || chr(10) || '1. **' || x.title || '**' || chr(10) || '   摘要：s' || chr(10) || '   來源：' || x.url || chr(10) || chr(10) || '{EVIDENCE_PARTS["search"][1]}' END AS evidence FROM k LEFT JOIN docs d USING (document_id) LEFT JOIN docs x ON x.document_id = k.change_id LEFT JOIN p ON p.e = k.e LEFT JOIN c ON c.e = k.e LEFT JOIN s ON s.e = k.e"""
 

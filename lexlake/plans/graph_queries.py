@@ -11,14 +11,14 @@ from lexlake.plans.bindings import bound, with_ctes
 from lexlake.plans.text_queries import C5_SQL
 
 _STEM = "split_part({}, '#', 1)"
-_DOCS = "kd AS (SELECT document_id, title, doc_type, concat('K', CAST(document_id % 300 AS VARCHAR)) AS entity_key FROM docs)"
+_DOCS = "kd AS (SELECT document_id, title, doc_type, concat('K', CAST(document_id // 2 AS VARCHAR)) AS entity_key FROM docs)"
 _EDGES = "de AS (SELECT DISTINCT from_key, to_key FROM thin WHERE relation_type = 'authority_of' AND NOT contains(from_key, '#') AND NOT contains(to_key, '#'))"
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that stand for the keys of the graph bindings."""
+    """Documents that stand for the keys of the graph bindings, two a key."""
     docs = bound(spark, sf_dir, "docs")
-    return docs.withColumn("entity_key", F.concat(F.lit("K"), F.col("document_id") % 300))
+    return docs.withColumn("entity_key", F.concat(F.lit("K"), F.floor(F.col("document_id") / 2)))
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +86,9 @@ G5_SQL = with_ctes("docs", "relations") + f"""SELECT k AS entity_key, CASE WHEN
   coalesce(arg_min(title, document_id), k) AS canonical_title, max(document_id) AS current_document_id FROM (SELECT {_KEY} AS k, title, document_id FROM docs UNION ALL SELECT from_key, NULL, NULL FROM relations UNION ALL SELECT to_key, NULL, NULL FROM relations) x GROUP BY k"""
 
 
-def _seeds(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Keys of the first suppliers, as far as the graph has them."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return s.where(F.col("s_suppkey") <= n).select(F.concat(F.lit("K"), F.col("s_suppkey") % 300).alias("seed")).distinct()
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of all suppliers, as far as the graph has them."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("K"), "s_suppkey").alias("seed")).distinct()
 
 
 def g6_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +113,10 @@ G7_SQL = with_ctes("thin") + f""", {_EDGES}, k AS (SELECT DISTINCT from_key AS e
 
 
 def g8_impact_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.impact_spread(_seeds(spark, sf_dir, 20), bound(spark, sf_dir, "thin"), 3)
+    return G.impact_spread(_seeds(spark, sf_dir), bound(spark, sf_dir, "thin"), 3)
 
 
-G8_SQL = with_ctes("thin").replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT DISTINCT concat('K', CAST(s_suppkey % 300 AS VARCHAR)) AS seed FROM supplier WHERE s_suppkey <= 20),
+G8_SQL = with_ctes("thin").replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT DISTINCT concat('K', CAST(s_suppkey AS VARCHAR)) AS seed FROM supplier),
   r AS (SELECT s.seed, t.from_key AS node, 1 AS depth FROM s JOIN thin t ON t.to_key = s.seed UNION SELECT r.seed, t.from_key, r.depth + 1 FROM r JOIN thin t ON t.to_key = r.node WHERE r.depth < 3)
   SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2"""
 
@@ -139,14 +138,14 @@ G9_SQL = f"""WITH RECURSIVE x AS ({C5_SQL}), d AS (SELECT x.*, docs2.doc_type FR
 
 
 def _few(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents K0..K299 with four articles each, and the sparse graph."""
-    docs = _keyed(spark, sf_dir).where("document_id < 300")
+    """All documents with four articles each, and the sparse graph."""
+    docs = _keyed(spark, sf_dir)
     prov = docs.select("document_id", "entity_key", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ordinal"))
     prov = prov.select("document_id", "ordinal", F.concat_ws("#", "entity_key", "ordinal").alias("node_key"))
     return docs, bound(spark, sf_dir, "thin"), prov
 
 
-_FEW = _DOCS + """, fd AS (SELECT * FROM kd WHERE document_id < 300), fp AS (SELECT document_id, entity_key, concat(entity_key, '#', CAST(i AS VARCHAR)) AS node_key FROM fd CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS i) g),
+_FEW = _DOCS + """, fd AS (SELECT * FROM kd), fp AS (SELECT document_id, entity_key, concat(entity_key, '#', CAST(i AS VARCHAR)) AS node_key FROM fd CROSS JOIN (SELECT unnest(generate_series(0, 3)) AS i) g),
   sr AS (SELECT from_key, to_key AS target_key, min(CASE relation_type WHEN 'authority_of' THEN 0 ELSE 1 END) AS rank FROM thin WHERE split_part(from_key, '#', 1) <> split_part(to_key, '#', 1) GROUP BY 1, 2),
   sp AS (SELECT target_key, document_id, node_key, CASE min(rank) WHEN 0 THEN 'authority_of' ELSE 'interprets' END AS relation_type FROM (SELECT sr.target_key, fp.document_id, fp.node_key, sr.rank FROM sr JOIN fp ON fp.node_key = sr.from_key
     UNION ALL SELECT sr.target_key, fp.document_id, fp.node_key, sr.rank FROM sr JOIN fp ON fp.entity_key = sr.from_key) u GROUP BY 1, 2, 3)"""
