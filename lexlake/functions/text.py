@@ -69,15 +69,13 @@ def document_stem(key: Column) -> Column:
     return F.substring_index(key, "#", 1)
 
 
+_CHILD_NAME = rf"^(.*{R.PARENT_SHAPE.removesuffix('$')}) *(?:{'|'.join(R.CHILD_SUFFIXES)})$"
+
+
 def parent_key(key: Column) -> Column:
     """The law that a child's own name implies, if the rest reads like a law."""
-    stem = F.trim(document_stem(key))
-    out = F.lit(None).cast("string")
-    for suffix in reversed(R.CHILD_SUFFIXES):
-        rest = F.rtrim(F.substring(stem, F.lit(1), F.length(stem) - len(suffix)))
-        fits = stem.endswith(suffix) & (F.length(stem) > len(suffix)) & rest.rlike(R.PARENT_SHAPE)
-        out = F.when(fits, rest).otherwise(out)
-    return out
+    found = F.regexp_extract(F.trim(document_stem(key)), _CHILD_NAME, 1)
+    return F.when(found != "", found)
 
 
 def parent_from_title(title: Column, doc_type: Column) -> Column:

@@ -247,43 +247,78 @@ def statutes_for_tax(documents: DataFrame, country: str, tax_key: str) -> DataFr
     return documents.where((F.col("country") == country) & (F.col("tax_key") == tax_key) & F.col("doc_type").isin("statute", "regulation"))
 
 
+#: Longest piece of a text that is looked up.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct pieces of that size; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
+
+
+def containing(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, text): each text that contains a query. queries: query, texts: text,
+    each once. Texts are indexed by their pieces of up to GRAM characters; a
+    query meets only the texts that hold its rarest piece, and those are
+    verified. An empty query is contained in nothing."""
+    index = [texts.select(F.explode(_grams(F.col("text"), F.lit(k))).alias("gram"), "text") for k in range(1, GRAM + 1)]
+    index = reduce(DataFrame.union, index)
+    asked = queries.where(F.length("query") > 0).withColumn("grams", _grams(F.col("query"), F.least(F.lit(GRAM), F.length("query"))))
+    asked = asked.select("query", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counted = asked.join(index.groupBy("gram").agg(F.count("*").alias("texts")), "gram")
+    # A query with a piece that no text has is contained in none.
+    rarest = counted.groupBy("query").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.count("*").alias("found"), F.first("n").alias("n")).where("found = n")
+    return rarest.select("query", "gram").join(index, "gram").where(F.contains("text", "query")).select("query", "text")
+
+
 def resolve_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """V14. (query_id, query) → status, document_id, candidates: by external id,
     else exact title, else unique normalised name, else the one name that all
     other substring hits are children of, else the one substring hit; several
-    are ambiguous. The names are few beside documents and are broadcast by
-    Spark where small; the substring stage reads each document once a query.
+    are ambiguous. Distinct names are searched for distinct wanted ones, and
+    documents are counted by name before they are joined.
     """
     docs = documents.select("document_id", "external_id", "title", norm_key(F.col("title")).alias("key"))
     q = queries.select("query_id", "query", norm_key(F.col("query")).alias("wanted"))
-    exact = lambda cond, rank: q.join(docs, cond).groupBy("query_id").agg(F.lit(rank).alias("rank"), F.count("*").alias("n"), F.min("document_id").alias("document_id"))
-    by_id = exact(q["query"] == docs["external_id"], 1)
-    by_title = exact(q["query"] == docs["title"], 2)
-    by_name = exact(q["wanted"] == docs["key"], 3).where("n = 1")
-    rest = q.join(by_id.union(by_title).union(by_name), "query_id", "left_anti").where(F.length("wanted") > 0)
-    hits = rest.join(docs, F.contains(docs["key"], rest["wanted"]))
-    hits = hits.withColumns({"up1": parent_key(F.col("key"))}).withColumn("up2", parent_key(F.col("up1")))
-    tops = hits.where(~(F.coalesce(F.col("up1") == F.col("wanted"), F.lit(False)) | F.coalesce(F.col("up2") == F.col("wanted"), F.lit(False))))
-    one = tops.groupBy("query_id").agg(F.lit(4).alias("rank"), F.countDistinct("key").alias("n"), F.min("document_id").alias("document_id"))
-    listed = hits.groupBy("query_id").agg(F.count("*").alias("candidates"))
-    best = by_id.union(by_title).union(by_name).union(one.where("n = 1"))
+    first = lambda column: docs.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"), F.min("document_id").alias("document_id"))
+    exact = lambda wanted, column, rank: q.join(first(column), q[wanted] == F.col("k")).select("query_id", F.lit(rank).alias("rank"), "n", "document_id")
+    by_id, by_title = exact("query", "external_id", 1), exact("query", "title", 2)
+    by_name = exact("wanted", "key", 3).where("n = 1")
+    known = by_id.union(by_title).union(by_name)
+    rest = q.join(known, "query_id", "left_anti").where(F.length("wanted") > 0)
+    names = first("key").withColumnRenamed("k", "text").where("text is not null")
+    hits = containing(rest.select(F.col("wanted").alias("query")).distinct(), names.select("text")).join(names, "text")
+    hits = hits.withColumn("up1", parent_key(F.col("text"))).withColumn("up2", parent_key(F.col("up1")))
+    child = F.coalesce(F.col("up1") == F.col("query"), F.lit(False)) | F.coalesce(F.col("up2") == F.col("query"), F.lit(False))
+    found = hits.groupBy(F.col("query").alias("wanted")).agg(F.sum("n").alias("candidates"), F.count_if(~child).alias("tops"), F.min(F.when(~child, F.col("document_id"))).alias("document_id"))
+    found = rest.join(found, "wanted").select("query_id", "candidates", "tops", "document_id")
+    best = known.select("query_id", "rank", "document_id").union(found.where("tops = 1").select("query_id", F.lit(4), "document_id"))
     best = best.groupBy("query_id").agg(F.min_by("document_id", "rank").alias("document_id"), F.min("rank").alias("rank"))
     how = F.element_at(F.array(*map(F.lit, ("external_id", "title", "name", "substring"))), F.col("rank"))
-    out = q.join(best, "query_id", "left").join(listed, "query_id", "left").na.fill(0, ["candidates"])
+    out = q.join(best, "query_id", "left").join(found.select("query_id", "candidates"), "query_id", "left").na.fill(0, ["candidates"])
     status = F.when(F.col("rank").isNotNull(), how).when(F.col("candidates") > 0, "ambiguous").otherwise("not_found")
     return out.select("query_id", status.alias("status"), "document_id", F.col("candidates").cast("long").alias("candidates"))
 
 
 def suggest_documents(queries: DataFrame, documents: DataFrame, limit: int = 5) -> DataFrame:
     """V15. query_id, rank, document_id: titles or ids that contain the query,
-    the first ``limit`` by title; else any first ``limit`` documents."""
+    the first ``limit`` by title; else any first ``limit`` documents. Distinct
+    queries are searched in distinct titles, of which only the first ``limit``
+    documents can be suggested."""
     docs = documents.select("document_id", "external_id", "title")
-    hits = queries.join(docs, F.contains(docs["title"], queries["query"]) | F.contains(docs["external_id"], queries["query"]))
-    w = Window.partitionBy("query_id").orderBy("title", "document_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", "document_id")
+    asked = queries.select("query").where("query is not null").distinct()
+    w = Window.partitionBy("title").orderBy("document_id")
+    leading = docs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select(F.col("title").alias("text"), "document_id")
+    text = lambda column: docs.select(F.col(column).alias("text")).where("text is not null").distinct()
+    by_title = containing(asked, text("title")).join(leading, "text").select("query", F.col("text").alias("title"), "document_id")
+    by_id = containing(asked, text("external_id")).join(docs.withColumnRenamed("external_id", "text"), "text").select("query", "title", "document_id")
+    w = Window.partitionBy("query").orderBy("title", "document_id")
+    hits = by_title.union(by_id).distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = queries.select("query_id", "query").join(hits, "query").select("query_id", "rank", "document_id")
     first = docs.orderBy("title", "document_id").limit(limit)
     first = first.withColumn("rank", F.row_number().over(Window.orderBy("title", "document_id"))).select("rank", "document_id")
-    bare = queries.join(ranked, "query_id", "left_anti").select("query_id").crossJoin(F.broadcast(first))  # ``limit`` rows
+    bare = queries.join(hits.select("query").distinct(), "query", "left_anti").select("query_id").crossJoin(F.broadcast(first))  # ``limit`` rows
     return ranked.union(bare)
 
 

@@ -9,6 +9,7 @@ accepted: detection goes by fetch time.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,13 +24,18 @@ PROVISIONS = "snapshot_id long, document_id long, ordinal int, node_key string,
 
 def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table so far; empty before the first batch."""
-    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def apply_batch(fetches: DataFrame, batch: int, out: str, threshold: float | None = 0.9) -> None:
     """One micro-batch of provision rows by fetch: writes snapshots, provisions
-    and changes of this batch."""
+    and changes of this batch. Of the stored provisions only the batches are read
+    that hold a version to compare with."""
     spark = fetches.sparkSession
     by = ["document_id", "fetched_at"]
     old = stored_table(spark, f"{out}/snapshots", SNAPSHOTS).where(F.col("batch") < batch)
@@ -47,10 +53,11 @@ def apply_batch(fetches: DataFrame, batch: int, out: str, threshold: float | Non
     put(fetches.join(mine.select(*by, "snapshot_id"), by).select(*names(PROVISIONS)[:-1]), "provisions")
     provisions = spark.read.schema(PROVISIONS).parquet(f"{out}/provisions")
     # Each new snapshot is compared with its document's one before, which may lie in an earlier batch.
-    latest = stored.where(F.col("batch") < batch).groupBy("document_id").agg(F.max_by(F.struct("snapshot_id", "fetched_at"), "fetched_at").alias("s"))
-    latest = latest.join(mine.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "s.snapshot_id", "s.fetched_at")
-    pairs = mine.select("document_id", "snapshot_id", "fetched_at").union(latest)
-    nodes = provisions.join(pairs.select("snapshot_id"), "snapshot_id", "left_semi").select("snapshot_id", "ordinal", "node_key", "heading", "text")
+    latest = stored.where(F.col("batch") < batch).groupBy("document_id").agg(F.max_by(F.struct("snapshot_id", "fetched_at", "batch"), "fetched_at").alias("s"))
+    latest = latest.join(mine.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "s.snapshot_id", "s.fetched_at", "s.batch")
+    held = [batch, *(r["batch"] for r in latest.select("batch").distinct().collect())]  # one row a batch at most
+    pairs = mine.select("document_id", "snapshot_id", "fetched_at").union(latest.drop("batch"))
+    nodes = provisions.where(F.col("batch").isin(*held)).join(pairs.select("snapshot_id"), "snapshot_id", "left_semi").select("snapshot_id", "ordinal", "node_key", "heading", "text")
     put(detect_changes(pairs, nodes, threshold), "changes")
 
 
