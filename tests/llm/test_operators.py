@@ -235,6 +235,40 @@ def test_op6_base_places(spark, table, docs):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def _texts_in(words, idf):
+    """Labels of the licence texts in a file: every start of every text is tried."""
+    found = set()
+    for label, key, text in license_scan.TEXTS:
+        want, phrase = license_scan.words_of(text), license_scan.words_of(key)
+        for start in range(-len(want) // 2, len(words)):
+            window = words[max(0, start - 8) : max(0, start + len(want) + 16)]
+            have = Counter(window)
+            cover = sum(idf[w] * min(n, have[w]) for w, n in Counter(want).items())
+            if cover >= 0.8 * sum(idf[w] for w in want) and any(window[i : i + len(phrase)] == phrase for i in range(len(window))):
+                found.add(label)
+    return found
+
+
+def test_op6_finds_whole_texts(spark, table):
+    rng, prose = random.Random(6), [r["text"] for r in queries.documents(spark, table).where("doc_id < 60").collect()]
+    texts = list(prose)
+    for label, key, text in license_scan.TEXTS:
+        words = text.split()
+        texts += [text, f"{rng.choice(prose)} {text} {rng.choice(prose)}", "// " + " ".join(w for w in words if rng.random() > 0.04), " ".join(words[: len(words) // 3]), text.replace(words[3], "other").replace(words[1], "words")]
+    texts += [license_scan.TEXTS[0][2] + " and " + license_scan.TEXTS[3][2], license_scan.TEXTS[0][2] * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = license_scan.licence_idf(docs)
+    rows = {r["doc_id"]: r for r in license_scan.scan_licences(docs, idf).collect()}
+    known = license_scan.templates(idf)
+    for i, text in enumerate(texts):
+        words = license_scan.words_of(text)
+        phrases = {t.label for t in known for k in range(len(words)) if tuple(words[k : k + len(t.words)]) == t.words}
+        labels = {p["label"] for p in rows[i]["places"]}
+        assert labels == phrases | _texts_in(words, idf), i
+        assert 0 <= rows[i]["score"] <= 1 and all(p["start"] < p["end"] <= len(words) for p in rows[i]["places"])
+    assert sum(p["label"] == "mit" and p["end"] - p["start"] > 50 for p in rows[len(texts) - 1]["places"]) == 2
+
+
 def test_op7_equals_the_library(spark, table, docs):
     lib = Tokenizer.from_file(queries.BYTE_BPE)
     start, want = 0, Counter()
