@@ -156,12 +156,18 @@ class TextIndex:
                 held[w].append((len(self.licences), q))
             self.licences.append(Licence(words, label, words_of(key), dict(weights)))
         self.postings = {w: np.array(at, dtype=np.int64).T for w, at in held.items()}
+        #: Word → its share of each text's IDF; what a file lacks of a text can't be covered.
+        self.shares = {w: np.array([one.weights.get(w, 0.0) / max(sum(one.weights.values()), 1e-300) for one in self.licences]) for w in held}
 
     def starts(self, words: list[bytes]) -> list[tuple[int, int]]:
         """(template, start) where enough of the file's rarest licence words agree."""
         present = self.postings.keys() & set(words)
         if len(present) < LEAST_VOTES:
             return []
+        # Rounding apart, a text whose words the file lacks can't be covered; most files end here.
+        possible = np.sum([self.shares[w] for w in present], axis=0) >= LEAST_COVER - 1e-9
+        if not possible.any():
+            return []
         rarest = dict.fromkeys(sorted(present, key=lambda w: (-self.idf[w], w))[:FILE_WORDS])
         at: dict[bytes, list[int]] = {w: [] for w in rarest}
         for p, w in enumerate(words):
@@ -169,7 +175,7 @@ class TextIndex:
                 at[w].append(p)
         votes = []
         for w, p in at.items():
-            template, q = self.postings[w]
+            template, q = self.postings[w][:, possible[self.postings[w][0]]]
             bucket = (np.array(p)[:, None] - q[None, :] + (1 << 20)) // SLACK  # starts may lie before the file
             votes.append(np.unique(bucket * len(self.licences) + template[None, :]))
         bucket, n = np.unique(np.concatenate(votes), return_counts=True)
