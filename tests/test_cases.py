@@ -223,3 +223,35 @@ def test_landed_files(spark, tmp_path):
     (tmp_path / "in" / "gone.html").write_text("")
     rows = landed.read_raw(spark, str(tmp_path / "in"), "s", "us_govinfo_cfr").collect()
     assert {(r["external_id"], r["content_type"]) for r in rows} == {("a", "text/html"), ("CFR-2025-title26-vol3", "application/xml")}
+
+
+def test_dimension_gaps_and_source_keywords(spark):
+    schema = "document_id long, country string, tax_key string, taxpayer_class string, tax_scheme string, subject_matter string, scenario_key string"
+    rows = [(1, "TW", "tw_income", "a", "b", "c", "d"), (1, "TW", "tw_income", "a", "x", "", "d"), (1, "TW", "tw_income", None, None, None, None), (2, "TW", "other", "a", "b", "c", "d")]
+    vocab = spark.createDataFrame([("TW", "tw_income", d, v) for d, v in (("taxpayer_class", "a"), ("tax_scheme", "b"), ("subject_matter", "c"), ("scenario_key", "d"))], "country string, tax_key string, dimension string, value_key string")
+    got = {tuple(r) for r in matrix.dimension_gaps(spark.createDataFrame(rows, schema), vocab).collect()}
+    assert got == {(1, 1, 1), (2, 4, 0)}
+    assert corpus.key_words(["cn_vat", "no such key"]) == ["增值税", "增值稅", "营业税", "營業稅"] and corpus.key_words([]) == []
+
+
+def test_substring_search(spark):
+    texts = ["增值税法", "增值税法实施条例", "a", "ab", "abcabc", ""]
+    queries = ["税法", "增值税法", "a", "abc", "zz", "", "c", "cab", "实施条例x"]
+    found = versions.containing(spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {tuple(r) for r in found.collect()} == {(q, t) for q in queries for t in texts if q and q in t}
+
+
+def test_report_reads_in_order(spark, tmp_path):
+    from lexlake.sources import reports
+
+    day = dt.datetime(2026, 8, 1, 12)
+    changes = spark.createDataFrame([(1, 1, "a#1", "modified", "minor", day), (2, 1, "a#2", "added", "critical", day), (3, 9, "b#1", "added", "major", day)], "change_id long, document_id long, node_key string, change_type string, severity string, detected_at timestamp")
+    documents = spark.createDataFrame([(1, "增值税法", "CN")], "document_id long, title string, country string")
+    analyses = spark.createDataFrame([(2, "s", 0.9, ["x", "y"])], "change_id long, summary string, confidence double, affected_parties array<string>")
+    report = reports.change_report(changes, documents, analyses, F.timestamp_seconds(F.unix_seconds(F.lit(day)) + 60), 7)
+    reports.write_report(report, str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.startswith(f"# {reports.REPORT_TITLE}") and "共偵測到 **3** 筆異動" in text and "- 受影響對象：x, y" in text and "- 信心度：90%" in text
+    assert text.index("## ??") < text.index("### 🟠") < text.index("## 中國") < text.index("### 🔴") < text.index("### 🟡") and "### 🟠 MAJOR b#1 — b#1" in text
+    none = reports.change_report(changes.limit(0), documents, analyses, F.lit(day), 7).collect()
+    assert len(none) == 1 and "過去 7 天內無偵測到異動" in none[0]["text"]
