@@ -6,7 +6,10 @@ digest. Two entities that would share a surrogate, or a surrogate that is
 itself an entity of the corpus, are drawn again until all differ; so equal
 entities keep one name everywhere and different ones stay different. Mentions
 are laid out in their own format. Card numbers and IBANs count only with valid
-check digits, which their surrogates have as well. Built-in expressions only.
+check digits, which their surrogates have as well. Names are replaced word by
+word: a surname keeps one surrogate with and without a given name, and a full
+name is found again in the same text where it stands without its honorific.
+Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import stored
+from lexlake.llm.common import if_small, stored
 
 #: Honorifics, with the gender that they tell.
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Señora", "Mr|Herr|Monsieur|Sr|Señor"
@@ -56,6 +59,10 @@ _BUT_IBAN = "|".join(v for k, v in PATTERNS.items() if k != "iban")
 #: Texts without this hold no entity; it is cheaper than ANY.
 _GUARD = rf"[0-9@]|AKIA|ASIA|[=:] {{0,2}}[\"']?[A-Za-z+/_-]{{8}}|(?:{FEMALE}|{MALE})\.? \p{{Lu}}"
 
+#: A text with more copies than this, and than this share of all texts with
+#: entities, is spread over so many tasks. At most 1/share texts are spread.
+HOT_COPIES, HOT_SHARE, SALTS = 1000, 0.005, 64
+
 #: Draws before a surrogate gets a suffix of the digest, when a format is used up.
 DRAWS = 8
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -153,24 +160,18 @@ def _checks(kind: Column, canon: Column) -> Column:
     return F.when(kind == "card", luhn).when(kind == "iban", _mod97(canon) == 1).otherwise(True)
 
 
-def _name(gender: str) -> Column:
-    """Names of syllables, the given one ending as its gender tells; other
-    scripts keep their letters' alphabets."""
-
-    def word(w: Column, i: Column) -> Column:
-        at = i * 9
-        syllables = F.transform(
-            F.sequence(F.lit(0), F.lit(3)),
-            lambda k: F.concat(
-                F.substring(F.lit("bdfgklmnprstvz"), F.pmod(_number(at + k * 2), F.lit(14)) + 1, F.lit(1)),
-                F.substring(F.lit("aeiou"), F.pmod(_number(at + k * 2 + 1), F.lit(5)) + 1, F.lit(1)),
-            ),
-        )
-        ending = F.when(i == 0, F.lit("na" if gender == "f" else "dor")).otherwise("n")
-        return F.initcap(F.concat(F.array_join(syllables, ""), ending))
-
-    latin = F.col("canon").rlike(r"^[\p{IsLatin} '-]+$")
-    made = F.array_join(F.transform(F.split(F.col("canon"), " "), word), " ")
+def _name(ending: str) -> Column:
+    """A word of syllables with that ending; other scripts keep their letters'
+    alphabets."""
+    syllables = F.transform(
+        F.sequence(F.lit(0), F.lit(3)),
+        lambda k: F.concat(
+            F.substring(F.lit("bdfgklmnprstvz"), F.pmod(_number(k * 2), F.lit(14)) + 1, F.lit(1)),
+            F.substring(F.lit("aeiou"), F.pmod(_number(k * 2 + 1), F.lit(5)) + 1, F.lit(1)),
+        ),
+    )
+    latin = F.col("canon").rlike(r"^[\p{IsLatin}'-]+$")
+    made = F.initcap(F.concat(F.array_join(syllables, ""), F.lit(ending)))
     return F.when(latin, made).otherwise(_redrawn("canon", lambda i, c: F.lit(False)))
 
 
@@ -196,8 +197,9 @@ def surrogate() -> Column:
         .when(F.col("kind") == "key", _redrawn("canon", lambda i, c: i < 4))
         .when(F.col("kind") == "iban", iban)
         .when((F.col("kind") == "secret") & F.col("canon").rlike("^[0-9a-f]+$"), hexes)
-        .when(F.col("kind") == "name_f", _name("f"))
-        .when(F.col("kind") == "name_m", _name("m"))
+        .when(F.col("kind") == "given_f", _name("na"))
+        .when(F.col("kind") == "given_m", _name("dor"))
+        .when(F.col("kind") == "surname", _name("n"))
         .otherwise(_redrawn("canon", lambda i, c: F.lit(False)))
     )
 
@@ -228,8 +230,26 @@ def laid_out(kind: Column, mention: Column, made: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, made: a surrogate for each distinct entity (kind, canon)."""
-    entities = stored(entities.distinct())
+    """kind, canon, made: a surrogate for each distinct entity (kind, canon).
+
+    A name's surrogate is made of its words': the last word is the surname,
+    which a single word is too; those before are given names of the gender that
+    the honorific tells. Words are distinct by kind, so names are as well.
+    """
+    entities = entities.distinct()
+    names = entities.where(F.col("kind").startswith("name_"))
+    place = lambda w, i: F.struct(F.when(i == F.size(F.split("canon", " ")) - 1, "surname").otherwise(F.replace("kind", F.lit("name"), F.lit("given"))).alias("part"), w.alias("word"))
+    words = names.select("kind", "canon", F.posexplode(F.transform(F.split("canon", " "), place)).alias("i", "w")).select("kind", "canon", "i", "w.part", "w.word")
+    words = stored(words)
+    single = _drawn(entities.where(~F.col("kind").startswith("name_")).union(words.select("part", "word").distinct()), key)
+    made = words.join(if_small(single.select(F.col("kind").alias("part"), F.col("canon").alias("word"), "made")), ["part", "word"])
+    whole = made.groupBy("kind", "canon").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "made"))), lambda x: x["made"]), " ").alias("made"))
+    return stored(single.union(whole))
+
+
+def _drawn(entities: DataFrame, key: str) -> DataFrame:
+    """kind, canon, made of distinct (kind, canon), drawn until all differ."""
+    entities = stored(entities)
     originals = entities.select("kind", F.col("canon").alias("made"))
     done, pending = [], entities
     for draw in range(DRAWS + 1):
@@ -272,13 +292,28 @@ def _segments(text: Column) -> Column:
     return F.flatten(F.transform(cut(text, ANY), checked))
 
 
-def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
-    """``docs`` with the entities of the text replaced, and their number in ``count_col``.
+def _named_again(lead: Column, names: Column) -> Column:
+    """t, n: text between mentions with the names (canon, made) replaced, the
+    longest first, and how many there were."""
+
+    def step(a: Column, x: Column) -> Column:
+        whole = F.concat(F.lit(r"(?<![\p{L}])\Q"), x["canon"], F.lit(r"\E(?![\p{L}'-])"))
+        put = F.struct(F.regexp_replace(a["t"], whole, x["made"]).alias("t"), (a["n"] + F.regexp_count(a["t"], whole)).alias("n"))
+        return F.when(a["t"].contains(x["canon"]), put).otherwise(a)
 
-    Texts without an entity, null and empty ones come back as they are, with 0
-    entities. Equal texts, so repeated rows too, give equal results; ids play
-    no part. An empty table stays empty. A column of that name is replaced; all
-    other columns are kept.
+    return F.aggregate(names, F.struct(lead.alias("t"), F.lit(0).alias("n")), step)
+
+
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """``docs`` with the entities of the text replaced, and the number of their
+    mentions in ``count_col``.
+
+    A name of two or three words counts wherever it stands in a text that has
+    it with an honorific. Texts without an entity, null and empty ones come back
+    as they are, with 0 entities. Equal texts, so repeated rows too, give equal
+    results; ids play no part. An empty table stays empty. A column of that name
+    is replaced; all other columns are kept. A text with very many copies is
+    spread over tasks.
     """
     names = [c for c in docs.columns if c != count_col]
     text = F.col(text_col)
@@ -289,12 +324,26 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     digests = [F.xxhash64(text_col).alias("__a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__b")]
     held = docs.where(candidate)
     found = held.select(*digests, F.posexplode(_segments(text)).alias("pos", "s")).where("s.m is not null").select("__a", "__b", "pos", "s.m", "s.plain")
+    found = found.groupBy("__a", "__b", "pos", "m", "plain").agg(F.count("*").alias("copies"))
     found = found.withColumn("kind", kind_of(F.col("m"))).withColumn("canon", canonical_of(F.col("kind"), F.col("m")))
-    found = stored(found.withColumn("real", ~F.col("plain") & _checks(F.col("kind"), F.col("canon"))).distinct())
-    mentions, others = found.where("real"), found.where("not real").select("__a", "__b", "pos", F.col("m").alias("put"), "real")
+    found = stored(found.withColumn("real", ~F.col("plain") & _checks(F.col("kind"), F.col("canon"))))
+    texts = found.where("pos = 0").select("__a", "__b", "copies")
+    most = max(HOT_COPIES, (texts.agg(F.sum("copies")).first()[0] or 0) * HOT_SHARE)
+    hot = stored(texts.where(F.col("copies") > most).select("__a", "__b", F.lit(SALTS).alias("__salts")))  # at most 1 / HOT_SHARE rows
+
+    mentions, others = found.where("real"), found.where("not real").select("__a", "__b", "pos", F.col("m").alias("put"), "real", F.lit(None).alias("name"))
     table = surrogates(mentions.select("kind", "canon"), key)
-    made = mentions.join(table, ["kind", "canon"]).select("__a", "__b", "pos", laid_out(F.col("kind"), F.col("m"), F.col("made")).alias("put"), "real")
-    lists = made.union(others).groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("__put"), F.count_if("real").cast("int").alias(count_col))
-    parts = F.zip_with(_segments(text)["lead"], F.col("__put.put"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    replaced = held.select("*", *digests).join(lists, ["__a", "__b"]).withColumn(text_col, F.array_join(parts, ""))
+    name = F.when(F.col("kind").startswith("name_") & F.col("canon").contains(" "), F.struct(-F.length("canon").alias("size"), "canon", "made"))
+    made = mentions.join(if_small(table), ["kind", "canon"]).select("__a", "__b", "pos", laid_out(F.col("kind"), F.col("m"), F.col("made")).alias("put"), "real", name.alias("name"))
+    lists = made.union(others).groupBy("__a", "__b").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("__put"), F.count_if("real").cast("int").alias("__n"), F.sort_array(F.collect_set("name")).alias("__names")
+    )
+    lists = lists.join(F.broadcast(hot), ["__a", "__b"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    rows = held.select("*", *digests).join(F.broadcast(hot), ["__a", "__b"], "left")
+    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    leads = F.transform(_segments(text)["lead"], lambda x: _named_again(x, F.col("__names")))
+    replaced = rows.join(lists, ["__a", "__b", "__salt"]).withColumn("__leads", leads)
+    parts = F.zip_with(F.col("__leads")["t"], F.col("__put.put"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    count = F.col("__n") + F.aggregate(F.col("__leads")["n"], F.lit(0), lambda a, x: a + x)
+    replaced = replaced.withColumns({text_col: F.array_join(parts, ""), count_col: count})
     return replaced.select(*names, count_col).unionByName(clean)
