@@ -28,9 +28,11 @@ from lexlake.llm.common import LEAST_ID, checkpointed, if_small, partitions, ran
 _SLICE = 1 << 12
 #: Rows and columns compared at a time.
 _ROWS, _COLUMNS = 256, 8192
-#: Range tiles at most; each fingerprint is sent to so many partners at most.
-_MOST_TILES = 48
-_LEAST_TILE = 2048
+#: Range tiles of a table: of so many rows at least, and as many tiles as need
+#: be for so many rows at most. A task holds the rows of one tile.
+_LEAST_TILE, _USUAL_TILES, _MOST_ROWS = 2048, 48, 500_000
+#: Rows of later tiles that a task holds at a time; rows of a batch it sends.
+_LATER, _SEND = 1 << 15, 1 << 14
 #: Odd constants of the further lanes.
 _SPREAD = np.random.default_rng(64).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Lanes that are compared first.
@@ -141,24 +143,42 @@ def _distances(a: np.ndarray, b: np.ndarray, radius: int, coarse: int) -> tuple[
     return row, column
 
 
-def compare(nodes: np.ndarray, fps: np.ndarray, home: int, radius: int, sizes: np.ndarray | None = None, likeness: float = 0.0, coarse: int = 64 * _COARSE) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, other node) of a spanning forest over the rows: the first
-    ``home`` rows are compared with each other and with all the later ones."""
-    forest = Forest(len(nodes))
-    for lo in range(0, home, _ROWS):
-        hi = min(lo + _ROWS, home)
-        for left in range(lo, len(nodes), _COLUMNS):
-            row, column = _distances(fps[lo:hi], fps[left : left + _COLUMNS], radius, coarse)
-            row, column = row + lo, column + left
-            ok = column > row
-            if sizes is not None:
-                x, y = sizes[row], sizes[column]
-                ok &= np.minimum(x, y) >= likeness * np.maximum(x, y)
-            for i, part in zip(*_runs(row[ok], column[ok])):
-                forest.link(i, part)
-    root = forest.roots(np.arange(len(nodes)))
-    at = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[at], nodes[root[at]]
+class Tile:
+    """The rows of one tile with a spanning forest of their links, that later
+    rows join piece by piece: only the tile itself stays in memory."""
+
+    def __init__(self, nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int, likeness: float = 0.0, coarse: int = 64 * _COARSE) -> None:
+        self.nodes, self.fps, self.sizes = nodes, fps, sizes
+        self.radius, self.likeness, self.coarse = radius, likeness, coarse
+        self.forest = Forest(len(nodes))
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links (node, other node) within the tile."""
+        return self._joined(self.nodes, self.fps, self.sizes, 0)
+
+    def later(self, nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the tile's rows with others, not of those with each other."""
+        return self._joined(nodes, fps, sizes, len(self.nodes))
+
+    def _joined(self, nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        home, every = len(self.nodes), np.arange(first + len(nodes))
+        self.forest.parent = np.concatenate([self.forest.parent, every[home:]])
+        was_root = self.forest.parent == every
+        for lo in range(0, home, _ROWS):
+            for left in range(0 if first else lo, len(nodes), _COLUMNS):
+                row, column = _distances(self.fps[lo : lo + _ROWS], fps[left : left + _COLUMNS], self.radius, self.coarse)
+                row, column = row + lo, column + left
+                ok = column + first > row
+                if self.likeness:
+                    x, y = self.sizes[row], sizes[column]
+                    ok &= np.minimum(x, y) >= self.likeness * np.maximum(x, y)
+                for i, part in zip(*_runs(row[ok], column[ok] + first)):
+                    self.forest.link(i, part)
+        root = self.forest.roots(every)
+        at = np.flatnonzero(was_root & (root != every))
+        named = np.concatenate([self.nodes, nodes]) if first else nodes
+        self.forest.parent = root[:home]
+        return named[at], named[root[at]]
 
 
 def _runs(row: np.ndarray, column: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -177,27 +197,35 @@ def _compared(sent: DataFrame, radius: int, likeness: float, coarse: int, n: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def links(parts: list[tuple]) -> pa.RecordBatch:
-            home, node, size, fp = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            u, v = compare(node, fp, int((home == 0).sum()), radius, size if likeness else None, likeness, coarse)
+        tile, current = None, None
+
+        def linked() -> pa.RecordBatch:
+            nonlocal tile
+            rows = [np.concatenate([part[k] for part in held]) for k in range(3)]
+            held.clear()
+            if tile is None:
+                tile = Tile(*rows, radius, likeness, coarse)
+                u, v = tile.own()
+            else:
+                u, v = tile.later(*rows)
             return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        current = None
         for batch in batches:
-            tile, home, node, size = (batch.column(k).to_numpy() for k in range(4))
-            raw = b"".join(batch.column(4).to_pylist())
-            fp = np.frombuffer(raw, dtype="<u8").reshape(len(tile), -1) if len(tile) else np.zeros((0, 1), dtype="<u8")
-            cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+            if not batch.num_rows:
+                continue
+            at, home, node, size = (batch.column(k).to_numpy() for k in range(4))
+            fp = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u8").reshape(len(at), -1)
+            cuts = [0, *(np.flatnonzero(np.diff(at) | np.diff(home)) + 1).tolist(), len(at)]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    if held and tile[a] != current:
-                        yield links(held)
-                        held = []
-                    current = tile[a]
-                    held.append((home[a:b], node[a:b], size[a:b], fp[a:b]))
+                if held and (current != (at[a], home[a]) or (tile is not None and sum(len(part[0]) for part in held) >= _LATER)):
+                    yield linked()
+                if current is None or current[0] != at[a]:
+                    # A tile without rows of its own has nothing to compare.
+                    tile = Tile(node[:0], fp[:0], size[:0], radius) if home[a] else None
+                current = at[a], home[a]
+                held.append((node[a:b], fp[a:b], size[a:b]))
         if held:
-            yield links(held)
+            yield linked()
 
     sorted_ = sent.repartition(n, "tile").sortWithinPartitions("tile", "home", "node")
     return sorted_.mapInArrow(run, _LINKS)
@@ -248,7 +276,7 @@ def _half_ball(segments: int, radius: int) -> np.ndarray:
 def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -> DataFrame:
     """Each pair of tiles that can hold a link is one task's comparison: the
     earlier tile is its home. A tile with itself is a comparison as well."""
-    n_tiles = int(np.clip(n_nodes // _LEAST_TILE, 1, _MOST_TILES))
+    n_tiles = int(np.clip(n_nodes // _LEAST_TILE, 1, max(_USUAL_TILES, n_nodes // _MOST_ROWS)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +297,7 @@ def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -
             yield pa.record_batch([pa.array(t), *batch.columns[:4]], names=["t", "node", "size", "fp", "pop"])
 
     rows = rows.mapInArrow(tiled, "t long, node long, size long, fp binary, pop long")
-    extent = rows.groupBy("t").agg(F.min("size"), F.max("size"), F.min("pop"), F.max("pop")).collect()  # _MOST_TILES rows
+    extent = rows.groupBy("t").agg(F.min("size"), F.max("size"), F.min("pop"), F.max("pop")).collect()  # a row a tile
     pairs = [
         (a[0], b[0])
         for a, b in product(extent, extent)
@@ -277,16 +305,24 @@ def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -
     ]
     partners: dict[int, list[tuple[int, int]]] = {}
     for a, b in pairs:
-        partners.setdefault(a, []).append((a * 1000 + b, 0))
+        partners.setdefault(a, []).append((a * n_tiles + b, 0))
         if a != b:
-            partners.setdefault(b, []).append((a * 1000 + b, 1))
-    goal = "array<struct<tile:bigint,home:int>>"
-    to = {t: F.array(*[F.struct(F.lit(p).cast("long").alias("tile"), F.lit(h).alias("home")) for p, h in v]).cast(goal) for t, v in partners.items()}
-    column = F.lit(None).cast(goal)
-    for t, v in to.items():
-        column = F.when(F.col("t") == t, v).otherwise(column)
-    sent = rows.withColumn("to", F.explode(column))
-    return sent.select("to.tile", "to.home", "node", "size", "fp")
+            partners.setdefault(b, []).append((a * n_tiles + b, 1))
+    goals = {t: np.array(v, dtype=np.int64) for t, v in partners.items()}
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(0).to_numpy()
+            for x in np.unique(t).tolist():
+                mine = batch.select(["node", "size", "fp"]).take(pa.array(np.flatnonzero(t == x)))
+                many = max(1, _SEND // mine.num_rows)
+                for lo in range(0, len(goals[x]), many):
+                    goal = goals[x][lo : lo + many]
+                    at = pa.array(np.tile(np.arange(mine.num_rows), len(goal)))
+                    tile, home = (pa.array(np.repeat(goal[:, k], mine.num_rows).astype(kind)) for k, kind in ((0, np.int64), (1, np.int32)))
+                    yield pa.record_batch([tile, home, *mine.take(at).columns], names=["tile", "home", "node", "size", "fp"])
+
+    return rows.mapInArrow(sent, _SENT)
 
 
 def links(nodes: DataFrame, radius: int, likeness: float = 0.0, coarse: int = 64 * _COARSE) -> DataFrame:
