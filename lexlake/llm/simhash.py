@@ -28,11 +28,13 @@ from lexlake.llm.common import LEAST_ID, checkpointed, if_small, partitions, ran
 _SLICE = 1 << 12
 #: Rows and columns compared at a time.
 _ROWS, _COLUMNS = 256, 8192
+#: Pairs whose further lanes are compared at a time.
+_PAIRS = 1 << 15
 #: Range tiles of a table: of so many rows at least, and as many tiles as need
 #: be for so many rows at most. A task holds the rows of one tile.
 _LEAST_TILE, _USUAL_TILES, _MOST_ROWS = 2048, 48, 500_000
 #: Rows of later tiles that a task holds at a time; rows of a batch it sends.
-_LATER, _SEND = 1 << 15, 1 << 14
+_LATER, _SEND = 1 << 14, 1 << 12
 #: Odd constants of the further lanes.
 _SPREAD = np.random.default_rng(64).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Lanes that are compared first.
@@ -137,8 +139,11 @@ def _distances(a: np.ndarray, b: np.ndarray, radius: int, coarse: int) -> tuple[
         first = first + np.bitwise_count(a[:, None, k] ^ b[None, :, k])
     row, column = np.nonzero(first <= min(coarse, radius))
     if a.shape[1] > _COARSE:
-        rest = np.bitwise_count(a[row, _COARSE:] ^ b[column, _COARSE:]).sum(axis=1, dtype=np.int64)
-        near = first[row, column] + rest <= radius
+        near = np.zeros(len(row), dtype=bool)
+        for lo in range(0, len(row), _PAIRS):
+            at = slice(lo, lo + _PAIRS)
+            rest = np.bitwise_count(a[row[at], _COARSE:] ^ b[column[at], _COARSE:]).sum(axis=1, dtype=np.int64)
+            near[at] = first[row[at], column[at]] + rest <= radius
         row, column = row[near], column[near]
     return row, column
 
@@ -293,11 +298,11 @@ def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = range_of(bounds, batch.column(4).to_numpy()).astype(np.int64)
-            yield pa.record_batch([pa.array(t), *batch.columns[:4]], names=["t", "node", "size", "fp", "pop"])
+            t = range_of(bounds, batch.column(2).to_numpy()).astype(np.int64)
+            yield pa.record_batch([pa.array(t), batch.column(0), batch.column(1)], names=["t", "size", "pop"])
 
-    rows = rows.mapInArrow(tiled, "t long, node long, size long, fp binary, pop long")
-    extent = rows.groupBy("t").agg(F.min("size"), F.max("size"), F.min("pop"), F.max("pop")).collect()  # a row a tile
+    extent = rows.select("size", "pop", "k").mapInArrow(tiled, "t long, size long, pop long")
+    extent = extent.groupBy("t").agg(F.min("size"), F.max("size"), F.min("pop"), F.max("pop")).collect()  # a row a tile
     pairs = [
         (a[0], b[0])
         for a, b in product(extent, extent)
@@ -312,7 +317,7 @@ def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.column(0).to_numpy()
+            t = range_of(bounds, batch.column(3).to_numpy())
             for x in np.unique(t).tolist():
                 mine = batch.select(["node", "size", "fp"]).take(pa.array(np.flatnonzero(t == x)))
                 many = max(1, _SEND // mine.num_rows)
@@ -322,7 +327,7 @@ def _range_tiles(nodes: DataFrame, n_nodes: int, radius: int, likeness: float) -
                     tile, home = (pa.array(np.repeat(goal[:, k], mine.num_rows).astype(kind)) for k, kind in ((0, np.int64), (1, np.int32)))
                     yield pa.record_batch([tile, home, *mine.take(at).columns], names=["tile", "home", "node", "size", "fp"])
 
-    return rows.mapInArrow(sent, _SENT)
+    return rows.select("node", "size", "fp", "k").mapInArrow(sent, _SENT)
 
 
 def links(nodes: DataFrame, radius: int, likeness: float = 0.0, coarse: int = 64 * _COARSE) -> DataFrame:
