@@ -18,8 +18,10 @@ NULL_KEY = -(2**63)
 #: Keys of rows lie below it if their id is null; ids lie at or above it.
 LEAST_ID = -(2**62)
 
-#: Rows per Arrow batch. Texts can be long, so batches are kept short.
+#: Rows per Arrow batch.
 BATCH_ROWS = 1000
+#: Bytes per Arrow batch: a batch of long texts has fewer rows.
+BATCH_BYTES = 16 << 20
 
 #: A side of a join is broadcast only when it was counted and has no more rows.
 BROADCAST_ROWS = 200_000
@@ -51,6 +53,7 @@ def partitions(spark: SparkSession) -> int:
 
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:

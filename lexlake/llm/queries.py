@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import decontamination, fingerprints, language_id, license_scan, pieces, pii, sharding, simhash, succession, token_counts, token_files
+from lexlake.llm import decontamination, fingerprints, language_id, license_scan, pieces, pii, runs, sharding, simhash, succession, token_counts, token_files
 from lexlake.shared import shared_dir
 
 N_SHARDS = 16
@@ -114,6 +114,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents the words from one on become periodic."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+", -1), lambda w: w != "")
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (F.floor((n - F.col("a")) / (F.pmod(F.col("g"), F.lit(8)) + 3)) + 1).cast("int")
+    planted = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), words)).withColumn("g", g)
+    planted = planted.withColumn("a", F.when(n > 0, a)).withColumn("p", p)
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+    edited = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("w"), at(i).cast("int"))), " ")
+    return planted.select("doc_id", F.when(F.col("a").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(_with_planted_runs(documents(spark, sf_dir)))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, longest))
+    length, period = -F.col("best.l"), F.col("best.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -125,6 +157,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash": op10_simhash,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: The engine of the SQL check has no CRC-32, XXH64, tokenizers or models, so
