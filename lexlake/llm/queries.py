@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import decontamination, fingerprints, language_id, license_scan, pieces, pii, runs, sharding, simhash, succession, token_counts, token_files
+from lexlake.llm import decontamination, fingerprints, language_id, license_scan, pieces, pii, runs, sharding, signature_join, simhash, succession, token_counts, token_files
 from lexlake.shared import shared_dir
 
 N_SHARDS = 16
@@ -146,6 +146,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signature_join.jaccard_classes(documents(spark, sf_dir), shingle=4, percent=85)
+    return found.select(simhash.from_key("key").alias("doc_id"), "n_shingles", simhash.from_key("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -158,6 +163,7 @@ QUERIES = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash": op10_simhash,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_jaccard_join": op12_jaccard_join,
 }
 
 #: The engine of the SQL check has no CRC-32, XXH64, tokenizers or models, so
