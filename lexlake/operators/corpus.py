@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexlake import refdata as R
 from lexlake.functions.docnum import docnum_all, docnum_first, norm_docnum
 from lexlake.functions.text import absolute_url, classify_tax, core_title, parse_date, parse_tax_keys
+from lexlake.operators import textindex
 
 COLUMNS = "title channel content document_number effect_level tax_type aging labels issuing_department written_date url".split()
 SNIPPET = 600
@@ -60,14 +61,19 @@ def corpus_lookup(keys: DataFrame, corpus: DataFrame) -> DataFrame:
     return k.join(_one_per_number(corpus), "document_number", "left")
 
 
-def corpus_search(queries: DataFrame, corpus: DataFrame, limit: int = 10) -> DataFrame:
-    """E2. (query_id, rank, title): title hits before content hits, newest first,
-    at most ``limit`` a query. Queries under two characters find nothing."""
-    q = queries.where(F.length("query") >= 2)
-    hit = q.join(corpus.select("title", "content", "document_number", "written_date"), F.contains("title", "query") | F.contains("content", "query"))
-    hit = hit.select("query_id", "title", "document_number", "written_date", F.contains("title", "query").alias("in_title"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("in_title"), F.desc_nulls_last("written_date"), "document_number", "title")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("written_date")
+def index_corpus(corpus: DataFrame, path: str) -> None:
+    """E2. The stored index of titles and contents that ``corpus_search`` reads."""
+    textindex.build_index(corpus.select("title", "content", "document_number", "written_date"), path, ["title", "content"])
+
+
+def corpus_search(queries: DataFrame, index: str, limit: int = 10) -> DataFrame:
+    """E2. (query_id, rank, title, document_number, in_title) of the corpus at
+    ``index`` (see ``index_corpus``): title hits before content hits, newest
+    first, at most ``limit`` a query. Queries under two characters and null ones
+    find nothing."""
+    order = [F.desc_nulls_last("written_date"), F.col("document_number"), F.col("title")]
+    found = textindex.search(queries.sparkSession, queries, index, "title", order, limit, ["title", "content"])
+    return found.select("query_id", "title", "document_number", "in_title", "rank")
 
 
 def tax_key_index(corpus: DataFrame) -> DataFrame:

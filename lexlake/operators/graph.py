@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexlake import refdata as R
 from lexlake.functions.citations import extract_citations
 from lexlake.functions.text import document_stem, entity_type, norm_key, parent_from_title, parent_key
+from lexlake.operators.forest import number_forest
 from lexlake.shared import shared_dir
 
 
@@ -126,23 +127,43 @@ def entity_context(keys: DataFrame, relations: DataFrame) -> DataFrame:
     return out
 
 
+#: Seeds that are followed together, one a bit of a long.
+SEEDS = 64
+
+
 def impact_spread(seeds: DataFrame, relations: DataFrame, max_depth: int = 3) -> DataFrame:
     """G8. (seed, node, depth): everything that reaches a seed in at most
     ``max_depth`` reverse hops, at its least depth. The seed itself is listed
-    only through a cycle. Each hop's pairs are distinct and new."""
-    edges = relations.select(F.col("to_key").alias("at"), F.col("from_key").alias("node")).distinct()
-    frontier = seeds.select(F.col("seed"), F.col("seed").alias("at")).distinct()
-    seen = None
+    only through a cycle; a null seed reaches nothing.
+
+    Seeds go in blocks of 64, each a bit. A row is a node and a block with the
+    bits of the seeds that it reaches; a hop combines them by OR before and after
+    the shuffle, so a hub's row stands for 64 seeds. Pairs are only made for the
+    result.
+    """
+    edges = _checkpointed(relations.select(F.col("to_key").alias("at"), F.col("from_key").alias("node")).distinct())
+    # Row numbers within a partition are dense, so blocks are full but for the last of each.
+    numbered = seeds.select("seed").where("seed is not null").distinct().select("seed", F.monotonically_increasing_id().alias("i"))
+    numbered = _checkpointed(numbered.select("seed", F.shiftright("i", 6).alias("block"), (F.col("i") % SEEDS).cast("int").alias("bit")))
+    mask = F.expr("shiftleft(1L, bit)")
+    frontier = numbered.groupBy(F.col("seed").alias("at"), "block").agg(F.bit_or(mask).alias("bits"))
+    seen, found = None, None
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(edges, "at").select("seed", "node").distinct()
+        reached = frontier.join(edges, "at").groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
         if seen is not None:
-            reached = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        reached = _checkpointed(reached.select("seed", "node", F.lit(depth).alias("depth")))
-        seen = reached if seen is None else seen.union(reached)
+            reached = reached.join(seen.withColumnRenamed("bits", "old"), ["node", "block"], "left")
+            reached = reached.select("node", "block", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
+        reached = _checkpointed(reached)
         if reached.isEmpty():
             break
-        frontier = reached.select("seed", F.col("node").alias("at"))
-    return seen
+        level = reached.withColumn("depth", F.lit(depth))
+        found = level if found is None else found.union(level)
+        seen = reached if seen is None else _checkpointed(seen.union(reached).groupBy("node", "block").agg(F.bit_or("bits").alias("bits")))
+        frontier = reached.withColumnRenamed("node", "at")
+    if found is None:
+        return numbered.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).where("false")
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(SEEDS - 1)), lambda i: F.getbit("bits", i) == 1)
+    return found.select("node", "block", "depth", F.explode(set_bits).alias("bit")).join(numbered, ["block", "bit"]).select("seed", "node", "depth")
 
 
 def _affinity(parent: Column, title: Column) -> Column:
@@ -229,29 +250,19 @@ def consolidated_view(documents: DataFrame, relations: DataFrame, provisions: Da
 
 
 def document_forest(documents: DataFrame) -> DataFrame:
-    """G12. documents (document_id, entity_key, title, doc_type), one a key, with
-    depth, child_count and path (titles from the root, for a pre-order sort).
-    Only parents that are in the list count."""
-    docs = documents.select("document_id", "entity_key", "title", "doc_type")
-    first = Window.partitionBy("entity_key").orderBy(F.desc("document_id"))
-    docs = docs.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    keys = docs.select(F.col("entity_key").alias("p"))
+    """G12. documents (document_id, entity_key, title, doc_type), one a key (the
+    latest id), with depth, child_count, position (pre-order, from 0; siblings by
+    title) and path (titles from the root). Only parents that are in the list
+    count; the depth has no bound."""
+    docs = documents.where("entity_key is not null").groupBy("entity_key").agg(F.max_by(F.struct("document_id", "title", "doc_type"), "document_id").alias("d")).select("entity_key", "d.*")
     named, titled = parent_key(F.col("entity_key")), norm_key(parent_from_title(F.col("title"), F.col("doc_type")))
     rows = docs.withColumns({"a": named, "b": titled})
+    keys = docs.select(F.col("entity_key").alias("p"))
     rows = rows.join(keys.withColumnRenamed("p", "a").withColumn("has_a", F.lit(True)), "a", "left").join(keys.withColumnRenamed("p", "b").withColumn("has_b", F.lit(True)), "b", "left")
     parent = F.when(F.col("has_a"), F.col("a")).when(F.col("has_b"), F.col("b"))
-    rows = rows.withColumn("parent", F.when(parent != F.col("entity_key"), parent)).select("document_id", "entity_key", "title", "parent")
-    rows = _checkpointed(rows)
-    counts = rows.where("parent is not null").groupBy(F.col("parent").alias("entity_key")).agg(F.count("*").alias("child_count"))
-    level = rows.where("parent is null").select("document_id", "entity_key", "title", F.lit(0).alias("depth"), F.array("title").alias("path"))
-    done = level
-    for depth in range(1, LEVELS + 1):
-        above = level.select(F.col("entity_key").alias("parent"), F.col("path").alias("above"))
-        level = _checkpointed(rows.join(above, "parent").select("document_id", "entity_key", "title", F.lit(depth).alias("depth"), F.array_append("above", F.col("title")).alias("path")))
-        if level.isEmpty():
-            break
-        done = done.union(level)
-    return done.join(counts, "entity_key", "left").na.fill(0, ["child_count"])
+    rows = _checkpointed(rows.select("document_id", F.col("entity_key").alias("key"), "title", parent.alias("parent")))
+    placed = number_forest(rows, ["title"], "title")
+    return placed.join(rows.select("key", "document_id", "title"), "key").select("document_id", F.col("key").alias("entity_key"), "title", "depth", "child_count", "position", "path")
 
 
 def graph_audit(relations: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexlake.functions.similarity import ratio, similarity, unified_diff
+from lexlake.functions.similarity import similarity, unified_diff
 from lexlake.functions.text import norm_key, parent_key, severity
+from lexlake.operators.renumber import match_renumbered
 
 
 def dated_at() -> Column:
@@ -68,41 +69,6 @@ def _last_of_key(provisions: DataFrame, by: list[str]) -> DataFrame:
     return provisions.groupBy(*by).agg(last).select(*by, "v.*")
 
 
-def match_renumbered(removed: DataFrame, added: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """V5. pair_id, old_key, new_key, similarity: per pair, removed keys in old
-    order each take the unused new key of highest similarity (at least the
-    threshold; the earlier one on a tie).
-
-    Only pairs with left-overs on both sides are grouped; a group's texts are
-    those of one document's unmatched provisions.
-    """
-    sides = [df.select("pair_id", F.lit(side).alias("side"), "node_key", "ordinal", "text") for side, df in (("old", removed), ("new", added))]
-    both = removed.select("pair_id").distinct().join(added.select("pair_id").distinct(), "pair_id")
-    rows = sides[0].union(sides[1]).join(both, "pair_id", "left_semi")
-
-    def greedy(pdf):
-        pdf = pdf.sort_values(["ordinal", "node_key"])
-        old, new = ([*pdf[pdf.side == s][["node_key", "text"]].itertuples(index=False)] for s in ("old", "new"))
-        used, out = set(), []
-        for key, text in old:
-            best, score = None, 0.0
-            for i, (_, other) in enumerate(new):
-                if i in used or 2 * min(len(text), len(other)) < threshold * (len(text) + len(other)):
-                    continue
-                s = ratio(text, other)
-                if s >= threshold and s > score:
-                    best, score = i, s
-                if s == 1.0:
-                    break
-            if best is not None:
-                used.add(best)
-                out.append((pdf.pair_id.iloc[0], key, new[best][0], score))
-        return type(pdf)(out, columns=["pair_id", "old_key", "new_key", "similarity"])
-
-    pair_type = removed.schema["pair_id"].dataType.simpleString()
-    return rows.groupBy("pair_id").applyInPandas(greedy, f"pair_id {pair_type}, old_key string, new_key string, similarity double")
-
-
 def diff_provisions(old: DataFrame, new: DataFrame, threshold: float | None = 0.9, with_diff: bool = True) -> DataFrame:
     """V4. Changes between two sets (pair_id, node_key, ordinal, heading, text):
     pair_id, node_key, change_type, old_/new_heading, old_/new_text, diff_text,

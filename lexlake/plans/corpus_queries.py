@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.operators import corpus as C
 from lexlake.plans.bindings import AS_OF, DAY0, bound, with_ctes
 from lexlake.plans.text_queries import _classified, _core_cut
+from lexlake.shared import shared_dir
 
 _NUMBER = "CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('财税〔', CAST(2000 + doc_id % 25 AS VARCHAR), '〕', CAST(doc_id AS VARCHAR), '号') END"
 _INFERRED = _classified("title", "'CN'")
@@ -45,19 +48,25 @@ def e1_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 E1_SQL = _CORPUS + " SELECT d.doc_id AS query_id, concat('财税〔', CAST(2000 + d.doc_id % 25 AS VARCHAR), '〕', CAST(d.doc_id AS VARCHAR), '号') AS document_number, k.title FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.document_number <> ''"
 
-# Search terms; one is too short.
-_TERMS = ["增值税", "实施条例", "the of", "所得稅法", "x", "zzzz"]
+def _terms(text: str) -> str:
+    """A search term out of each document: parts of its title or text, terms that
+    nothing has, and ones that are too short."""
+    text_part = f"substr({text}, CAST(1 + doc_id * 37 % 300 AS INT), CAST(9 + doc_id % 12 AS INT))"
+    return f"""CASE doc_id % 8 WHEN 0 THEN substr(title, CAST(1 + doc_id % 5 AS INT), 4) WHEN 1 THEN substr(title, 3, 2) WHEN 2 THEN concat('zzzz', CAST(doc_id AS STRING))
+      WHEN 3 THEN 'x' ELSE {text_part} END"""
 
 
 def e2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("query_id"))
-    terms = nations.withColumn("query", F.element_at(F.array(*map(F.lit, _TERMS)), (F.col("query_id") % len(_TERMS) + 1).cast("int")))
-    return C.corpus_search(terms, _corpus(spark, sf_dir), 10).select("query_id", "rank", "title", "document_number", "in_title")
+    """Terms of all documents, searched in an index of the whole corpus."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    C.index_corpus(_corpus(spark, sf_dir), path)
+    terms = bound(spark, sf_dir, "corpus_rows").select(F.col("doc_id").alias("query_id"), F.expr(_terms("content")).alias("query"))
+    return C.corpus_search(terms, path, 10)
 
 
-E2_SQL = _CORPUS + f""", q AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, {[*_TERMS]}[1 + n_nationkey % {len(_TERMS)}] AS query FROM nation),
-  h AS (SELECT query_id, title, document_number, contains(title, query) AS in_title, row_number() OVER (PARTITION BY query_id ORDER BY contains(title, query) DESC, written DESC NULLS LAST, document_number, encode(title)) AS rank FROM q JOIN k ON contains(title, query) OR contains(content, query) WHERE length(query) >= 2)
-  SELECT query_id, rank, title, document_number, in_title FROM h WHERE rank <= 10"""
+E2_SQL = _CORPUS + f""", q AS (SELECT doc_id AS query_id, {_terms("content")} AS query FROM corpus_rows), t AS (SELECT DISTINCT query FROM q WHERE length(query) >= 2),
+  h AS (SELECT query, title, document_number, contains(title, query) AS in_title, row_number() OVER (PARTITION BY query ORDER BY contains(title, query) DESC, written DESC NULLS LAST, document_number, encode(title)) AS rank FROM t JOIN k ON contains(title, query) OR contains(content, query))
+  SELECT query_id, rank, title, document_number, in_title FROM q JOIN h USING (query) WHERE rank <= 10"""
 
 
 def e3_tax_key_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,8 +321,8 @@ def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = bound(spark, sf_dir, name).select(F.col("pair_id").alias("document_id"), F.timestamp_seconds(F.lit(DAY0 + round_ * 86_400)).alias("fetched_at"), F.lit(None).cast("timestamp").alias("issued_at"), F.col("ordinal").cast("int").alias("ordinal"), "node_key", "heading", "text")
         rows.repartition(4, "document_id").write.mode("append").parquet(land)
         ingest.ingest_stream(spark, land, out, check, threshold=None).awaitTermination()
-    changes = spark.read.parquet(f"{out}/changes").groupBy(F.col("change_type").alias("kind")).agg(F.count("*").alias("n"))
-    return changes.union(spark.read.parquet(f"{out}/snapshots").agg(F.count("*").alias("n")).select(F.lit("snapshots"), "n"))
+    changes = ingest.read_table(spark, out, "changes").groupBy(F.col("change_type").alias("kind")).agg(F.count("*").alias("n"))
+    return changes.union(ingest.read_table(spark, out, "snapshots").agg(F.count("*").alias("n")).select(F.lit("snapshots"), "n"))
 
 
 T1_SQL = with_ctes("v1", "v2") + """, d AS (SELECT a.pair_id IS NULL AS fresh, b.pair_id IS NULL AS gone, a.text <> b.text AS moved FROM v1 a FULL JOIN v2 b ON a.pair_id = b.pair_id AND a.node_key = b.node_key WHERE coalesce(a.pair_id, b.pair_id) IN (SELECT pair_id FROM v2)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions import text as T
 from lexlake.operators import graph as G
+from lexlake.operators.forest import number_forest
 from lexlake.plans.bindings import bound, with_ctes
 from lexlake.plans.text_queries import C5_SQL
 
@@ -121,6 +122,16 @@ G8_SQL = with_ctes("thin").replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (S
   SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2"""
 
 
+def g8_impact_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the graph of few keys and many edges, each of them a hub."""
+    return G.impact_spread(_seeds(spark, sf_dir), bound(spark, sf_dir, "relations"), 3)
+
+
+G8B_SQL = with_ctes("relations").replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT DISTINCT concat('K', CAST(s_suppkey AS VARCHAR)) AS seed FROM supplier), t AS (SELECT DISTINCT from_key, to_key FROM relations),
+  r AS (SELECT s.seed, t.from_key AS node, 1 AS depth FROM s JOIN t ON t.to_key = s.seed UNION SELECT r.seed, t.from_key, r.depth + 1 FROM r JOIN t ON t.to_key = r.node WHERE r.depth < 3)
+  SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2"""
+
+
 def g9_find_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots of titled documents over name-derived edges: 实施条例 climb to their
     statute, which a document must carry."""
@@ -175,14 +186,29 @@ G11_SQL = with_ctes("docs", "thin") + f""", {_FEW}, {_EDGES}, an AS (SELECT a.do
 
 def g12_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = G.document_forest(_titled(spark, sf_dir))
-    return out.select("document_id", "entity_key", "depth", F.array_join("path", " > ").alias("path"), F.col("child_count").cast("long").alias("child_count"))
+    return out.select("document_id", "entity_key", F.col("depth").cast("int").alias("depth"), F.array_join("path", " > ").alias("path"), "child_count", "position")
 
 
 G12_SQL = f"""WITH RECURSIVE x AS ({C5_SQL}), d AS (SELECT document_id, entity_key, parent, title_parent FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY document_id DESC) AS r FROM x) y WHERE r = 1),
   t AS (SELECT doc_id AS document_id, t.title FROM documents JOIN (SELECT * FROM (VALUES {{titles}}) AS v(k, title)) t ON t.k = doc_id % 40),
   p AS (SELECT d.document_id, d.entity_key, t.title, CASE WHEN a.entity_key IS NOT NULL THEN nullif(d.parent, d.entity_key) WHEN b.entity_key IS NOT NULL THEN nullif(d.title_parent, d.entity_key) END AS parent FROM d JOIN t USING (document_id) LEFT JOIN d a ON a.entity_key = d.parent LEFT JOIN d b ON b.entity_key = d.title_parent),
-  w AS (SELECT document_id, entity_key, 0 AS depth, title AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.document_id, p.entity_key, w.depth + 1, concat(w.path, ' > ', p.title) FROM p JOIN w ON p.parent = w.entity_key WHERE w.depth < 5)
-  SELECT document_id, entity_key, depth, path, (SELECT count(*) FROM p WHERE p.parent = w.entity_key) AS child_count FROM w"""
+  w AS (SELECT document_id, entity_key, 0 AS depth, title AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.document_id, p.entity_key, w.depth + 1, concat(w.path, ' > ', p.title) FROM p JOIN w ON p.parent = w.entity_key)
+  SELECT document_id, entity_key, depth, path, (SELECT count(*) FROM p WHERE p.parent = w.entity_key) AS child_count, row_number() OVER (ORDER BY string_split(path, ' > ')) - 1 AS position FROM w"""
+
+
+def g12_deep_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a forest: chains of 40, each hung on a document of an earlier chain."""
+    docs = bound(spark, sf_dir, "docs")
+    block = F.expr("document_id DIV 40")
+    parent = F.when(F.col("document_id") % 40 > 0, F.col("document_id") - 1).when(block > 0, F.expr("(document_id DIV 40) DIV 3 * 40 + 5"))
+    return number_forest(docs.select(F.col("document_id").alias("key"), parent.alias("parent"), "title"), ["title"])
+
+
+G12B_SQL = with_ctes("docs").replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT document_id AS key, title, CASE WHEN document_id % 40 > 0 THEN document_id - 1 WHEN document_id // 40 > 0 THEN document_id // 40 // 3 * 40 + 5 END AS parent FROM docs),
+  w AS (SELECT key, 0 AS depth, [concat(title, chr(1), lpad(CAST(key AS VARCHAR), 12, '0'))] AS path, [key] AS line FROM p WHERE parent IS NULL OR parent NOT IN (SELECT key FROM p)
+    UNION ALL SELECT p.key, w.depth + 1, list_append(w.path, concat(p.title, chr(1), lpad(CAST(p.key AS VARCHAR), 12, '0'))), list_append(w.line, p.key) FROM p JOIN w ON p.parent = w.key),
+  z AS (SELECT a AS key, count(*) AS size FROM (SELECT unnest(line) AS a FROM w) x GROUP BY 1), c AS (SELECT parent AS key, count(*) AS n FROM p GROUP BY 1)
+  SELECT w.key, CAST(w.depth AS BIGINT) AS depth, z.size, coalesce(c.n, 0) AS child_count, row_number() OVER (ORDER BY w.path) - 1 AS position FROM w JOIN z ON z.key = w.key LEFT JOIN c ON c.key = w.key"""
 
 
 def _forest_sql() -> str:
@@ -226,11 +252,11 @@ G13D_SQL = with_ctes("docs", "prov", "edges") + f""", k AS (SELECT document_id,
 QUERIES = {
     "g13_term_documents": g13_term_documents,
     "g1_citation_edges": g1_citation_edges, "g2_hierarchy_edges": g2_hierarchy_edges, "g3_declared_authority": g3_declared_authority, "g4_merge_relations": g4_merge_relations, "g5_build_entities": g5_build_entities, "g6_family": g6_family,
-    "g7_entity_context": g7_entity_context, "g8_impact_spread": g8_impact_spread, "g9_find_root": g9_find_root, "g10_supplements": g10_supplements, "g11_consolidated": g11_consolidated, "g12_forest": g12_forest,
+    "g7_entity_context": g7_entity_context, "g8_impact_spread": g8_impact_spread, "g8_impact_hubs": g8_impact_hubs, "g9_find_root": g9_find_root, "g10_supplements": g10_supplements, "g11_consolidated": g11_consolidated, "g12_forest": g12_forest, "g12_deep_forest": g12_deep_forest,
     "g13_graph_audit": g13_graph_audit, "g13_document_edges": g13_document_edges, "g13_shared_keys": g13_shared_keys,
 }
 ORACLES = {
     "g13_term_documents": G13D_SQL,
-    "g1_citation_edges": G1_SQL, "g2_hierarchy_edges": G2_SQL, "g3_declared_authority": G3_SQL, "g4_merge_relations": G4_SQL, "g5_build_entities": G5_SQL, "g6_family": G6_SQL, "g7_entity_context": G7_SQL, "g8_impact_spread": G8_SQL,
-    "g9_find_root": G9_SQL, "g10_supplements": G10_SQL, "g11_consolidated": G11_SQL, "g12_forest": _forest_sql(), "g13_graph_audit": G13_SQL, "g13_document_edges": G13B_SQL, "g13_shared_keys": G13C_SQL,
+    "g1_citation_edges": G1_SQL, "g2_hierarchy_edges": G2_SQL, "g3_declared_authority": G3_SQL, "g4_merge_relations": G4_SQL, "g5_build_entities": G5_SQL, "g6_family": G6_SQL, "g7_entity_context": G7_SQL, "g8_impact_spread": G8_SQL, "g8_impact_hubs": G8B_SQL,
+    "g9_find_root": G9_SQL, "g10_supplements": G10_SQL, "g11_consolidated": G11_SQL, "g12_forest": _forest_sql(), "g12_deep_forest": G12B_SQL, "g13_graph_audit": G13_SQL, "g13_document_edges": G13B_SQL, "g13_shared_keys": G13C_SQL,
 }

@@ -1,10 +1,22 @@
 """Incremental crawl ingest (T1).
 
 Landed fetches arrive as files. Each micro-batch is compared with the last
-fetched hash of its documents; what changed becomes snapshots and, from the
-stored provisions, change rows. Tables are Parquet, one folder a batch, so a
-batch that is run again replaces its own output. A version dated in the past is
-accepted: detection goes by fetch time.
+fetched version of its documents; what changed becomes snapshots, provisions and
+change rows. A version dated in the past is accepted: detection goes by fetch
+time. The tables are Parquet:
+
+  snapshots, provisions, changes   one folder a batch: the history, never read
+                                   by a batch
+  latest      bucket, generation: the last version of each document with its
+              provisions, bucketed by document. A batch reads the buckets that
+              it touches and writes their next generation, named after it
+  commits     one folder a batch, written last: for each bucket the generation
+              that holds, and the one that it replaced
+
+So what a batch reads and writes goes with the documents and buckets that it
+touches and not with history. A batch that was killed, or runs again as the last
+one, starts from the commit before it and replaces all it wrote (by dynamic
+partition overwrite). A generation is removed one batch after it was replaced.
 """
 
 from __future__ import annotations
@@ -20,45 +32,93 @@ from lexlake.operators.versions import detect_changes
 FETCHES = "document_id long, fetched_at timestamp, issued_at timestamp, ordinal int, node_key string, heading string, text string"
 SNAPSHOTS = "snapshot_id long, document_id long, fetched_at timestamp, issued_at timestamp, content_hash string, batch long"
 PROVISIONS = "snapshot_id long, document_id long, ordinal int, node_key string, heading string, text string, batch long"
+LATEST = "document_id long, snapshot_id long, fetched_at timestamp, content_hash string, ordinal int, node_key string, heading string, text string"
+COMMITS = "bucket int, generation long, replaced long"
+#: Buckets of the latest versions. It is fixed for a table once it has rows.
+BUCKETS = 64
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
 
+def read_table(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """Snapshots, provisions or changes of all committed batches."""
+    done = spark.read.parquet(f"{out}/commits").select("batch").distinct()
+    return spark.read.parquet(f"{out}/{table}").join(F.broadcast(done), "batch", "left_semi")  # a row a batch
 
-def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table so far; empty before the first batch."""
+
+def _pointers(spark: SparkSession, out: str, batch: int) -> dict[int, tuple[int, int | None]]:
+    """Bucket → (generation, the one it replaced in the last batch) before ``batch``."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(COMMITS).parquet(f"{out}/commits/batch={batch - 1}").collect()  # BUCKETS rows at most
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if not _missing(e):
             raise
-        return spark.createDataFrame([], schema)
+        try:  # batches left out of the numbering
+            every = spark.read.schema(COMMITS + ", batch long").parquet(f"{out}/commits").where(F.col("batch") < batch)
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
+            return {}
+        last = every.agg(F.max("batch")).first()[0]
+        rows = every.where(F.col("batch") == F.lit(last)).select(*_names(COMMITS)).collect()
+    return {r["bucket"]: (r["generation"], r["replaced"]) for r in rows}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def apply_batch(fetches: DataFrame, batch: int, out: str, threshold: float | None = 0.9) -> None:
-    """One micro-batch of provision rows by fetch: writes snapshots, provisions
-    and changes of this batch. Of the stored provisions only the batches are read
-    that hold a version to compare with."""
+    """One micro-batch of provision rows by fetch (FETCHES): writes snapshots,
+    provisions, changes and the touched buckets of ``latest``, then commits. Of
+    several fetches of a document in a batch each is compared with the one
+    before it. A batch without rows only commits."""
     spark = fetches.sparkSession
     by = ["document_id", "fetched_at"]
-    old = stored_table(spark, f"{out}/snapshots", SNAPSHOTS).where(F.col("batch") < batch)
+    put = lambda df, table: df.write.mode("overwrite").parquet(f"{out}/{table}/batch={batch}")
+    before = _pointers(spark, out, batch)
+    for bucket, (_, replaced) in before.items():
+        if replaced is not None:  # by the batch before, which runs no more
+            _remove(spark, f"{out}/latest/bucket={bucket}/generation={replaced}")
+    of = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+    touched = sorted(r["bucket"] for r in fetches.select(of.alias("bucket")).distinct().collect())  # BUCKETS rows at most
+    held = [f"{out}/latest/bucket={b}/generation={before[b][0]}" for b in touched if b in before]
+    last = spark.read.schema(LATEST).parquet(*held) if held else spark.createDataFrame([], LATEST)
+    head = last.groupBy("document_id").agg(F.first(F.struct("snapshot_id", "fetched_at", "content_hash")).alias("h"))  # all rows of a document agree
+    head = head.select("document_id", F.col("h.snapshot_id").alias("last_id"), F.col("h.fetched_at").alias("last_at"), F.col("h.content_hash").alias("before"))
+
     hashes = hash_documents(fetches, by).drop("n_provisions").join(fetches.groupBy(*by).agg(F.max("issued_at").alias("issued_at")), by)
     fresh = hashes.withColumn("snapshot_id", F.xxhash64("document_id", F.unix_micros("fetched_at"), "content_hash"))
-    last = old.groupBy("document_id").agg(F.max_by("content_hash", "fetched_at").alias("before"))
     w = Window.partitionBy("document_id").orderBy("fetched_at")
-    fresh = fresh.join(last, "document_id", "left").withColumn("previous", F.coalesce(F.lag("content_hash").over(w), "before"))
-    fresh = fresh.where(~F.col("previous").eqNullSafe(F.col("content_hash"))).withColumn("batch", F.lit(batch).cast("long"))
-    names = lambda schema: [c.split()[0] for c in schema.split(", ")]
-    put = lambda df, table: df.drop("batch").write.mode("overwrite").parquet(f"{out}/{table}/batch={batch}")
-    put(fresh.select(*names(SNAPSHOTS)), "snapshots")
-    stored = spark.read.schema(SNAPSHOTS).parquet(f"{out}/snapshots")
-    mine = stored.where(F.col("batch") == batch)
-    put(fetches.join(mine.select(*by, "snapshot_id"), by).select(*names(PROVISIONS)[:-1]), "provisions")
-    provisions = spark.read.schema(PROVISIONS).parquet(f"{out}/provisions")
-    # Each new snapshot is compared with its document's one before, which may lie in an earlier batch.
-    latest = stored.where(F.col("batch") < batch).groupBy("document_id").agg(F.max_by(F.struct("snapshot_id", "fetched_at", "batch"), "fetched_at").alias("s"))
-    latest = latest.join(mine.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "s.snapshot_id", "s.fetched_at", "s.batch")
-    held = [batch, *(r["batch"] for r in latest.select("batch").distinct().collect())]  # one row a batch at most
-    pairs = mine.select("document_id", "snapshot_id", "fetched_at").union(latest.drop("batch"))
-    nodes = provisions.where(F.col("batch").isin(*held)).join(pairs.select("snapshot_id"), "snapshot_id", "left_semi").select("snapshot_id", "ordinal", "node_key", "heading", "text")
-    put(detect_changes(pairs, nodes, threshold), "changes")
+    fresh = fresh.join(head, "document_id", "left").withColumn("previous", F.coalesce(F.lag("content_hash").over(w), "before"))
+    put(fresh.where(~F.col("previous").eqNullSafe(F.col("content_hash"))).select(*_names(SNAPSHOTS)[:-1]), "snapshots")
+    mine = spark.read.schema(SNAPSHOTS).parquet(f"{out}/snapshots/batch={batch}").drop("batch")
+    put(fetches.join(mine.select(*by, "snapshot_id"), by).select(*_names(PROVISIONS)[:-1]), "provisions")
+    provisions = spark.read.schema(PROVISIONS).parquet(f"{out}/provisions/batch={batch}").drop("batch")
+
+    # Each new snapshot is compared with its document's one before, which may be the last version.
+    changed = mine.select("document_id").distinct()
+    known = head.join(changed, "document_id", "left_semi").select("document_id", F.col("last_id").alias("snapshot_id"), F.col("last_at").alias("fetched_at"))
+    columns = ["snapshot_id", "ordinal", "node_key", "heading", "text"]
+    nodes = provisions.select(*columns).union(last.join(changed, "document_id", "left_semi").select(*columns))
+    put(detect_changes(mine.select("document_id", "snapshot_id", "fetched_at").union(known), nodes, threshold), "changes")
+
+    # The next generation: whichever version was fetched last, of every document of the bucket.
+    newest = mine.groupBy("document_id").agg(F.max_by(F.struct("snapshot_id", "fetched_at", "content_hash"), "fetched_at").alias("n"))
+    newest = newest.join(head.select("document_id", "last_at"), "document_id", "left").where("last_at is null or n.fetched_at > last_at").select("document_id", "n.*")
+    kept = last.join(newest.select("document_id"), "document_id", "left_anti").select(*_names(LATEST))
+    rows = kept.union(newest.join(provisions.drop("document_id"), "snapshot_id").select(*_names(LATEST)))
+    rows = rows.withColumn("bucket", of).withColumn("generation", F.lit(batch).cast("long")).repartition("bucket").sortWithinPartitions("bucket", "document_id", "ordinal")
+    rows.write.partitionBy("bucket", "generation").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{out}/latest")
+    after = [(b, g, None) for b, (g, _) in before.items() if b not in touched] + [(b, batch, before[b][0] if b in before else None) for b in touched]
+    put(spark.createDataFrame(after, COMMITS).coalesce(1), "commits")
 
 
 def ingest_stream(spark: SparkSession, landing_dir: str, out: str, checkpoint: str, threshold: float | None = 0.9, once: bool = True) -> StreamingQuery:
