@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import decontamination, fingerprints, language_id, license_scan, pieces, pii, runs, sharding, signature_join, simhash, succession, token_counts, token_files
+from lexlake.llm import decontamination, fingerprints, language_id, license_scan, phrases, pieces, pii, runs, sharding, signature_join, simhash, succession, token_counts, token_files
 from lexlake.shared import shared_dir
 
 N_SHARDS = 16
@@ -151,6 +151,35 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(simhash.from_key("key").alias("doc_id"), "n_shingles", simhash.from_key("component").alias("component_id"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(documents(spark, sf_dir), top=2000, least=30, percent=80)
+
+
+def _phrase_sql() -> str:
+    """Counts all phrases of one to four words, scores every cut, then ranks."""
+    capital, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    windows = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(generate_series(1, len(w) - {k - 1})) AS i FROM words WHERE len(w) >= {k})" for k in range(1, 5)
+    )
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, phrase, f AS a, {i} AS cut, array_to_string(string_split(phrase, ' ')[1:{i}], ' ') AS x, array_to_string(string_split(phrase, ' ')[{i + 1}:], ' ') AS y FROM often WHERE k = {k}" for k in range(2, 5) for i in range(1, k)
+    )
+    parts = " UNION ALL ".join(
+        f"SELECT lang, f, array_to_string(string_split(phrase, ' ')[{i}:{i + k - 1}], ' ') AS phrase FROM often WHERE k = {longer}" for longer in (3, 4) for k in range(2, longer) for i in range(1, longer - k + 2)
+    )
+    return f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{capital}', '{small}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  every AS (SELECT lang, k, phrase, count(*) AS f FROM ({windows}) GROUP BY 1, 2, 3),
+  total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM every WHERE k = 1 GROUP BY 1),
+  often AS (SELECT * FROM every WHERE f >= 30),
+  cuts AS (SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.f + r.f) AS BIGINT) AS score FROM ({cuts}) c JOIN often l ON l.lang = c.lang AND l.phrase = c.x JOIN often r ON r.lang = c.lang AND r.phrase = c.y),
+  best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS p FROM cuts),
+  held AS (SELECT lang, phrase, max(f) AS most FROM ({parts}) GROUP BY 1, 2),
+  kept AS (SELECT b.* FROM best b LEFT JOIN held h USING (lang, phrase) WHERE p = 1 AND (h.most IS NULL OR 100 * h.most < 80 * b.a)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -164,8 +193,9 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_jaccard_join": op12_jaccard_join,
+    "op13_phrases": op13_phrases,
 }
 
 #: The engine of the SQL check has no CRC-32, XXH64, tokenizers or models, so
-#: these queries are tested against brute force instead (tests/llm).
-ORACLES: dict[str, str] = {}
+#: the other queries are tested against brute force instead (tests/llm).
+ORACLES: dict[str, str] = {"op13_phrases": _phrase_sql()}

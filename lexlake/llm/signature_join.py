@@ -28,8 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import if_small, partitions, row_key, short_batches, stored
-from lexlake.llm.simhash import components
+from lexlake.llm.common import components, if_small, partitions, row_key, short_batches, stored
 
 #: Counters of the sketch of document frequencies, and rows that a task sends it in.
 _COUNTERS, _PARTS = 1 << 18, 16
@@ -345,7 +344,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_
     return rows.mapInArrow(run, "node long, n long, body binary").dropDuplicates(["node"])
 
 
-def _verified(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def verified(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(u, v): spanning forests of the exact links within each candidate group.
 
     sets: node, n, body; found: node, component. A component of more than
@@ -412,7 +411,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     found = stored(components(_candidates(nodes, percent)))
     keys = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
     wanted = stored(keys.join(if_small(found.select("node")), "node", "left_semi"))
-    links = _verified(_with_sets(docs, wanted, shingle, id_col, text_col), found, percent)
+    links = verified(_with_sets(docs, wanted, shingle, id_col, text_col), found, percent)
     linked = stored(components(links))
     named = stored(keys.join(linked, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")))
     least = named.groupBy("component").agg(F.min("key").alias("least"))

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexlake.llm.common import LEAST_ID, checkpointed, if_small, partitions, range_bounds, range_of, row_key, short_batches, stored
+from lexlake.llm import signature_join
+from lexlake.llm.common import LEAST_ID, components, if_small, partitions, range_bounds, range_of, row_key, short_batches, stored
 
 #: Shingles hashed at a time, for very long texts.
 _SLICE = 1 << 12
@@ -39,8 +40,6 @@ _LATER, _SEND = 1 << 14, 1 << 12
 _SPREAD = np.random.default_rng(64).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Lanes that are compared first.
 _COARSE = 2
-#: Texts of a candidate group that are verified together; blocks of a group at most.
-_BLOCK, _MOST_BLOCKS = 256, 48
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -347,114 +346,24 @@ def links(nodes: DataFrame, radius: int, likeness: float = 0.0, coarse: int = 64
     return _compared(sent, radius, likeness, coarse, partitions(spark))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of every node with an edge.
-
-    Rounds of large-star and small-star on tables: each node's neighbours are
-    linked to the smallest one, until nothing changes. Rows are combined before
-    they are shuffled and no neighbourhood is gathered.
-    """
-    pairs = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while True:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = checkpointed(small.where("u <> v").distinct())
-        stats = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        if after.agg(*stats).first() == pairs.agg(*stats).first():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        pairs = after
-
-
-def similar(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
-    """Two sets (ordered, distinct) have at least that Jaccard similarity."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return not len(b)
-    at = np.searchsorted(b, a)
-    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return same / (len(a) + len(b) - same) >= likeness
-
-
-def verify(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], first: np.ndarray, radius: int, likeness: float, coarse: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, other node) of a spanning forest over the rows: all pairs
-    within the radius whose sets have the likeness. If only some rows are
-    ``first``, pairs of one side are left to another comparison."""
-    label, links, one = np.arange(len(nodes)), [], bool(first.all())
-    for lo in range(0, len(nodes), _ROWS):
-        row, column = _distances(fps[lo : lo + _ROWS], fps, radius, coarse)
-        row = row + lo
-        ok = (column > row) & (one | (first[row] != first[column]))
-        for i, others in zip(*_runs(row[ok], column[ok])):
-            for j in others.tolist():
-                # Rows that are linked already need no comparison.
-                if label[i] != label[j] and similar(sets[i], sets[j], likeness):
-                    links.append((i, j))
-                    label[label == label[j]] = label[i]
-    u, v = np.array(links, dtype=np.int64).reshape(-1, 2).T
-    return nodes[u], nodes[v]
-
-
-def verified(texts: DataFrame, found: DataFrame, shingle: int, radius: int, likeness: float, coarse: int) -> DataFrame:
-    """(u, v) of spanning forests of the links whose shingle sets have the likeness.
-
-    texts: node, fp and text of the candidates; found: node and component, the
-    groups of candidates. A large group is cut into blocks, and each pair of
-    blocks is compared, so that no task holds the group. Every pair within the
-    radius is verified before any is linked, or is linked by others already.
-    """
-    spark = texts.sparkSession
-    short_batches(spark)
-    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK)
-    blocks = stored(sizes.select("component", F.least(F.ceil(F.col("n") / _BLOCK), F.lit(_MOST_BLOCKS)).cast("int").alias("blocks")))
-    placed = texts.join(if_small(stored(found.join(if_small(blocks), "component", "left"))), "node")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle).tobytes() for t in batch.column(4).to_pylist()]
-            yield pa.record_batch([*batch.columns[:4], pa.array(sets, pa.binary())], names=["component", "blocks", "node", "fp", "hashes"])
-
-    rows = placed.select("component", F.coalesce("blocks", F.lit(1)).alias("blocks"), "node", "fp", "text")
-    rows = rows.mapInArrow(hashed, "component long, blocks int, node long, fp binary, hashes binary")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = rows.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), "node", "fp", "hashes")
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, n and body: the distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
-
-        def links() -> pa.RecordBatch:
-            first, node, fp, raw = zip(*held)
-            fps = np.frombuffer(b"".join(fp), dtype="<u8").reshape(len(held), -1)
-            u, v = verify(np.array(node), fps, [np.frombuffer(r, dtype=np.uint64) for r in raw], np.array(first), radius, likeness, coarse)
-            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
         for batch in batches:
-            for c, a, b, *row in zip(*(column.to_pylist() for column in batch.columns)):
-                if held and (c, a, b) != current:
-                    yield links()
-                    held.clear()
-                current = c, a, b
-                held.append(row)
-        if held:
-            yield links()
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "n", "body"])
 
-    task = ["component", "a", "b"]
-    return sent.repartition(partitions(spark), *task).sortWithinPartitions(*task, "node").mapInArrow(run, _LINKS)
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, body binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1, likeness: float = 0.0, coarse: int = 64 * _COARSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: key, text_hash, fp, component (key of the smallest
     id reachable over links of at most ``radius`` bits, itself included).
 
-    ``likeness``: least Jaccard similarity of two texts' shingle sets. Links
-    within the radius are then only candidates, and each is verified by the sets
-    themselves. Null text is empty text; texts without a word
+    ``likeness``: least Jaccard similarity of two texts' shingle sets, in whole
+    hundredths. Links within the radius then only make groups of candidates, whose
+    sets decide, by signature trees. Null text is empty text; texts without a word
     have fingerprint zero and link like any other. Rows of one id are one node. Rows without an id are nodes of
     their own for each text, and count as smaller than any id (ids lie above -2**62). Equal fingerprints
     are one node, so repeated rows and groups of copies cost one comparison. An
@@ -467,10 +376,10 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, lanes: int = 1,
     found = components(links(nodes.select("node", "size", "fp"), radius, likeness, coarse))
     if likeness:
         found = stored(found)
-        wanted = stored(nodes.join(if_small(found.select("node")), "node", "left_semi").select("node", F.col("node").alias("key"), "text_hash", "fp"))
+        wanted = stored(nodes.join(if_small(found.select("node")), "node", "left_semi").select("node", F.col("node").alias("key"), "text_hash"))
         texts = docs.select(row_key(id_col, text_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
         texts = texts.join(if_small(wanted), ["key", "text_hash"]).dropDuplicates(["node", "text_hash"])
-        found = components(verified(texts, found, shingle, radius, likeness, coarse))
+        found = components(signature_join.verified(_sets(texts, shingle), found, round(100 * likeness)))
     named = nodes.join(found, "node", "left").select(F.col("size").alias("n_shingles"), "fp", "set_hash", F.coalesce("component", "node").alias("component"))
     return rows.join(named, same).select("key", "text_hash", "fp", "component")
 
