@@ -13,6 +13,7 @@ from lexlake import refdata as R
 from lexlake.functions.docnum import docnum_all, docnum_first, norm_docnum
 from lexlake.functions.text import absolute_url, classify_tax, core_title, parse_date, parse_tax_keys
 from lexlake.operators import textindex
+from lexlake.operators.versions import containing
 
 COLUMNS = "title channel content document_number effect_level tax_type aging labels issuing_department written_date url".split()
 SNIPPET = 600
@@ -156,16 +157,20 @@ def change_evidence(changes: DataFrame, corpus: DataFrame, document_evidence: Da
 def official_evidence(documents: DataFrame, library: DataFrame, n: int = 3, days: int = 90) -> DataFrame:
     """E6. (document_id, rank, title, document_number): library entries of the
     document's number; else those whose title holds the core title and that
-    were published within ``days`` of it; the newest n. The interval is joined
-    by month, so no document meets the whole library."""
+    were published within ``days`` of it; the newest n. Core titles meet the
+    titles of a month that hold their rarest piece in it, so no two meet that
+    share the month alone. Documents without a date or a core title have only
+    what their number finds."""
     lib = library.select(F.col("title").alias("lib_title"), norm_docnum(F.col("document_number")).alias("number"), "pub_date")
     docs = documents.select("document_id", norm_docnum(F.col("external_id")).alias("number"), core_title(F.col("title")).alias("core"), "issued_at")
     numbered = docs.where("number <> ''").join(lib.where("number <> ''"), "number").select("document_id", "lib_title", "number", "pub_date")
-    left = docs.join(numbered.select("document_id").distinct(), "document_id", "left_anti").where("issued_at is not null")
+    left = docs.join(numbered.select("document_id").distinct(), "document_id", "left_anti").where("issued_at is not null and core <> ''")
     month = lambda c: F.year(c) * 12 + F.month(c)
     reach = days // 28 + 1
-    left = left.withColumn("m", F.explode(F.sequence(month("issued_at") - reach, month("issued_at") + reach)))
-    near = left.drop("number").join(lib.withColumn("m", month("pub_date")), "m").where(F.contains("lib_title", "core") & (F.abs(F.datediff("issued_at", "pub_date")) <= days))
+    left = left.withColumn("m", F.explode(F.sequence(month("issued_at") - reach, month("issued_at") + reach))).drop("number")
+    dated = lib.where("pub_date is not null").withColumn("m", month("pub_date"))
+    held = containing(left.select("m", F.col("core").alias("query")).distinct(), dated.select("m", F.col("lib_title").alias("text")).distinct(), ["m"])
+    near = left.join(held.withColumnsRenamed({"query": "core", "text": "lib_title"}), ["m", "core"]).join(dated, ["m", "lib_title"]).where(F.abs(F.datediff("issued_at", "pub_date")) <= days)
     both = numbered.union(near.select("document_id", "lib_title", "number", "pub_date"))
     w = Window.partitionBy("document_id").orderBy(F.desc("pub_date"), "lib_title", "number")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("document_id", "rank", F.col("lib_title").alias("title"), F.col("number").alias("document_number"))

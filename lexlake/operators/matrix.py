@@ -131,34 +131,72 @@ def header_problems(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("sheet_id").agg(unmapped.alias("unmapped"), named.alias("missing"))
 
 
-def import_matrix(cells: DataFrame, requirements: DataFrame, fields: DataFrame, country: str, source_note: str = "") -> tuple[DataFrame, DataFrame]:
-    """R1. Sheet cells (row_no, field, value) → (requirements, fields) after an
-    upsert on (country, tax_key, scenario, role). Rows without a scenario are
-    skipped; of equal rows the last counts; non-blank cells come as source
-    ``import`` with confidence 0 and flagged; the note is appended once."""
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+#: Why an imported cell is to be reviewed.
+IMPORTED_CITED = "由試算表匯入，已對應條文但內容未經人工確認"
+IMPORTED_UNCITED = "由試算表匯入，尚未對應條文，法規異動時無法自動追蹤"
+#: Characters of a policy basis that stand for a citation without a text of its own.
+BASIS_QUOTE = 100
+
+
+def _basis_citations(cells: DataFrame, provisions: DataFrame) -> DataFrame:
+    """row_no, cited (what the row's policy basis names and a provision has, in
+    order, each name once), resolved, unresolved. A basis that names nothing
+    counts as one unresolved."""
+    none = F.lit(None).cast("string")
+    basis = cells.where("field = '_policy_basis'").groupBy("row_no").agg(F.max(_stripped(F.col("value"))).alias("basis")).where("basis <> ''")
+    named = basis.select("row_no", "basis", F.posexplode_outer(extract_citations("basis", none, none)).alias("pos", "c"))
+    named = named.groupBy("row_no", F.col("c.entity_key").alias("name")).agg(F.min(F.struct("pos", F.coalesce(F.when(F.col("c.raw_text") != "", F.col("c.raw_text")), F.substring("basis", 1, BASIS_QUOTE)).alias("quote"))).alias("m"))
+    stored = provisions.select(norm_key(F.col("node_key")).alias("key"), "node_key").where("key <> ''").groupBy("key").agg(F.min("node_key").alias("node_key"))
+    rows = named.withColumn("key", norm_key(F.col("name"))).join(stored, "key", "left")
+    entry = F.struct("m.pos", "node_key", "m.quote")
+    cited = F.array_sort(F.collect_list(F.when(F.col("node_key").isNotNull(), entry)))
+    found = rows.groupBy("row_no").agg(cited.alias("cited"), F.count_if(F.col("node_key").isNotNull()).alias("resolved"), F.count_if(F.col("node_key").isNull()).alias("unresolved"))
+    return found.withColumn("cited", F.transform("cited", lambda c: F.struct(c["node_key"].alias("node_key"), c["quote"].alias("quote"))))
+
+
+def import_matrix(cells: DataFrame, requirements: DataFrame, fields: DataFrame, country: str, provisions: DataFrame, as_of: Column, source_note: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """R1. Sheet cells (row_no, field, value) → (requirements, fields, one row of
+    counts: rows, cells, resolved, unresolved) after an upsert on (country,
+    tax_key, scenario, role).
+
+    Rows without a scenario are skipped. A touched row is a draft again, stamped
+    with ``as_of``, and gets the note once. Non-blank cells come as source
+    ``import`` with confidence 0, flagged, and with the citations of their row's
+    policy basis (``_policy_basis``) that stored provisions have, or none: old
+    citations go with the old value. Of rows with the same key the last non-blank
+    cell counts. Null values are blank; an empty sheet changes nothing."""
     key = ["country", "tax_key", "scenario", "taxpayer_role"]
-    pick = lambda f: F.max(F.when(F.col("field") == f, F.trim("value")))
+    pick = lambda f: F.max(F.when(F.col("field") == f, _stripped(F.col("value"))))
     rows = cells.groupBy("row_no").agg(pick("_tax").alias("tax"), pick("_scenario").alias("scenario"), F.coalesce(pick("_role"), F.lit("")).alias("taxpayer_role"))
     rows = rows.where("scenario <> ''").withColumns({"country": F.lit(country), "tax_key": classify_tax(F.coalesce("tax", F.lit("")), F.lit(country))})
-    w = Window.partitionBy(*key).orderBy(F.desc("row_no"))
-    rows = rows.withColumn("r", F.row_number().over(w)).where("r = 1").select(*key, "row_no")
-    merged = requirements.join(rows, key, "full_outer").withColumn("requirement_id", F.coalesce("requirement_id", F.xxhash64(*key)))
-    noted = F.coalesce("notes", F.lit(""))
-    if source_note:
-        fresh = F.col("row_no").isNotNull() & ~noted.contains(source_note)
-        noted = F.when(fresh, F.concat_ws("\n", F.when(noted != "", noted), F.lit(source_note))).otherwise(noted)
-    new_requirements = merged.withColumn("notes", noted).withColumn("status", F.coalesce("status", F.lit("draft"))).drop("row_no")
-    known = merged.where("row_no is not null").select("row_no", "requirement_id")
-    put = cells.where(F.trim("value") != "").where(~F.col("field").startswith("_")).join(known, "row_no")
-    put = put.select("requirement_id", F.col("field").alias("field_key"), F.trim("value").alias("new_value"))
+    rows = rows.join(_basis_citations(cells, provisions), "row_no", "left").select(*key, "row_no", "cited", "resolved", "unresolved")
+    touched = rows.groupBy(*key).agg(F.lit(True).alias("touched"))
+    merged = requirements.join(touched, key, "full_outer").withColumn("requirement_id", F.coalesce("requirement_id", F.xxhash64(*key)))
+    hit, noted, note = F.col("touched").isNotNull(), F.coalesce("notes", F.lit("")), source_note.strip()
+    if note:
+        noted = F.when(hit & ~noted.contains(note), F.concat_ws("\n", F.when(noted != "", noted), F.lit(note))).otherwise(noted)
+    stamped = {"notes": noted, "status": F.when(hit, "draft").otherwise(F.col("status")), "last_seen_at": F.when(hit, as_of).otherwise(F.col("last_seen_at"))}
+    merged = merged.withColumns(stamped)
+    put = cells.withColumn("value", _stripped(F.col("value"))).where((F.col("value") != "") & F.col("field").isin(*[k for k, _ in R.FIELD_SPECS]))
+    put = put.join(rows, "row_no").join(merged.select("requirement_id", *key), key)
+    last = F.max_by(F.struct("value", F.coalesce("cited", F.array().cast(CITATIONS)).alias("cited")), F.struct("row_no", "value")).alias("n")
+    put = put.groupBy("requirement_id", F.col("field").alias("field_key")).agg(last).select("requirement_id", "field_key", "n.*").withColumnRenamed("value", "new_value")
     both = fields.join(put, ["requirement_id", "field_key"], "full_outer")
     hit = F.col("new_value").isNotNull()
     set_ = lambda c, v: F.when(hit, v).otherwise(F.col(c)).alias(c)
+    reason = F.when(F.size("cited") > 0, IMPORTED_CITED).otherwise(IMPORTED_UNCITED)
     new_fields = both.select(
-        "requirement_id", "field_key", set_("value", F.col("new_value")), F.coalesce("citations", F.array().cast(CITATIONS)).alias("citations"),
-        set_("confidence", F.lit(0.0)), set_("source", F.lit("import")), set_("needs_review", F.lit(True)), set_("review_reason", F.lit("imported")), "stale_change_id",
+        "requirement_id", "field_key", set_("value", F.col("new_value")), set_("citations", F.col("cited")).cast(CITATIONS).alias("citations"),
+        set_("confidence", F.lit(0.0)), set_("source", F.lit("import")), set_("needs_review", F.lit(True)), set_("review_reason", reason), "stale_change_id",
     )
-    return new_requirements.select(*requirements.columns), new_fields.select(*fields.columns)
+    blank = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    counts = rows.agg(F.count("*").alias("rows"), blank(F.sum("resolved")).alias("resolved"), blank(F.sum("unresolved")).alias("unresolved"))
+    counts = counts.crossJoin(put.agg(F.count("*").alias("cells"))).select("rows", "cells", "resolved", "unresolved")  # one row each
+    return merged.select(*requirements.columns), new_fields.select(*fields.columns), counts
 
 
 def resolve_policy_basis(rows: DataFrame, provisions: DataFrame) -> DataFrame:
@@ -225,8 +263,10 @@ def list_requirements(requirements: DataFrame, fields: DataFrame) -> DataFrame:
         F.count("*").alias("n_fields"), F.count_if(cited).alias("n_cited"), F.count_if("needs_review").alias("n_review"),
         F.round(F.avg(F.when(cited, F.col("confidence"))), 6).alias("confidence"),
     )
-    newest = F.max("last_seen_at").over(Window.partitionBy("country", "tax_key"))
-    rows = requirements.withColumn("unconfirmed", newest.isNotNull() & ~newest.eqNullSafe(F.col("last_seen_at"))).join(counts, "requirement_id", "left")
+    newest = requirements.groupBy("country", "tax_key").agg(F.max("last_seen_at").alias("newest")).where("newest is not null")
+    rows = requirements.join(newest, ["country", "tax_key"], "left").join(counts, "requirement_id", "left")
+    unconfirmed = F.col("newest").isNotNull() & ~F.col("newest").eqNullSafe(F.col("last_seen_at"))
+    rows = rows.withColumn("unconfirmed", unconfirmed).select(*requirements.columns, "unconfirmed", "n_fields", "n_cited", "n_review", "confidence")
     return rows.na.fill(0, ["n_fields", "n_cited", "n_review"]).orderBy(F.desc("n_review"), "scenario", "requirement_id")
 
 
@@ -250,23 +290,26 @@ def review_queue(fields: DataFrame, requirements: DataFrame, country: str | None
 
 
 def apply_reviews(fields: DataFrame, requirements: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """R8. decisions (requirement_id, field_key, value or null, clear_flag): a new
-    value makes the cell manual, clear_flag drops the flag, a missing cell is
-    made; a touched row with no flag left is reviewed."""
-    d = decisions.select("requirement_id", "field_key", F.col("value").alias("new_value"), "clear_flag")
+    """R8. decisions (requirement_id, field_key, value or null, clear_flag), one a
+    cell: a value (trimmed, an equal one too) makes the cell manual, null accepts
+    it as it is; clear_flag drops the flag; a missing cell is made. A row that a
+    decision touches is reviewed when none of its cells is flagged any more.
+    Decisions on rows that don't exist do nothing."""
+    known = requirements.select("requirement_id")
+    d = decisions.join(known, "requirement_id", "left_semi").select("requirement_id", "field_key", F.lit(True).alias("touched"), F.col("value").alias("new_value"), "clear_flag")
     both = fields.join(d, ["requirement_id", "field_key"], "full_outer")
-    edited = F.coalesce(F.col("new_value") != F.coalesce("value", F.lit("")), F.lit(False))
+    edited = F.col("new_value").isNotNull()
     cleared = F.coalesce("clear_flag", F.lit(False))
     out = both.select(
-        "requirement_id", "field_key", F.when(edited, F.col("new_value")).otherwise(F.col("value")).alias("value"), F.coalesce("citations", F.array().cast(CITATIONS)).alias("citations"),
+        "requirement_id", "field_key", F.when(edited, _stripped(F.col("new_value"))).otherwise(F.col("value")).alias("value"), F.coalesce("citations", F.array().cast(CITATIONS)).alias("citations"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.when(edited, "manual").otherwise(F.coalesce("source", F.lit("manual"))).alias("source"),
         (F.coalesce("needs_review", F.lit(False)) & ~cleared).alias("needs_review"), F.when(cleared, "").otherwise(F.coalesce("review_reason", F.lit(""))).alias("review_reason"),
-        F.when(~cleared, F.col("stale_change_id")).alias("stale_change_id"),
+        F.when(~cleared, F.col("stale_change_id")).alias("stale_change_id"), "touched",
     )
-    touched = decisions.where("clear_flag").select("requirement_id").distinct()
-    flags = out.join(touched, "requirement_id", "left_semi").groupBy("requirement_id").agg(F.bool_or("needs_review").alias("left_open"))
+    flags = out.groupBy("requirement_id").agg(F.bool_or("needs_review").alias("left_open"), F.bool_or("touched").alias("asked"))
     rows = requirements.join(flags, "requirement_id", "left")
-    rows = rows.withColumn("status", F.when(F.col("left_open") == F.lit(False), "reviewed").otherwise(F.col("status")))
+    done = F.coalesce("asked", F.lit(False)) & ~F.coalesce("left_open", F.lit(False))
+    rows = rows.withColumn("status", F.when(done, "reviewed").otherwise(F.col("status")))
     return out.select(*fields.columns), rows.select(*requirements.columns)
 
 
@@ -471,16 +514,24 @@ def rendered_sizes(view: DataFrame, budget: int) -> DataFrame:
     return rows.groupBy("document_id").agg(F.sum("size").alias("rendered"), sent.alias("sent"), (F.sum("size") > budget).alias("truncated"))
 
 
+#: What stands between a scenario and a role that was echoed into it.
+ROLE_SEPARATORS = ("｜", "|")
+
+
 def known_scenarios(extracted: DataFrame, cap: int = 60) -> DataFrame:
     """R15. (country, tax_key, pos, scenario, role, others): the distinct pairs by
-    first sighting, a role echoed at the scenario's end cut off, at most ``cap``
-    (the list's length is the feature) and the count of the others."""
-    role = F.trim(F.coalesce("taxpayer_role", F.lit("")))
-    full = F.trim("scenario")
-    echoed = (role != "") & full.endswith(role) & (F.length(full) > F.length(role))
-    bare = F.when(echoed, F.regexp_replace(F.substring(full, F.lit(1), F.length(full) - F.length(role)), r"(?U)[\s,，、（(／/-]+$", "")).otherwise(full)
-    seen = extracted.select("country", "tax_key", bare.alias("scenario"), role.alias("role"), F.struct("document_id", "batch_no", "row_no").alias("seq"))
+    first sighting, at most ``cap`` (the list's length is the feature) and the
+    count of the others. A scenario is cut at the first ｜, else the first |,
+    unless nothing stands before it. Null scenarios and roles are empty."""
+    whole = _stripped(F.col("scenario"))
+    bare = whole
+    for mark in reversed(ROLE_SEPARATORS):
+        head = _stripped(F.substring_index(whole, mark, 1))
+        bare = F.when(whole.contains(mark) & (head != ""), head).otherwise(bare)
+    seen = extracted.select("country", "tax_key", bare.alias("scenario"), _stripped(F.col("taxpayer_role")).alias("role"), F.struct("document_id", "batch_no", "row_no").alias("seq"))
     first = seen.groupBy("country", "tax_key", "scenario", "role").agg(F.min("seq").alias("seq"))
-    w = Window.partitionBy("country", "tax_key")
-    rows = first.withColumns({"pos": F.row_number().over(w.orderBy("seq", "scenario", "role")), "total": F.count("*").over(w)})
-    return rows.where(F.col("pos") <= cap).select("country", "tax_key", "pos", "scenario", "role", F.greatest(F.col("total") - cap, F.lit(0)).alias("others"))
+    # Spark keeps the first ``cap`` of a list before it shuffles; totals are counts alone.
+    w = Window.partitionBy("country", "tax_key").orderBy("seq", "scenario", "role")
+    shown = first.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap)
+    totals = first.groupBy("country", "tax_key").agg(F.count("*").alias("total"))
+    return shown.join(totals, ["country", "tax_key"]).select("country", "tax_key", "pos", "scenario", "role", F.greatest(F.col("total") - cap, F.lit(0)).alias("others"))

@@ -35,6 +35,7 @@ _CHROME_TEXT = re.compile(
     "下载文字版|下载图片版|字体:\\s*【[大中小]】|【大】\\s*【中】\\s*【小】|分享到:|收藏\\s*订阅|已推送.*?我的订阅|此稿件无标签.*?订阅更多|语音播报:|扫一扫在手机打开当前页"
     "|【打印】\\s*【下载】|纠错或建议|历史沿革|关联解读|关联文件|关联问答|关于《.*?》的解读|个人中心-我的订阅|进入\\s*\"?订阅设置\"?"
 )
+# The headings of a ruling's sections.
 _SECTION_HEADS = re.compile(r"((?:主\s*旨|說\s*明|理\s*由|解釋文|理由書|主文|事實|爭點)[：:])")
 _ARTICLES = re.compile(r"(第[一二三四五六七八九十百千零〇两]+条)")
 _NUMBERED = re.compile(r"([一二三四五六七八九十]+)、")
@@ -139,6 +140,7 @@ def us_cfr(row: dict) -> tuple[str, list[Provision]]:
     return f"26 CFR Part {part}" if part else title, out
 
 
+# The layouts of the states' pages.
 #: state: sections, headings, number in a heading, fallback body, default code, metadata key of the fallback.
 _STATES = {
     "TX": ("div.section, .codeSect", "b, .section-heading, h3, h4", r"Sec\.?\s*([\d.]+[A-Z]?)", "body", "TX Tax Code", "chapter"),

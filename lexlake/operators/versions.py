@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions.similarity import similarity, unified_diff
 from lexlake.functions.text import norm_key, parent_key, severity
+from lexlake.operators import timeline
 from lexlake.operators.renumber import match_renumbered
 
 
@@ -56,11 +57,12 @@ def upsert_documents(documents: DataFrame, refs: DataFrame) -> DataFrame:
 
 def detect_snapshots(incoming: DataFrame) -> DataFrame:
     """V3. The fetches (document_id, fetched_at, content_hash, …) that differ
-    from the one before by fetch time: A, B, A gives three."""
-    w = Window.partitionBy("document_id").orderBy("fetched_at", "snapshot_id")
-    before = F.lag("content_hash").over(w)
-    first = F.row_number().over(w) == 1
-    return incoming.withColumn("is_new", first | ~before.eqNullSafe(F.col("content_hash"))).where("is_new").drop("is_new")
+    from the one before by fetch time: A, B, A gives three. A document's fetches
+    are read in blocks, however many they are."""
+    rows = timeline.in_blocks(incoming, "document_id", ["fetched_at", "snapshot_id"])
+    rows = timeline.last_value(rows, "document_id", F.struct(F.col("content_hash").alias("hash")), "__before", own=False)
+    is_new = F.col("__before").isNull() | ~F.col("__before.hash").eqNullSafe(F.col("content_hash"))
+    return rows.where(is_new).select(*incoming.columns)
 
 
 def _last_of_key(provisions: DataFrame, by: list[str]) -> DataFrame:
@@ -111,8 +113,9 @@ def with_severity(diffs: DataFrame) -> DataFrame:
 
 
 def _consecutive(snapshots: DataFrame) -> DataFrame:
-    w = Window.partitionBy("document_id").orderBy("fetched_at", "snapshot_id")
-    return snapshots.select("document_id", F.col("snapshot_id").alias("to_snapshot_id"), F.lag("snapshot_id").over(w).alias("from_snapshot_id")).where("from_snapshot_id is not null")
+    rows = timeline.in_blocks(snapshots.select("document_id", "fetched_at", "snapshot_id"), "document_id", ["fetched_at", "snapshot_id"])
+    rows = timeline.last_value(rows, "document_id", F.col("snapshot_id"), "from_snapshot_id", own=False)
+    return rows.where("from_snapshot_id is not null").select("document_id", F.col("snapshot_id").alias("to_snapshot_id"), "from_snapshot_id")
 
 
 def _pair_diff(pairs: DataFrame, provisions: DataFrame, threshold: float | None, with_diff: bool) -> DataFrame:
@@ -131,16 +134,10 @@ def detect_changes(snapshots: DataFrame, provisions: DataFrame, threshold: float
 def version_timeline(documents: DataFrame, snapshots: DataFrame, provisions: DataFrame, changes: DataFrame) -> DataFrame:
     """V9. One row a version: version (v1..), dated_at, official, provision and
     change counts, first and last crawl of the document."""
-    per = Window.partitionBy("document_id")
-    w = per.orderBy("dated_at", "snapshot_id")
-    rows = snapshots.withColumn("dated_at", dated_at()).withColumns(
-        {
-            "version": F.concat(F.lit("v"), F.row_number().over(w)),
-            "official": F.col("issued_at").isNotNull(),
-            "first_crawled": F.min("fetched_at").over(per),
-            "last_crawled": F.max("fetched_at").over(per),
-        }
-    )
+    rows = timeline.in_blocks(snapshots.withColumn("dated_at", dated_at()), "document_id", ["dated_at", "snapshot_id"])
+    rows = timeline.place(rows, "document_id", "place")
+    crawled = snapshots.groupBy("document_id").agg(F.min("fetched_at").alias("first_crawled"), F.max("fetched_at").alias("last_crawled"))
+    rows = rows.withColumns({"version": F.concat(F.lit("v"), "place"), "official": F.col("issued_at").isNotNull()}).join(crawled, "document_id")
     n_provisions = provisions.groupBy("snapshot_id").agg(F.count("*").alias("n_provisions"))
     n_changes = changes.groupBy(F.col("to_snapshot_id").alias("snapshot_id")).agg(F.count("*").alias("n_changes"))
     rows = rows.join(documents.select("document_id", "title"), "document_id").join(n_provisions, "snapshot_id", "left").join(n_changes, "snapshot_id", "left")
@@ -158,14 +155,14 @@ def snapshot_at(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """V10. For (request_id, document_id, day): the snapshot in force at the end
     of that day, null where the document had none yet.
 
-    Versions and requests of a document are sorted together by time and each
-    request takes the last version before it: linear, where a range join would
-    pair every request with every earlier version."""
+    Versions and requests of a document are sorted together by time, in blocks,
+    and each request takes the last version before it: linear, where a range join
+    would pair every request with every earlier version."""
     versions = snapshots.select("document_id", dated_at().alias("at"), F.lit(0).alias("kind"), F.struct("snapshot_id", dated_at().alias("dated_at")).alias("v"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("timestamp").alias("day"))
     asked = requests.select("document_id", end_of_day(F.col("day")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(versions.schema["v"].dataType).alias("v"), "request_id", "day")
-    w = Window.partitionBy("document_id").orderBy("at", "kind", "v.snapshot_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = versions.union(asked).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("kind = 1")
-    return rows.select("request_id", "document_id", "day", "v.snapshot_id", "v.dated_at")
+    rows = timeline.in_blocks(versions.union(asked), "document_id", ["at", "kind", F.col("v.snapshot_id")])
+    rows = timeline.last_value(rows, "document_id", F.col("v"), "in_force", own=True).where("kind = 1")
+    return rows.select("request_id", "document_id", "day", "in_force.snapshot_id", "in_force.dated_at")
 
 
 def version_at(requests: DataFrame, snapshots: DataFrame, provisions: DataFrame) -> DataFrame:
@@ -223,31 +220,42 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
 
 
-def containing(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query, text): each text that contains a query. queries: query, texts: text,
-    each once. Texts are indexed by their pieces of up to GRAM characters; a
-    query meets only the texts that hold its rarest piece, and those are
-    verified. An empty query is contained in nothing."""
-    index = [texts.select(F.explode(_grams(F.col("text"), F.lit(k))).alias("gram"), "text") for k in range(1, GRAM + 1)]
+def containing(queries: DataFrame, texts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(query, text) and the columns of ``by``: each text that contains a query
+    and agrees with it in those columns. queries: query, texts: text, with them,
+    each row once. Texts are indexed by their pieces of up to GRAM characters; a
+    query meets only the texts that hold its rarest piece among those it agrees
+    with, and those are verified. An empty query is contained in nothing."""
+    by = by or []
+    index = [texts.select(*by, F.explode(_grams(F.col("text"), F.lit(k))).alias("gram"), "text") for k in range(1, GRAM + 1)]
     index = reduce(DataFrame.union, index)
     asked = queries.where(F.length("query") > 0).withColumn("grams", _grams(F.col("query"), F.least(F.lit(GRAM), F.length("query"))))
-    asked = asked.select("query", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counted = asked.join(index.groupBy("gram").agg(F.count("*").alias("texts")), "gram")
+    asked = asked.select(*by, "query", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counted = asked.join(index.groupBy(*by, "gram").agg(F.count("*").alias("texts")), [*by, "gram"])
     # A query with a piece that no text has is contained in none.
-    rarest = counted.groupBy("query").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.count("*").alias("found"), F.first("n").alias("n")).where("found = n")
-    return rarest.select("query", "gram").join(index, "gram").where(F.contains("text", "query")).select("query", "text")
+    rarest = counted.groupBy(*by, "query").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.count("*").alias("found"), F.first("n").alias("n")).where("found = n")
+    return rarest.select(*by, "query", "gram").join(index, [*by, "gram"]).where(F.contains("text", "query")).select(*by, "query", "text")
+
+
+#: Levels that an implementing document is followed up by its name.
+DESCENT = 4
 
 
 def resolve_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """V14. (query_id, query) → status, document_id, candidates: by external id,
-    else exact title, else unique normalised name, else the one name that all
-    other substring hits are children of, else the one substring hit; several
-    are ambiguous. Distinct names are searched for distinct wanted ones, and
-    documents are counted by name before they are joined.
+    """V14. (query_id, query) → status, document_id, candidates, children: by
+    ``external_id``, else exact ``title``, else the one document of the
+    normalised ``name``, else by names that hold the query: if all of them are
+    implementing documents of it (up to four levels), the law itself is missing
+    (``parent_missing``; children: their titles, in order) and no document
+    stands in for it; one document alone is the ``substring`` hit, several are
+    ``ambiguous``; none is ``not_found``. Null and blank queries find nothing.
+
+    Distinct names are searched for distinct wanted ones, and documents are
+    counted by name before they are joined.
     """
     docs = documents.select("document_id", "external_id", "title", norm_key(F.col("title")).alias("key"))
     q = queries.select("query_id", "query", norm_key(F.col("query")).alias("wanted"))
-    first = lambda column: docs.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"), F.min("document_id").alias("document_id"))
+    first = lambda column: docs.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"), F.min("document_id").alias("document_id"), F.min("title").alias("title"))
     exact = lambda wanted, column, rank: q.join(first(column), q[wanted] == F.col("k")).select("query_id", F.lit(rank).alias("rank"), "n", "document_id")
     by_id, by_title = exact("query", "external_id", 1), exact("query", "title", 2)
     by_name = exact("wanted", "key", 3).where("n = 1")
@@ -255,16 +263,22 @@ def resolve_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
     rest = q.join(known, "query_id", "left_anti").where(F.length("wanted") > 0)
     names = first("key").withColumnRenamed("k", "text").where("text is not null")
     hits = containing(rest.select(F.col("wanted").alias("query")).distinct(), names.select("text")).join(names, "text")
-    hits = hits.withColumn("up1", parent_key(F.col("text"))).withColumn("up2", parent_key(F.col("up1")))
-    child = F.coalesce(F.col("up1") == F.col("query"), F.lit(False)) | F.coalesce(F.col("up2") == F.col("query"), F.lit(False))
-    found = hits.groupBy(F.col("query").alias("wanted")).agg(F.sum("n").alias("candidates"), F.count_if(~child).alias("tops"), F.min(F.when(~child, F.col("document_id"))).alias("document_id"))
-    found = rest.join(found, "wanted").select("query_id", "candidates", "tops", "document_id")
-    best = known.select("query_id", "rank", "document_id").union(found.where("tops = 1").select("query_id", F.lit(4), "document_id"))
-    best = best.groupBy("query_id").agg(F.min_by("document_id", "rank").alias("document_id"), F.min("rank").alias("rank"))
-    how = F.element_at(F.array(*map(F.lit, ("external_id", "title", "name", "substring"))), F.col("rank"))
-    out = q.join(best, "query_id", "left").join(found.select("query_id", "candidates"), "query_id", "left").na.fill(0, ["candidates"])
-    status = F.when(F.col("rank").isNotNull(), how).when(F.col("candidates") > 0, "ambiguous").otherwise("not_found")
-    return out.select("query_id", status.alias("status"), "document_id", F.col("candidates").cast("long").alias("candidates"))
+    up, child = F.col("text"), F.lit(False)
+    for level in range(DESCENT):
+        hits = hits.withColumn(f"up{level}", parent_key(up))
+        up = F.col(f"up{level}")
+        child = child | F.coalesce(up == F.col("query"), F.lit(False))
+    titles = F.sort_array(F.collect_set(F.when(child, F.col("title"))))  # names of one law's implementing documents
+    found = hits.groupBy(F.col("query").alias("wanted")).agg(F.sum("n").alias("candidates"), F.bool_and(child).alias("missing"), F.min("document_id").alias("only"), titles.alias("children"))
+    found = rest.join(found, "wanted").select("query_id", "candidates", "missing", "only", "children")
+    best = known.groupBy("query_id").agg(F.min_by("document_id", "rank").alias("document_id"), F.min("rank").alias("rank"))
+    how = F.element_at(F.array(*map(F.lit, ("external_id", "title", "name"))), F.col("rank"))
+    out = q.join(best, "query_id", "left").join(found, "query_id", "left").na.fill(0, ["candidates"])
+    status = F.when(F.col("rank").isNotNull(), how).when(F.col("missing"), "parent_missing").when(F.col("candidates") == 1, "substring").when(F.col("candidates") > 1, "ambiguous").otherwise("not_found")
+    out = out.withColumn("status", status)
+    document = F.when(F.col("status") == "substring", F.col("only")).otherwise(F.col("document_id"))
+    children = F.when(F.col("status") == "parent_missing", F.col("children")).otherwise(F.array().cast("array<string>"))
+    return out.select("query_id", "status", document.alias("document_id"), F.col("candidates").cast("long").alias("candidates"), children.alias("children"))
 
 
 def suggest_documents(queries: DataFrame, documents: DataFrame, limit: int = 5) -> DataFrame:

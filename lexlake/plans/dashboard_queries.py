@@ -12,7 +12,7 @@ from lexlake.operators.corpus import EVIDENCE_PARTS, NO_EVIDENCE
 from lexlake.operators import normalize as N
 from lexlake.plans.bindings import AS_OF, DAY0, DUCK, bound, with_ctes
 from lexlake.plans.matrix_queries import _CELLS
-from lexlake.plans.text_queries import _classified
+from lexlake.plans.text_queries import C5_SQL, _classified
 from lexlake.shared import shared_dir
 from lexlake.functions.text import classify_tax, norm_key
 from lexlake.sources import landed, reports
@@ -73,13 +73,16 @@ D4_SQL = with_ctes("docs", "snaps", "changes", "flat_fields") + f""", {_DOCS}, {
 
 
 def d5_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provisions carry keys of the changes, some of them twice in a version."""
     changes = bound(spark, sf_dir, "changes")
-    out = D.change_detail(changes, _docs(spark, sf_dir), bound(spark, sf_dir, "prov"), bound(spark, sf_dir, "analyses"), bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements"))
+    key = F.concat(F.lit("L"), (F.col("snapshot_id") + F.col("ordinal")) % 20, F.lit("#"), F.col("ordinal") % 50)
+    out = D.change_detail(changes, _docs(spark, sf_dir), bound(spark, sf_dir, "prov").withColumn("node_key", key), bound(spark, sf_dir, "analyses"), bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements"))
     return out.select("change_id", "title", "summary", "confidence", "affected", F.sha2("new_text", 256).alias("new_sha"))
 
 
-D5_SQL = with_ctes("docs", "changes", "analyses", "flat_fields", "prov") + f""", {_CELLS}, n AS (SELECT k, count(DISTINCT (requirement_id, field_key)) AS affected FROM ci GROUP BY 1)
-  SELECT c.change_id, d.title, a.summary, a.confidence, coalesce(n.affected, 0) AS affected, sha256(p.text) AS new_sha FROM changes c LEFT JOIN docs d USING (document_id) LEFT JOIN analyses a ON a.change_id = c.change_id LEFT JOIN n ON n.k = c.node_key LEFT JOIN prov p ON p.snapshot_id = c.to_snapshot_id AND p.node_key = c.node_key"""
+D5_SQL = with_ctes("docs", "changes", "analyses", "flat_fields", "prov") + f""", {_CELLS}, n AS (SELECT k, count(DISTINCT (requirement_id, field_key)) AS affected FROM ci GROUP BY 1),
+  lk AS (SELECT snapshot_id, concat('L', CAST((snapshot_id + ordinal) % 20 AS VARCHAR), '#', CAST(ordinal % 50 AS VARCHAR)) AS node_key, arg_max(text, ordinal) AS text FROM prov GROUP BY 1, 2)
+  SELECT c.change_id, d.title, a.summary, a.confidence, coalesce(n.affected, 0) AS affected, sha256(p.text) AS new_sha FROM changes c LEFT JOIN docs d USING (document_id) LEFT JOIN analyses a ON a.change_id = c.change_id LEFT JOIN n ON n.k = c.node_key LEFT JOIN lk p ON p.snapshot_id = c.to_snapshot_id AND p.node_key = c.node_key"""
 
 
 def d6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +102,19 @@ D6B_SQL = with_ctes("runs") + """SELECT count(*) AS total, round(count(*) FILTER
 
 
 def d7_analysis_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of keys in the sparse graph, with their context lists."""
+    """Changes of keys in the sparse graph, with their context lists and texts."""
     changes = bound(spark, sf_dir, "changes").withColumn("node_key", F.concat(F.lit("K"), F.col("change_id")))
     evidence = bound(spark, sf_dir, "docs").select(F.col("document_id").alias("change_id"), F.lit(1).alias("rank"), F.lit("search").alias("origin"), "title", F.lit("s").alias("snippet"), "url")
-    out = D.analysis_inputs(changes, _docs(spark, sf_dir), bound(spark, sf_dir, "prov"), bound(spark, sf_dir, "thin"), evidence)
+    # 7 × 143 is 1 of 1000, so this is the key of a change that made the snapshot.
+    key = F.concat(F.lit("K"), F.col("snapshot_id") * 143 % 1000 + F.col("ordinal") * 1000)
+    out = D.analysis_inputs(changes, _docs(spark, sf_dir), bound(spark, sf_dir, "prov").withColumn("node_key", key), bound(spark, sf_dir, "thin"), evidence)
     join = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
-    return out.select("change_id", "title", join("parent_law"), join("child"), join("sibling"), "evidence")
+    return out.select("change_id", "title", join("parent_law"), join("child"), join("sibling"), "evidence", F.sha2("old_text", 256).alias("old_sha"), F.sha2("new_text", 256).alias("new_sha"))
 
 
-D7_SQL = with_ctes("docs", "changes", "thin") + f""", k AS (SELECT change_id, document_id, concat('K', CAST(change_id AS VARCHAR)) AS e FROM changes), p AS (SELECT from_key AS e, string_agg(DISTINCT to_key, ',' ORDER BY to_key) AS l FROM thin GROUP BY 1), c AS (SELECT to_key AS e, string_agg(DISTINCT from_key, ',' ORDER BY from_key) AS l FROM thin GROUP BY 1),
+D7_SQL = with_ctes("docs", "changes", "thin", "prov") + f""", pk AS (SELECT snapshot_id, concat('K', CAST(snapshot_id * 143 % 1000 + ordinal * 1000 AS VARCHAR)) AS node_key, text FROM prov), k AS (SELECT change_id, document_id, from_snapshot_id, to_snapshot_id, concat('K', CAST(change_id AS VARCHAR)) AS e FROM changes), p AS (SELECT from_key AS e, string_agg(DISTINCT to_key, ',' ORDER BY to_key) AS l FROM thin GROUP BY 1), c AS (SELECT to_key AS e, string_agg(DISTINCT from_key, ',' ORDER BY from_key) AS l FROM thin GROUP BY 1),
   s AS (SELECT t.from_key AS e, string_agg(DISTINCT u.from_key, ',' ORDER BY u.from_key) AS l FROM thin t JOIN thin u ON u.to_key = t.to_key AND u.from_key <> t.from_key GROUP BY 1)
-  SELECT k.change_id, d.title, coalesce(p.l, '') AS parent_law, coalesce(c.l, '') AS child, coalesce(s.l, '') AS sibling, CASE WHEN x.title IS NULL THEN '{NO_EVIDENCE}' ELSE '{EVIDENCE_PARTS["search"][0]}' || chr(10) || chr(10) || '1. **' || x.title || '**' || chr(10) || '   摘要：s' || chr(10) || '   來源：' || x.url || chr(10) || chr(10) || '{EVIDENCE_PARTS["search"][1]}' END AS evidence FROM k LEFT JOIN docs d USING (document_id) LEFT JOIN docs x ON x.document_id = k.change_id LEFT JOIN p ON p.e = k.e LEFT JOIN c ON c.e = k.e LEFT JOIN s ON s.e = k.e"""
+  SELECT k.change_id, d.title, coalesce(p.l, '') AS parent_law, coalesce(c.l, '') AS child, coalesce(s.l, '') AS sibling, CASE WHEN x.title IS NULL THEN '{NO_EVIDENCE}' ELSE '{EVIDENCE_PARTS["search"][0]}' || chr(10) || chr(10) || '1. **' || x.title || '**' || chr(10) || '   摘要：s' || chr(10) || '   來源：' || x.url || chr(10) || chr(10) || '{EVIDENCE_PARTS["search"][1]}' END AS evidence, sha256(o.text) AS old_sha, sha256(n.text) AS new_sha FROM k LEFT JOIN docs d USING (document_id) LEFT JOIN pk o ON o.snapshot_id = k.from_snapshot_id AND o.node_key = k.e LEFT JOIN pk n ON n.snapshot_id = k.to_snapshot_id AND n.node_key = k.e LEFT JOIN docs x ON x.document_id = k.change_id LEFT JOIN p ON p.e = k.e LEFT JOIN c ON c.e = k.e LEFT JOIN s ON s.e = k.e"""
 
 
 def d8_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +157,13 @@ def d2_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tax_type_tree("cn_vat", docs).select("document_id", "entity_key", "depth", F.array_join("path", " > ").alias("path"))
 
 
+D2T_SQL = (with_ctes("docs") + _DOCS).replace("WITH ", "WITH RECURSIVE ", 1).replace("dt AS (", ", dt AS (", 1) + f""", x AS ({C5_SQL}),
+  d AS (SELECT * FROM (SELECT x.*, dt.title, row_number() OVER (PARTITION BY entity_key ORDER BY x.document_id DESC) AS r FROM x JOIN dt ON dt.document_id = x.document_id WHERE dt.tax_key = 'cn_vat') y WHERE r = 1),
+  p AS (SELECT d.document_id, d.entity_key, d.title, CASE WHEN a.entity_key IS NOT NULL THEN nullif(d.parent, d.entity_key) WHEN b.entity_key IS NOT NULL THEN nullif(d.title_parent, d.entity_key) END AS parent FROM d LEFT JOIN d a ON a.entity_key = d.parent LEFT JOIN d b ON b.entity_key = d.title_parent),
+  w AS (SELECT document_id, entity_key, CAST(0 AS BIGINT) AS depth, title AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.document_id, p.entity_key, w.depth + 1, concat(w.path, ' > ', p.title) FROM p JOIN w ON p.parent = w.entity_key)
+  SELECT document_id, entity_key, depth, path FROM w"""
+
+
 def s9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All blocks of the report, with their text."""
     analyses = bound(spark, sf_dir, "analyses").withColumn("affected_parties", F.when(F.col("change_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))))
@@ -190,12 +202,12 @@ S10_SQL = with_ctes("requirements", "flat_fields") + """, g AS (SELECT requireme
 
 
 def s2_law_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of JSON laws for each nation, out of its documents."""
+    """Batches of up to 50 JSON laws, out of neighbouring documents."""
     law = F.struct(
         F.lit("法律").alias("LawLevel"), F.col("title").alias("LawName"), F.concat(F.lit("https://law.example.org/LawAll.aspx?pcode=G"), F.lpad(F.col("document_id").cast("string"), 7, "0")).alias("LawURL"),
         F.date_format("issued_at", "yyyyMMdd").alias("LawModifiedDate"), F.when(F.col("document_id") % 5 == 0, "廢").otherwise("").alias("LawAbandonNote"),
     )
-    batch = bound(spark, sf_dir, "docs").groupBy("source_key").agg(F.to_json(F.struct(F.collect_list(law).alias("Laws"))).alias("text"))
+    batch = bound(spark, sf_dir, "docs").groupBy(F.expr("document_id DIV 50").alias("batch")).agg(F.to_json(F.struct(F.collect_list(law).alias("Laws"))).alias("text"))
     wanted = bound(spark, sf_dir, "docs").where("document_id % 3 = 0").select(F.concat(F.lit("G"), F.lpad(F.col("document_id").cast("string"), 7, "0")).alias("external_id"))
     refs = landed.tw_law_refs(batch, wanted)
     return refs.select("external_id", "title", F.unix_timestamp("issued_at").alias("issued"), "abandoned")
@@ -205,20 +217,26 @@ S2_SQL = with_ctes("docs") + f"SELECT concat('G', lpad(CAST(document_id AS VARCH
 
 
 def s3_policy_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries with blank, repeated and undated rows."""
-    docs = bound(spark, sf_dir, "docs")
+    """Entries with blank and undated rows; of four in a row, each shares its
+    address with one and its index number with another."""
+    docs, at = bound(spark, sf_dir, "docs"), F.col("document_id")
+    block, place = F.expr("document_id DIV 4"), (at % 4).cast("int")
+    page = block * 2 + F.element_at(F.array(*map(F.lit, (0, 1, 1, 0))), place + 1)
+    index = F.when(block % 3 != 2, F.concat(F.lit("I"), block * 10 + F.element_at(F.array(*map(F.lit, (1, 1, 3, 3))), place + 1)))
     rows = docs.select(
-        F.col("document_id").alias("seq"), F.when(F.col("document_id") % 10 == 0, " ").otherwise(F.concat("title", F.when(F.col("document_id") % 2 == 0, F.col("external_id")).otherwise(""))).alias("title"),
-        F.concat(F.lit("http://x.example.org/c"), (F.col("document_id") / 2).cast("int") + 100_000, F.lit("/content.html")).alias("url"), F.date_format("issued_at", "yyyy-MM-dd HH:mm:ss").alias("pubDate"),
-        F.lit("").alias("label"), F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("I"), "document_id")).alias("indexno"),
+        at.alias("seq"), F.when(at % 10 == 0, " ").otherwise(F.concat("title", F.when(block % 5 == 0, F.col("external_id")).otherwise(""))).alias("title"),
+        F.concat(F.lit("http://x.example.org/c"), page + 100_000, F.lit("/content.html")).alias("url"), F.date_format("issued_at", "yyyy-MM-dd HH:mm:ss").alias("pubDate"), F.lit("").alias("label"), index.alias("indexno"),
     )
     return landed.policy_refs(rows, F.timestamp_seconds(F.lit(DAY0 + 20 * 86_400))).select("external_id", "title", "url")
 
 
-S3_SQL = with_ctes("docs") + f""", e AS (SELECT document_id AS seq, CASE WHEN document_id % 10 = 0 THEN NULL ELSE concat(title, CASE WHEN document_id % 2 = 0 THEN external_id ELSE '' END) END AS title, concat('https://x.example.org/c', CAST(document_id // 2 + 100000 AS VARCHAR), '/content.html') AS url, issued_at,
-  CASE WHEN document_id % 2 = 0 THEN external_id WHEN document_id % 3 = 0 THEN concat('I', CAST(document_id AS VARCHAR)) ELSE concat('c', CAST(document_id // 2 + 100000 AS VARCHAR)) END AS external_id FROM docs),
-  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS r FROM e WHERE title IS NOT NULL AND issued_at >= {DUCK.ts(str(DAY0 + 20 * 86_400))}) x WHERE r = 1)
-  SELECT external_id, title, url FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY seq) AS k FROM u) y WHERE k = 1"""
+S3_SQL = with_ctes("docs").replace("WITH ", "WITH RECURSIVE ", 1) + f""", p AS (SELECT *, document_id // 4 AS g, CAST(document_id % 4 AS INT) AS m FROM docs WHERE document_id % 10 <> 0 AND issued_at >= {DUCK.ts(str(DAY0 + 20 * 86_400))}),
+  q AS (SELECT *, concat('c', CAST(g * 2 + [0, 1, 1, 0][m + 1] + 100000 AS VARCHAR)) AS page FROM p),
+  e AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY document_id) AS k, concat(title, CASE WHEN g % 5 = 0 THEN external_id ELSE '' END) AS title, concat('https://x.example.org/', page, '/content.html') AS url,
+    CASE WHEN g % 5 = 0 THEN external_id WHEN g % 3 <> 2 THEN concat('I', CAST(g * 10 + [1, 1, 3, 3][m + 1] AS VARCHAR)) ELSE page END AS external_id FROM q),
+  r AS (SELECT g, k, true AS keep, [url, external_id] AS seen FROM e WHERE k = 1 UNION ALL
+    SELECT e.g, e.k, NOT list_has_any(r.seen, [e.url, e.external_id]), CASE WHEN list_has_any(r.seen, [e.url, e.external_id]) THEN r.seen ELSE list_concat(r.seen, [e.url, e.external_id]) END FROM r JOIN e ON e.g = r.g AND e.k = r.k + 1)
+  SELECT e.external_id, e.title, e.url FROM e JOIN r ON r.g = e.g AND r.k = e.k WHERE r.keep"""
 
 
 def s4_ecfr_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,13 +280,15 @@ def s6_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s8_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown line for each nation, between delimiter and prose lines."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
-    lines = n.select(F.explode(F.array(F.struct((F.col("k") * 3).alias("row_no"), F.concat(F.lit("| **"), "n_name", F.lit("** | a<br/>b | "), "k", F.lit(" |")).alias("value")), F.struct((F.col("k") * 3 + 1).alias("row_no"), F.lit("| --- | :-: | --- |").alias("value")), F.struct((F.col("k") * 3 + 2).alias("row_no"), F.lit("prose").alias("value")))).alias("l")).select("l.*")
+    """A Markdown line for each document, between delimiter and prose lines."""
+    d, k = bound(spark, sf_dir, "docs"), F.col("document_id")
+    line = F.concat(F.lit("| **"), "title", F.lit("** | a<br/>b | "), k, F.lit(" |"))
+    parts = [(0, line), (1, F.lit("| --- | :-: | --- |")), (2, F.concat(F.lit("prose on "), "external_id"))]
+    lines = d.select(F.explode(F.array(*[F.struct((k * 3 + i).alias("row_no"), v.alias("value")) for i, v in parts])).alias("l")).select("l.*")
     return landed.markdown_cells(lines).select("row_no", F.array_join("cells", ";").alias("cells"))
 
 
-S8_SQL = "SELECT CAST(n_nationkey AS BIGINT) * 3 AS row_no, concat(n_name, ';a', chr(10), 'b;', CAST(n_nationkey AS VARCHAR)) AS cells FROM nation"
+S8_SQL = with_ctes("docs") + "SELECT document_id * 3 AS row_no, concat(title, ';a', chr(10), 'b;', CAST(document_id AS VARCHAR)) AS cells FROM docs"
 
 
 def _raw(spark: SparkSession, sf_dir: str, connector: str, content: Column, kind: str = "text/html") -> DataFrame:
@@ -337,6 +357,7 @@ QUERIES = {
     "s8_markdown": s8_markdown, "n2_tw_law": n2_tw_law, "n3_to_n8_normalize": n3_to_n8_normalize, "n6_pages": n6_pages, "t1_ingest": t1_ingest,
 }
 ORACLES = {
+    "d2_tree": D2T_SQL,
     "d2_versions": D2B_SQL, "d2_changes": D2C_SQL,
     "d1_rollup": D1_SQL, "d2_summary": D2_SQL, "d3_stats": D3_SQL, "d4_list_changes": D4_SQL, "d5_detail": D5_SQL, "d6_runs": D6_SQL, "d6_health": D6B_SQL, "d7_analysis_inputs": D7_SQL, "d8_run_stats": D8_SQL, "s9_report": S9_SQL, "s10_purge_restore": S10_SQL,
     "s2_law_refs": S2_SQL, "s3_policy_refs": S3_SQL, "s4_ecfr_refs": S4_SQL, "s5_register_refs": S5_SQL, "s6_listing": S6_SQL, "s8_markdown": S8_SQL, "n2_tw_law": N2_SQL, "n3_to_n8_normalize": N8_SQL, "t1_ingest": T1_SQL,

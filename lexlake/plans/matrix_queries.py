@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexlake import refdata as R
 from lexlake.operators import matrix as M
-from lexlake.plans.bindings import bound, with_ctes
+from lexlake.plans.bindings import AS_OF, bound, with_ctes
 
 _RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'major' THEN 2 WHEN 'minor' THEN 1 ELSE 0 END"
 _CELLS = "ci AS (SELECT requirement_id, field_key, 0 AS pos, c1 AS k, needs_review FROM flat_fields WHERE c1 IS NOT NULL UNION ALL SELECT requirement_id, field_key, CASE WHEN c1 IS NULL THEN 0 ELSE 1 END, c2, needs_review FROM flat_fields WHERE c2 IS NOT NULL)"
@@ -71,44 +71,72 @@ _HEADERS = ["稅目 Tax Type", "課稅情境", "Tax-payer", "Statutory Rate", "T
 _FIELDS_OF = ["_tax", "_scenario", "_role", "rate", "tax_base", "formula", "filing_deadline", None, None, "_policy_basis"]
 
 
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of ten columns for each document; odd ones lack the role column,
+    and one remark is headed by the document's own title."""
+    docs = bound(spark, sf_dir, "docs")
+    sheets = docs.select(F.col("document_id").alias("sheet_id"), F.posexplode(F.array(*[F.concat(F.lit("remarks "), F.lower("external_id")) if h == "remarks" else F.lit(h) for h in _HEADERS])).alias("pos", "header"))
+    return sheets.where("sheet_id % 2 = 0 or pos <> 2")
+
+
 def c21_map_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet of ten columns for each nation; odd ones lack the role column."""
-    sheets = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("sheet_id"), F.posexplode(F.array(*map(F.lit, _HEADERS))).alias("pos", "header"))
-    sheets = sheets.where("sheet_id % 2 = 0 or pos <> 2")
-    return M.map_headers(sheets).where("field is not null").select("sheet_id", "pos", "field")
+    return M.map_headers(_sheets(spark, sf_dir)).where("field is not null").select("sheet_id", "pos", "field")
 
 
-C21_SQL = f"SELECT CAST(n_nationkey AS BIGINT) AS sheet_id, CAST(i - 1 AS INT) AS pos, {[f or 'none' for f in _FIELDS_OF]}[i] AS field FROM nation CROSS JOIN (SELECT unnest(range(1, 11)) AS i) g WHERE i NOT IN (8, 9) AND (n_nationkey % 2 = 0 OR i <> 3)"
+C21_SQL = f"SELECT doc_id AS sheet_id, CAST(i - 1 AS INT) AS pos, {[f or 'none' for f in _FIELDS_OF]}[i] AS field FROM documents CROSS JOIN (SELECT unnest(range(1, 11)) AS i) g WHERE i NOT IN (8, 9) AND (doc_id % 2 = 0 OR i <> 3)"
 
 
 def c21_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheets = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("sheet_id"), F.posexplode(F.array(*map(F.lit, _HEADERS))).alias("pos", "header"))
-    out = M.header_problems(M.map_headers(sheets.where("sheet_id % 2 = 0 or pos <> 2")))
+    out = M.header_problems(M.map_headers(_sheets(spark, sf_dir)))
     return out.select("sheet_id", F.array_join("unmapped", "|").alias("unmapped"), F.array_join("missing", "|").alias("missing"))
 
 
-C21B_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS sheet_id, 'rate again|remarks' AS unmapped, CASE WHEN n_nationkey % 2 = 1 THEN '_role' ELSE '' END AS missing FROM nation"
+C21B_SQL = with_ctes("docs") + "SELECT document_id AS sheet_id, concat('rate again|remarks ', external_id) AS unmapped, CASE WHEN document_id % 2 = 1 THEN '_role' ELSE '' END AS missing FROM docs"
 
 
 def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheet cells for the even requirements, and as many new scenarios."""
-    req = bound(spark, sf_dir, "requirements").where("country = 'TW'")
-    row = req.select(
-        F.col("requirement_id").alias("row_no"), F.when(F.col("requirement_id") % 2 == 0, "綜合所得稅").otherwise("貨物稅").alias("_tax"), F.concat(F.lit("sheet "), "requirement_id").alias("_scenario"),
-        F.col("taxpayer_role").alias("_role"), F.concat(F.lit("r"), "requirement_id").alias("rate"), F.lit("  ").alias("formula"),
-    )
-    return row.unpivot(["row_no"], ["_tax", "_scenario", "_role", "rate", "formula"], "field", "value")
+    """Sheet rows for the Taiwanese requirements: of eight, four meet a row that
+    is there; bases name two articles and a whole law, one article, nothing, or are
+    blank. Every tenth row
+    comes again, with a formula only."""
+    req, at = bound(spark, sf_dir, "requirements").where("country = 'TW'"), F.col("requirement_id")
+    article = lambda n: F.concat(F.lit("第"), n.cast("string"), F.lit("條"))
+    basis = F.when(at % 4 == 0, F.concat(F.lit("依所得稅法"), article(at % 90 + 1), F.lit("規定，營業稅法"), article(at % 7 + 1))).when(at % 4 == 1, F.concat(F.lit("依所得稅法"), article(at % 90 + 2))).when(at % 4 == 2, "no law").otherwise(" ")
+    tax, scenario = F.when(at % 2 == 0, "綜合所得稅").otherwise("貨物稅"), F.concat(F.lit("sheet "), "requirement_id")
+    row = req.select(at.alias("row_no"), tax.alias("_tax"), scenario.alias("_scenario"), F.col("taxpayer_role").alias("_role"), F.concat(F.lit(" r"), "requirement_id").alias("rate"), F.lit("  ").alias("formula"), basis.alias("_policy_basis"))
+    again = row.where("row_no % 10 = 0").withColumns({"row_no": F.col("row_no") + 10_000_000, "rate": F.lit(""), "formula": F.lit("f"), "_policy_basis": F.lit(None).cast("string")})
+    return row.union(again).unpivot(["row_no"], ["_tax", "_scenario", "_role", "rate", "formula", "_policy_basis"], "field", "value")
+
+
+def _imported(spark: SparkSession, sf_dir: str):
+    """Half of the sheet's rows are there already, reviewed, with an old rate and citation."""
+    req, fields = bound(spark, sf_dir, "requirements"), bound(spark, sf_dir, "fields")
+    there = req.where("country = 'TW' and requirement_id % 8 < 4").withColumns({"tax_key": F.when(F.col("requirement_id") % 2 == 0, "tw_individual_income").otherwise("tw_commodity"), "scenario": F.concat(F.lit("sheet "), "requirement_id"), "status": F.lit("reviewed"), "notes": F.lit("old")})
+    req = req.join(there.select("requirement_id"), "requirement_id", "left_anti").unionByName(there)
+    cited = bound(spark, sf_dir, "cited").where("a % 2 = 0").select(F.concat(F.lit("所得稅法#"), "a").alias("node_key"))
+    return M.import_matrix(_sheet(spark, sf_dir), req, fields, "TW", cited, F.timestamp_seconds(F.lit(AS_OF)), "sheet of today ")
 
 
 def r1_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, fields = bound(spark, sf_dir, "requirements"), bound(spark, sf_dir, "fields")
-    new, cells = M.import_matrix(_sheet(spark, sf_dir), req, fields, "TW", "sheet of today")
-    imported = cells.where("review_reason = 'imported'").join(new.select("requirement_id", "tax_key", "scenario", "notes"), "requirement_id")
-    return imported.select("tax_key", "scenario", "notes", "field_key", "value", "confidence", "needs_review")
+    new, cells, _ = _imported(spark, sf_dir)
+    imported = cells.where("source = 'import' and confidence = 0 and review_reason <> ''").join(new.select("requirement_id", "tax_key", "scenario", "notes", "status", "last_seen_at"), "requirement_id")
+    keys = F.array_join(F.transform("citations", lambda c: F.concat(c["node_key"], F.lit("/"), c["quote"])), "|")
+    return imported.select("tax_key", "scenario", "notes", "status", F.unix_timestamp("last_seen_at").alias("seen"), "field_key", "value", "needs_review", "review_reason", keys.alias("citations"))
 
 
-R1_SQL = with_ctes("requirements") + """SELECT CASE WHEN requirement_id % 2 = 0 THEN 'tw_individual_income' ELSE 'tw_commodity' END AS tax_key, concat('sheet ', CAST(requirement_id AS VARCHAR)) AS scenario, 'sheet of today' AS notes, 'rate' AS field_key,
-  concat('r', CAST(requirement_id AS VARCHAR)) AS value, CAST(0 AS DOUBLE) AS confidence, true AS needs_review FROM requirements WHERE country = 'TW'"""
+_R1 = with_ctes("requirements", "cited") + """, s AS (SELECT requirement_id AS id, requirement_id % 90 + 1 AS x, requirement_id % 90 + 2 AS y FROM requirements WHERE country = 'TW'), h AS (SELECT DISTINCT a FROM cited WHERE a % 2 = 0),
+  b AS (SELECT id, CASE WHEN id % 4 = 0 AND x IN (SELECT a FROM h) THEN concat('所得稅法#', CAST(x AS VARCHAR), '/', '依所得稅法第', CAST(x AS VARCHAR), '條') WHEN id % 4 = 1 AND y IN (SELECT a FROM h) THEN concat('所得稅法#', CAST(y AS VARCHAR), '/', '依所得稅法第', CAST(y AS VARCHAR), '條') ELSE '' END AS c FROM s)"""
+R1_SQL = _R1 + f""" SELECT CASE WHEN id % 2 = 0 THEN 'tw_individual_income' ELSE 'tw_commodity' END AS tax_key, concat('sheet ', CAST(id AS VARCHAR)) AS scenario, CASE WHEN id % 8 < 4 THEN concat('old', chr(10), 'sheet of today') ELSE 'sheet of today' END AS notes, 'draft' AS status, {AS_OF} AS seen,
+  f AS field_key, CASE f WHEN 'rate' THEN concat('r', CAST(id AS VARCHAR)) ELSE 'f' END AS value, true AS needs_review, CASE WHEN f = 'rate' AND c <> '' THEN '{M.IMPORTED_CITED}' ELSE '{M.IMPORTED_UNCITED}' END AS review_reason, CASE f WHEN 'rate' THEN c ELSE '' END AS citations
+  FROM b CROSS JOIN (VALUES ('rate'), ('formula')) AS v(f) WHERE f = 'rate' OR id % 10 = 0"""
+
+
+def r1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _imported(spark, sf_dir)[2]
+
+
+R1B_SQL = _R1 + """ SELECT count(*) + count(*) FILTER (id % 10 = 0) AS rows, count(*) + count(*) FILTER (id % 10 = 0) AS cells, count(*) FILTER (c <> '') AS resolved,
+  CAST(sum(CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END) - count(*) FILTER (c <> '') AS BIGINT) AS unresolved FROM b"""
 
 
 def r2_policy_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,16 +208,23 @@ R7_SQL = with_ctes("flat_fields", "requirements") + "SELECT requirement_id, fiel
 
 
 def r8_apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of even rows are cleared, every other one with a new value."""
+    """Flags of even rows are cleared, every other one with a new value; rates
+    without a flag are confirmed by the same value in blanks, without clearing;
+    every seventh row has no flag at all."""
     fields, req = bound(spark, sf_dir, "fields"), bound(spark, sf_dir, "requirements")
-    d = fields.where("needs_review and requirement_id % 2 = 0").select("requirement_id", "field_key", F.when(F.col("requirement_id") % 4 == 0, F.concat("value", F.lit("!"))).alias("value"), F.lit(True).alias("clear_flag"))
-    new, rows = M.apply_reviews(fields, req, d)
-    counted = new.groupBy("requirement_id").agg(F.count_if(F.col("value").endswith("!")).alias("edited"), F.count_if(F.col("source") == "manual").alias("manual"), F.count_if("needs_review").alias("open"))
-    return rows.join(counted, "requirement_id").select("requirement_id", "status", "edited", "manual", "open")
+    fields = fields.withColumn("needs_review", F.col("needs_review") & (F.col("requirement_id") % 7 != 0))
+    key = ["requirement_id", "field_key"]
+    cleared = fields.where("needs_review and requirement_id % 2 = 0").select(*key, F.when(F.col("requirement_id") % 4 == 0, F.concat("value", F.lit("!"))).alias("value"), F.lit(True).alias("clear_flag"))
+    same = fields.where("not needs_review and requirement_id % 3 = 0 and field_key = 'rate'").select(*key, F.concat(F.lit(" "), "value", F.lit("\t")).alias("value"), F.lit(False).alias("clear_flag"))
+    new, rows = M.apply_reviews(fields, req, cleared.union(same))
+    counted = new.groupBy("requirement_id").agg(F.count_if(F.col("value").endswith("!")).alias("edited"), F.count_if(F.col("source") == "manual").alias("manual"), F.count_if("needs_review").alias("open"), F.max(F.length("value")).alias("longest"))
+    return rows.join(counted, "requirement_id").select("requirement_id", "status", "edited", "manual", "open", "longest")
 
 
-R8_SQL = with_ctes("flat_fields") + """SELECT requirement_id, CASE WHEN requirement_id % 2 = 0 AND count(*) FILTER (needs_review) > 0 THEN 'reviewed' ELSE 'draft' END AS status, count(*) FILTER (needs_review AND requirement_id % 4 = 0) AS edited,
-  count(*) FILTER (source = 'manual' OR (needs_review AND requirement_id % 4 = 0)) AS manual, count(*) FILTER (needs_review AND requirement_id % 2 = 1) AS open FROM flat_fields GROUP BY 1"""
+R8_SQL = with_ctes("flat_fields") + """, f AS (SELECT * EXCLUDE (needs_review), needs_review AND requirement_id % 7 <> 0 AS flagged FROM flat_fields),
+  g AS (SELECT *, flagged AND requirement_id % 2 = 0 AS a, NOT flagged AND requirement_id % 3 = 0 AND field_key = 'rate' AS b FROM f)
+  SELECT requirement_id, CASE WHEN count(*) FILTER (a OR b) > 0 AND count(*) FILTER (flagged AND NOT a) = 0 THEN 'reviewed' ELSE 'draft' END AS status, count(*) FILTER (a AND requirement_id % 4 = 0) AS edited,
+    count(*) FILTER (source = 'manual' OR b OR (a AND requirement_id % 4 = 0)) AS manual, count(*) FILTER (flagged AND NOT a) AS open, CAST(max(length(value) + CASE WHEN a AND requirement_id % 4 = 0 THEN 1 ELSE 0 END) AS INT) AS longest FROM g GROUP BY 1"""
 
 
 def r9_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,16 +315,20 @@ R14B_SQL = with_ctes("prov") + """SELECT snapshot_id AS document_id, CAST(sum(s)
 
 
 def r15_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenarios with the role echoed at their end in half of the rows."""
+    """Scenarios with the role echoed behind either separator, or with nothing before it."""
     req = bound(spark, sf_dir, "requirements")
-    echoed = F.when(F.col("requirement_id") % 2 == 0, F.concat("scenario", F.lit("，"), "taxpayer_role")).otherwise(F.col("scenario"))
+    kind = F.col("requirement_id") % 4
+    echoed = F.when(kind == 0, F.concat(F.lit(" "), "scenario", F.lit(" ｜"), "taxpayer_role")).when(kind == 1, F.concat("scenario", F.lit("|"), "taxpayer_role", F.lit("｜x")))
+    echoed = echoed.when(kind == 2, F.concat(F.lit("｜ "), "scenario")).otherwise(F.concat("scenario", F.lit("，"), "taxpayer_role"))
     rows = req.select("country", "tax_key", echoed.alias("scenario"), "taxpayer_role", F.col("source_document_id").alias("document_id"), F.lit(1).alias("batch_no"), F.col("requirement_id").alias("row_no"))
     return M.known_scenarios(rows, 60)
 
 
-R15_SQL = with_ctes("requirements") + """, f AS (SELECT country, tax_key, scenario, taxpayer_role AS role, min((source_document_id, requirement_id)) AS seq FROM requirements GROUP BY 1, 2, 3, 4),
+R15_SQL = with_ctes("requirements") + """, e AS (SELECT *, CASE requirement_id % 4 WHEN 0 THEN scenario WHEN 1 THEN concat(scenario, '|', taxpayer_role) WHEN 2 THEN concat('｜ ', scenario) ELSE concat(scenario, '，', taxpayer_role) END AS s FROM requirements),
+  f AS (SELECT country, tax_key, s AS scenario, taxpayer_role AS role, min((source_document_id, requirement_id)) AS seq FROM e GROUP BY 1, 2, 3, 4),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY country, tax_key ORDER BY seq, scenario, role) AS INT) AS pos, count(*) OVER (PARTITION BY country, tax_key) AS total FROM f) SELECT country, tax_key, pos, scenario, role, greatest(total - 60, 0) AS others FROM r WHERE pos <= 60"""
 
+
 def r11_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sixth row has a value that no vocabulary knows, every fifth lacks one."""
     rows = _dimensioned(spark, sf_dir)
@@ -342,13 +381,13 @@ R14E_SQL = with_ctes("docs") + "SELECT doc_type, count(*) AS documents FROM docs
 
 QUERIES = {
     "r11_gaps": r11_gaps, "r11_preview": r11_preview, "r12_scenarios": r12_scenarios, "r14_rates": r14_rates, "r14_view": r14_view, "r14_doc_types": r14_doc_types,
-    "c18_validate": c18_validate, "c19_backfill": c19_backfill, "c20_migrate": c20_migrate, "c21_map_headers": c21_map_headers, "c21_problems": c21_problems, "r1_import": r1_import, "r2_policy_basis": r2_policy_basis, "r3_stale_cells": r3_stale_cells,
+    "c18_validate": c18_validate, "c19_backfill": c19_backfill, "c20_migrate": c20_migrate, "c21_map_headers": c21_map_headers, "c21_problems": c21_problems, "r1_import": r1_import, "r1_counts": r1_counts, "r2_policy_basis": r2_policy_basis, "r3_stale_cells": r3_stale_cells,
     "r3_flag_stale": r3_flag_stale, "r4_affected": r4_affected, "r5_list": r5_list, "r6_detail": r6_detail, "r7_review_queue": r7_review_queue, "r8_apply_reviews": r8_apply_reviews, "r9_merge": r9_merge, "r10_pack": r10_pack, "r11_coverage": r11_coverage,
     "r11_unused": r11_unused, "r12_profile": r12_profile, "r13_mismatches": r13_mismatches, "r14_terms": r14_terms, "r14_sizes": r14_sizes, "r15_scenarios": r15_scenarios,
 }
 ORACLES = {
     "r11_preview": R11D_SQL, "r12_scenarios": R12B_SQL, "r14_rates": R14C_SQL, "r14_view": R14D_SQL, "r14_doc_types": R14E_SQL,
-    "c18_validate": C18_SQL, "c19_backfill": C19_SQL, "c20_migrate": C20_SQL, "c21_map_headers": C21_SQL, "c21_problems": C21B_SQL, "r1_import": R1_SQL, "r2_policy_basis": R2_SQL, "r3_stale_cells": R3_SQL, "r3_flag_stale": R3B_SQL, "r4_affected": R4_SQL,
+    "c18_validate": C18_SQL, "c19_backfill": C19_SQL, "c20_migrate": C20_SQL, "c21_map_headers": C21_SQL, "c21_problems": C21B_SQL, "r1_import": R1_SQL, "r1_counts": R1B_SQL, "r2_policy_basis": R2_SQL, "r3_stale_cells": R3_SQL, "r3_flag_stale": R3B_SQL, "r4_affected": R4_SQL,
     "r5_list": R5_SQL, "r6_detail": R6_SQL, "r7_review_queue": R7_SQL, "r8_apply_reviews": R8_SQL, "r9_merge": R9_SQL, "r10_pack": R10_SQL, "r11_coverage": R11_SQL, "r11_unused": R11B_SQL, "r12_profile": R12_SQL, "r13_mismatches": R13_SQL,
     "r14_terms": R14_SQL, "r14_sizes": R14B_SQL, "r15_scenarios": R15_SQL,
 }

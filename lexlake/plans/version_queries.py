@@ -131,17 +131,18 @@ V10_SQL = with_ctes("snaps") + f""", s AS (SELECT *, coalesce(issued_at, fetched
 
 
 def v11_diff_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth day apart, for each of the documents' requests of one order in fifty."""
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("document_id"))
-    at = lambda k: F.timestamp_seconds(F.lit(DAY0) + (F.col("i") - k) * 10 * 86_400)
-    rows = rows.select("document_id", F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("i"))
-    rows = rows.select((F.col("document_id") * 100 + F.col("i") + 50).alias("request_id"), "document_id", at(1).alias("day_from"), at(0).alias("day_to"))
+    """For each snapshot two requests of its document: the day it was fetched
+    against ten days before, and a day before all against it."""
+    snaps, k = bound(spark, sf_dir, "snaps"), F.col("snapshot_id")
+    rows = snaps.select("document_id", k, F.explode(F.array(F.lit(10), F.lit(1000))).alias("back"))
+    at = lambda days: F.timestamp_seconds(F.lit(DAY0) + F.expr("snapshot_id DIV 24") * 86_400 - days * 86_400)
+    rows = rows.select((k * 2 + (F.col("back") == 10).cast("int")).alias("request_id"), "document_id", at(F.col("back")).alias("day_from"), at(F.lit(0)).alias("day_to"))
     prov = bound(spark, sf_dir, "prov").withColumn("node_key", F.col("heading"))
-    return V.diff_between(rows, bound(spark, sf_dir, "snaps"), prov, threshold=None)
+    return V.diff_between(rows, snaps, prov, threshold=None)
 
 
-V11_SQL = with_ctes("snaps", "prov") + f""", s AS (SELECT *, coalesce(issued_at, fetched_at) AS dated FROM snaps), r AS (SELECT CAST(n_nationkey AS BIGINT) AS document_id, i, CAST(n_nationkey AS BIGINT) * 100 + i + 50 AS request_id FROM nation CROSS JOIN (SELECT unnest(generate_series(-10, 10)) AS i) g),
-  x AS (SELECT r.request_id, w.k, s.snapshot_id, row_number() OVER (PARTITION BY r.request_id, w.k ORDER BY s.dated DESC, s.snapshot_id DESC) AS n FROM r CROSS JOIN (VALUES (0), (1)) AS w(k) JOIN s ON s.document_id = r.document_id AND s.dated < {DUCK.ts(f"{DAY0} + (r.i - w.k) * 10 * 86400")} + INTERVAL 1 DAY),
+V11_SQL = with_ctes("snaps", "prov") + f""", s AS (SELECT *, coalesce(issued_at, fetched_at) AS dated FROM snaps), r AS (SELECT document_id, snapshot_id // 24 AS i, back, snapshot_id * 2 + CASE back WHEN 10 THEN 1 ELSE 0 END AS request_id FROM snaps CROSS JOIN (VALUES (10), (1000)) AS b(back)),
+  x AS (SELECT r.request_id, w.k, s.snapshot_id, row_number() OVER (PARTITION BY r.request_id, w.k ORDER BY s.dated DESC, s.snapshot_id DESC) AS n FROM r CROSS JOIN (VALUES (0), (1)) AS w(k) JOIN s ON s.document_id = r.document_id AND s.dated < {DUCK.ts(f"{DAY0} + r.i * 86400 - w.k * r.back * 86400")} + INTERVAL 1 DAY),
   p AS (SELECT r.request_id, a.snapshot_id AS f, b.snapshot_id AS t FROM r LEFT JOIN x a ON a.request_id = r.request_id AND a.k = 1 AND a.n = 1 LEFT JOIN x b ON b.request_id = r.request_id AND b.k = 0 AND b.n = 1),
   o AS (SELECT p.request_id, v.heading, v.text FROM p JOIN prov v ON v.snapshot_id = p.f WHERE p.f <> p.t), n AS (SELECT p.request_id, v.heading, v.text FROM p JOIN prov v ON v.snapshot_id = p.t WHERE p.f <> p.t),
   c AS (SELECT coalesce(o.request_id, n.request_id) AS request_id, count(*) FILTER (o.request_id IS NULL) AS added, count(*) FILTER (n.request_id IS NULL) AS removed, count(*) FILTER (o.text <> n.text) AS modified FROM o FULL JOIN n ON o.request_id = n.request_id AND o.heading = n.heading GROUP BY 1)
@@ -167,28 +168,34 @@ V13_SQL = with_ctes("docs") + "SELECT document_id, doc_type FROM docs WHERE coun
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids, titles, bracketed names, fragments and nonsense."""
+    """Ids, titles, bracketed names, fragments, a law of which only the
+    implementing rules are stored, an id in blanks, a part of many names, nonsense."""
     docs = bound(spark, sf_dir, "docs")
     kind = F.col("document_id") % 5
-    text = F.when(kind == 0, F.col("external_id")).when(kind == 1, F.col("title")).when(kind == 2, F.concat(F.lit("《"), F.col("title"), F.lit("》"))).when(kind == 3, F.substring("title", 3, 6)).otherwise("no such law")
+    text = F.when(kind == 0, F.col("external_id")).when(kind == 1, F.col("title")).when(kind == 2, F.concat(F.lit("《"), F.col("title"), F.lit("》"))).when(kind == 3, F.substring("title", 3, 6))
+    other = F.element_at(F.array(F.lit("环境保护税法"), F.concat("external_id", F.lit(" ")), F.lit("税法"), F.lit("no such law")), (F.col("document_id") % 4 + 1).cast("int"))
+    text = text.otherwise(other)
     return docs.select(F.col("document_id").alias("query_id"), text.alias("query"))
 
 
 def v14_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.resolve_documents(_asked(spark, sf_dir), bound(spark, sf_dir, "docs"))
+    found = V.resolve_documents(_asked(spark, sf_dir), bound(spark, sf_dir, "docs"))
+    return found.withColumn("children", F.array_join("children", "/"))
 
 
 _NORM = r"regexp_replace(regexp_replace(regexp_replace({}, '\s', '', 'g'), '[《》]', '', 'g'), '^中华人民共和国', '')"
-_ASK = "q AS (SELECT document_id AS query_id, CASE document_id % 5 WHEN 0 THEN external_id WHEN 1 THEN title WHEN 2 THEN concat('《', title, '》') WHEN 3 THEN substr(title, 3, 6) ELSE 'no such law' END AS query FROM docs)"
+_ASK = "q AS (SELECT document_id AS query_id, CASE document_id % 5 WHEN 0 THEN external_id WHEN 1 THEN title WHEN 2 THEN concat('《', title, '》') WHEN 3 THEN substr(title, 3, 6) ELSE CASE document_id % 4 WHEN 0 THEN '环境保护税法' WHEN 1 THEN concat(external_id, ' ') WHEN 2 THEN '税法' ELSE 'no such law' END END AS query FROM docs)"
 
 
 V14_SQL = with_ctes("docs") + f""", {_ASK}, k AS (SELECT document_id, external_id, title, {_NORM.format("title")} AS k FROM docs), w AS (SELECT query_id, query, {_NORM.format("query")} AS w FROM q),
-  p1 AS (SELECT k, {_PARENT_SQL} AS u FROM (SELECT DISTINCT k FROM k) a), p2 AS (SELECT top, u AS p, {_PARENT_SQL} AS pp FROM (SELECT k AS top, u, u AS k FROM p1) b),
+  p1 AS (SELECT k AS top, {_PARENT_SQL} AS u1 FROM (SELECT DISTINCT k FROM k) x), p2 AS (SELECT top, u1, {_PARENT_SQL} AS u2 FROM (SELECT *, u1 AS k FROM p1) x), p3 AS (SELECT top, u1, u2, {_PARENT_SQL} AS u3 FROM (SELECT *, u2 AS k FROM p2) x),
+  p4 AS (SELECT top, u1, u2, u3, {_PARENT_SQL} AS u4 FROM (SELECT *, u3 AS k FROM p3) x),
   a1 AS (SELECT w.query_id, min(k.document_id) AS d FROM w JOIN k ON k.external_id = w.query GROUP BY 1), a2 AS (SELECT w.query_id, min(k.document_id) AS d FROM w JOIN k ON k.title = w.query GROUP BY 1), a3 AS (SELECT w.query_id, min(k.document_id) AS d FROM w JOIN k ON k.k = w.w GROUP BY 1 HAVING count(*) = 1),
-  h AS (SELECT w.query_id, w.w, k.k, k.document_id, p2.p, p2.pp FROM w JOIN k ON contains(k.k, w.w) JOIN p2 ON p2.top = k.k WHERE w.w <> '' AND w.query_id NOT IN (SELECT query_id FROM a1 UNION SELECT query_id FROM a2 UNION SELECT query_id FROM a3)),
-  t AS (SELECT query_id, min(document_id) AS d FROM h WHERE coalesce(p <> w, true) AND coalesce(pp <> w, true) GROUP BY 1 HAVING count(DISTINCT k) = 1), c AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1)
-  SELECT w.query_id, CASE WHEN a1.d IS NOT NULL THEN 'external_id' WHEN a2.d IS NOT NULL THEN 'title' WHEN a3.d IS NOT NULL THEN 'name' WHEN t.d IS NOT NULL THEN 'substring' WHEN c.n > 0 THEN 'ambiguous' ELSE 'not_found' END AS status, coalesce(a1.d, a2.d, a3.d, t.d) AS document_id, coalesce(c.n, 0) AS candidates
-  FROM w LEFT JOIN a1 USING (query_id) LEFT JOIN a2 USING (query_id) LEFT JOIN a3 USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN c USING (query_id)"""
+  h AS (SELECT w.query_id, k.document_id, k.title, coalesce(u1 = w.w, false) OR coalesce(u2 = w.w, false) OR coalesce(u3 = w.w, false) OR coalesce(u4 = w.w, false) AS child FROM w JOIN k ON contains(k.k, w.w) JOIN p4 ON p4.top = k.k WHERE w.w <> '' AND w.query_id NOT IN (SELECT query_id FROM a1 UNION SELECT query_id FROM a2 UNION SELECT query_id FROM a3)),
+  c AS (SELECT query_id, count(*) AS n, min(document_id) AS d, bool_and(child) AS missing, string_agg(DISTINCT title, '/' ORDER BY title) AS children FROM h GROUP BY 1)
+  SELECT w.query_id, CASE WHEN a1.d IS NOT NULL THEN 'external_id' WHEN a2.d IS NOT NULL THEN 'title' WHEN a3.d IS NOT NULL THEN 'name' WHEN c.missing THEN 'parent_missing' WHEN c.n = 1 THEN 'substring' WHEN c.n > 1 THEN 'ambiguous' ELSE 'not_found' END AS status,
+    coalesce(a1.d, a2.d, a3.d, CASE WHEN NOT c.missing AND c.n = 1 THEN c.d END) AS document_id, coalesce(c.n, 0) AS candidates, CASE WHEN c.missing THEN c.children ELSE '' END AS children
+  FROM w LEFT JOIN a1 USING (query_id) LEFT JOIN a2 USING (query_id) LEFT JOIN a3 USING (query_id) LEFT JOIN c USING (query_id)"""
 
 
 def v15_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,16 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexlake.functions.docnum import docnum_first
 from lexlake.functions.markup import parse
 from lexlake.functions.text import doc_type, parse_date, pcode, to_https, url_doc_id
+from lexlake.shared import shared_dir
 
 _LAWS = "struct<Laws:array<struct<LawLevel:string,LawName:string,LawURL:string,LawModifiedDate:string,LawAbandonNote:string,LawHistories:string,LawArticles:array<struct<ArticleType:string,ArticleNo:string,ArticleContent:string>>>>>"
 
@@ -48,20 +50,36 @@ def tw_law_refs(texts: DataFrame, pcodes: DataFrame, source_key: str = "tw_moj_l
     )
 
 
+def _first_of_both(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows that, by seq, have neither value of a row kept before them.
+
+    In a round the rows that come first for both their values are kept and all
+    that share a value with them go; so no order needs one task."""
+    shared_dir(rows.sparkSession)
+    left = rows.withColumn("__at", F.struct("seq", a, b)).dropDuplicates(["__at"]).checkpoint(eager=True)
+    kept = []
+    while True:
+        first = lambda c: left.groupBy(c).agg(F.min("__at").alias(f"__{c}"))  # noqa: B023, E731
+        now = left.join(first(a), a).join(first(b), b).where(F.col("__at").eqNullSafe(F.col(f"__{a}")) & F.col("__at").eqNullSafe(F.col(f"__{b}")))
+        now = now.select(*left.columns).checkpoint(eager=True)
+        if now.isEmpty():
+            return reduce(DataFrame.union, kept or [now]).drop("__at")
+        kept.append(now)
+        left = left.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti").select(*left.columns).checkpoint(eager=True)
+
+
 def policy_refs(entries: DataFrame, since: Column | None = None, keywords: list[str] | None = None, source_key: str = "cn_chinatax") -> DataFrame:
     """S3. Result entries (seq, title, url, pubDate, label, indexno) → refs. Blank
     titles and addresses go; the id is the title's number, else the index
-    number, else the address's id, else the title's first 80 characters; each
-    address and each id counts once, the first by seq."""
+    number, else the address's id, else the title's first 80 characters. By seq, a
+    row counts unless one that counts has its address or id already."""
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
     rows = entries.select("seq", blank("title").alias("title"), to_https(blank("url")).alias("url"), parse_date(F.col("pubDate"), "api").alias("issued_at"), F.coalesce("label", F.lit("")).alias("label"), "indexno")
     rows = rows.where("title is not null and url is not null")
     rows = rows.where(F.col("issued_at").isNull() | (F.col("issued_at") >= since)) if since is not None else rows
     rows = rows.where(F.col("title").rlike("|".join(map(re.escape, keywords)))) if keywords else rows
     key = F.coalesce(docnum_first(F.col("title")), blank("indexno"), url_doc_id(F.col("url")), F.substring("title", 1, 80))
-    rows = rows.withColumn("external_id", key)
-    for by in ("url", "external_id"):
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("seq"))).where("r = 1").drop("r")
+    rows = _first_of_both(rows.withColumn("external_id", key), "url", "external_id")
     return rows.select(F.lit(source_key).alias("source_key"), "external_id", "title", doc_type(F.col("title"), F.col("label")).alias("doc_type"), "url", "issued_at")
 
 
