@@ -37,6 +37,8 @@ UNDETERMINED = "und"
 _BITS = 1 << 25
 #: Bytes of text whose phrases are counted together in a task.
 _SLICE_BYTES = 8 << 20
+#: Phrases of a batch that is sent.
+_SEND = 50_000
 #: The first threshold lets in so many times ``top`` phrases; each later one more.
 _FIRST, _MORE = 4, 8
 _MIX = np.random.default_rng(13).integers(0, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,15 +81,16 @@ class Slice:
             self._hashes.append(_joined(before[:n], one[len(one) - n :]))
         return self._hashes[k - 1]
 
-    def counts(self, k: int, wanted: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """The distinct phrases of k words at the wanted places, and how often."""
+    def counts(self, k: int, wanted: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The distinct phrases of k words at the wanted places, and how often, some at a time."""
         at = np.flatnonzero(wanted)
         key = self.ids[at]
         for i in range(1, k):  # pairs of numbers are numbered again, so keys stay exact
             _, key = np.unique(key * len(self.words) + self.ids[at + i], return_inverse=True)
         _, first, n = np.unique(key, return_index=True, return_counts=True)
-        rows = self.ids[at[first][:, None] + np.arange(k)].tolist()
-        return [b" ".join([self.words[i] for i in row]).decode() for row in rows], n
+        for lo in range(0, len(first), _SEND):
+            rows = self.ids[at[first[lo : lo + _SEND]][:, None] + np.arange(k)].tolist()
+            yield [b" ".join([self.words[i] for i in row]).decode() for row in rows], n[lo : lo + _SEND]
 
 
 def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -150,9 +153,9 @@ def _counted(docs: DataFrame, wanted: Callable[[Slice], Iterator[tuple[int, np.n
             part = Slice(lang, held.pop(lang))
             size.pop(lang)
             for k, at in wanted(part):
-                phrases, n = part.counts(k, at)
-                columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, dtype=np.int32)), pa.array(phrases, pa.string()), pa.array(n, pa.int64())]
-                yield pa.record_batch(columns, names=["lang", "k", "phrase", "f"])
+                for phrases, n in part.counts(k, at):
+                    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, dtype=np.int32)), pa.array(phrases, pa.string()), pa.array(n, pa.int64())]
+                    yield pa.record_batch(columns, names=["lang", "k", "phrase", "f"])
 
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
