@@ -46,6 +46,9 @@ _PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("word", "nu
 _CACHE_WORDS = 600_000
 #: Plain words that a window has at least. Items of as many tokens are looked for.
 LEAST_WORDS = 4
+#: Tokens that an item without any such window has at least: its own words, numbers
+#: and names are then looked for as they stand.
+LEAST_EXACT = 3
 _WINDOWS = "text_hash long, pos int, size int, n_windows int, h long, slots array<string>"
 
 
@@ -114,26 +117,44 @@ class Templates:
         self.length = np.bincount(self.row, minlength=len(texts))
         self.first = np.cumsum(self.length) - self.length
         self._plain = np.concatenate([[0], np.cumsum(self.kind == _WORD)])
+        #: The tokens as they stand: hashes, texts, where a text's begin, how many it has.
+        self.exact = np.frombuffer(vocabulary.hashes, dtype=np.uint64)[self._ids] if len(ids) else np.zeros(0, dtype=np.uint64)
+        self.exact_row = row
+        self.exact_length = np.bincount(row, minlength=len(texts))
+        self.exact_first = np.cumsum(self.exact_length) - self.exact_length
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the windows of that size with enough plain words begin, and their hashes."""
         if not LEAST_WORDS <= size <= len(self.each):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        total = np.zeros(len(self.each) - size + 1, dtype=np.uint64)
-        for k in range(size):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + self.each[k : k + len(total)]
-        total ^= total >> np.uint64(31)
-        total *= np.uint64(0xD6E8FEB86659FD93)
-        within = self.row[: len(total)] == self.row[size - 1 :]
+        within, total = _hashed(self.each, self.row, size)
         at = np.flatnonzero(within & (self._plain[size:] - self._plain[: len(total)] >= LEAST_WORDS))
         return at, total[at]
 
+    def exact_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of that many tokens as they stand begin, and their hashes."""
+        if size > len(self.exact):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        within, total = _hashed(self.exact, self.exact_row, size)
+        at = np.flatnonzero(within)
+        return at, total[at]
+
     def slots(self, at: int, size: int) -> list[str]:
         """Values of the placeholders in a window."""
         found = (i for i in range(at, at + size) if self.kind[i] != _WORD)
         return [" ".join(self._names[w] for w in self._ids[self._start[i] : self._stop[i]].tolist()).lower() for i in found]
 
 
+def _hashed(each: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a window lies in one text, and its hash, for each place."""
+    total = np.zeros(len(each) - size + 1, dtype=np.uint64)
+    for k in range(size):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(total)]
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    return row[: len(total)] == row[size - 1 :], total
+
+
 def _changes(row: np.ndarray) -> np.ndarray:
     """The first of each run of equal values."""
     out = np.ones(len(row), dtype=bool)
@@ -144,8 +165,10 @@ def _changes(row: np.ndarray) -> np.ndarray:
 def _windows(keep: bytes | None, sizes: list[int]):
     """Windows of each row (item, text_hash, text) that have enough plain words;
     ``n_windows`` counts them. Benchmark texts (``keep`` is None) have windows of
-    WINDOW tokens, shorter ones a window of their own length. Documents have
-    windows of all ``sizes``, if their hash is in the filter."""
+    WINDOW tokens, shorter ones a window of their own length; those without a
+    window of enough plain words have windows of their tokens as they stand,
+    marked by a negative size and without slots. Documents have windows of all
+    ``sizes``, if their hash is in the filter."""
     names = ("item", "text_hash", "pos", "size", "n_windows", "h", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +180,36 @@ def _windows(keep: bytes | None, sizes: list[int]):
                     vocabulary = Vocabulary()
                 read = Templates(vocabulary, texts)
                 rows, places, lengths, hashes, slots = [], [], [], [], []
-                for size in sizes or range(LEAST_WORDS, WINDOW + 1):
+                whole_sizes = [z for z in sizes if z > 0] if sizes else range(LEAST_WORDS, WINDOW + 1)
+                exact_sizes = [-z for z in sizes if z < 0] if sizes else range(LEAST_EXACT, WINDOW + 1)
+
+                def filtered(h: np.ndarray) -> np.ndarray:
+                    slot = h % np.uint64(FILTER_BITS)
+                    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) == 1
+
+                for size in whole_sizes:
                     at, h = read.windows(size)
-                    if bits is None:
-                        own = np.minimum(read.length[read.row[at]], WINDOW) == size
-                    else:
-                        slot = h % np.uint64(FILTER_BITS)
-                        own = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) == 1
+                    own = np.minimum(read.length[read.row[at]], WINDOW) == size if bits is None else filtered(h)
                     at, h = at[own], h[own]
                     rows.append(read.row[at])
                     places.append(at - read.first[read.row[at]])
                     lengths.append(np.full(len(at), size))
                     hashes.append(h)
                     slots += [read.slots(i, size) for i in at.tolist()]
+                bare = np.ones(hi - lo, dtype=bool)
+                bare[np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64)] = False
+                for size in exact_sizes:
+                    at, h = read.exact_windows(size)
+                    mine = read.exact_row[at]
+                    own = bare[mine] & (np.minimum(read.exact_length[mine], WINDOW) == size) if bits is None else filtered(h)
+                    at, h, mine = at[own], h[own], mine[own]
+                    rows.append(mine)
+                    places.append(at - read.exact_first[mine])
+                    lengths.append(np.full(len(at), -size))
+                    hashes.append(h)
+                    slots += [[] for _ in range(len(at))]
+                if not rows:
+                    continue
                 row, place, length, h = map(np.concatenate, (rows, places, lengths, hashes))
                 n_windows = np.bincount(row, minlength=hi - lo)[row]
                 ids, text_hash = (batch.column(k).take(pa.array(row + lo)) for k in (0, 1))
@@ -186,10 +226,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``n_windows`` counts the item's windows that can be found: those of at least
     four plain words, by their place in the item. A place is found if a window of
-    any occurrence has consistent slots.
+    any occurrence has consistent slots. An item without any such window (short
+    sums, lists of names and numbers) is looked for by windows of its tokens as
+    they stand, numbers and names included.
 
-    Whole texts are read. Null texts and texts under four tokens match nothing.
-    Items of four to seven tokens have one window, of their own length. Repeated
+    Whole texts are read. Null texts and texts under three tokens match nothing.
+    Items of up to seven tokens have one window, of their own length. Repeated
     rows count as one document; different texts of one id are documents of their
     own, as are those of a null id. Of several texts of one item the one with the
     largest share counts; rows with a null item are left out. A number, name or

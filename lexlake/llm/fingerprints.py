@@ -81,7 +81,12 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def lexicon(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The terms in the band, counted over all documents, in order of their hashes."""
+    """The terms in the band, counted over all documents, in order of their hashes.
+
+    Rows are documents: repeated ones and null or empty texts (without terms) count
+    in their number. Terms at either end of the band belong to it. Of an empty
+    table the lexicon is empty.
+    """
     short_batches(docs.sparkSession)
     n_docs = docs.count()
     counts = docs.select(text_col).mapInArrow(_document_frequencies, "term string, df long")

@@ -99,7 +99,8 @@ TEXTS = [
         of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute
         it freely, subject to the following restrictions"""),
 ]
-#: Highest-IDF licence words that a file looks up in the texts' index.
+#: Highest-IDF words that a file and a text share and that the file looks up in the
+#: texts' index, for each text that it can hold.
 FILE_WORDS = 32
 #: Different words of these that must agree on a start, within so many words.
 LEAST_VOTES, SLACK = 8, 8
@@ -160,7 +161,7 @@ class TextIndex:
         self.shares = {w: np.array([one.weights.get(w, 0.0) / max(sum(one.weights.values()), 1e-300) for one in self.licences]) for w in held}
 
     def starts(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(template, start) where enough of the file's rarest licence words agree."""
+        """(template, start) where enough of the rarest words of a text agree."""
         present = self.postings.keys() & set(words)
         if len(present) < LEAST_VOTES:
             return []
@@ -168,16 +169,19 @@ class TextIndex:
         possible = np.sum([self.shares[w] for w in present], axis=0) >= LEAST_COVER - 1e-9
         if not possible.any():
             return []
-        rarest = dict.fromkeys(sorted(present, key=lambda w: (-self.idf[w], w))[:FILE_WORDS])
-        at: dict[bytes, list[int]] = {w: [] for w in rarest}
+        # Each text is looked up by its own rarest words, so that long ones leave room for short ones.
+        by_rarity = sorted(present, key=lambda w: (-self.idf[w], w))
+        asked = {t: [w for w in by_rarity if w in self.licences[t].weights][:FILE_WORDS] for t in np.flatnonzero(possible).tolist()}
+        at: dict[bytes, list[int]] = {w: [] for mine in asked.values() for w in mine}
         for p, w in enumerate(words):
             if w in at:
                 at[w].append(p)
         votes = []
-        for w, p in at.items():
-            template, q = self.postings[w][:, possible[self.postings[w][0]]]
-            bucket = (np.array(p)[:, None] - q[None, :] + (1 << 20)) // SLACK  # starts may lie before the file
-            votes.append(np.unique(bucket * len(self.licences) + template[None, :]))
+        for t, mine in asked.items():
+            for w in mine:
+                template, q = self.postings[w]
+                bucket = (np.array(at[w])[:, None] - q[None, template == t] + (1 << 20)) // SLACK  # starts may lie before the file
+                votes.append(np.unique(bucket * len(self.licences) + t))
         bucket, n = np.unique(np.concatenate(votes), return_counts=True)
         # A start may be split between two neighbouring buckets.
         after = np.searchsorted(bucket, bucket + len(self.licences))
@@ -209,7 +213,12 @@ class TextIndex:
 
 
 def licence_idf(docs: DataFrame, text_col: str = "text") -> dict[bytes, float]:
-    """IDF over all files of the templates' words: as many as these have."""
+    """IDF over all files of the templates' words: as many as these have.
+
+    Rows are files: repeated ones and null or empty texts (without words) count in
+    their number. In an empty table every word has IDF 0, as has one that all
+    files hold.
+    """
     vocabulary = {w for t in templates() for w in t.words} | {w for _, _, text in TEXTS for w in words_of(text)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +249,11 @@ def scan_licences(docs: DataFrame, idf: dict[bytes, float], id_col: str = "doc_i
     """Per row: id, n_words, places (array of start, end, label, base in words),
     score (share of the file's licence-word IDF that its verified places cover).
 
-    Null and empty texts have no words, no places and score 0. Each row is
-    scanned from its whole text alone; repeated rows repeat; an empty table
-    stays empty; other columns are ignored.
+    Null and empty texts have no words, no places and score 0. Places come by
+    start, end, label; different templates may share a place, and each counts; a
+    text counts once where several starts fit it, the first. Each row is scanned
+    from its whole text alone; repeated rows repeat; an empty table stays empty;
+    other columns are ignored.
     """
     short_batches(docs.sparkSession)
     known = templates(idf)

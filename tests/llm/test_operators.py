@@ -269,6 +269,31 @@ def test_op6_finds_whole_texts(spark, table):
     assert sum(p["label"] == "mit" and p["end"] - p["start"] > 50 for p in rows[len(texts) - 1]["places"]) == 2
 
 
+def test_op6_finds_many_texts_in_a_file(spark, table):
+    """Three to nine licence texts a file, in any order, beside prose: none crowds out another."""
+    rng, prose = random.Random(16), [r["text"] for r in queries.documents(spark, table).where("doc_id < 60").collect()]
+    texts = list(prose)
+    for n in [3, 4, 5, 6, 7, 8, 9] * 4 + [9]:
+        parts = [text for _, _, text in rng.sample(license_scan.TEXTS, n)]
+        texts.append("\n".join(x for part in parts for x in (rng.choice(prose)[:300], part)))
+    texts.append(" ".join(text for _, _, text in license_scan.TEXTS))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = license_scan.licence_idf(docs)
+    rows = {r["doc_id"]: r for r in license_scan.scan_licences(docs, idf).collect()}
+    known = license_scan.templates(idf)
+    for i, text in enumerate(texts):
+        words = license_scan.words_of(text)
+        phrases = {t.label for t in known for k in range(len(words)) if tuple(words[k : k + len(t.words)]) == t.words}
+        found = [(p["start"], p["end"]) for p in rows[i]["places"]]
+        assert {p["label"] for p in rows[i]["places"]} == phrases | _texts_in(words, idf), i
+        # The score is the share of the licence words' weight within the places.
+        weight = lambda at: sum(idf[words[k]] for k in at if words[k] in idf)  # noqa: B023, E731
+        whole = weight(range(len(words)))
+        want = weight({k for a, b in found for k in range(a, b)}) / whole if found and whole > 0 else float(bool(found))
+        assert rows[i]["score"] == pytest.approx(min(1.0, want))
+    assert len({p["label"] for p in rows[len(texts) - 1]["places"]} & {label for label, _, _ in license_scan.TEXTS}) == len({label for label, _, _ in license_scan.TEXTS})
+
+
 def test_op7_equals_the_library(spark, table, docs):
     lib = Tokenizer.from_file(queries.BYTE_BPE)
     start, want = 0, Counter()
@@ -618,6 +643,32 @@ def _contamination(text, item):
     return len(ok), len(starts), all(ok.values())
 
 
+def test_op4_finds_sums_and_names(spark):
+    """Items without four plain words in a window are found as they stand, and only so."""
+    items = ["What is 7 × 8?", "Who wrote Hamlet?", "What is 12 + 5 * 3?", "Tom gave Ann 3 kg, Bob 4 kg, Sue 5 kg.", "2+2", "Compute 3 + 4 + 5 + 6 + 7 + 8 + 9 + 10 + 11", "Who wrote the famous play about the prince of Denmark?"]
+    benchmark = spark.createDataFrame([*enumerate(items), (0, "What is 7 × 8?"), (50, None)], "item_id long, text string")
+    rng = random.Random(14)
+    filler = lambda: " ".join(rng.choice(["the", "cat", "7", "8", "is", "what", "Bob", "kg", "3", "Hamlet", "wrote"]) for _ in range(25))
+    texts = [f"{filler()}. {item} {filler()}" for item in items] + [filler() for _ in range(40)]
+    texts += ["what IS 7 - 8", "What is 8 × 7?", "What is 7 × 9?", "who wrote hamlet", "Who wrote Macbeth?", "Tom gave Ann 3 kg, Bob 4 kg, Sue 6 kg.", "Compute 3 + 4 + 5 + 6 + 7 + 8 + 9", "", None, "7 8", "Who wrote the famous play about the prince of Verona?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = lambda t: re.findall(r"[^\W_]+(?:[.,]\d+)*", (t or "").lower())
+    want = set()
+    for i, item in enumerate(items[:6]):
+        own = tokens(item)
+        size = min(8, len(own))
+        places = {tuple(own[k : k + size]): k for k in range(len(own) - size + 1)}
+        for d, text in enumerate(texts):
+            held = {tuple(tokens(text)[k : k + size]) for k in range(len(tokens(text)) - size + 1)}
+            found = sum(p in held for p in (tuple(own[k : k + size]) for k in range(len(own) - size + 1)))
+            if size >= decontamination.LEAST_EXACT and found >= 0.5 * (len(own) - size + 1) and places:
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert {x for x in got if x[1] < 6} == want and (6, 6) in got
+    assert {(0, 0), (1, 1), (2, 2), (3, 3), (5, 5)} <= want and not {x for x in want if x[1] == 4}
+    assert len(items) + 40 not in {d for d, i in want if i != 0}
+
+
 def test_op4_equals_brute_force(spark, table):
     rng = random.Random(4)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{table}/benchmark.parquet").collect()][:20]
