@@ -27,7 +27,9 @@ def load_corpus(rows: DataFrame, corpus_key: str, version: str, base_url: str) -
         raise ValueError(f"the corpus has no title column: {rows.columns}")
     clean = lambda c: F.trim(F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "﻿", "")) if c in rows.columns else F.lit("")
     rows = rows.select(*[clean(c).alias(c) for c in COLUMNS]).where("title <> ''")
-    number = F.when(F.col("document_number") != "", norm_docnum(F.col("document_number"))).otherwise(F.coalesce(docnum_first(F.col("title")), F.lit("")))
+    # Only titles that can hold a needed number go through Python.
+    asked = F.when((F.col("document_number") == "") & F.contains("title", F.lit("号")), F.col("title"))
+    number = F.when(F.col("document_number") != "", norm_docnum(F.col("document_number"))).otherwise(F.coalesce(docnum_first(asked), F.lit("")))
     keys, inferred = parse_tax_keys(F.col("tax_type")), classify_tax(F.col("title"), F.lit("CN"))
     none = F.array().cast("array<string>")
     return rows.select(

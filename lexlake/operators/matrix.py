@@ -20,6 +20,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from lexlake import refdata as R
 from lexlake.functions.citations import extract_citations
 from lexlake.functions.text import classify_tax, norm_key
+from lexlake.operators import timeline
+from lexlake.shared import shared_dir
 
 CITATIONS = "array<struct<node_key:string,quote:string>>"
 QUOTE_LENGTH = 30
@@ -55,7 +57,10 @@ def validate_dimensions(rows: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def infer_dimensions(scenario: Column, role: Column) -> dict[str, Column]:
-    """C19. Taiwan income-tax dimensions of free text, by ordered rules."""
+    """C19. Taiwan income-tax dimensions of free text, by ordered rules.
+
+    Fixed values: the words of each rule and the order of the rules.
+    """
     text = F.concat(F.trim(F.coalesce(scenario, F.lit(""))), F.lit(" "), F.trim(F.coalesce(role, F.lit(""))))
     has = lambda *words: reduce(Column.__or__, [text.contains(w) for w in words])
     sole = has("獨資", "合夥")
@@ -387,11 +392,12 @@ def merge_extracted(extracted: DataFrame, fields: DataFrame, allowed_nodes: Data
     ).select(*fields.columns)
 
 
-def pack_batches(blocks: DataFrame, budget: int = 20_000) -> DataFrame:
-    """R10. blocks (document_id, pos, size) with batch_no: next-fit in order under
-    a budget of characters; an over-long block stands alone. One pass over the
-    sorted sizes of a partition's documents, which holds one running sum; texts
-    don't take part."""
+#: A document of more blocks than this is packed by several tasks.
+LONG_DOCUMENT = 1_000_000
+
+
+def _packed_in_order(rows: DataFrame, budget: int) -> DataFrame:
+    """One pass over the sorted sizes of a task's documents, which holds one running sum."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         document, used, n = None, 0, 0
@@ -406,12 +412,57 @@ def pack_batches(blocks: DataFrame, budget: int = 20_000) -> DataFrame:
                 numbers.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(numbers, pa.int32())], names=["document_id", "pos", "batch_no"])
 
-    rows = blocks.select("document_id", F.col("pos").cast("int").alias("pos"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
     ordered = rows.repartition("document_id").sortWithinPartitions("document_id", "pos")
     schema = StructType([*rows.select("document_id", "pos").schema.fields, StructField("batch_no", IntegerType())])
     return ordered.mapInArrow(pack, schema)
 
 
+def _packed_by_jumps(rows: DataFrame, budget: int) -> DataFrame:
+    """The same by binary lifting. Where a batch that begins at a block ends
+    follows from running sums: one look-up for each block. Those jumps are doubled
+    round by round, and each round marks as many further starts as there are, from
+    the first block on."""
+    by = "document_id"
+    base = timeline.running_sum(timeline.place(timeline.in_blocks(rows, by, ["pos"]), by, "n"), by, "size", "until")
+    base = base.select(by, "pos", "size", "n", "until").checkpoint(eager=True)
+    none = F.lit(None).cast("long")
+    held = base.select(by, F.col("until").alias("at"), F.lit(0).alias("kind"), F.col("n").cast("long").alias("n"), none.alias("of"))
+    before = F.col("until") - F.col("size")
+    full, empty = (base.select(by, at.alias("at"), F.lit(kind).alias("kind"), none.alias("n"), F.col("n").cast("long").alias("of")) for kind, at in ((1, before + budget), (2, before)))
+    asked = timeline.in_blocks(held.union(full).union(empty), by, ["at", "kind", "n"])
+    asked = timeline.last_value(asked, by, F.col("n"), "last", own=True).where("kind > 0")
+    # The first block that doesn't fit; an over-long one, and blocks of no size before it, stand alone.
+    ends = asked.groupBy(by, F.col("of").alias("n")).agg(F.max(F.when(F.col("kind") == 1, F.coalesce("last", F.lit(0)))).alias("fits"), F.max(F.when(F.col("kind") == 2, F.coalesce("last", F.lit(0)))).alias("nothing"))
+    after = F.when(F.col("fits") > F.col("nothing"), F.col("fits") + 1).otherwise(F.col("nothing") + 2)
+    last = base.groupBy(by).agg(F.max("n").alias("blocks"))
+    jumps = ends.select(by, "n", after.alias("to")).join(last, by).where("to <= blocks").select(by, "n", "to").checkpoint(eager=True)
+    starts = base.where("n = 1").select(by, F.col("n").cast("long").alias("n"))
+    while True:
+        more = starts.join(jumps, [by, "n"]).select(by, F.col("to").alias("n")).checkpoint(eager=True)
+        if more.isEmpty():
+            break
+        starts = starts.union(more)
+        jumps = jumps.join(jumps.select(by, F.col("n").alias("to"), F.col("to").alias("further")), [by, "to"]).select(by, "n", F.col("further").alias("to")).checkpoint(eager=True)
+    numbered = base.join(starts.withColumn("begins", F.lit(1)), [by, "n"], "left").select(by, "pos", F.coalesce("begins", F.lit(0)).alias("begins"))
+    numbered = timeline.running_sum(timeline.in_blocks(numbered, by, ["pos"]), by, "begins", "batch_no")
+    return numbered.select(by, "pos", (F.col("batch_no") - 1).cast("int").alias("batch_no"))
+
+
+def pack_batches(blocks: DataFrame, budget: int = 20_000) -> DataFrame:
+    """R10. blocks (document_id, pos, size) with batch_no: next-fit in order under
+    a budget of characters; an over-long block stands alone; a null size is 0.
+    Documents of over LONG_DOCUMENT blocks are spread over tasks; texts don't
+    take part."""
+    rows = blocks.select("document_id", F.col("pos").cast("int").alias("pos"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    shared_dir(rows.sparkSession)
+    many = rows.groupBy("document_id").agg(F.count("*").alias("blocks")).where(F.col("blocks") > LONG_DOCUMENT).select("document_id").checkpoint(eager=True)
+    if many.isEmpty():
+        return _packed_in_order(rows, budget)
+    # At most one document in LONG_DOCUMENT blocks is a long one.
+    few = F.broadcast(many)
+    return _packed_in_order(rows.join(few, "document_id", "left_anti"), budget).union(_packed_by_jumps(rows.join(few, "document_id", "left_semi"), budget))
+
+
 def extraction_coverage(extracted: DataFrame) -> DataFrame:
     """R11. Per document: rows emitted, distinct identities, rows without one
     (rows carry document_id and identity_key)."""

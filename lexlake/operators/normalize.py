@@ -141,13 +141,14 @@ def us_cfr(row: dict) -> tuple[str, list[Provision]]:
 
 
 # The layouts of the states' pages.
-#: state: sections, headings, number in a heading, fallback body, default code, metadata key of the fallback.
+#: state: sections, headings, number in a heading, fallback body, default code, metadata
+#: key of the fallback, heading of a section without one, heading of a page without sections.
 _STATES = {
-    "TX": ("div.section, .codeSect", "b, .section-heading, h3, h4", r"Sec\.?\s*([\d.]+[A-Z]?)", "body", "TX Tax Code", "chapter"),
-    "FL": ("div.section, div.statute-text", "h2, h3, .section-number", r"([\d.]+)", "div#siteContent, div.content", "Florida Statutes", "chapter"),
-    "WA": ("div.RCWSection, div.WACSection, .lawsection", ".section-header, b, h3", r"([\d-]+)", "div#ctl00_ContentPlaceHolder1_panelText", "WAC", "chapter"),
-    "IL": ("div.Section, tr.sectionRow, .ilcssection", "b, .sectionNumber", r"Sec\.?\s*([\d.]+)", "div#content", "35 ILCS", "act_id"),
-    "NY": ("div.law-section, article.bill-section", "h3, .section-title, .section-number", r"§\s*([\d-]+[a-z]?)", "div.law-text, main", "NY Tax Law", "article"),
+    "TX": ("div.section, .codeSect", "b, .section-heading, h3, h4", r"Sec\.?\s*([\d.]+[A-Z]?)", "body", "TX Tax Code", "chapter", "Ch. {}", "Texas Tax Code Ch. {}"),
+    "FL": ("div.section, div.statute-text", "h2, h3, .section-number", r"([\d.]+)", "div#siteContent, div.content", "Florida Statutes", "chapter", "Ch. {}", "Florida Statutes Ch. {}"),
+    "WA": ("div.RCWSection, div.WACSection, .lawsection", ".section-header, b, h3", r"([\d-]+)", "div#ctl00_ContentPlaceHolder1_panelText", "WAC", "chapter", "{}", "WAC {}"),
+    "IL": ("div.Section, tr.sectionRow, .ilcssection", "b, .sectionNumber", r"Sec\.?\s*([\d.]+)", "div#content", "35 ILCS", "act_id", "Act {}", "35 ILCS Act {}"),
+    "NY": ("div.law-section, article.bill-section", "h3, .section-title, .section-number", r"§\s*([\d-]+[a-z]?)", "div.law-text, main", "NY Tax Law", "article", "Article {}", "NY Tax Law Article {}"),
 }
 
 
@@ -165,16 +166,16 @@ def us_state(row: dict) -> tuple[str, list[Provision]]:
     if state not in _STATES:
         whole = text(page.first("main, article, div#content, div.content") or body)
         return title, [(f"{state or 'US'}:{meta.get('external_id', '')}", text(page.first("title, h1")) or meta.get("external_id", ""), whole)]
-    sections, heads, number, fallback, default, fallback_key = _STATES[state]
+    sections, heads, number, fallback, default, fallback_key, unnamed, page_heading = _STATES[state]
     code, other, out = meta.get("statute_code", default), meta.get(fallback_key, ""), []
     for e in page.select(sections):
         heading = text(e.first(heads))
         found = re.search(number, heading)
         parts = [t for t in map(text, e.select("p, .body-text, .text")) if t and t != heading] if state == "TX" else []
         whole = "\n".join(parts) or text(e)
-        if whole:
-            out.append((f"{state}:{code}-{found[1] if found else other}", heading or other, whole))
-    return title, out or [(f"{state}:{code}-{'Art' if state == 'NY' else ''}{other}", f"{code} {other}".strip(), text(page.first(fallback) or body))]
+        if whole or state == "TX":
+            out.append((f"{state}:{code}-{found[1] if found else other}", heading or unnamed.format(other), whole))
+    return title, out or [(f"{state}:{code}-{'Art' if state == 'NY' else ''}{other}", page_heading.format(other), text(page.first(fallback) or body))]
 
 
 def _parsed(raw: DataFrame, parser: Callable[[dict], tuple[str, list[Provision]]]) -> DataFrame:

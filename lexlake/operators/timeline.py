@@ -57,3 +57,11 @@ def place(rows: DataFrame, by: str, name: str) -> DataFrame:
     ends = rows.groupBy(by, _BLOCK).agg(F.count("*").alias("end"))
     out = _carried(rows, ends, by, F.sum("end").over(_earlier(by)))
     return out.withColumn(name, F.row_number().over(within) + F.coalesce("__carry", F.lit(0))).drop("__carry")
+
+
+def running_sum(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """``rows`` (in blocks) with the sum of ``value`` along the timeline, each row's own included."""
+    within = Window.partitionBy(by, _BLOCK).orderBy(_AT).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(by, _BLOCK).agg(F.sum(value).alias("end"))
+    out = _carried(rows, ends, by, F.sum("end").over(_earlier(by)))
+    return out.withColumn(name, F.sum(value).over(within) + F.coalesce("__carry", F.lit(0))).drop("__carry")

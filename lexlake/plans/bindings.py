@@ -75,7 +75,7 @@ def _sources(d: Dialect) -> str:
 
 def _snaps(d: Dialect) -> str:
     fetched = f"{DAY0} + doc_id * 3600"
-    return f"""SELECT doc_id AS snapshot_id, CAST(substr(source, 4) AS BIGINT) AS document_id, {d.ts(fetched)} AS fetched_at,
+    return f"""SELECT doc_id AS snapshot_id, {d.div("doc_id", "5")} AS document_id, {d.ts(fetched)} AS fetched_at,
       CASE WHEN doc_id % 3 <> 0 THEN {d.ts(f"{fetched} - (doc_id * 37 % 400) * 86400")} END AS issued_at, {d.sha("text")} AS content_hash FROM {{documents}}"""
 
 

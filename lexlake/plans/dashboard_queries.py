@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,16 +204,42 @@ S10_SQL = with_ctes("requirements", "flat_fields") + """, g AS (SELECT requireme
   SELECT 'purged' AS step, 'rows' AS kind, count(*) AS n FROM requirements WHERE requirement_id NOT IN (FROM g) UNION ALL SELECT 'purged', 'cells', count(*) FROM flat_fields WHERE requirement_id NOT IN (FROM g) UNION ALL SELECT 'restored', 'rows', count(*) FROM requirements UNION ALL SELECT 'restored', 'cells', count(*) FROM flat_fields"""
 
 
-def s2_law_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of up to 50 JSON laws, out of neighbouring documents."""
+def _law_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Batches of up to 50 JSON laws, out of neighbouring documents, and the laws wanted."""
     law = F.struct(
         F.lit("法律").alias("LawLevel"), F.col("title").alias("LawName"), F.concat(F.lit("https://law.example.org/LawAll.aspx?pcode=G"), F.lpad(F.col("document_id").cast("string"), 7, "0")).alias("LawURL"),
         F.date_format("issued_at", "yyyyMMdd").alias("LawModifiedDate"), F.when(F.col("document_id") % 5 == 0, "廢").otherwise("").alias("LawAbandonNote"),
     )
-    batch = bound(spark, sf_dir, "docs").groupBy(F.expr("document_id DIV 50").alias("batch")).agg(F.to_json(F.struct(F.collect_list(law).alias("Laws"))).alias("text"))
-    wanted = bound(spark, sf_dir, "docs").where("document_id % 3 = 0").select(F.concat(F.lit("G"), F.lpad(F.col("document_id").cast("string"), 7, "0")).alias("external_id"))
-    refs = landed.tw_law_refs(batch, wanted)
-    return refs.select("external_id", "title", F.unix_timestamp("issued_at").alias("issued"), "abandoned")
+    docs = bound(spark, sf_dir, "docs")
+    batch = docs.groupBy(F.expr("document_id DIV 50").alias("batch")).agg(F.to_json(F.struct(F.lit("20260101").alias("UpdateDate"), F.collect_list(law).alias("Laws"))).alias("text"))
+    return batch, docs.where("document_id % 3 = 0").select(F.concat(F.lit("G"), F.lpad(F.col("document_id").cast("string"), 7, "0")).alias("external_id"))
+
+
+def s2_law_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch, wanted = _law_batches(spark, sf_dir)
+    return landed.tw_law_refs(batch, wanted).select("external_id", "title", F.unix_timestamp("issued_at").alias("issued"), "abandoned")
+
+
+def s2_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches as archives of two members, every third one as plain JSON."""
+    batch, wanted = _law_batches(spark, sf_dir)
+
+    def packed(frames):
+        for pdf in frames:
+            out = []
+            for n, text in zip(pdf["batch"], pdf["text"]):
+                raw = text.encode("utf-8-sig")
+                if n % 3:
+                    held = io.BytesIO()
+                    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr("readme.txt", "laws")
+                        z.writestr("ChLaw.json", raw)
+                    raw = held.getvalue()
+                out.append((f"batch-{n}", raw))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    files = batch.mapInPandas(packed, "path string, content binary")
+    return landed.archived_law_refs(files, wanted).select("external_id", "title", F.unix_timestamp("issued_at").alias("issued"), "abandoned")
 
 
 S2_SQL = with_ctes("docs") + f"SELECT concat('G', lpad(CAST(document_id AS VARCHAR), 7, '0')) AS external_id, title, {DUCK.epoch('issued_at')} AS issued, document_id % 5 = 0 AS abandoned FROM docs WHERE document_id % 3 = 0"
@@ -333,6 +362,51 @@ def n6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalize_all(raw).select("external_id", "node_key", "heading", F.sha2("text", 256).alias("sha"))
 
 
+#: state: a section with a heading, one without, a page without sections; {} is the document's id.
+_STATE_PAGES = {
+    "TX": ('<div class="section"><h3>Sec. 171.{} RATE</h3><p>one {}</p><p>two</p></div>', '<div class="codeSect"><p>loose {}</p></div>', "<p>whole {}</p>"),
+    "FL": ('<div class="section"><h2>{}.05 Title</h2>body {}</div>', '<div class="statute-text">loose {}</div>', '<div class="content">whole {}</div>'),
+    "WA": ('<div class="RCWSection"><b>82-{}</b> body {}</div>', '<div class="lawsection">loose {}</div>', '<div id="ctl00_ContentPlaceHolder1_panelText">whole {}</div>'),
+    "IL": ('<div class="Section"><b>Sec. {}.5</b> body {}</div>', '<div class="ilcssection">loose {}</div>', '<div id="content">whole {}</div>'),
+    "NY": ('<article class="bill-section"><h3>§ {}a. Title</h3>body {}</article>', '<div class="law-section">loose {}</div>', "<main>whole {}</main>"),
+    "CA": ('<div class="lawcode"><p>one {}</p>', '<div class="section-text">loose {}</div></div>', "<p>whole {}</p>"),
+}
+
+
+def n6_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in the layouts of six states, every fifth without sections."""
+    docs, at = bound(spark, sf_dir, "docs"), F.col("document_id")
+    filled = lambda template: F.replace(F.lit(template), F.lit("{}"), at.cast("string"))
+    state = F.element_at(F.array(*map(F.lit, _STATE_PAGES)), (at % 6 + 1).cast("int"))
+    page = F.lit("")
+    for name, (headed, loose, whole) in _STATE_PAGES.items():
+        body = F.when(at % 5 == 0, filled(whole)).otherwise(F.concat(filled(headed), filled(loose)))
+        page = F.when(state == name, F.concat(F.lit("<html><body>"), body, F.lit("<div>foot</div></body></html>"))).otherwise(page)
+    meta = F.create_map(F.lit("state"), state, F.lit("chapter"), F.lit("171"), F.lit("act_id"), F.lit("5"), F.lit("article"), F.lit("9"), F.lit("section"), at.cast("string"))
+    raw = docs.select("source_key", at.cast("string").alias("external_id"), F.lit("us_state_tax").alias("connector"), F.encode(page, "UTF-8").alias("content"), F.lit("text/html; charset=utf-8").alias("content_type"), "url", meta.alias("metadata"))
+    return N.normalize_all(raw).select("external_id", "ordinal", "node_key", "heading", "text")
+
+
+_N6_ROWS = {  # state: number and text of the headed section, its heading; heading of the loose one; fallback; heading and text of a whole page
+    "TX": ("concat('171.', d)", "concat('one ', d, chr(10), 'two')", "concat('Sec. 171.', d, ' RATE')", "Ch. 171", "TX Tax Code-171", "Texas Tax Code Ch. 171", "concat('whole ', d, chr(10), 'foot')", "TX Tax Code"),
+    "FL": ("concat(d, '.05')", "concat(d, '.05 Title', chr(10), 'body ', d)", "concat(d, '.05 Title')", "Ch. 171", "Florida Statutes-171", "Florida Statutes Ch. 171", "concat('whole ', d)", "Florida Statutes"),
+    "WA": ("concat('82-', d)", "concat('82-', d, chr(10), 'body ', d)", "concat('82-', d)", "171", "WAC-171", "WAC 171", "concat('whole ', d)", "WAC"),
+    "IL": ("concat(d, '.5')", "concat('Sec. ', d, '.5', chr(10), 'body ', d)", "concat('Sec. ', d, '.5')", "Act 5", "35 ILCS-5", "35 ILCS Act 5", "concat('whole ', d)", "35 ILCS"),
+    "NY": ("concat(d, 'a')", "concat('§ ', d, 'a. Title', chr(10), 'body ', d)", "concat('§ ', d, 'a. Title')", "Article 9", "NY Tax Law-9", "NY Tax Law Article 9", "concat('whole ', d)", "NY Tax Law"),
+}
+_N6_PARTS = [
+    part
+    for k, (state, (number, text, heading, loose, fallback, page, whole, code)) in enumerate(_N6_ROWS.items())
+    for part in (
+        f"SELECT d, 0, concat('{state}:{code}-', {number}), {heading}, {text} FROM y WHERE i % 6 = {k} AND i % 5 <> 0",
+        f"SELECT d, 1, '{state}:{fallback}', '{loose}', concat('loose ', d) FROM y WHERE i % 6 = {k} AND i % 5 <> 0",
+        f"SELECT d, 0, '{state}:{fallback.replace('-9', '-Art9')}', '{page}', {whole} FROM y WHERE i % 6 = {k} AND i % 5 = 0",
+    )
+]
+N6_SQL = "WITH y AS (SELECT doc_id AS i, CAST(doc_id AS VARCHAR) AS d FROM documents), z(external_id, ordinal, node_key, heading, text) AS (" + " UNION ALL ".join(_N6_PARTS) + """ UNION ALL
+  SELECT d, 0, concat('CA:RTC-', d), concat('RTC § ', d), CASE WHEN i % 5 = 0 THEN concat('whole ', d) ELSE concat('one ', d, chr(10), 'loose ', d) END FROM y WHERE i % 6 = 5) SELECT * FROM z"""
+
+
 def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines landed in two rounds, the second with version 2 of their
     text; snapshots and changes counted from the stored tables."""
@@ -353,12 +427,13 @@ T1_SQL = with_ctes("v1", "v2") + """, d AS (SELECT a.pair_id IS NULL AS fresh, b
 QUERIES = {
     "d2_versions": d2_versions, "d2_changes": d2_changes, "d2_tree": d2_tree,
     "d1_rollup": d1_rollup, "d2_summary": d2_summary, "d3_stats": d3_stats, "d4_list_changes": d4_list_changes, "d5_detail": d5_detail, "d6_runs": d6_runs, "d6_health": d6_health, "d7_analysis_inputs": d7_analysis_inputs, "d8_run_stats": d8_run_stats,
-    "s9_report": s9_report, "s10_purge_restore": s10_purge_restore, "s2_law_refs": s2_law_refs, "s3_policy_refs": s3_policy_refs, "s4_ecfr_refs": s4_ecfr_refs, "s5_register_refs": s5_register_refs, "s6_listing": s6_listing, "s6_page_links": s6_page_links,
-    "s8_markdown": s8_markdown, "n2_tw_law": n2_tw_law, "n3_to_n8_normalize": n3_to_n8_normalize, "n6_pages": n6_pages, "t1_ingest": t1_ingest,
+    "s9_report": s9_report, "s10_purge_restore": s10_purge_restore, "s2_law_refs": s2_law_refs, "s2_archives": s2_archives, "s3_policy_refs": s3_policy_refs, "s4_ecfr_refs": s4_ecfr_refs, "s5_register_refs": s5_register_refs, "s6_listing": s6_listing, "s6_page_links": s6_page_links,
+    "s8_markdown": s8_markdown, "n2_tw_law": n2_tw_law, "n3_to_n8_normalize": n3_to_n8_normalize, "n6_pages": n6_pages, "n6_states": n6_states, "t1_ingest": t1_ingest,
 }
 ORACLES = {
+    "n6_states": N6_SQL,
     "d2_tree": D2T_SQL,
     "d2_versions": D2B_SQL, "d2_changes": D2C_SQL,
     "d1_rollup": D1_SQL, "d2_summary": D2_SQL, "d3_stats": D3_SQL, "d4_list_changes": D4_SQL, "d5_detail": D5_SQL, "d6_runs": D6_SQL, "d6_health": D6B_SQL, "d7_analysis_inputs": D7_SQL, "d8_run_stats": D8_SQL, "s9_report": S9_SQL, "s10_purge_restore": S10_SQL,
-    "s2_law_refs": S2_SQL, "s3_policy_refs": S3_SQL, "s4_ecfr_refs": S4_SQL, "s5_register_refs": S5_SQL, "s6_listing": S6_SQL, "s8_markdown": S8_SQL, "n2_tw_law": N2_SQL, "n3_to_n8_normalize": N8_SQL, "t1_ingest": T1_SQL,
+    "s2_law_refs": S2_SQL, "s2_archives": S2_SQL, "s3_policy_refs": S3_SQL, "s4_ecfr_refs": S4_SQL, "s5_register_refs": S5_SQL, "s6_listing": S6_SQL, "s8_markdown": S8_SQL, "n2_tw_law": N2_SQL, "n3_to_n8_normalize": N8_SQL, "t1_ingest": T1_SQL,
 }

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -20,36 +21,92 @@ from lexlake.functions.markup import parse
 from lexlake.functions.text import doc_type, parse_date, pcode, to_https, url_doc_id
 from lexlake.shared import shared_dir
 
-_LAWS = "struct<Laws:array<struct<LawLevel:string,LawName:string,LawURL:string,LawModifiedDate:string,LawAbandonNote:string,LawHistories:string,LawArticles:array<struct<ArticleType:string,ArticleNo:string,ArticleContent:string>>>>>"
+_LAW = "struct<LawLevel:string,LawName:string,LawURL:string,LawModifiedDate:string,LawAbandonNote:string,LawHistories:string,LawArticles:array<struct<ArticleType:string,ArticleNo:string,ArticleContent:string>>>"
+#: Characters of an archive's member that are read at a time; laws of a batch that is sent.
+_PIECE, _SEND = 1 << 16, 200
 
 
-def unzipped(files: DataFrame) -> DataFrame:
-    """S2. (path, text) of the JSON member of landed archives, BOM stripped;
-    plain JSON files pass through."""
+def _laws_in(member: io.BufferedIOBase) -> Iterator[str]:
+    """The objects of the ``Laws`` array of a JSON text, one by one: no more than
+    one of them and a piece of the text is held."""
+    text, decoder, held, within = io.TextIOWrapper(member, "utf-8-sig"), json.JSONDecoder(), "", False
+    while True:
+        piece = text.read(_PIECE)
+        held += piece
+        if not within:
+            start = re.search(r'"Laws"\s*:\s*\[', held)
+            if start is None:
+                if not piece:
+                    return
+                continue
+            held, within = held[start.end() :], True
+        while True:
+            held = held.lstrip(" \t\r\n,")
+            if held.startswith("]"):
+                return
+            try:
+                _, end = decoder.raw_decode(held)
+            except json.JSONDecodeError:
+                break  # the rest of this law is still to be read
+            yield held[:end]
+            held = held[end:]
+        if not piece:
+            if held:
+                raise ValueError(f"the batch ends within a law: {held[:80]}")
+            return
+
+
+def archived_laws(files: DataFrame) -> DataFrame:
+    """S2. (path, law): the laws of landed batches, each as JSON. files: path,
+    content: zip archives, whose JSON members are read one after another, or
+    plain JSON; a BOM doesn't matter. Unpacked texts are streamed. Empty and null
+    contents hold no law."""
+
+    def members(content: bytes) -> Iterator[io.BufferedIOBase]:
+        if content[:2] != b"PK":
+            yield io.BytesIO(content)
+            return
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in z.namelist():
+                if name.lower().endswith(".json"):
+                    with z.open(name) as member:
+                        yield member
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                if content[:2] == b"PK":
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        content = z.read(next(n for n in z.namelist() if n.endswith(".json")))
-                out.append((path, content.decode("utf-8-sig")))
-            yield pd.DataFrame(out, columns=["path", "text"])
+                for member in members(content or b""):
+                    for law in _laws_in(member):
+                        out.append((path, law))
+                        if len(out) == _SEND:
+                            yield pd.DataFrame(out, columns=["path", "law"])
+                            out = []
+            yield pd.DataFrame(out, columns=["path", "law"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string")
+    return files.select("path", "content").mapInPandas(run, "path string, law string")
 
 
-def tw_law_refs(texts: DataFrame, pcodes: DataFrame, source_key: str = "tw_moj_law") -> DataFrame:
-    """S2. Batch JSON (text) → one ref a configured law (pcodes: external_id), its
-    payload and flag."""
-    law = texts.select(F.explode(F.from_json("text", _LAWS)["Laws"]).alias("law")).withColumn("external_id", pcode(F.col("law.LawURL")))
+def _law_refs(laws: DataFrame, pcodes: DataFrame, source_key: str) -> DataFrame:
+    law = laws.withColumn("external_id", pcode(F.col("law.LawURL")))
     return law.join(pcodes, "external_id", "left_semi").select(
         F.lit(source_key).alias("source_key"), "external_id", F.col("law.LawName").alias("title"), F.lit("statute").alias("doc_type"), F.col("law.LawURL").alias("url"),
         parse_date(F.col("law.LawModifiedDate"), "ymd").alias("issued_at"), (F.trim(F.coalesce("law.LawAbandonNote", F.lit(""))) != "").alias("abandoned"), F.to_json("law").alias("payload"),
     )
 
 
+def tw_law_refs(texts: DataFrame, pcodes: DataFrame, source_key: str = "tw_moj_law") -> DataFrame:
+    """S2. Batch JSON (text) → one ref a configured law (pcodes: external_id), its
+    payload and flag."""
+    laws = texts.select(F.explode(F.from_json("text", f"struct<Laws:array<{_LAW}>>")["Laws"]).alias("law"))
+    return _law_refs(laws, pcodes, source_key)
+
+
+def archived_law_refs(files: DataFrame, pcodes: DataFrame, source_key: str = "tw_moj_law") -> DataFrame:
+    """S2. The same out of landed archives (``archived_laws``)."""
+    return _law_refs(archived_laws(files).select(F.from_json("law", _LAW).alias("law")), pcodes, source_key)
+
+
 def _first_of_both(rows: DataFrame, a: str, b: str) -> DataFrame:
     """The rows that, by seq, have neither value of a row kept before them.
 

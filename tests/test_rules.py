@@ -63,3 +63,25 @@ def test_reviews(spark):
     got = {(r.requirement_id, r.field_key): (r.value, r.source, r.needs_review, r.review_reason, r.stale_change_id) for r in new.collect()}
     assert got[1, "rate"] == ("v", "import", False, "", None) and got[2, "rate"] == ("v", "manual", False, "why", 9)
     assert got[3, "rate"] == ("x", "manual", True, "why", 9) and got[5, "formula"] == ("new", "manual", False, "", None) and len(got) == 6
+
+
+def test_archived_laws_are_streamed(spark, monkeypatch):
+    import io
+    import json
+    import zipfile
+
+    monkeypatch.setattr(landed, "_PIECE", 7)
+    laws = [{"LawName": f'a "quoted" ]{{ name {i}', "LawURL": f"x?pcode=A{i:07}", "LawArticles": [{"ArticleNo": "第 1 條", "ArticleContent": "x\n" * i}]} for i in range(5)]
+    plain = json.dumps({"UpdateDate": "x", "Laws": laws}, ensure_ascii=False, indent=1).encode("utf-8-sig")
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.JSON", plain)
+        z.writestr("b.txt", b"no")
+        z.writestr("c.json", json.dumps({"Laws": []}))
+        z.writestr("d.json", json.dumps({"Laws": laws[:2]}))
+    assert [json.loads(x) for x in landed._laws_in(io.BytesIO(plain))] == laws
+    files = spark.createDataFrame([("p", plain), ("z", held.getvalue()), ("e", b""), ("n", None), ("o", b'{"Other": [1]}')], "path string, content binary")
+    got = [(r.path, json.loads(r.law)) for r in landed.archived_laws(files).collect()]
+    assert [law for p, law in got if p == "p"] == laws and [law for p, law in got if p == "z"] == laws + laws[:2] and len(got) == 12
+    refs = landed.archived_law_refs(files.where("path = 'p'"), spark.createDataFrame([("A0000003",)], "external_id string")).collect()
+    assert [(r.external_id, r.title) for r in refs] == [("A0000003", 'a "quoted" ]{ name 3')]

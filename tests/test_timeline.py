@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexlake.operators import timeline, versions
+from lexlake.operators import matrix, timeline, versions
 
 
 def fetches(spark, n_long=3000):
@@ -43,3 +43,23 @@ def test_detection_and_versions_in_force(spark):
     for r in versions.snapshot_at(asked, snaps).collect():
         end = r.day + dt.timedelta(days=1)
         assert r.snapshot_id == max(((t, s) for d, t, s in all_ if d == r.document_id and t < end), default=(None, None))[1]
+
+
+def test_packing_by_jumps_equals_the_fold(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(d, p, rnd.choice([0, 0, 1, 5, 9, 10, 11, 30, None])) for d in range(6) for p in range(rnd.choice([1, 2, 40, 90]))] + [(9, p, 3) for p in range(400)]
+    blocks = spark.createDataFrame(rows, "document_id long, pos int, size int").repartition(4)
+    want = {}
+    used = n = at = None
+    for d, p, size in sorted(rows):
+        size = size or 0
+        if d != at:
+            at, used, n = d, 0, 0
+        elif used > 0 and used + size > 10:
+            used, n = 0, n + 1
+        used += size
+        want[d, p] = n
+    for long in (10**6, 50, 0):
+        monkeypatch.setattr(matrix, "LONG_DOCUMENT", long)
+        got = [tuple(r) for r in matrix.pack_batches(blocks, 10).collect()]
+        assert {(d, p): k for d, p, k in got} == want and len(got) == len(rows), long
