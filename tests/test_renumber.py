@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions.similarity import ratio
 from lexlake.operators import renumber
+from lexlake.operators.versions import diff_provisions
 
 SCHEMA = "pair_id long, node_key string, ordinal int, text string, class string"
 
@@ -53,6 +54,42 @@ def test_equals_the_greedy_rule(spark, threshold):
     assert renumber.match_renumbered(frames[0], frames[1].where("false"), threshold).count() == 0
 
 
+def test_tasks_and_joins_agree(spark, monkeypatch):
+    """Small pairs are matched in a task, the others by joins; long texts too."""
+    removed, added = some_rows(3)
+    long = [("the provision number %d of a long law " % k) * 9 for k in range(6)]
+    removed += [(99, f"o{k}", k, t, "") for k, t in enumerate(long + long[:2])]
+    added += [(99, f"n{k}", k % 3, t[:100] + "x" + t[101:], "") for k, t in enumerate(long)]
+    frames = [spark.createDataFrame(rows, SCHEMA) for rows in (removed, added)]
+    want = plain(removed, added, 0.9)
+    for limit in (renumber.IN_TASK, 3 * 10**7, 0):
+        monkeypatch.setattr(renumber, "IN_TASK", limit)
+        assert {tuple(r) for r in renumber.match_renumbered(*frames, 0.9).collect()} == want
+
+
+def test_small_pairs_store_no_pieces(spark, monkeypatch):
+    monkeypatch.setattr(renumber, "similar_classes", None)
+    rows = spark.createDataFrame([(1, "o1", 1, "a provision of some length", "")], SCHEMA)
+    found = renumber.match_renumbered(rows, rows.withColumn("node_key", F.lit("n1")), 0.9).collect()
+    assert [tuple(r) for r in found] == [(1, "o1", "n1", 1.0)]
+
+
+def test_versions_are_joined_once(spark):
+    """What changed is stored once and not joined again by each use."""
+    rows = spark.range(300).select((F.col("id") % 7).alias("pair_id"), F.concat(F.lit("k"), "id").alias("node_key"), F.col("id").cast("int").alias("ordinal"), F.lit("h").alias("heading"), F.concat(F.lit("text "), "id").alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    old = rows.mapInArrow(count, rows.schema)
+    new = rows.withColumn("node_key", F.when(F.col("ordinal") % 3 == 0, F.concat("node_key", F.lit("x"))).otherwise(F.col("node_key")))
+    kinds = diff_provisions(old, new, with_diff=False).groupBy("change_type").count().collect()
+    assert [tuple(r) for r in kinds] == [("renumbered", 100)] and seen.value == 300
+
+
 def test_chains_of_claims(spark):
     """An early old one takes what a class of equal texts would; the class moves up."""
     same, near = "the same provision of some length", "the same provision of some lengt!"
