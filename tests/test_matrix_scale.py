@@ -35,3 +35,11 @@ def test_cells_without_a_change(spark, plain_plans):
     assert out.columns[0] == "stale_change_id" and out.where("change_node_key = 'N'").count() == 2
     held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(held) == 22_000 and max(held) < 9_000
+
+
+def test_affected_cells_are_not_aggregated_where_they_are_read(spark, plain_plans):
+    requirements = spark.range(2000).select(F.col("id").alias("requirement_id"), F.lit("CN").alias("country"), F.lit("t").alias("tax_key"))
+    keys = spark.createDataFrame([("L 3",), ("L3",), ("L9",)], "node_key string")
+    out = M.affected_cells(keys, cells(spark), requirements)
+    assert out.count() == 286 and {r["key"] for r in out.select("key").distinct().collect()} == {"L3"}
+    assert "keys=[requirement_id" not in plan(out)
