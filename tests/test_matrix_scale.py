@@ -43,3 +43,11 @@ def test_affected_cells_are_not_aggregated_where_they_are_read(spark, plain_plan
     out = M.affected_cells(keys, cells(spark), requirements)
     assert out.count() == 286 and {r["key"] for r in out.select("key").distinct().collect()} == {"L3"}
     assert "keys=[requirement_id" not in plan(out)
+
+
+def test_merged_cells_are_dealt_before_they_are_sorted(spark, plain_plans):
+    new = cells(spark).select("requirement_id", F.lit(1).alias("batch_no"), F.explode(F.array(F.lit(1), F.lit(2))).alias("row_no"), "field_key", F.concat(F.lit("new"), F.col("row_no")).alias("value"), "confidence", "citations")
+    out = M.merge_extracted(new, cells(spark), spark.createDataFrame([("L3",)], "node_key string"))
+    assert {r["value"] for r in out.where("requirement_id % 7 = 3").select("value").distinct().collect()} == {"new1"}
+    below = plan(out).split("WindowGroupLimit")[-1].splitlines()[1:]
+    assert "Exchange hashpartitioning(requirement_id" in next(line for line in below if "Sort" not in line and "Project" not in line)
