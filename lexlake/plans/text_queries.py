@@ -12,6 +12,7 @@ from lexlake.functions.docnum import docnum_all, docnum_first, norm_docnum
 from lexlake.operators import corpus as C
 from lexlake.operators import graph as G
 from lexlake.plans.bindings import bound, with_ctes
+from lexlake.shared import short_batches
 
 _DIGITS = "零一二三四五六七八九"
 _NUMERAL = """concat(CASE WHEN n >= 1000 THEN concat(substr(z, 1 + n // 1000 % 10, 1), '千') ELSE '' END, CASE WHEN n >= 100 AND n // 100 % 10 > 0 THEN concat(substr(z, 1 + n // 100 % 10, 1), '百') ELSE '' END,
@@ -32,6 +33,7 @@ FROM (SELECT *, {_NUMERAL} AS s FROM (SELECT CAST(p_partkey AS BIGINT) AS id, CA
 
 
 def n1_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dirty = F.concat(F.lit("　“"), F.regexp_replace("text", "\n", "\r\n"), F.lit("”\t\t–　１２\n\n\n\nＡ "))
     return docs.select("doc_id", F.sha2(T.normalize_text(dirty), 256).alias("sha"))

@@ -20,3 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
+
+
+#: Rows and bytes that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds a worker's memory by the batch, however long texts and pages are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
