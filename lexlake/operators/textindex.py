@@ -13,25 +13,43 @@ A gram is ``GRAM`` neighbouring characters. Rows of ``postings`` lie by bucket
 row groups. A list never holds more than a segment's ids, however common its
 gram is.
 
-``find`` takes the rarest grams of each term, intersects their lists segment by
-segment and leaves the candidates; ``search`` verifies them against the texts.
+A term with a rare gram is looked up: ``_listed`` intersects the lists of its
+rarest grams segment by segment, and the candidates are verified against the
+texts. The lists of the others would grow with the number of terms times that of
+texts, so ``_scanned`` looks for all of them together in one pass over the texts:
+tasks get a bit set of fixed size of the terms' beginnings and pass on what it
+holds, each string no oftener than it can rank.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexlake.shared import short_batches
+
 #: Characters of a gram.
 GRAM = 3
 #: Ids that a posting list can hold: a power of two.
 SEGMENT = 1 << 16
-#: Grams of a term whose lists are intersected.
-RAREST = 3
+#: Grams of a term whose lists are intersected; of these only such as are at most
+#: ``LONGER`` times as frequent as the rarest.
+RAREST, LONGER = 3, 8
+#: Texts that may hold a term's rarest gram for the term to be looked up.
+LISTED = 64
+#: Up to this length a term is its own beginning; that of a longer one is the
+#: greatest power of two of its characters.
+WHOLE = 8
+#: Rows of a file of texts, so that small tables are scanned by many tasks too.
+FILE_ROWS = 4096
+#: Bits of the set of beginnings (8 MB): a power of two of 2^15 or more.
+BITS = 1 << 26
 #: Folders that the postings are dealt to.
 BUCKETS = 64
 #: Stands behind a text, so that its last characters begin a gram as well, and
@@ -43,11 +61,13 @@ def _bucket(gram: Column | str) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def build_index(rows: DataFrame, path: str, text_cols: list[str]) -> None:
+def build_index(rows: DataFrame, path: str, text_cols: list[str], order: list[Column]) -> None:
     """Indexes the texts of ``text_cols`` of all rows; nulls are empty. Repeated
-    rows are indexed as often as they come. ``path`` must be new."""
+    rows are indexed as often as they come. Each file holds its rows by ``order``,
+    in which ``search`` ranks them. ``path`` must be new."""
     spark = rows.sparkSession
-    rows.withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{path}/documents")
+    short_batches(spark)
+    rows.sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/documents")
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text_cols]
     texts = spark.read.parquet(f"{path}/documents").select("id", F.concat_ws(_BETWEEN, *parts).alias("text"))
     low = SEGMENT.bit_length() - 1
@@ -71,41 +91,126 @@ def build_index(rows: DataFrame, path: str, text_cols: list[str]) -> None:
     postings.groupBy("gram").agg(F.sum(F.size("ids")).alias("texts")).write.parquet(f"{path}/grams")
 
 
-def find(spark: SparkSession, terms: DataFrame, path: str) -> DataFrame:
-    """(query, id): for each distinct term (query, two characters or more) the
-    texts that hold its rarest grams, a superset of those that hold the term."""
-    terms = terms.where(F.length("query") >= GRAM - 1).select("query").distinct()
-    grams, postings = spark.read.parquet(f"{path}/grams"), spark.read.parquet(f"{path}/postings")
+def _grams(path: str, terms: DataFrame) -> DataFrame:
+    """(query, gram, texts) of terms of ``GRAM`` characters or more; ``texts`` is
+    null for a gram that no text has."""
     starts = F.sequence(F.lit(1), F.length("query") - GRAM + 1)
     own = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("query"), i, GRAM)))
-    asked = terms.where(F.length("query") >= GRAM).select("query", F.explode(own).alias("gram")).join(grams, "gram", "left")
-    # A term with a gram that no text has is in none; a term's grams are few.
+    return terms.where(F.length("query") >= GRAM).select("query", F.explode(own).alias("gram")).join(terms.sparkSession.read.parquet(f"{path}/grams"), "gram", "left")
+
+
+def _listed(grams: DataFrame, path: str) -> DataFrame:
+    """(query, id): the texts that hold the rarest grams of each term, a superset
+    of those that hold the term."""
+    postings = grams.sparkSession.read.parquet(f"{path}/postings")
     rare = Window.partitionBy("query").orderBy("texts", "gram")
-    asked = asked.withColumn("lacking", F.count_if(F.col("texts").isNull()).over(Window.partitionBy("query"))).where("lacking = 0")
-    chosen = asked.withColumn("r", F.row_number().over(rare)).where(F.col("r") <= RAREST)
+    chosen = grams.withColumn("r", F.row_number().over(rare)).withColumn("least", F.min("texts").over(Window.partitionBy("query")))
+    chosen = chosen.where((F.col("r") <= RAREST) & (F.col("texts") <= LONGER * F.col("least")))
     chosen = chosen.withColumn("lists", F.max("r").over(Window.partitionBy("query"))).select("query", "gram", "lists", _bucket("gram").alias("bucket"))
     met = chosen.join(postings, ["bucket", "gram"]).groupBy("query", "segment", "lists").agg(F.collect_list("ids").alias("found")).where(F.size("found") == F.col("lists"))
     common = F.aggregate(F.slice("found", 2, RAREST), F.element_at("found", 1), lambda a, b: F.array_intersect(a, b))
-    long = met.select("query", F.explode(common).alias("id"))
-    # Shorter terms are the beginning of one gram or another.
-    head = F.substring("gram", 1, GRAM - 1)
-    short = terms.where(F.length("query") == GRAM - 1).join(grams.select(head.alias("query"), "gram", _bucket("gram").alias("bucket")), "query")
-    short = short.join(postings, ["bucket", "gram"]).select("query", F.explode("ids").alias("id")).distinct()
-    return long.union(short)
+    return met.select("query", F.explode(common).alias("id"))
+
+
+def _windows(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ascending sizes a hash of every stretch of so many characters."""
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    n, odd = len(text), np.uint64(0x9E3779B97F4A7C15)
+    h, w = mix(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) * odd + odd), 1
+    for size in sizes:
+        if size > n:
+            return
+        while 2 * w <= size:  # two halves
+            h, w = mix(h[:-w] * odd + h[w:]), 2 * w
+        h_size = mix(h[: n - size + 1] * odd + h[size - w : n - w + 1])  # two pieces that may overlap
+        yield size, h_size ^ (h_size >> np.uint64(32))
+
+
+#: Where in its hash a string's places in the bit set begin.
+_SHIFTS = (0, 19, 37)
+
+
+def _scanned(terms: DataFrame, path: str, text_cols: list[str], limit: int) -> DataFrame:
+    """(query, id, led): texts that hold each term, among them the best ``limit``;
+    ``led``: in the first column. A task passes on no string more than ``limit``
+    times for a file and column, since rows of a file lie in the order of ranks."""
+    spark, mask = terms.sparkSession, BITS - 1
+    place_of = lambda hashes, shift: (hashes >> np.uint64(shift)).astype(np.int64) & mask
+    size = F.when(F.length("query") < WHOLE, F.length("query")).otherwise(F.expr("shiftleft(1, CAST(floor(log2(length(query))) AS INT))"))
+    terms = terms.select("query", size.alias("size")).withColumn("start", F.expr("left(query, size)"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [next(_windows(t, [len(t)]))[1] for t in batch.column(0).to_pylist()]
+            if hashes:
+                flat = np.concatenate(hashes)
+                yield pa.record_batch([pa.array(np.concatenate([place_of(flat, s) for s in _SHIFTS]) + 1)], names=["place"])
+
+    sizes = sorted(r["size"] for r in terms.select("size").distinct().collect())  # WHOLE and a few more
+    reach = {s: s if s < WHOLE else 2 * s - 1 for s in sizes}  # characters from a beginning on that decide on all its terms
+    marked = terms.select("start").distinct().mapInArrow(places, "place long")
+    pages = marked.groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # BITS in all
+    bits = np.zeros(BITS // 8, np.uint8)
+    for page in pages:
+        bits[(page["page"] - 1) * 4096 : page["page"] * 4096] = np.frombuffer(page["bits"], np.uint8)
+    known, of_byte = spark.sparkContext.broadcast(bits), (1 << np.arange(8)).astype(np.uint8)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, last, seen = known.value, -1, Counter()
+
+        def held(hashes: np.ndarray, shift: int) -> np.ndarray:
+            place = place_of(hashes, shift)
+            return np.flatnonzero(bits[place >> 3] & of_byte[place & 7])
+
+        for batch in batches:
+            out = []
+            ids = batch.column(0).to_pylist()
+            columns = [c.to_pylist() for c in batch.columns[1:]]
+            for k, i in enumerate(ids):
+                if i <= last or i >> 33 != last >> 33:  # rows in order share the upper bits
+                    seen = Counter()
+                last = i
+                for led, texts in zip([True] + [False] * len(columns), columns):
+                    text = texts[k] or ""
+                    for size, hashes in _windows(text, sizes):
+                        at = held(hashes, _SHIFTS[0])
+                        for shift in _SHIFTS[1:]:
+                            at = at[held(hashes[at], shift)]
+                        for string in {text[a : a + reach[size]] for a in at.tolist()}:
+                            if seen[size, led, string] < limit:
+                                seen[size, led, string] += 1
+                                out.append((string[:size], string, i, led))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["start", "string", "id", "led"]), schema=shape, preserve_index=False)
+
+    shape = pa.schema([("start", pa.string()), ("string", pa.string()), ("id", pa.int64()), ("led", pa.bool_())])
+    documents = spark.read.parquet(f"{path}/documents").select("id", *[F.col(c).cast("string") for c in text_cols])
+    found = documents.mapInArrow(scan, "start string, string string, id long, led boolean")
+    return terms.join(found, "start").where(F.startswith("string", "query")).select("query", "id", "led")
 
 
 def search(spark: SparkSession, queries: DataFrame, path: str, first: str, order: list[Column], limit: int, text_cols: list[str]) -> DataFrame:
     """query_id, rank, the indexed columns and ``in_<first>`` of the best
-    ``limit`` rows that hold each query: those with it in column ``first``
-    before the others, then by ``order`` (Spark keeps no more than ``limit``
-    rows a query before it shuffles)."""
+    ``limit`` rows that hold each query of two characters or more: those with it
+    in column ``first`` before the others, then by ``order``, the index's own."""
     documents = spark.read.parquet(f"{path}/documents")
-    within = [F.coalesce(F.contains(F.col(c), F.col("query")), F.lit(False)) for c in text_cols]
-    holds = within[0]
-    for more in within[1:]:
-        holds = holds | more
-    hits = find(spark, queries, path).join(documents, "id").where(holds)
-    hits = hits.withColumn(f"in_{first}", F.coalesce(F.contains(F.col(first), F.col("query")), F.lit(False))).drop(*[c for c in text_cols if c != first])
+    terms = queries.where(F.length("query") >= GRAM - 1).select("query").distinct()
+    grams = _grams(path, terms)
+    # A term with a gram that no text has is in none.
+    counted = grams.groupBy("query").agg(F.min("texts").alias("least"), F.count_if(F.col("texts").isNull()).alias("lacking"))
+    rare = counted.where(f"lacking = 0 and least <= {LISTED}").select("query")
+    rest = terms.join(counted.where(f"lacking > 0 or least <= {LISTED}").select("query"), "query", "left_anti")
+
+    contained = [F.coalesce(F.contains(F.col(c), F.col("query")), F.lit(False)) for c in text_cols]
+    listed = _listed(grams.join(rare, "query", "left_semi"), path).join(documents.select("id", *text_cols), "id")
+    listed = listed.select("query", "id", contained[text_cols.index(first)].alias("led"), F.greatest(*contained, F.lit(False)).alias("held")).where("held").drop("held")
+    scanned = _scanned(rest, path, [first, *[c for c in text_cols if c != first]], limit)
+    hits = listed.union(scanned.groupBy("query", "id").agg(F.bool_or("led")))
+
+    shown = documents.drop(*[c for c in text_cols if c != first])
+    hits = hits.withColumnRenamed("led", f"in_{first}").join(shown, "id")
     best = Window.partitionBy("query").orderBy(F.desc(f"in_{first}"), *order, "id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return queries.select("query_id", "query").join(ranked, "query").drop("query", "id")

@@ -48,3 +48,21 @@ def test_no_nested_loop_and_short_lists(spark, tmp_path, monkeypatch):
     assert found.count() == 5
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("listed, whole, bits", [(0, 32, 1 << 26), (0, 4, 1 << 15), (3, 4, 1 << 26)], ids=["scan", "beginnings", "both"])
+def test_scan_equals_lists(spark, tmp_path, monkeypatch, listed, whole, bits):
+    for name, value in (("LISTED", listed), ("WHOLE", whole), ("BITS", bits)):
+        monkeypatch.setattr(textindex, name, value)
+    test_search_equals_scan(spark, tmp_path, monkeypatch, 1 << 16)
+
+
+def test_frequent_terms_shuffle_no_lists(spark, tmp_path):
+    """Many terms of frequent grams: no list is read, and no string is passed on oftener than it can rank."""
+    docs = spark.range(2000).select(F.lit("the title").alias("title"), F.concat(F.lit("the common text of "), F.col("id") % 50, F.lit(" pieces")).alias("content"), F.lit("").alias("document_number"), F.lit(None).cast("date").alias("written_date"))
+    path = str(tmp_path / "index")
+    corpus.index_corpus(docs.repartition(2), path)
+    terms = spark.range(50).select(F.col("id").alias("query_id"), F.concat(F.lit("text of "), "id", F.lit(" p")).alias("query"))
+    found = textindex._scanned(terms.select("query"), path, ["title", "content"], 5)
+    assert found.count() <= 50 * 5 * spark.read.parquet(f"{path}/documents").select(F.shiftright("id", 33)).distinct().count()
+    assert corpus.corpus_search(terms, path, 5).count() == 50 * 5
