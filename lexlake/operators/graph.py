@@ -9,6 +9,9 @@ A key with '#' names an article, one without a document.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,13 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """What is read several times, from Parquet in the folder of spark.checkpoint.dir."""
+    path = f"{shared_dir(df.sparkSession)}/edges-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def document_entity_key(documents: DataFrame, provisions: DataFrame) -> DataFrame:
     """C4. documents with entity_key: the stem of the first keyed provision,
     else the normalised title, else the external id."""
@@ -104,27 +114,38 @@ def family(relations: DataFrame, keys: DataFrame) -> DataFrame:
     return out.withColumns({"parents": F.coalesce("parents", none), "children": F.coalesce("children", none)}).drop("stem")
 
 
-def entity_context(keys: DataFrame, relations: DataFrame) -> DataFrame:
-    """G7. (entity_key, role, other): parent_law, child, sibling (through any
-    shared parent), parent_document and child_document; an article inherits
-    its document's family. Siblings are made for the asked keys alone."""
-    k = keys.select(norm_key(F.col("entity_key")).alias("entity_key")).distinct()
-    rel = relations.where(F.col("relation_type").isin(*R.IMPLEMENTING)).select("from_key", "to_key").distinct()
-    everything = relations.select("from_key", "to_key").distinct()
-    role = lambda df, name: df.select("entity_key", F.lit(name).alias("role"), F.col("other")).distinct()
-    parents = k.join(rel, k["entity_key"] == rel["from_key"]).select("entity_key", F.col("to_key").alias("other"))
-    children = k.join(rel, k["entity_key"] == rel["to_key"]).select("entity_key", F.col("from_key").alias("other"))
-    shared = parents.withColumnRenamed("other", "to_key").join(everything, "to_key").where("from_key <> entity_key")
-    siblings = shared.select("entity_key", F.col("from_key").alias("other"))
-    docs = _document_level(relations)
+#: The roles of G7.
+ROLES = ("parent_law", "child", "sibling", "parent_document", "child_document")
+
+
+def entity_context(keys: DataFrame, relations: DataFrame, roles: tuple[str, ...] = ROLES) -> DataFrame:
+    """G7. (entity_key, role, other) of the named roles: parent_law, child, sibling
+    (through any shared parent), parent_document and child_document; an article
+    inherits its document's family. Siblings are made for the asked keys alone.
+
+    Keys and edges are stored once, each combined; then only siblings can be found
+    twice."""
+    k = _stored(keys.select("entity_key").distinct().select(norm_key(F.col("entity_key")).alias("entity_key")).distinct())
+    named = F.col("relation_type").isin(*R.IMPLEMENTING)
+    plain = ~F.col("from_key").contains("#") & ~F.col("to_key").contains("#")
+    edges = relations.groupBy("from_key", "to_key").agg(F.coalesce(F.bool_or(named), F.lit(False)).alias("named"), F.coalesce(F.bool_or((F.col("relation_type") == "authority_of") & plain), F.lit(False)).alias("document"))
+    edges = _stored(edges)
+    rel, docs = edges.where("named").select("from_key", "to_key"), edges.where("document").select("from_key", "to_key")
+    found = {}
+    if "parent_law" in roles or "sibling" in roles:
+        parents = k.join(rel, k["entity_key"] == rel["from_key"]).select("entity_key", F.col("to_key").alias("other"))
+        found["parent_law"] = parents
+    if "sibling" in roles:
+        shared = parents.withColumnRenamed("other", "to_key").join(edges.select("from_key", "to_key"), "to_key").where("from_key <> entity_key")
+        found["sibling"] = shared.select("entity_key", F.col("from_key").alias("other")).distinct()
+    if "child" in roles:
+        found["child"] = k.join(rel, k["entity_key"] == rel["to_key"]).select("entity_key", F.col("from_key").alias("other"))
     stems = k.withColumn("stem", document_stem(F.col("entity_key")))
-    up = stems.join(docs, stems["stem"] == docs["from_key"]).select("entity_key", F.col("to_key").alias("other"))
-    down = stems.join(docs, stems["stem"] == docs["to_key"]).select("entity_key", F.col("from_key").alias("other"))
-    named = {"parent_law": parents, "child": children, "sibling": siblings, "parent_document": up, "child_document": down}
-    out = None
-    for name, df in named.items():
-        out = role(df, name) if out is None else out.union(role(df, name))
-    return out
+    if "parent_document" in roles:
+        found["parent_document"] = stems.join(docs, stems["stem"] == docs["from_key"]).select("entity_key", F.col("to_key").alias("other"))
+    if "child_document" in roles:
+        found["child_document"] = stems.join(docs, stems["stem"] == docs["to_key"]).select("entity_key", F.col("from_key").alias("other"))
+    return reduce(DataFrame.union, [found[r].select("entity_key", F.lit(r).alias("role"), "other") for r in roles])
 
 
 #: Seeds that are followed together, one a bit of a long.

@@ -2,7 +2,8 @@
 
 import random
 
-from lexlake.operators import forest, graph
+from lexlake import refdata as R
+from lexlake.operators import dashboard, forest, graph
 
 
 def plain_forest(nodes):
@@ -70,3 +71,33 @@ def test_impact_of_many_seeds(spark):
     got = graph.impact_spread(frame, relations, 4).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 500
     assert graph.impact_spread(frame, relations.where("false"), 4).count() == 0
+
+
+def small_graph(spark, folder, seed):
+    rnd = random.Random(seed)
+    node = lambda: rnd.choice(["", "臺"]) + f"K{rnd.randrange(9)}" + rnd.choice(["", "", "#1"])
+    edges = [(node().replace("臺", "台"), node().replace("臺", "台"), rnd.choice(["authority_of", "interprets", "cites", None])) for _ in range(60)]
+    spark.createDataFrame(edges, "from_key string, to_key string, relation_type string").write.parquet(folder)
+    keys = [node() for _ in range(12)] + ["nobody", None]
+    return spark.createDataFrame([(k,) for k in keys], "entity_key string"), keys, edges
+
+
+def plain_context(keys, edges):
+    out = set()
+    for key in {k.replace("臺", "台") for k in keys if k is not None}:
+        named = [(a, b) for a, b, t in edges if t in R.IMPLEMENTING]
+        docs = [(a, b) for a, b, t in edges if t == "authority_of" and "#" not in a + b]
+        parents = {b for a, b in named if a == key}
+        out |= {(key, "parent_law", b) for b in parents} | {(key, "child", a) for a, b in named if b == key}
+        out |= {(key, "sibling", a) for a, b, _ in edges if b in parents and a != key}
+        stem = key.split("#")[0]
+        out |= {(key, "parent_document", b) for a, b in docs if a == stem} | {(key, "child_document", a) for a, b in docs if b == stem}
+    return out
+
+
+def test_context_reads_relations_once(spark, tmp_path):
+    asked, keys, edges = small_graph(spark, str(tmp_path / "relations"), 3)
+    found = graph.entity_context(asked, spark.read.parquet(str(tmp_path / "relations")))
+    assert not [f for f in found.inputFiles() if "relations" in f]
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plain_context(keys, edges)
