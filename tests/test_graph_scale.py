@@ -101,3 +101,19 @@ def test_context_reads_relations_once(spark, tmp_path):
     assert not [f for f in found.inputFiles() if "relations" in f]
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == plain_context(keys, edges)
+
+
+def test_analysis_inputs_make_only_their_roles(spark, tmp_path):
+    asked, keys, edges = small_graph(spark, str(tmp_path / "relations"), 5)
+    changes = spark.createDataFrame([(i, i, 1, 2, k) for i, k in enumerate(keys)], "change_id long, document_id long, from_snapshot_id long, to_snapshot_id long, node_key string")
+    documents = spark.createDataFrame([(0, "t")], "document_id long, title string")
+    provisions = spark.createDataFrame([(2, keys[0], 1, "new")], "snapshot_id long, node_key string, ordinal int, text string")
+    evidence = spark.createDataFrame([], "change_id long, rank int, origin string, title string, snippet string, url string")
+    out = dashboard.analysis_inputs(changes, documents, provisions, spark.read.parquet(str(tmp_path / "relations")), evidence)
+    assert "_document" not in out._jdf.queryExecution().optimizedPlan().toString().replace("document_id", "")
+    want = plain_context(keys, edges)
+    for r in out.collect():
+        key = r.node_key and r.node_key.replace("臺", "台")
+        for role in ("parent_law", "child", "sibling"):
+            assert r[role] == (sorted(o for k, n, o in want if (k, n) == (key, role)) or None)
+        assert r.new_text == ("new" if r.node_key == keys[0] else None)
