@@ -165,20 +165,28 @@ def official_evidence(documents: DataFrame, library: DataFrame, n: int = 3, days
     were published within ``days`` of it; the newest n. Core titles meet the
     titles of a month that hold their rarest piece in it, so no two meet that
     share the month alone. Documents without a date or a core title have only
-    what their number finds."""
+    what their number finds.
+
+    Documents of one number, or of one core title and day, have the same answer, so
+    it is found once for them all; and of the entries of one title and day none but
+    the newest n can be in it."""
+    order = [F.desc("pub_date"), F.col("lib_title"), F.col("number")]
+    newest = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n).drop("r")
     lib = library.select(F.col("title").alias("lib_title"), norm_docnum(F.col("document_number")).alias("number"), "pub_date")
     docs = documents.select("document_id", norm_docnum(F.col("external_id")).alias("number"), core_title(F.col("title")).alias("core"), "issued_at")
-    numbered = docs.where("number <> ''").join(lib.where("number <> ''"), "number").select("document_id", "lib_title", "number", "pub_date")
+    numbered = docs.where("number <> ''").join(newest(lib.where("number <> ''"), "number"), "number").select("document_id", "lib_title", "number", "pub_date")
     left = docs.join(numbered.select("document_id").distinct(), "document_id", "left_anti").where("issued_at is not null and core <> ''")
     month = lambda c: F.year(c) * 12 + F.month(c)
     reach = days // 28 + 1
-    left = left.withColumn("m", F.explode(F.sequence(month("issued_at") - reach, month("issued_at") + reach))).drop("number")
-    dated = lib.where("pub_date is not null").withColumn("m", month("pub_date"))
-    held = containing(left.select("m", F.col("core").alias("query")).distinct(), dated.select("m", F.col("lib_title").alias("text")).distinct(), ["m"])
-    near = left.join(held.withColumnsRenamed({"query": "core", "text": "lib_title"}), ["m", "core"]).join(dated, ["m", "lib_title"]).where(F.abs(F.datediff("issued_at", "pub_date")) <= days)
+    left = left.select("document_id", "core", F.to_date("issued_at").alias("day"))
+    asked = left.select("core", "day").distinct().withColumn("m", F.explode(F.sequence(month("day") - reach, month("day") + reach)))
+    dated = newest(lib.where("pub_date is not null").withColumn("pub_day", F.to_date("pub_date")), "lib_title", "pub_day").withColumn("m", month("pub_day"))
+    held = containing(asked.select("m", F.col("core").alias("query")).distinct(), dated.select("m", F.col("lib_title").alias("text")).distinct(), ["m"])
+    near = asked.join(held.withColumnsRenamed({"query": "core", "text": "lib_title"}), ["m", "core"]).join(dated, ["m", "lib_title"]).where(F.abs(F.datediff("day", "pub_day")) <= days)
+    near = left.join(newest(near, "core", "day"), ["core", "day"])
     both = numbered.union(near.select("document_id", "lib_title", "number", "pub_date"))
-    w = Window.partitionBy("document_id").orderBy(F.desc("pub_date"), "lib_title", "number")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("document_id", "rank", F.col("lib_title").alias("title"), F.col("number").alias("document_number"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)))
+    return ranked.where(F.col("rank") <= n).select("document_id", "rank", F.col("lib_title").alias("title"), F.col("number").alias("document_number"))
 
 
 def plan_queries(changes: DataFrame, documents: DataFrame, cache: DataFrame, floor: str, ttl_days: int, cap: int, as_of: Column) -> DataFrame:
