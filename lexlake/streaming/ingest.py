@@ -14,19 +14,21 @@ time. The tables are Parquet:
               that holds, and the one that it replaced
 
 So what a batch reads and writes goes with the documents and buckets that it
-touches and not with history. A batch that was killed, or runs again as the last
+touches and not with history. Texts are shuffled once, by bucket; the tables are
+written from that, which executors keep on their disks meanwhile. A batch that was killed, or runs again as the last
 one, starts from the commit before it and replaces all it wrote (by dynamic
 partition overwrite). A generation is removed one batch after it was replaced.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexlake.operators.normalize import hash_documents
+from lexlake.operators.normalize import lines_hash
 from lexlake.operators.versions import detect_changes
 
 FETCHES = "document_id long, fetched_at timestamp, issued_at timestamp, ordinal int, node_key string, heading string, text string"
@@ -34,6 +36,9 @@ SNAPSHOTS = "snapshot_id long, document_id long, fetched_at timestamp, issued_at
 PROVISIONS = "snapshot_id long, document_id long, ordinal int, node_key string, heading string, text string, batch long"
 LATEST = "document_id long, snapshot_id long, fetched_at timestamp, content_hash string, ordinal int, node_key string, heading string, text string"
 COMMITS = "bucket int, generation long, replaced long"
+LINE = ["ordinal", "node_key", "heading", "text"]
+#: Of the stored tables, which are mostly text.
+CODEC = "zstd"
 #: Buckets of the latest versions. It is fixed for a table once it has rows.
 BUCKETS = 64
 
@@ -81,8 +86,8 @@ def apply_batch(fetches: DataFrame, batch: int, out: str, threshold: float | Non
     several fetches of a document in a batch each is compared with the one
     before it. A batch without rows only commits."""
     spark = fetches.sparkSession
-    by = ["document_id", "fetched_at"]
-    put = lambda df, table: df.write.mode("overwrite").parquet(f"{out}/{table}/batch={batch}")
+    by = ["bucket", "document_id"]
+    put = lambda df, table: df.write.mode("overwrite").option("compression", CODEC).parquet(f"{out}/{table}/batch={batch}")
     before = _pointers(spark, out, batch)
     for bucket, (_, replaced) in before.items():
         if replaced is not None:  # by the batch before, which runs no more
@@ -91,36 +96,41 @@ def apply_batch(fetches: DataFrame, batch: int, out: str, threshold: float | Non
     touched = sorted(r["bucket"] for r in fetches.select(of.alias("bucket")).distinct().collect())  # BUCKETS rows at most
     held = [f"{out}/latest/bucket={b}/generation={before[b][0]}" for b in touched if b in before]
     last = spark.read.schema(LATEST).parquet(*held) if held else spark.createDataFrame([], LATEST)
-    head = last.groupBy("document_id").agg(F.first(F.struct("snapshot_id", "fetched_at", "content_hash")).alias("h"))  # all rows of a document agree
-    head = head.select("document_id", F.col("h.snapshot_id").alias("last_id"), F.col("h.fetched_at").alias("last_at"), F.col("h.content_hash").alias("before"))
-
-    hashes = hash_documents(fetches, by).drop("n_provisions").join(fetches.groupBy(*by).agg(F.max("issued_at").alias("issued_at")), by)
-    fresh = hashes.withColumn("snapshot_id", F.xxhash64("document_id", F.unix_micros("fetched_at"), "content_hash"))
-    w = Window.partitionBy("document_id").orderBy("fetched_at")
-    fresh = fresh.join(head, "document_id", "left").withColumn("previous", F.coalesce(F.lag("content_hash").over(w), "before"))
-    put(fresh.where(~F.col("previous").eqNullSafe(F.col("content_hash"))).select(*_names(SNAPSHOTS)[:-1]), "snapshots")
-    mine = spark.read.schema(SNAPSHOTS).parquet(f"{out}/snapshots/batch={batch}").drop("batch")
-    put(fetches.join(mine.select(*by, "snapshot_id"), by).select(*_names(PROVISIONS)[:-1]), "provisions")
-    provisions = spark.read.schema(PROVISIONS).parquet(f"{out}/provisions/batch={batch}").drop("batch")
-
-    # Each new snapshot is compared with its document's one before, which may be the last version.
-    changed = mine.select("document_id").distinct()
-    known = head.join(changed, "document_id", "left_semi").select("document_id", F.col("last_id").alias("snapshot_id"), F.col("last_at").alias("fetched_at"))
-    columns = ["snapshot_id", "ordinal", "node_key", "heading", "text"]
-    nodes = provisions.select(*columns).union(last.join(changed, "document_id", "left_semi").select(*columns))
-    put(detect_changes(mine.select("document_id", "snapshot_id", "fetched_at").union(known), nodes, threshold), "changes")
-
-    # The next generation: whichever version was fetched last, of every document of the bucket.
-    newest = mine.groupBy("document_id").agg(F.max_by(F.struct("snapshot_id", "fetched_at", "content_hash"), "fetched_at").alias("n"))
-    newest = newest.join(head.select("document_id", "last_at"), "document_id", "left").where("last_at is null or n.fetched_at > last_at").select("document_id", "n.*")
-    kept = last.join(newest.select("document_id"), "document_id", "left_anti").select(*_names(LATEST))
-    rows = kept.union(newest.join(provisions.drop("document_id"), "snapshot_id").select(*_names(LATEST)))
-    rows = rows.withColumn("bucket", of).withColumn("generation", F.lit(batch).cast("long")).repartition("bucket").sortWithinPartitions("bucket", "document_id", "ordinal")
-    rows.write.partitionBy("bucket", "generation").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{out}/latest")
+    versions = _versions(fetches, last, of).persist(StorageLevel.DISK_ONLY)
+    try:
+        lines = F.inline(F.transform("lines", lambda x: F.struct(*[x[c].alias(c) for c in LINE])))
+        mine = versions.where(~F.col("held"))
+        put(mine.select(*_names(SNAPSHOTS)[:-1]), "snapshots")
+        put(mine.select("snapshot_id", "document_id", lines), "provisions")
+        # Each new snapshot is compared with its document's one before, which may be the last version.
+        put(detect_changes(versions.select(*by, "snapshot_id", "fetched_at", "lines"), None, threshold, True, by), "changes")
+        # The next generation: whichever version was fetched last, of every document of the bucket.
+        newest = Window.partitionBy(*by).orderBy(F.desc("fetched_at"), F.desc("held"))
+        rows = versions.withColumn("r", F.row_number().over(newest)).where("r = 1").select("bucket", F.lit(batch).cast("long").alias("generation"), "document_id", "snapshot_id", "fetched_at", "content_hash", lines)
+        rows = rows.sortWithinPartitions("bucket", "generation", "document_id", "ordinal").select(*_names(LATEST), "bucket", "generation")
+        rows.write.partitionBy("bucket", "generation").mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "dynamic").parquet(f"{out}/latest")
+    finally:
+        versions.unpersist()
     after = [(b, g, None) for b, (g, _) in before.items() if b not in touched] + [(b, batch, before[b][0] if b in before else None) for b in touched]
     put(spark.createDataFrame(after, COMMITS).coalesce(1), "commits")
 
 
+def _versions(fetches: DataFrame, last: DataFrame, bucket: Column) -> DataFrame:
+    """The new versions among the fetches, and the last ones (``held``) of their
+    buckets: one row a version, with its provisions in order (``lines``), dealt
+    by bucket. This is the only time that texts are shuffled."""
+    none = lambda kind: F.lit(None).cast(kind)
+    fetched = fetches.dropna(subset=["document_id", "fetched_at"]).select("document_id", "fetched_at", "issued_at", none("long").alias("snapshot_id"), none("string").alias("content_hash"), F.lit(False).alias("held"), *LINE)
+    kept = last.select("document_id", "fetched_at", none("timestamp").alias("issued_at"), "snapshot_id", "content_hash", F.lit(True).alias("held"), *LINE)
+    rows = fetched.union(kept).withColumn("bucket", bucket).repartition("bucket").groupBy("bucket", "document_id", "held", "fetched_at")
+    rows = rows.agg(*[F.max(c).alias(c) for c in ("issued_at", "snapshot_id", "content_hash")], F.sort_array(F.collect_list(F.struct("ordinal", "text", "node_key", "heading"))).alias("lines"))
+    rows = rows.withColumn("content_hash", F.coalesce("content_hash", lines_hash(F.col("lines"))))
+    rows = rows.withColumn("snapshot_id", F.coalesce("snapshot_id", F.xxhash64("document_id", F.unix_micros("fetched_at"), "content_hash")))
+    # A fetch is compared with the one before it in the batch, the first one with the last version.
+    previous = F.lag("content_hash").over(Window.partitionBy("bucket", "document_id").orderBy(F.desc("held"), "fetched_at"))
+    return rows.withColumn("previous", previous).where(F.col("held") | ~F.col("previous").eqNullSafe(F.col("content_hash"))).drop("previous")
+
+
 def ingest_stream(spark: SparkSession, landing_dir: str, out: str, checkpoint: str, threshold: float | None = 0.9, once: bool = True) -> StreamingQuery:
     """T1. Follows the Parquet files of FETCHES rows in ``landing_dir``; a
     document's fetch lies whole in one file. ``once`` takes what is there and ends."""
