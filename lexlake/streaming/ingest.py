@@ -39,8 +39,9 @@ COMMITS = "bucket int, generation long, replaced long"
 LINE = ["ordinal", "node_key", "heading", "text"]
 #: Of the stored tables, which are mostly text.
 CODEC = "zstd"
-#: Buckets of the latest versions. It is fixed for a table once it has rows.
-BUCKETS = 64
+#: Buckets of the latest versions; a task holds one at least. It is fixed for a table
+#: once it has rows (tables made with 64 buckets need that number here).
+BUCKETS = 256
 
 
 def _names(schema: str) -> list[str]:
