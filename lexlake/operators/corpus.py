@@ -66,11 +66,11 @@ def corpus_lookup(keys: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def index_corpus(corpus: DataFrame, path: str) -> None:
     """E2. The stored index of titles and contents that ``corpus_search`` reads."""
-    textindex.build_index(corpus.select("title", "content", "document_number", "written_date"), path, ["title", "content"], _best_first())
+    textindex.build_index(corpus.select("title", "content", "document_number", "written_date"), path, ["title", "content"], _BEST_FIRST)
 
 
-def _best_first() -> list[Column]:
-    return [F.desc_nulls_last("written_date"), F.col("document_number"), F.col("title")]
+#: Newest first; a column and whether it falls.
+_BEST_FIRST = [("written_date", True), ("document_number", False), ("title", False)]
 
 
 def corpus_search(queries: DataFrame, index: str, limit: int = 10) -> DataFrame:
@@ -78,7 +78,7 @@ def corpus_search(queries: DataFrame, index: str, limit: int = 10) -> DataFrame:
     ``index`` (see ``index_corpus``): title hits before content hits, newest
     first, at most ``limit`` a query. Queries under two characters and null ones
     find nothing."""
-    found = textindex.search(queries.sparkSession, queries, index, "title", _best_first(), limit, ["title", "content"])
+    found = textindex.search(queries.sparkSession, queries, index, "title", _BEST_FIRST, limit, ["title", "content"])
     return found.select("query_id", "title", "document_number", "in_title", "rank")
 
 

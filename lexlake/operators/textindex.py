@@ -3,33 +3,42 @@
 ``build_index`` writes three Parquet tables under a folder that all executors
 can reach:
 
-  documents  id and the columns of the indexed rows
-  postings   bucket, gram, segment, ids: the ascending ids, of one segment of
-             ``SEGMENT`` neighbouring ids, whose text holds the gram
+  documents  id and the columns of the indexed rows; of more than ``FIRST`` rows
+             also tier, see below
   grams      gram, texts: how many texts hold it
+  postings   bucket, gram, segment, ids: the ascending ids, of one segment of
+             ``SEGMENT`` neighbouring ids, whose text holds the gram; of grams
+             that a lookup can read, those in ``LISTED`` * ``LONGER`` texts or
+             fewer (and a few that the bit set takes for such)
 
 A gram is ``GRAM`` neighbouring characters. Rows of ``postings`` lie by bucket
 (a hash of the gram) and in order of the gram within it, so a lookup reads a few
-row groups. A list never holds more than a segment's ids, however common its
-gram is.
-
-A term with a rare gram is looked up: ``_listed`` intersects the lists of its
-rarest grams segment by segment, and the candidates are verified against the
-texts. The lists of the others would grow with the number of terms times that of
-texts, so ``_scanned`` looks for all of them together in one pass over the texts:
-tasks get a bit set of fixed size of the terms' beginnings and pass on what it
-holds, each string no oftener than it can rank.
+row groups. A list never holds more than a segment's ids.
+
+Every row of a tier ranks before, or equal to, all rows of the next one, and each
+tier is about ``GROWTH`` - 1 times as large as those before it together.
+
+The terms with the rarest grams are looked up, as many as lead to ``NAMED`` texts:
+``_listed`` intersects the lists of a term's rarest grams segment by segment, and
+the candidates are verified against the texts. The lists of the others would grow
+with the number of terms times that of texts, so ``_scanned`` looks for all of
+them together in one pass over the texts, tier by tier: tasks get bit sets of fixed
+size of the terms' beginnings and of the whole terms and pass on what both hold.
+A term that has found as many rows as it can rank is left out from the next tier
+on, so a term passes on about ``GROWTH`` times as many rows, however many texts
+there are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexlake.shared import short_batches
@@ -43,52 +52,107 @@ SEGMENT = 1 << 16
 RAREST, LONGER = 3, 8
 #: Texts that may hold a term's rarest gram for the term to be looked up.
 LISTED = 64
+#: Texts that the terms of a search may have looked up for them.
+NAMED = 1 << 16
+#: Rows of the first tier, about, and of each next one with all before it as a multiple
+#: of those; rows whose order settles where tiers end.
+FIRST, GROWTH, SAMPLE = 2048, 4, 16384
 #: Up to this length a term is its own beginning; that of a longer one is the
 #: greatest power of two of its characters.
 WHOLE = 8
 #: Rows of a file of texts, so that small tables are scanned by many tasks too.
 FILE_ROWS = 4096
-#: Bits of the set of beginnings (8 MB): a power of two of 2^15 or more.
+#: Bits of a set of strings (8 MB): a power of two of 2^15 or more.
 BITS = 1 << 26
 #: Folders that the postings are dealt to.
 BUCKETS = 64
-#: Stands behind a text, so that its last characters begin a gram as well, and
-#: between the parts of a text.
-_END, _BETWEEN = "\0", "\1"
+#: Stands between the parts of a text.
+_BETWEEN = "\1"
 
 
 def _bucket(gram: Column | str) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def build_index(rows: DataFrame, path: str, text_cols: list[str], order: list[Column]) -> None:
+def _sorted(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.desc_nulls_last(c) if falling else F.asc_nulls_first(c) for c, falling in order]
+
+
+def _before(order: list[tuple[str, bool]], row: Row) -> Column:
+    """Whether a row ranks before the given one."""
+    out = F.lit(False)
+    for (name, falling), value in reversed([*zip(order, row)]):
+        c = F.col(name)
+        if value is None:
+            before = c.isNotNull() if falling else F.lit(False)
+        else:
+            before = F.coalesce(c > F.lit(value), F.lit(False)) if falling else F.coalesce(c < F.lit(value), F.lit(True))
+        out = before | (c.eqNullSafe(F.lit(value)) & out)
+    return out
+
+
+def _tier(rows: DataFrame, order: list[tuple[str, bool]]) -> Column | None:
+    """The tier of a row; null if one is enough. A sample settles where tiers end,
+    so that their sizes are approximate but not what lies in them."""
+    keys = rows.select(*[c for c, _ in order])
+    n = keys.count()
+    if n <= FIRST:
+        return None
+    sample, end, tier, k = keys.orderBy(F.rand(0)).limit(SAMPLE).orderBy(*_sorted(order)).collect(), FIRST, None, 0
+    while end < n:
+        last = _before(order, sample[max(1, len(sample) * end // n)])
+        tier = F.when(last, k) if tier is None else tier.when(last, k)
+        end, k = end * GROWTH, k + 1
+    return tier.otherwise(k)
+
+
+def build_index(rows: DataFrame, path: str, text_cols: list[str], order: list[tuple[str, bool]]) -> None:
     """Indexes the texts of ``text_cols`` of all rows; nulls are empty. Repeated
-    rows are indexed as often as they come. Each file holds its rows by ``order``,
-    in which ``search`` ranks them. ``path`` must be new."""
+    rows are indexed as often as they come. ``order`` names the columns by which
+    ``search`` ranks rows, each with whether it falls (nulls last) or rises (nulls
+    first); each file holds its rows in that order. ``path`` must be new."""
     spark = rows.sparkSession
     short_batches(spark)
-    rows.sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/documents")
+    tier = _tier(rows, order)
+    tiers = [] if tier is None else ["tier"]
+    rows = rows if tier is None else rows.withColumn("tier", tier)
+    rows = rows.sortWithinPartitions(*tiers, *_sorted(order)).withColumn("id", F.monotonically_increasing_id())
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").partitionBy(*tiers).parquet(f"{path}/documents")
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text_cols]
     texts = spark.read.parquet(f"{path}/documents").select("id", F.concat_ws(_BETWEEN, *parts).alias("text"))
-    low = SEGMENT.bit_length() - 1
+    low, width = SEGMENT.bit_length() - 1, 21  # bits of a character
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+                found.append(np.unique(sum(chars[k : len(chars) - GRAM + 1 + k] << width * (GRAM - 1 - k) for k in range(GRAM))))
+            if found:
+                codes, n = np.unique(np.concatenate(found), return_counts=True)
+                chars = np.stack([codes >> width * (GRAM - 1 - k) & (1 << width) - 1 for k in range(GRAM)], axis=1)
+                run = chars.astype("<u4").tobytes().decode("utf-32-le")
+                yield pa.record_batch([pa.array([run[k : k + GRAM] for k in range(0, len(run), GRAM)], pa.string()), pa.array(n, pa.int64())], names=["gram", "texts"])
+
+    counts = texts.select("text").mapInArrow(count, "gram string, texts long")
+    counts.groupBy("gram").agg(F.sum("texts").alias("texts")).write.parquet(f"{path}/grams")
+    rare = spark.read.parquet(f"{path}/grams").where(F.col("texts") <= LISTED * LONGER).select("gram")
+    known, lengths = _bit_set(rare), _by_size([GRAM])
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists of a batch, so that a gram is shuffled once for many texts."""
         for batch in batches:
             lists: dict[tuple[str, int], list[int]] = defaultdict(list)
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text, segment = text + _END * (GRAM - 1), i >> low
-                for gram in {text[k : k + GRAM] for k in range(len(text) - GRAM + 1)}:
-                    lists[gram, segment].append(i)
+                for gram in set(_strings(text, lengths, known.value)):
+                    lists[gram, i >> low].append(i)
             grams, segments = zip(*lists) if lists else ((), ())
             yield pa.record_batch([pa.array(grams, pa.string()), pa.array(segments, pa.int64()), pa.array(list(lists.values()), pa.list_(pa.int64()))], names=["gram", "segment", "ids"])
 
-    lists = texts.mapInArrow(invert, "gram string, segment long, ids array<long>")
-    whole = lists.groupBy("gram", "segment").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
-    whole = whole.withColumn("bucket", _bucket("gram")).repartition("bucket", "segment").sortWithinPartitions("bucket", "gram", "segment")
-    whole.write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("gram").agg(F.sum(F.size("ids")).alias("texts")).write.parquet(f"{path}/grams")
+    lists = texts.mapInArrow(invert, "gram string, segment long, ids array<long>").withColumn("bucket", _bucket("gram"))
+    whole = lists.repartition("bucket", "segment").groupBy("bucket", "gram", "segment").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    whole.sortWithinPartitions("bucket", "gram", "segment").write.partitionBy("bucket").parquet(f"{path}/postings")
+    known.unpersist()
 
 
 def _grams(path: str, terms: DataFrame) -> DataFrame:
@@ -101,116 +165,181 @@ def _grams(path: str, terms: DataFrame) -> DataFrame:
 
 def _listed(grams: DataFrame, path: str) -> DataFrame:
     """(query, id): the texts that hold the rarest grams of each term, a superset
-    of those that hold the term."""
-    postings = grams.sparkSession.read.parquet(f"{path}/postings")
+    of those that hold the term. ``grams`` are of ``NAMED`` terms at most."""
+    postings = grams.sparkSession.read.schema("gram string, segment long, ids array<long>, bucket int").parquet(f"{path}/postings")
     rare = Window.partitionBy("query").orderBy("texts", "gram")
     chosen = grams.withColumn("r", F.row_number().over(rare)).withColumn("least", F.min("texts").over(Window.partitionBy("query")))
     chosen = chosen.where((F.col("r") <= RAREST) & (F.col("texts") <= LONGER * F.col("least")))
     chosen = chosen.withColumn("lists", F.max("r").over(Window.partitionBy("query"))).select("query", "gram", "lists", _bucket("gram").alias("bucket"))
-    met = chosen.join(postings, ["bucket", "gram"]).groupBy("query", "segment", "lists").agg(F.collect_list("ids").alias("found")).where(F.size("found") == F.col("lists"))
+    met = F.broadcast(chosen).join(postings, ["bucket", "gram"]).groupBy("query", "segment", "lists").agg(F.collect_list("ids").alias("found")).where(F.size("found") == F.col("lists"))
     common = F.aggregate(F.slice("found", 2, RAREST), F.element_at("found", 1), lambda a, b: F.array_intersect(a, b))
     return met.select("query", F.explode(common).alias("id"))
 
 
-def _windows(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of the ascending sizes a hash of every stretch of so many characters."""
+#: What hashes are mixed with; where in its hash a string's places in a bit set begin.
+_ODD, _MIX, _SHIFTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), (0, 19, 37)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * _MIX
 
-    def mix(x: np.ndarray) -> np.ndarray:
-        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    n, odd = len(text), np.uint64(0x9E3779B97F4A7C15)
-    h, w = mix(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) * odd + odd), 1
+def _windows(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ascending sizes a hash of every stretch of so many characters."""
+    n = len(text)
+    h, w = _mixed(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) * _ODD + _ODD), 1
     for size in sizes:
         if size > n:
             return
         while 2 * w <= size:  # two halves
-            h, w = mix(h[:-w] * odd + h[w:]), 2 * w
-        h_size = mix(h[: n - size + 1] * odd + h[size - w : n - w + 1])  # two pieces that may overlap
+            h, w = _mixed(h[:-w] * _ODD + h[w:]), 2 * w
+        h_size = _mixed(h[: n - size + 1] * _ODD + h[size - w : n - w + 1])  # two pieces that may overlap
         yield size, h_size ^ (h_size >> np.uint64(32))
 
 
-#: Where in its hash a string's places in the bit set begin.
-_SHIFTS = (0, 19, 37)
+def _whole(hashes: np.ndarray, at: np.ndarray, rest: int) -> np.ndarray:
+    """Hashes of the strings that begin at ``at`` and are ``rest`` characters longer
+    than those of ``hashes``, up to twice as long."""
+    h = _mixed(hashes[at] * _ODD + hashes[at + rest])
+    return h ^ (h >> np.uint64(32))
 
 
-def _scanned(terms: DataFrame, path: str, text_cols: list[str], limit: int) -> DataFrame:
-    """(query, id, led): texts that hold each term, among them the best ``limit``;
-    ``led``: in the first column. A task passes on no string more than ``limit``
-    times for a file and column, since rows of a file lie in the order of ranks."""
-    spark, mask = terms.sparkSession, BITS - 1
-    place_of = lambda hashes, shift: (hashes >> np.uint64(shift)).astype(np.int64) & mask
-    size = F.when(F.length("query") < WHOLE, F.length("query")).otherwise(F.expr("shiftleft(1, CAST(floor(log2(length(query))) AS INT))"))
-    terms = terms.select("query", size.alias("size")).withColumn("start", F.expr("left(query, size)"))
+def _by_size(lengths: list[int]) -> dict[int, list[int]]:
+    """The lengths by that of their beginnings, ascending."""
+    out: dict[int, list[int]] = defaultdict(list)
+    for n in sorted(lengths):
+        out[n if n < WHOLE else 1 << (n.bit_length() - 1)].append(n)
+    return dict(out)
+
+
+def _place(hashes: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(shift)).astype(np.int64) & (bits - 1)
+
+
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where the hashes are that the set may hold."""
+    at = np.arange(len(hashes))
+    for shift in _SHIFTS:
+        place = _place(hashes[at], shift, 8 * len(bits))
+        at = at[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
+    return at
+
+
+def _strings(text: str, lengths: dict[int, list[int]], bits: np.ndarray) -> Iterator[str]:
+    """The stretches of the text that the set may hold, of the lengths by size."""
+    for size, hashes in _windows(text, [*lengths]):
+        begun = _held(bits, hashes)
+        for n in lengths[size] if len(begun) else ():
+            at = begun[begun <= len(text) - n]
+            at = at[_held(bits, _whole(hashes, at, n - size))]
+            yield from {text[a : a + n] for a in at.tolist()}
+
+
+def _bit_set(strings: DataFrame) -> Broadcast:
+    """A set of ``BITS`` bits of the beginnings of the strings of the only column and
+    of the whole strings, for ``_strings``."""
+    n_bits, name = BITS, strings.columns[0]
+    size_of = {n: size for size, own in _by_size([r[0] for r in strings.select(F.length(name)).distinct().collect()]).items() for n in own}  # by length
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [next(_windows(t, [len(t)]))[1] for t in batch.column(0).to_pylist()]
-            if hashes:
-                flat = np.concatenate(hashes)
-                yield pa.record_batch([pa.array(np.concatenate([place_of(flat, s) for s in _SHIFTS]) + 1)], names=["place"])
-
-    sizes = sorted(r["size"] for r in terms.select("size").distinct().collect())  # WHOLE and a few more
-    reach = {s: s if s < WHOLE else 2 * s - 1 for s in sizes}  # characters from a beginning on that decide on all its terms
-    marked = terms.select("start").distinct().mapInArrow(places, "place long")
-    pages = marked.groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # BITS in all
-    bits = np.zeros(BITS // 8, np.uint8)
-    for page in pages:
+            by_length: dict[int, list[str]] = defaultdict(list)
+            for string in batch.column(0).to_pylist():
+                by_length[len(string)].append(string)
+            for n, own in by_length.items():
+                hashes, at = next(_windows("".join(own), [size_of[n]]))[1], np.arange(0, n * len(own), n)
+                flat = np.concatenate([hashes[at], _whole(hashes, at, n - size_of[n])])
+                yield pa.record_batch([pa.array(np.concatenate([_place(flat, s, n_bits) for s in _SHIFTS]) + 1)], names=["place"])
+
+    marked = strings.mapInArrow(places, "place long")
+    pages = marked.groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for page in pages.collect():  # BITS in all
         bits[(page["page"] - 1) * 4096 : page["page"] * 4096] = np.frombuffer(page["bits"], np.uint8)
-    known, of_byte = spark.sparkContext.broadcast(bits), (1 << np.arange(8)).astype(np.uint8)
+    return strings.sparkSession.sparkContext.broadcast(bits)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, last, seen = known.value, -1, Counter()
 
-        def held(hashes: np.ndarray, shift: int) -> np.ndarray:
-            place = place_of(hashes, shift)
-            return np.flatnonzero(bits[place >> 3] & of_byte[place & 7])
+def _passed_on(documents: DataFrame, text_cols: list[str], lengths: dict[int, list[int]], sets: list[Broadcast], limit: int) -> DataFrame:
+    """(query, id, led) of the strings in the sets, the first for the first column
+    (``led``) and the other for the rest, and of a few others. A task passes on no
+    string more than ``limit`` times for a file, since rows of a file lie in the
+    order of ranks; ``led`` rows count by themselves."""
+    first, others = sets
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = -1, Counter()
         for batch in batches:
-            out = []
-            ids = batch.column(0).to_pylist()
+            out: list[tuple[str, int, bool]] = []
             columns = [c.to_pylist() for c in batch.columns[1:]]
-            for k, i in enumerate(ids):
+            for k, i in enumerate(batch.column(0).to_pylist()):
                 if i <= last or i >> 33 != last >> 33:  # rows in order share the upper bits
                     seen = Counter()
-                last = i
-                for led, texts in zip([True] + [False] * len(columns), columns):
-                    text = texts[k] or ""
-                    for size, hashes in _windows(text, sizes):
-                        at = held(hashes, _SHIFTS[0])
-                        for shift in _SHIFTS[1:]:
-                            at = at[held(hashes[at], shift)]
-                        for string in {text[a : a + reach[size]] for a in at.tolist()}:
-                            if seen[size, led, string] < limit:
-                                seen[size, led, string] += 1
-                                out.append((string[:size], string, i, led))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["start", "string", "id", "led"]), schema=shape, preserve_index=False)
-
-    shape = pa.schema([("start", pa.string()), ("string", pa.string()), ("id", pa.int64()), ("led", pa.bool_())])
-    documents = spark.read.parquet(f"{path}/documents").select("id", *[F.col(c).cast("string") for c in text_cols])
-    found = documents.mapInArrow(scan, "start string, string string, id long, led boolean")
-    return terms.join(found, "start").where(F.startswith("string", "query")).select("query", "id", "led")
-
-
-def search(spark: SparkSession, queries: DataFrame, path: str, first: str, order: list[Column], limit: int, text_cols: list[str]) -> DataFrame:
+                last, own = i, set()
+                for c, texts in enumerate(columns):
+                    for string in _strings(texts[k] or "", lengths, (others if c else first).value):
+                        if string not in own and seen[c == 0, string] < limit:
+                            seen[c == 0, string] += 1
+                            out.append((string, i, c == 0))
+                        own.add(string)
+            strings, ids, led = zip(*out) if out else ((), (), ())
+            yield pa.record_batch([pa.array(strings, pa.string()), pa.array(ids, pa.int64()), pa.array(led, pa.bool_())], names=["query", "id", "led"])
+
+    return documents.select("id", *[F.col(c).cast("string") for c in text_cols]).mapInArrow(scan, _HITS)
+
+
+_HITS = "query string, id long, led boolean"
+
+
+def _scanned(terms: DataFrame, path: str, text_cols: list[str], limit: int) -> DataFrame:
+    """(query, id, led): texts that hold each term, among them the best ``limit``;
+    ``led``: in the first column. What a tier has is stored under ``path``. After
+    it a term with ``limit`` rows is looked for in the first column only, and one
+    with ``limit`` such rows no more: what is left ranks behind them."""
+    spark, documents = terms.sparkSession, terms.sparkSession.read.parquet(f"{path}/documents")
+    lengths = _by_size([r[0] for r in terms.select(F.length("query")).distinct().collect()])
+    if not lengths:
+        return spark.createDataFrame([], _HITS)
+    tiers = sorted(r["tier"] for r in documents.select("tier").distinct().collect()) if "tier" in documents.columns else []
+    known = _bit_set(terms)
+    if len(tiers) < 2:
+        return _passed_on(documents, text_cols, lengths, [known, known], limit).join(terms, "query")
+    sets, at = [known, known], f"{path}/found/{uuid.uuid4().hex}"
+    for tier in tiers:
+        _passed_on(documents.where(F.col("tier") == tier), text_cols, lengths, sets, limit).write.parquet(f"{at}/tier={tier}")
+        for known in sets:
+            known.unpersist()
+        found = spark.read.schema(_HITS).parquet(*[f"{at}/tier={t}" for t in tiers if t <= tier])
+        if tier != tiers[-1]:
+            counts = found.groupBy("query").agg(F.count("*").alias("n"), F.count_if("led").alias("n_led"))
+            counts = terms.join(counts, "query", "left")
+            sets = [_bit_set(counts.where(F.coalesce(n, F.lit(0)) < limit).select("query")) for n in ("n_led", "n")]
+    return found.join(terms, "query")
+
+
+def search(spark: SparkSession, queries: DataFrame, path: str, first: str, order: list[tuple[str, bool]], limit: int, text_cols: list[str]) -> DataFrame:
     """query_id, rank, the indexed columns and ``in_<first>`` of the best
     ``limit`` rows that hold each query of two characters or more: those with it
     in column ``first`` before the others, then by ``order``, the index's own."""
-    documents = spark.read.parquet(f"{path}/documents")
+    documents = spark.read.parquet(f"{path}/documents").drop("tier")
     terms = queries.where(F.length("query") >= GRAM - 1).select("query").distinct()
-    grams = _grams(path, terms)
     # A term with a gram that no text has is in none.
-    counted = grams.groupBy("query").agg(F.min("texts").alias("least"), F.count_if(F.col("texts").isNull()).alias("lacking"))
-    rare = counted.where(f"lacking = 0 and least <= {LISTED}").select("query")
-    rest = terms.join(counted.where(f"lacking > 0 or least <= {LISTED}").select("query"), "query", "left_anti")
+    counted = _grams(path, terms).groupBy("query").agg(F.min("texts").alias("least"), F.count_if(F.col("texts").isNull()).alias("lacking"))
+    asked = f"{path}/asked/{uuid.uuid4().hex}"
+    terms.join(counted, "query", "left").where("coalesce(lacking, 0) = 0").select("query", "least").write.parquet(asked)
+    terms, most, named = spark.read.parquet(asked), 0, 0
+    for r in terms.where(f"least <= {LISTED}").groupBy("least").count().orderBy("least").collect():
+        if (named := named + r["least"] * r["count"]) > NAMED:
+            break
+        most = r["least"]
+    rare, rest = terms.where(f"least <= {most}").select("query"), terms.where(f"least is null or least > {most}").select("query")
 
     contained = [F.coalesce(F.contains(F.col(c), F.col("query")), F.lit(False)) for c in text_cols]
-    listed = _listed(grams.join(rare, "query", "left_semi"), path).join(documents.select("id", *text_cols), "id")
+    listed = documents.select("id", *text_cols).join(F.broadcast(_listed(_grams(path, rare), path)), "id")
     listed = listed.select("query", "id", contained[text_cols.index(first)].alias("led"), F.greatest(*contained, F.lit(False)).alias("held")).where("held").drop("held")
-    scanned = _scanned(rest, path, [first, *[c for c in text_cols if c != first]], limit)
-    hits = listed.union(scanned.groupBy("query", "id").agg(F.bool_or("led")))
+    hits = listed.union(_scanned(rest, path, [first, *[c for c in text_cols if c != first]], limit))
 
     shown = documents.drop(*[c for c in text_cols if c != first])
     hits = hits.withColumnRenamed("led", f"in_{first}").join(shown, "id")
-    best = Window.partitionBy("query").orderBy(F.desc(f"in_{first}"), *order, "id")
+    best = Window.partitionBy("query").orderBy(F.desc(f"in_{first}"), *_sorted(order), "id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return queries.select("query_id", "query").join(ranked, "query").drop("query", "id")

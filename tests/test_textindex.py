@@ -66,3 +66,52 @@ def test_frequent_terms_shuffle_no_lists(spark, tmp_path):
     found = textindex._scanned(terms.select("query"), path, ["title", "content"], 5)
     assert found.count() <= 50 * 5 * spark.read.parquet(f"{path}/documents").select(F.shiftright("id", 33)).distinct().count()
     assert corpus.corpus_search(terms, path, 5).count() == 50 * 5
+
+
+@pytest.mark.parametrize("named", [1 << 16, 40, 0], ids=["listed", "some", "scanned"])
+def test_tiers_equal_scan(spark, tmp_path, monkeypatch, named):
+    for name, value in (("FIRST", 3), ("GROWTH", 2), ("SAMPLE", 50), ("NAMED", named)):
+        monkeypatch.setattr(textindex, name, value)
+    test_search_equals_scan(spark, tmp_path, monkeypatch, 1 << 16)
+    tiers = spark.read.parquet(str(tmp_path / "index/documents")).groupBy("tier").agg(F.min(F.coalesce("written_date", F.lit(-1))).alias("least"), F.max(F.coalesce("written_date", F.lit(-1))).alias("most"))
+    tiers = tiers.orderBy("tier").collect()
+    assert len(tiers) >= 4 and all(a.least >= b.most for a, b in zip(tiers, tiers[1:]))
+
+
+def frequent(spark, path, n, partitions):
+    """n documents in which each of 50 terms is, and titles for one more."""
+    every = F.concat_ws(" ", *[F.lit(f"a common piece {i}.") for i in range(50)])
+    docs = spark.range(n, numPartitions=partitions).select(F.concat(F.lit("the title "), F.col("id") % 9).alias("title"), every.alias("content"), F.col("id").cast("string").alias("document_number"), F.lit(None).cast("date").alias("written_date"))
+    corpus.index_corpus(docs, path)
+    return spark.createDataFrame([(f"common piece {i}.",) for i in range(50)] + [("the title",)], "query string")
+
+
+def test_scan_does_not_grow_with_files(spark, tmp_path, monkeypatch):
+    """Rows passed on by the scan go with the terms, not with terms times files of texts."""
+    monkeypatch.setattr(textindex, "FIRST", 20, raising=False)
+    terms = frequent(spark, str(tmp_path / "index"), 2000, 40)
+    found = textindex._scanned(terms, str(tmp_path / "index"), ["title", "content"], 5)
+    assert 51 * 5 <= found.count() <= 51 * 100
+    asked = terms.withColumn("query_id", F.monotonically_increasing_id())
+    assert corpus.corpus_search(asked, str(tmp_path / "index"), 5).count() == 51 * 5
+
+
+def test_only_whole_terms_are_passed_on(spark, tmp_path):
+    """Strings that begin like a term aren't: they are as many as the places in the texts."""
+    path = str(tmp_path / "index")
+    docs = spark.range(300).select(F.lit("t").alias("title"), F.concat(F.lit("beginning "), "id").alias("content"), F.lit("").alias("document_number"), F.lit(None).cast("date").alias("written_date"))
+    corpus.index_corpus(docs, path)
+    terms = spark.createDataFrame([("beginning 7",), ("beginning 77",), ("nothing has it",)], "query string")
+    sought = textindex._bit_set(terms)
+    raw = textindex._passed_on(spark.read.parquet(f"{path}/documents"), ["title", "content"], textindex._by_size([11, 12, 14]), [sought, sought], 10)
+    assert {r.query for r in raw.collect()} == {"beginning 7", "beginning 77"}
+
+
+def test_lists_that_no_lookup_reads_are_not_stored(spark, tmp_path):
+    path = str(tmp_path / "index")
+    frequent(spark, path, 600, 3)
+    grams, postings = spark.read.parquet(f"{path}/grams"), spark.read.parquet(f"{path}/postings")
+    assert grams.where("gram = 'com'").first().texts == 600
+    assert grams.where("texts <= 512").count() > 0
+    assert postings.groupBy("gram").agg(F.sum(F.size("ids")).alias("texts")).exceptAll(grams).count() == 0
+    assert postings.select("gram").distinct().exceptAll(grams.where("texts <= 512").select("gram")).count() == 0
