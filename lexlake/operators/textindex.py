@@ -57,8 +57,8 @@ NAMED = 1 << 16
 #: Rows of the first tier, about, and of each next one with all before it as a multiple
 #: of those; rows whose order settles where tiers end.
 FIRST, GROWTH, SAMPLE = 2048, 4, 16384
-#: Up to this length a term is its own beginning; that of a longer one is the
-#: greatest power of two of its characters.
+#: Characters of a term's beginning at most, a power of two; that of a shorter term
+#: is the greatest power of two of its characters, and up to three the term itself.
 WHOLE = 8
 #: Rows of a file of texts, so that small tables are scanned by many tasks too.
 FILE_ROWS = 4096
@@ -91,31 +91,30 @@ def _before(order: list[tuple[str, bool]], row: Row) -> Column:
     return out
 
 
-def _tier(rows: DataFrame, order: list[tuple[str, bool]]) -> Column | None:
-    """The tier of a row; null if one is enough. A sample settles where tiers end,
-    so that their sizes are approximate but not what lies in them."""
-    keys = rows.select(*[c for c, _ in order])
-    n = keys.count()
+def _tiered(rows: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+    """The rows with their tier, or as they are if one is enough. A sample settles
+    where tiers end, so that their sizes are approximate but not their order; rows
+    of equal rank are dealt by chance."""
+    n = rows.select(*[c for c, _ in order]).count()
     if n <= FIRST:
-        return None
-    sample, end, tier, k = keys.orderBy(F.rand(0)).limit(SAMPLE).orderBy(*_sorted(order)).collect(), FIRST, None, 0
-    while end < n:
-        last = _before(order, sample[max(1, len(sample) * end // n)])
-        tier = F.when(last, k) if tier is None else tier.when(last, k)
-        end, k = end * GROWTH, k + 1
-    return tier.otherwise(k)
+        return rows
+    chance, full = F.rand(0).alias("_chance"), [*order, ("_chance", False)]
+    sample = rows.select(*[c for c, _ in order], chance).orderBy(F.rand(1)).limit(SAMPLE).orderBy(*_sorted(full)).collect()
+    ends = [FIRST * GROWTH**k for k in range(n.bit_length()) if FIRST * GROWTH**k < n]
+    tier = F.lit(len(ends))
+    for k, end in reversed([*enumerate(ends)]):
+        tier = F.when(_before(full, sample[max(1, len(sample) * end // n)]), k).otherwise(tier)
+    return rows.withColumn("_chance", F.rand(2)).withColumn("tier", tier).drop("_chance")
 
 
 def build_index(rows: DataFrame, path: str, text_cols: list[str], order: list[tuple[str, bool]]) -> None:
     """Indexes the texts of ``text_cols`` of all rows; nulls are empty. Repeated
-    rows are indexed as often as they come. ``order`` names the columns by which
+    rows are indexed as often as they come; none is called id or tier. ``order`` names the columns by which
     ``search`` ranks rows, each with whether it falls (nulls last) or rises (nulls
     first); each file holds its rows in that order. ``path`` must be new."""
     spark = rows.sparkSession
     short_batches(spark)
-    tier = _tier(rows, order)
-    tiers = [] if tier is None else ["tier"]
-    rows = rows if tier is None else rows.withColumn("tier", tier)
+    tiers = ["tier"] if "tier" in (rows := _tiered(rows, order)).columns else []
     rows = rows.sortWithinPartitions(*tiers, *_sorted(order)).withColumn("id", F.monotonically_increasing_id())
     rows.write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").partitionBy(*tiers).parquet(f"{path}/documents")
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text_cols]
@@ -137,14 +136,14 @@ def build_index(rows: DataFrame, path: str, text_cols: list[str], order: list[tu
     counts = texts.select("text").mapInArrow(count, "gram string, texts long")
     counts.groupBy("gram").agg(F.sum("texts").alias("texts")).write.parquet(f"{path}/grams")
     rare = spark.read.parquet(f"{path}/grams").where(F.col("texts") <= LISTED * LONGER).select("gram")
-    known, lengths = _bit_set(rare), _by_size([GRAM])
+    known, lengths = _bit_set(rare)
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists of a batch, so that a gram is shuffled once for many texts."""
         for batch in batches:
             lists: dict[tuple[str, int], list[int]] = defaultdict(list)
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for gram in set(_strings(text, lengths, known.value)):
+                for gram in _strings(text, lengths, known.value):
                     lists[gram, i >> low].append(i)
             grams, segments = zip(*lists) if lists else ((), ())
             yield pa.record_batch([pa.array(grams, pa.string()), pa.array(segments, pa.int64()), pa.array(list(lists.values()), pa.list_(pa.int64()))], names=["gram", "segment", "ids"])
@@ -178,6 +177,7 @@ def _listed(grams: DataFrame, path: str) -> DataFrame:
 
 #: What hashes are mixed with; where in its hash a string's places in a bit set begin.
 _ODD, _MIX, _SHIFTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), (0, 19, 37)
+_BIT = (1 << np.arange(8)).astype(np.uint8)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -193,53 +193,67 @@ def _windows(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
             return
         while 2 * w <= size:  # two halves
             h, w = _mixed(h[:-w] * _ODD + h[w:]), 2 * w
-        h_size = _mixed(h[: n - size + 1] * _ODD + h[size - w : n - w + 1])  # two pieces that may overlap
+        h_size = h if size == w else _mixed(h[: n - size + 1] * _ODD + h[size - w : n - w + 1])  # two pieces that may overlap
         yield size, h_size ^ (h_size >> np.uint64(32))
 
 
-def _whole(hashes: np.ndarray, at: np.ndarray, rest: int) -> np.ndarray:
-    """Hashes of the strings that begin at ``at`` and are ``rest`` characters longer
-    than those of ``hashes``, up to twice as long."""
-    h = _mixed(hashes[at] * _ODD + hashes[at + rest])
+def _whole(hashes: np.ndarray, size: int, at: np.ndarray, n: int | np.ndarray, pieces: int) -> np.ndarray:
+    """Hashes of the strings of n characters that begin at ``at``, by those of their
+    pieces of ``size`` characters, the last of which may overlap."""
+    h = hashes[at]
+    for rest in [*[k * size for k in range(1, pieces - 1)], n - size]:
+        h = _mixed(h * _ODD + hashes[at + rest])
     return h ^ (h >> np.uint64(32))
 
 
-def _by_size(lengths: list[int]) -> dict[int, list[int]]:
-    """The lengths by that of their beginnings, ascending."""
-    out: dict[int, list[int]] = defaultdict(list)
+#: The lengths of strings by that of their beginnings, ascending, and by pieces.
+Lengths = dict[int, dict[int, list[int]]]
+
+
+def _by_size(lengths: list[int]) -> Lengths:
+    out: Lengths = {}
     for n in sorted(lengths):
-        out[n if n < WHOLE else 1 << (n.bit_length() - 1)].append(n)
-    return dict(out)
+        size = n if n < 4 else min(WHOLE, 1 << (n.bit_length() - 1))
+        out.setdefault(size, {}).setdefault(-(-n // size), []).append(n)
+    return out
 
 
 def _place(hashes: np.ndarray, shift: int, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(shift)).astype(np.int64) & (bits - 1)
+    return (hashes >> np.uint64(shift) & np.uint64(bits - 1)).view(np.int64)
 
 
 def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Where the hashes are that the set may hold."""
-    at = np.arange(len(hashes))
+    at = None
     for shift in _SHIFTS:
-        place = _place(hashes[at], shift, 8 * len(bits))
-        at = at[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
+        place = _place(hashes if at is None else hashes[at], shift, 8 * len(bits))
+        held = np.flatnonzero(np.take(bits, place >> 3, mode="clip") & np.take(_BIT, place & 7, mode="clip"))
+        at = held if at is None else at[held]
+        if not len(at):
+            break
     return at
 
 
-def _strings(text: str, lengths: dict[int, list[int]], bits: np.ndarray) -> Iterator[str]:
-    """The stretches of the text that the set may hold, of the lengths by size."""
+def _strings(text: str, lengths: Lengths, bits: np.ndarray) -> set[str]:
+    """The stretches of the text that the set may hold, of the lengths given."""
+    found: set[str] = set()
     for size, hashes in _windows(text, [*lengths]):
         begun = _held(bits, hashes)
-        for n in lengths[size] if len(begun) else ():
-            at = begun[begun <= len(text) - n]
-            at = at[_held(bits, _whole(hashes, at, n - size))]
-            yield from {text[a : a + n] for a in at.tolist()}
+        for pieces, own in lengths[size].items() if len(begun) else ():
+            at, n = np.repeat(begun, len(own)), np.tile(own, len(begun))
+            whole = at + n <= len(text)
+            at, n = at[whole], n[whole]
+            held = _held(bits, _whole(hashes, size, at, n, pieces))
+            found.update([text[a:b] for a, b in zip(at[held].tolist(), (at + n)[held].tolist())])
+    return found
 
 
-def _bit_set(strings: DataFrame) -> Broadcast:
+def _bit_set(strings: DataFrame) -> tuple[Broadcast, Lengths]:
     """A set of ``BITS`` bits of the beginnings of the strings of the only column and
-    of the whole strings, for ``_strings``."""
+    of the whole strings, with their lengths, for ``_strings``."""
     n_bits, name = BITS, strings.columns[0]
-    size_of = {n: size for size, own in _by_size([r[0] for r in strings.select(F.length(name)).distinct().collect()]).items() for n in own}  # by length
+    lengths = _by_size([r[0] for r in strings.select(F.length(name)).distinct().collect()])
+    parts_of = {n: (size, pieces) for size, of in lengths.items() for pieces, own in of.items() for n in own}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +261,9 @@ def _bit_set(strings: DataFrame) -> Broadcast:
             for string in batch.column(0).to_pylist():
                 by_length[len(string)].append(string)
             for n, own in by_length.items():
-                hashes, at = next(_windows("".join(own), [size_of[n]]))[1], np.arange(0, n * len(own), n)
-                flat = np.concatenate([hashes[at], _whole(hashes, at, n - size_of[n])])
+                size, pieces = parts_of[n]
+                hashes, at = next(_windows("".join(own), [size]))[1], np.arange(0, n * len(own), n)
+                flat = np.concatenate([hashes[at], _whole(hashes, size, at, n, pieces)])
                 yield pa.record_batch([pa.array(np.concatenate([_place(flat, s, n_bits) for s in _SHIFTS]) + 1)], names=["place"])
 
     marked = strings.mapInArrow(places, "place long")
@@ -256,15 +271,14 @@ def _bit_set(strings: DataFrame) -> Broadcast:
     bits = np.zeros(n_bits // 8, np.uint8)
     for page in pages.collect():  # BITS in all
         bits[(page["page"] - 1) * 4096 : page["page"] * 4096] = np.frombuffer(page["bits"], np.uint8)
-    return strings.sparkSession.sparkContext.broadcast(bits)
+    return strings.sparkSession.sparkContext.broadcast(bits), lengths
 
 
-def _passed_on(documents: DataFrame, text_cols: list[str], lengths: dict[int, list[int]], sets: list[Broadcast], limit: int) -> DataFrame:
+def _passed_on(documents: DataFrame, text_cols: list[str], sets: list[tuple[Broadcast, Lengths]], limit: int) -> DataFrame:
     """(query, id, led) of the strings in the sets, the first for the first column
     (``led``) and the other for the rest, and of a few others. A task passes on no
     string more than ``limit`` times for a file, since rows of a file lie in the
     order of ranks; ``led`` rows count by themselves."""
-    first, others = sets
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = -1, Counter()
@@ -276,7 +290,8 @@ def _passed_on(documents: DataFrame, text_cols: list[str], lengths: dict[int, li
                     seen = Counter()
                 last, own = i, set()
                 for c, texts in enumerate(columns):
-                    for string in _strings(texts[k] or "", lengths, (others if c else first).value):
+                    known, lengths = sets[c > 0]
+                    for string in _strings(texts[k] or "", lengths, known.value):
                         if string not in own and seen[c == 0, string] < limit:
                             seen[c == 0, string] += 1
                             out.append((string, i, c == 0))
@@ -296,23 +311,20 @@ def _scanned(terms: DataFrame, path: str, text_cols: list[str], limit: int) -> D
     it a term with ``limit`` rows is looked for in the first column only, and one
     with ``limit`` such rows no more: what is left ranks behind them."""
     spark, documents = terms.sparkSession, terms.sparkSession.read.parquet(f"{path}/documents")
-    lengths = _by_size([r[0] for r in terms.select(F.length("query")).distinct().collect()])
-    if not lengths:
-        return spark.createDataFrame([], _HITS)
     tiers = sorted(r["tier"] for r in documents.select("tier").distinct().collect()) if "tier" in documents.columns else []
-    known = _bit_set(terms)
+    sets, at = [_bit_set(terms)] * 2, f"{path}/found/{uuid.uuid4().hex}"
     if len(tiers) < 2:
-        return _passed_on(documents, text_cols, lengths, [known, known], limit).join(terms, "query")
-    sets, at = [known, known], f"{path}/found/{uuid.uuid4().hex}"
+        return _passed_on(documents, text_cols, sets, limit).join(terms, "query")
     for tier in tiers:
-        _passed_on(documents.where(F.col("tier") == tier), text_cols, lengths, sets, limit).write.parquet(f"{at}/tier={tier}")
-        for known in sets:
+        _passed_on(documents.where(F.col("tier") == tier), text_cols, sets, limit).write.parquet(f"{at}/tier={tier}")
+        for known, _ in sets:
             known.unpersist()
         found = spark.read.schema(_HITS).parquet(*[f"{at}/tier={t}" for t in tiers if t <= tier])
         if tier != tiers[-1]:
             counts = found.groupBy("query").agg(F.count("*").alias("n"), F.count_if("led").alias("n_led"))
-            counts = terms.join(counts, "query", "left")
-            sets = [_bit_set(counts.where(F.coalesce(n, F.lit(0)) < limit).select("query")) for n in ("n_led", "n")]
+            terms.join(counts, "query", "left").select("query", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_led")]).write.parquet(f"{at}/counts-{tier}")
+            counts = spark.read.parquet(f"{at}/counts-{tier}")
+            sets = [_bit_set(counts.where(F.col(c) < limit).select("query")) for c in ("n_led", "n")]
     return found.join(terms, "query")
 
 

@@ -103,7 +103,7 @@ def test_only_whole_terms_are_passed_on(spark, tmp_path):
     corpus.index_corpus(docs, path)
     terms = spark.createDataFrame([("beginning 7",), ("beginning 77",), ("nothing has it",)], "query string")
     sought = textindex._bit_set(terms)
-    raw = textindex._passed_on(spark.read.parquet(f"{path}/documents"), ["title", "content"], textindex._by_size([11, 12, 14]), [sought, sought], 10)
+    raw = textindex._passed_on(spark.read.parquet(f"{path}/documents"), ["title", "content"], [sought, sought], 10)
     assert {r.query for r in raw.collect()} == {"beginning 7", "beginning 77"}
 
 
@@ -115,3 +115,13 @@ def test_lists_that_no_lookup_reads_are_not_stored(spark, tmp_path):
     assert grams.where("texts <= 512").count() > 0
     assert postings.groupBy("gram").agg(F.sum(F.size("ids")).alias("texts")).exceptAll(grams).count() == 0
     assert postings.select("gram").distinct().exceptAll(grams.where("texts <= 512").select("gram")).count() == 0
+
+
+def test_equal_ranks_are_dealt_to_all_tiers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "FIRST", 20, raising=False)
+    docs = spark.range(400).select(F.lit("t").alias("title"), F.concat(F.lit("the text "), "id").alias("content"), F.lit("").alias("document_number"), F.lit(None).cast("date").alias("written_date"))
+    corpus.index_corpus(docs, str(tmp_path / "index"))
+    found = spark.read.parquet(str(tmp_path / "index/documents"))
+    sizes = {r.tier: r["count"] for r in found.groupBy("tier").count().collect()}
+    assert sorted(sizes) == [0, 1, 2, 3] and sum(sizes.values()) == 400 and sizes[0] < 60 < sizes[2]
+    assert found.select("id").distinct().count() == 400
