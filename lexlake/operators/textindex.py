@@ -56,7 +56,7 @@ LISTED = 64
 NAMED = 1 << 16
 #: Rows of the first tier, about, and of each next one with all before it as a multiple
 #: of those; rows whose order settles where tiers end.
-FIRST, GROWTH, SAMPLE = 2048, 4, 16384
+FIRST, GROWTH, SAMPLE = 4096, 4, 16384
 #: Characters of a term's beginning at most, a power of two; that of a shorter term
 #: is the greatest power of two of its characters, and up to three the term itself.
 WHOLE = 8
@@ -149,7 +149,7 @@ def build_index(rows: DataFrame, path: str, text_cols: list[str], order: list[tu
             yield pa.record_batch([pa.array(grams, pa.string()), pa.array(segments, pa.int64()), pa.array(list(lists.values()), pa.list_(pa.int64()))], names=["gram", "segment", "ids"])
 
     lists = texts.mapInArrow(invert, "gram string, segment long, ids array<long>").withColumn("bucket", _bucket("gram"))
-    whole = lists.repartition("bucket", "segment").groupBy("bucket", "gram", "segment").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    whole = lists.repartition("bucket").groupBy("bucket", "gram", "segment").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
     whole.sortWithinPartitions("bucket", "gram", "segment").write.partitionBy("bucket").parquet(f"{path}/postings")
     known.unpersist()
 
